@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import table
+from wattloom.llm.decontamination import contaminated
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.packing import pack_documents
+from wattloom.llm.pii import replace_personal_data
 from wattloom.llm.token_store import token_digests
+from wattloom.llm.toxicity import toxicity
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +29,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents"), key="corpus").select("doc_id", "text", "n_entities", "kinds")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
+    "op7_toxicity": op7_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: DuckDB SQL for those that it can express.
