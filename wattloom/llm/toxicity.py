@@ -1,9 +1,9 @@
 """Toxic spans by a linear-chain conditional random field; scores from its marginals.
 
 Labels mark documents. A bounded sample of labelled documents gives labelled tokens: a
-token of a toxic document is toxic if clearly more toxic documents than clean ones bring
-a context of their own for its word. (So neither copies of one text nor repetition inside
-a text add up.) A two-state chain is fitted to those tokens by its exact gradient. Over any
+token of a toxic document is toxic if its word, or the word's beginning, stands in more
+different toxic texts than clean ones, and not by chance. (Copies of a text count once.)
+A two-state chain is fitted to those tokens by its exact gradient. Over any
 document, forward-backward gives each token's probability; their sum and maximum, through
 a logistic curve fitted on the sample, give the document's score.
 """
@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import materialize, text_or_empty
 
 #: Most labelled documents of either class that training reads, the first by a hash of doc_id.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2800
 #: Most of these whose tokens fit the chain.
-CHAIN_TOXIC, CHAIN_CLEAN = 500, 700
-MIN_LOG_ODDS = 2.0
-#: Share of the toxic sample in whose contexts a word must stand, and a count it must reach.
-MIN_SHARE, MIN_CONTEXTS = 0.01, 3
+CHAIN_TOXIC, CHAIN_CLEAN = 400, 500
+#: Lengths of the beginnings of words that are features besides whole words.
+PREFIXES = range(4, 9)
+MAX_FEATURES = 2000
+#: A telling word's texts are toxic at least so often, and not so by chance.
+MIN_TOXIC_SHARE, MARGIN = 0.4, 3.0
 #: Tokens from here on belong to a span.
 SPAN_AT = 0.5
 
@@ -42,6 +45,15 @@ def word_of(chunk: str) -> str:
     return _NOT_LETTERS.sub("", chunk).lower()
 
 
+def features_of(word: str) -> list[str]:
+    """The word itself and its beginnings, the most specific first."""
+    return [f"={word}", *(f"^{word[:k]}" for k in reversed(PREFIXES) if k < len(word))]
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _shape(chunk: str) -> int:
     if not chunk.isalpha():
         return 3
@@ -58,7 +70,8 @@ class _Codes(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) >= 400_000:
             self.clear()
-        self[chunk] = code = self.lexicon.get(word_of(chunk), 0) * _SHAPES + _shape(chunk)
+        known = next((self.lexicon[f] for f in features_of(word_of(chunk)) if f in self.lexicon), 0)
+        self[chunk] = code = known * _SHAPES + _shape(chunk)
         return code
 
     def of(self, text: str) -> np.ndarray:
@@ -143,7 +156,7 @@ def marginals(docs: list[np.ndarray], chain: Chain) -> list[np.ndarray]:
     return out
 
 
-def _fit_chain(docs: list[np.ndarray], tags: list[np.ndarray], lexicon: dict[str, int], rounds: int = 60, ridge: float = 1.0) -> Chain:
+def _fit_chain(docs: list[np.ndarray], tags: list[np.ndarray], lexicon: dict[str, int], rounds: int = 40, ridge: float = 1.0) -> Chain:
     """Maximum likelihood with a ridge, by Adam on the exact gradient."""
     chain = Chain(lexicon, np.zeros(len(lexicon) + 1), np.zeros(_SHAPES))
     params = lambda: np.concatenate([chain.words, chain.shapes, [chain.start], chain.moves[:, 1]])  # noqa: E731  the clean column stays 0
@@ -220,25 +233,29 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     """
     sample = _sample(docs, labels, sample_toxic, sample_clean)
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for text, toxic in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 words = [w for w in map(word_of, text.split()) if w]
-                around = [f"{a} {b}" for a, b in zip(["", *words[:-1]], [*words[1:], ""], strict=True)]
-                seen = list(dict.fromkeys(zip(words, around, strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string()), pa.array([toxic] * len(seen), pa.int32()), pa.array([doc_id] * len(seen), pa.int64())], ["word", "context", "toxic", "doc_id"])
+                # Copies of a text share this mark nearly always: the least hash of its word pairs.
+                mark = min((hash_of(f"{a} {b}") for a, b in zip(words, words[1:])), default=0)
+                found = sorted({f for w in set(words) for f in features_of(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32()), pa.array([mark] * len(found), pa.int64())], ["feature", "toxic", "mark"])
 
     n_toxic, n = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     chain = Chain(curve=np.array([math.log((n_toxic + 1) / (n - n_toxic + 1)), 0.0, 0.0]))
     if not n_toxic or n_toxic == n:
         return chain
-    places = sample.select("doc_id", "text", "toxic").mapInArrow(contexts, "word string, context string, toxic int, doc_id long")
-    # Documents that bring a context of their own: neither copies nor repetition inside a text add up.
-    firsts = places.groupBy("word", "toxic", F.xxhash64("context").alias("context")).agg(F.min("doc_id").alias("doc_id")).groupBy("word", "toxic", "doc_id").agg(F.count("*"))
-    counts = firsts.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    log_odds = F.log((F.col("t") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n - n_toxic + 1))
-    telling = counts.withColumn("log_odds", log_odds).where(f"log_odds >= {MIN_LOG_ODDS} and t >= {max(MIN_CONTEXTS, math.ceil(MIN_SHARE * n_toxic))}")
-    lexicon = {r.word: k for k, r in enumerate(telling.select("word", "log_odds").orderBy(F.desc("log_odds"), "word").limit(2000).collect(), 1)}
+    texts = sample.select("text", "toxic").mapInArrow(features, "feature string, toxic int, mark long").distinct()
+    counts = texts.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = materialize(counts, "word-counts")
+    # Likelihood ratio against the share of toxic documents. With so many words tested, chance
+    # alone passes the bar for one in e^-MARGIN of all trainings.
+    n_words, t, all_ = max(2, counts.count()), F.col("t"), F.col("t") + F.col("c")
+    share = n_toxic / n
+    ratio = 2 * (t * F.log((t + 1e-9) / (all_ * share)) + F.col("c") * F.log((F.col("c") + 1e-9) / (all_ * (1 - share))))
+    telling = counts.withColumn("ratio", ratio).where((t >= MIN_TOXIC_SHARE * all_) & (F.col("ratio") >= 2 * (math.log(n_words) + MARGIN)))
+    lexicon = {r.feature: k for k, r in enumerate(telling.orderBy(F.desc("ratio"), "feature").limit(MAX_FEATURES).collect(), 1)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes(lexicon)
