@@ -1,12 +1,13 @@
 """Near-duplicate documents: MinHash banding, verified links, connected components.
 
 Documents with equal shingle sets are one class, represented by the least doc_id.
-Classes that share a band meet in its bucket, where each is compared with the least
-member only: first on signatures, then on whole sets. A linked class needs no further
-comparison inside its component. Buckets that still hold several components take more
-members as pivots, twice as many each round, until every member has met every other or
-its component. So a group of n copies costs n comparisons, not n squared, and no link
-between buckets' members is left out.
+Classes that share a band meet in its bucket, where each is compared with its most
+central member only: first on signatures, then on whole sets. A linked class needs no further
+comparison inside its component, so a group of n copies costs n comparisons.
+
+Buckets that then still hold several components are searched whole, in blocks of bounded
+size: signatures and sets of two blocks are compared as arrays in one task, and only
+likely links leave it, to be verified. So no link between members of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wattloom.llm.common import materialize, text_or_empty
 from wattloom.llm.components import connected_components
@@ -28,8 +28,8 @@ BANDS, ROWS = 40, 5
 #: A pair whose signatures agree less than this is not compared on sets. At a true
 #: similarity of 0.8 that needs a deviation of over six standard errors.
 SIGNATURE_FLOOR = 0.62
-#: Pivots of a bucket in the first round after the stars.
-PIVOTS = 16
+#: Shingles of the documents in one block of a bucket.
+BLOCK_SHINGLES = 300_000
 #: So many pairs (16 bytes each) may be broadcast.
 SMALL_PAIRS = 200_000
 #: A pivot is stored once for so many of its members.
@@ -155,6 +155,112 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return _with_both(pairs, texts, "text").mapInArrow(compare, "u long, v long")
 
 
+def _selected(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    small = ids.count() <= SMALL_PAIRS
+    return texts.join(F.broadcast(ids) if small else ids, "doc_id")
+
+
+def _block_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]:
+    """Likely links among one bucket's two blocks: rows of (band, i, j, block, doc_id, n, part, sig, low)."""
+    band, i, j = rows[0][:3]
+    sides = [[r for r in rows if r[3] == i], [r for r in rows if r[3] == j]]
+    sig, n, part, doc = ([np.array([np.frombuffer(r[7], "<u2") for r in x]) for x in sides], *([np.array([r[k] for r in x]) for x in sides] for k in (5, 6, 4)))
+    sets = [[np.frombuffer(r[8], "<u4") for r in x] for x in sides]
+    if not len(sides[0]) or not len(sides[1]):
+        return [], []
+    found: tuple[list[int], list[int]] = ([], [])
+    step = max(1, 4_000_000 // (len(sides[1]) * BANDS * ROWS))
+    for k in range(0, len(sides[0]), step):
+        own = slice(k, k + step)
+        small, large = np.minimum(n[0][own, None], n[1]), np.maximum(n[0][own, None], n[1])
+        open_ = (part[0][own, None] != part[1]) & (100 * small >= percent * large)
+        if i == j:
+            open_ &= doc[0][own, None] < doc[1]
+        if not open_.any():
+            continue
+        same = sig[0][own, None, :] == sig[1]
+        open_ &= same.mean(axis=2) >= SIGNATURE_FLOOR
+        # A pair is judged in the bucket of the first band that it shares.
+        open_ &= same.reshape(*same.shape[:2], BANDS, ROWS).all(axis=3).argmax(axis=2) == band
+        left, right = np.nonzero(open_)
+        if not len(left):
+            continue
+        both = _intersections(sets[0][own], sets[1], left, right)
+        # Two more for hashes that met by chance when they were cut to 32 bits.
+        good = 100 * (both + 2) >= percent * (n[0][own][left] + n[1][right] - both - 2)
+        found[0].extend(doc[0][own][left[good]].tolist())
+        found[1].extend(doc[1][right[good]].tolist())
+    return found
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a[left] and b[right]: by merging for few pairs, else as a matrix product."""
+    rows, columns = np.unique(left), np.unique(right)
+    if 20 * len(left) < len(rows) * len(columns) or len(left) < 200:
+        return np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(left, right, strict=True)])
+    a, b = [a[x] for x in rows], [b[y] for y in columns]
+    words = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    total = np.zeros((len(a), len(b)), np.float32)
+
+    def marks(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(part)), np.float32)
+        for k, x in enumerate(sets):
+            at = np.searchsorted(part, x).clip(max=len(part) - 1)
+            out[k, at[part[at] == x]] = 1
+        return out
+
+    for k in range(0, len(words), 4096):
+        part = words[k : k + 4096]
+        total += marks(a, part) @ marks(b, part).T
+    return total[np.searchsorted(rows, left), np.searchsorted(columns, right)].astype(np.int64)
+
+
+def block_pairs(members: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): likely links between components, from `members` (bucket, band, doc_id, n, part) of mixed buckets.
+
+    A bucket is dealt into blocks of bounded size, and each two blocks of it are compared
+    as a whole in one place, by arrays. Only what looks linked leaves the task.
+    """
+    ids = materialize(members.select("doc_id").distinct(), "open")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.unique(shingle_set(x, size).astype(np.uint32)).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["doc_id", "low"])
+
+    low = _selected(ids, texts).select("doc_id", "text").mapInArrow(cut, "doc_id long, low binary")
+    sets = materialize(_selected(ids, sigs).select("doc_id", "sig").join(low, "doc_id"), "open-sets")
+    blocks = members.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "part")
+    dealt = dealt.join(sets, "doc_id").select("bucket", "band", "i", "j", "block", "doc_id", "n", "part", "sig", "low")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, u, v = None, [], [], []
+
+        def judge() -> None:
+            for out, found in zip((u, v), _block_links(rows, percent), strict=True):
+                out.extend(found)
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(10)]
+            for bucket, *row in zip(*columns, strict=True):
+                if (bucket, *row[:3]) != key:
+                    if len(rows) > 1:
+                        judge()
+                    key, rows = (bucket, *row[:3]), []
+                rows.append(row)
+        if len(rows) > 1:
+            judge()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "band", "i", "j")
+    pairs = grouped.mapInArrow(compare, "u long, v long")
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs` (doc_id, text).
 
@@ -173,35 +279,32 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
 
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-    bands = sigs.select("doc_id", F.col("n_shingles").alias("n"), F.explode(keys).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("least")).where("size > 1")
-    # Only what shares a bucket goes on: few rows, each next to its bucket's least member.
-    met = materialize(bands.join(shared.select("bucket", "least"), "bucket"), "buckets")
-
-    stars = met.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("bands"))
+    bands = sigs.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode(keys).alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # Only what shares a bucket goes on, next to the number of classes there.
+    met = materialize(bands.join(shared, "bucket"), "buckets")
+
+    # The pivot of a bucket is its member with most company over all buckets: of edited copies,
+    # the one nearest to all others.
+    company = met.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    order = F.struct("company", -F.col("doc_id"))
+    met = materialize(met.join(company, "doc_id").select("bucket", "band", "doc_id", "n", "company"), "company")
+    central = met.groupBy("bucket").agg(F.max_by("doc_id", order).alias("v"))
+    stars = met.join(central, "bucket").where("doc_id <> v").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("bands"))
     # One candidate for each class first, the one it shares most bands with.
-    best = stars.groupBy("doc_id").agg(F.max_by("least", F.struct("bands", -F.col("least"))).alias("v")).select(F.col("doc_id").alias("u"), "v")
+    best = stars.groupBy("u").agg(F.max_by("v", F.struct("bands", -F.col("v"))).alias("v"))
     links = materialize(verified(_agreeing(best, sigs), texts, shingle_size, percent), "links")
     parts = connected_components(links)
 
-    done, pivots = 0, PIVOTS
-    while True:
-        placed = met.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-        placed = materialize(placed.select("bucket", "doc_id", "n", "part"), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size")).where(f"p < q and size > {done}")
-        open_ = materialize(placed.join(mixed.select("bucket"), "bucket"), "open")
-        if open_.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-        chosen = open_.withColumn("rank", rank).where(f"rank <= {done + pivots}").where(f"rank > {done}")
-        chosen = chosen.select("bucket", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-        pairs = open_.join(chosen, "bucket").where((F.col("part") != F.col("pv")) & (100 * F.least("n", "nv") >= percent * F.greatest("n", "nv")))
-        pairs = pairs.select(F.greatest("doc_id", "v").alias("u"), F.least("doc_id", "v").alias("v")).distinct()
-        found = materialize(verified(_agreeing(pairs, sigs), texts, shingle_size, percent), "links")
-        done, pivots = done + pivots, 2 * pivots
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = connected_components(links)
+    # Buckets that still hold several components are searched whole.
+    placed = met.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+    open_ = materialize(placed.join(mixed, "bucket").select("bucket", "band", "doc_id", "n", "part"), "mixed")
+    found = materialize(verified(block_pairs(open_, sigs, texts, shingle_size, percent), texts, shingle_size, percent), "links")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        parts = connected_components(links)
 
     # A document with several texts holds its classes together.
     several = members.where("rep is not null and doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
