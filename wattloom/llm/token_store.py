@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import shared_path, text_or_empty
+from wattloom.llm.common import materialize, shared_path, text_or_empty
 from wattloom.llm.tokens import encoder
 
 MAGIC = b"DAC1"
@@ -33,7 +33,7 @@ RANK_BITS = 512
 #: A segment is closed once it holds so many ids.
 SEGMENT_TOKENS = 1 << 18
 
-STORE_SCHEMA = "part int, seg int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
+STORE_SCHEMA = "part int, seg int, before long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -107,12 +107,12 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
-        held, ids, count, seg = [], [], 0, 0
+        held, ids, count, seg, before = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             payload = dac_encode(np.frombuffer(b"".join(held), dtype="<u4"))
-            row = {"part": part, "seg": seg, "n_tokens": count, "doc_ids": [i for i, _ in ids], "doc_tokens": [n for _, n in ids], "payload": payload}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())]))
+            row = {"part": part, "seg": seg, "before": before, "n_tokens": count, "doc_ids": [i for i, _ in ids], "doc_tokens": [n for _, n in ids], "payload": payload}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -122,7 +122,7 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
                 count += n
                 if count >= SEGMENT_TOKENS:
                     yield flush()
-                    held, ids, count, seg = [], [], 0, seg + 1
+                    held, ids, count, seg, before = [], [], 0, seg + 1, before + count
         if ids:
             yield flush()
 
@@ -134,18 +134,18 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
     return path
 
 
-def segment_starts(store: DataFrame) -> DataFrame:
-    """(part, seg, start): ids that come before each segment, over the whole store.
+#: Partitions of a store whose sizes may be sent to every task (12 bytes each).
+SMALL_PARTS = 1_000_000
 
-    One row per partition of the writer meets in one task; the rest of the running sum
-    is taken within partitions.
+
+def part_bases(store: DataFrame) -> DataFrame:
+    """(part, base): ids that come before each partition of the writer.
+
+    One row per partition meets in one task; within a partition the writer has kept the sum.
     """
-    sizes = store.select("part", "seg", "n_tokens")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("part", "seg", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inner"))
-    return sizes.join(bases, "part").select("part", "seg", (F.col("base") + F.col("inner")).alias("start"))
+    sizes = store.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
 def read_documents(store: DataFrame) -> DataFrame:
@@ -159,9 +159,10 @@ def read_documents(store: DataFrame) -> DataFrame:
                 raw = [ids[e - n : e].astype("<u4").tobytes() for e, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    # The sizes are read from two narrow columns; the payload goes once from file to task.
-    whole = store.join(segment_starts(store), ["part", "seg"])
-    return whole.select("start", "doc_ids", "doc_tokens", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    # The sizes are read from narrow columns; the payload goes straight from file to task.
+    bases = materialize(part_bases(store), "bases")
+    whole = store.join(F.broadcast(bases) if bases.count() <= SMALL_PARTS else bases, "part")
+    return whole.select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "doc_tokens", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

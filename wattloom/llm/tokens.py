@@ -22,7 +22,8 @@ _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ENDS_WORD = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]$").search
 #: A space between two other white-space characters belongs to neither neighbour.
 _SPACE_RUN = re.compile(r"\s \s").search
-_GENERATION = 300_000
+#: Chunks of one cache generation; two are held, about 200 bytes a chunk.
+_GENERATION = 800_000
 
 
 class _Cache(dict):
