@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from wattloom.llm.common import table
 from wattloom.llm.decontamination import contaminated
+from wattloom.llm.html import extract_main_text
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.packing import pack_documents
 from wattloom.llm.pii import replace_personal_data
 from wattloom.llm.token_store import token_digests
 from wattloom.llm.toxicity import toxicity
+from wattloom.llm.url_templates import Rule, url_verdicts
+from wattloom.llm.vector_search import top_k
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +36,26 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_personal_data(table(spark, sf_dir, "documents"), key="corpus").select("doc_id", "text", "n_entities", "kinds")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: (verdict, host, path) of the URL query.
+RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+
+
+def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,9 +65,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op5_html": op5_html,
     "op7_toxicity": op7_toxicity,
+    "op8_url_templates": op8_url_templates,
     "op9_decontamination": op9_decontamination,
+    "op10_vector_search": op10_vector_search,
 }
 
 #: DuckDB SQL for those that it can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_vector_search": """
+        WITH good AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+            FROM good q JOIN good c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
