@@ -14,6 +14,7 @@ from wattloom.llm.html import extract_main_text
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.packing import pack_documents
 from wattloom.llm.pii import replace_personal_data
+from wattloom.llm.repeats import remove_repeats
 from wattloom.llm.token_store import token_digests
 from wattloom.llm.toxicity import toxicity
 from wattloom.llm.url_templates import Rule, url_verdicts
@@ -40,6 +41,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op5_html": op5_html,
+    "op6_repeats": op6_repeats,
     "op7_toxicity": op7_toxicity,
     "op8_url_templates": op8_url_templates,
     "op9_decontamination": op9_decontamination,
