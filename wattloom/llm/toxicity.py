@@ -109,7 +109,7 @@ def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return codes, alive, order
 
 
-def _blocks(docs: list[np.ndarray], cells: int = 4_000_000) -> Iterator[list[int]]:
+def _blocks(docs: list[np.ndarray], cells: int = 500_000) -> Iterator[list[int]]:
     """Indices of documents of like length, so that padding stays small."""
     block: list[int] = []
     for i in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
