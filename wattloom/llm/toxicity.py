@@ -3,9 +3,10 @@
 Labels mark documents. A bounded sample of labelled documents gives labelled tokens: a
 token of a toxic document is toxic if its word, or the word's beginning, stands in more
 different toxic texts than clean ones, and not by chance. (Copies of a text count once.)
-A two-state chain is fitted to those tokens by its exact gradient. Over any
-document, forward-backward gives each token's probability; their sum and maximum, through
-a logistic curve fitted on the sample, give the document's score.
+A two-state chain is fitted to those tokens by its exact gradient. Over any document,
+forward-backward gives each token's probability; their sum and the second
+largest of them (one token alone is often chance), through a logistic curve fitted on the
+sample, give the document's score.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ SPAN_AT = 0.5
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _TOKEN = re.compile(r"\S+")
-_SHAPES = 4  # lower, title, upper, with other characters inside or around
+_EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_SHAPES = 4  # lower, title, upper, with other characters inside; what surrounds a word does not count
 
 
 def word_of(chunk: str) -> str:
@@ -55,6 +57,7 @@ def hash_of(text: str) -> int:
 
 
 def _shape(chunk: str) -> int:
+    chunk = _EDGES.sub("", chunk)
     if not chunk.isalpha():
         return 3
     return 0 if chunk.islower() else 1 if chunk[1:].islower() or len(chunk) == 1 else 2
@@ -94,8 +97,14 @@ class Chain:
         """Emission odds by feature code."""
         return np.exp(self.words[:, None] + self.shapes[None, :]).ravel()
 
-    def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.curve[0] + self.curve[1] * np.log1p(total) + self.curve[2] * most)))
+    def score(self, p: list[np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-(_summaries(p) @ self.curve)))
+
+
+def _summaries(p: list[np.ndarray]) -> np.ndarray:
+    """What the curve sees of each document's probabilities."""
+    second = [np.partition(x, -2)[-2] if len(x) > 1 else 0.0 for x in p]
+    return np.column_stack([np.ones(len(p)), np.log1p([x.sum() for x in p]), second])
 
 
 def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,13 +207,12 @@ def _fit_chain(docs: list[np.ndarray], tags: list[np.ndarray], lexicon: dict[str
     return chain
 
 
-def _fit_curve(total: np.ndarray, most: np.ndarray, label: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression of the label on log1p(total) and most, by Newton steps."""
-    x = np.column_stack([np.ones(len(total)), np.log1p(total), most])
-    w = np.zeros(3)
+def _fit_curve(x: np.ndarray, label: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Logistic regression of the label on the summaries, by Newton steps."""
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), x.T @ (label - p) - ridge * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (label - p) - ridge * w)
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -274,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
         chain = _fit_chain([docs_[i] for i in chosen], tags, lexicon)
         chain.curve = curve
     p = marginals(docs_, chain)
-    chain.curve = _fit_curve(np.array([x.sum() for x in p]), np.array([x.max(initial=0) for x in p]), label)
+    chain.curve = _fit_curve(_summaries(p), label)
     return chain
 
 
@@ -306,7 +314,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
                 p = marginals([codes.of(x) for x in texts], chain)
                 total, most = np.array([x.sum() for x in p]), np.array([x.max(initial=0) for x in p])
                 found = [spans(x, q) if m >= SPAN_AT else [] for x, q, m in zip(texts, p, most, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chain.score(total, most), pa.float64()), pa.array(total, pa.float64()), pa.array(found, spans_type)], ["doc_id", "score", "expected", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chain.score(p), pa.float64()), pa.array(total, pa.float64()), pa.array(found, spans_type)], ["doc_id", "score", "expected", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(score, "doc_id long, score double, expected double, spans array<struct<start:int,end:int>>")
