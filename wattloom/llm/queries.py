@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wattloom.llm.common import table
 from wattloom.llm.decontamination import contaminated

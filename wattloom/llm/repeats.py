@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
     spans = materialize(_spans(rows.select("doc_id", "mark", "text")), "spans")
-    place = F.struct("doc_id", "mark", "at")
+    place = F.xxhash64("doc_id", "mark", "at")
     kinds = spans.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("spans")).where("all > 1")
     # Of each kind of span one place stands for it where open ones need partners.

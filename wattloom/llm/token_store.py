@@ -14,7 +14,6 @@ its own segments.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
