@@ -151,6 +151,14 @@ def verdict(skew: float | None, kurtosis: float | None, two_peaks: bool) -> str:
     return ", ".join(found) or "moderately skewed"
 
 
+def profile(readings: DataFrame, interval_s: float) -> DataFrame:
+    """One row a channel with all of its statistics: coverage, moments, spread, percentiles, floor, energy."""
+    out = coverage(readings)
+    for part in (moments(readings).drop("n"), mad(readings), percentiles(readings), floor_mass(readings), energy_kwh(readings, interval_s)):
+        out = out.join(part, "channel", "left")
+    return out.withColumn("cv", F.try_divide(F.col("std"), F.nullif("mean", F.lit(0.0))))
+
+
 def effect(before: DataFrame, after: DataFrame) -> DataFrame:
     """(channel, stage, n, mean, ...): moments before and after, one above the other."""
     return moments(before).withColumn("stage", F.lit("before")).unionByName(moments(after).withColumn("stage", F.lit("after")))

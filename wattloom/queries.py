@@ -16,7 +16,7 @@ from wattloom.operators.lowpass import lowpass
 from wattloom.operators.panel import grid, median_interval, uniform_grid
 from wattloom.operators.repair import clean_series, impute_missing, spline_flags
 from wattloom.operators.rolling import flagged_long, hampel, robust_sd, rolling_mad, rolling_zscore
-from wattloom.operators.scaling import excursions, fit, inverse, transform
+from wattloom.operators.scaling import excursions, fit, inverse, round_trip_error, transform
 from wattloom.operators.screen import candidates, hits_by, ledger, replace_sentinels, scan, screen_range
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,62 @@ def load_series(spark: SparkSession, rows: int = 2016) -> DataFrame:
     return spark.range(rows).withColumnRenamed("id", "pos").select(F.lit("load").alias("channel"), "pos", ts.alias("ts"), value.alias("value"))
 
 
+MOMENTS = "count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis"
+
+
+@query(with_sql("channel, count(*) FILTER (value IS NULL) AS missing", "FROM p GROUP BY channel"))
+def missing_by_channel(spark, sf_dir):
+    return stats.missing_by_channel(panel(spark, sf_dir))
+
+
+@query(f"WITH {PANEL}, {FILLED} SELECT channel, 'before' AS stage, {MOMENTS} FROM p GROUP BY channel UNION ALL SELECT channel, 'after', {MOMENTS} FROM f GROUP BY channel")
+def interpolation_effect(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return rounded(stats.effect(p, interpolate(p, LIMIT)))
+
+
+@query(f"WITH {PANEL}, {HIST}, s AS (SELECT channel, {MOMENTS}, round(mad(value), 6) AS mad, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr, round(stddev_samp(value) / avg(value), 6) AS cv, round(sum(value), 6) AS energy_kwh FROM p GROUP BY channel) SELECT * FROM s")
+def channel_profile(spark, sf_dir):
+    full = stats.profile(panel(spark, sf_dir), HOUR)
+    return rounded(full.select("channel", "n", "mean", "median", "std", "min", "max", "skew", "kurtosis", "mad", "iqr", "cv", "energy_kwh"))
+
+
+@query(f"WITH {PANEL}, {ZSCORE}, r AS (SELECT channel, value - centre AS value FROM zf WHERE value IS NOT NULL AND centre IS NOT NULL) SELECT channel, {MOMENTS} FROM r GROUP BY channel")
+def residual_moments(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    smooth = rolling_zscore(p, WINDOW, SIGMA).select("channel", "pos", F.col("centre").alias("value"))
+    return rounded(stats.residual_moments(p, smooth))
+
+
+@query("SELECT CAST(0.0 AS DOUBLE) AS max_error")
+def round_trip(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return rounded(round_trip_error(p, fit(p, SHARE)))
+
+
+@query(with_sql("channel, tp, fp, n_flagged, round(coalesce(tp / nullif(n_flagged, 0), 0), 6) AS precision, round(coalesce(found, 0), 6) AS recall_event", "FROM (SELECT channel, count(*) FILTER (flagged AND pos % 37 = 0) AS tp, count(*) FILTER (flagged AND pos % 37 <> 0) AS fp, count(*) FILTER (flagged) AS n_flagged, avg(CASE WHEN pos % 37 = 0 THEN CAST(flagged AS INTEGER) END) AS found FROM zf WHERE value IS NOT NULL GROUP BY channel)", ZSCORE))
+def event_score(spark, sf_dir):
+    return rounded(flt.event_scores(_scored(spark, sf_dir), ["channel"]).drop("f1", "f_half"))
+
+
+@query(with_sql("CAST(1 + pos % 3 AS DOUBLE) AS magnitude, round(avg(CAST(flagged AS INTEGER)), 6) AS recall, count(*) AS n", "FROM zf WHERE value IS NOT NULL AND pos % 37 = 0 GROUP BY 1", ZSCORE))
+def recall_by_magnitude(spark, sf_dir):
+    return rounded(flt.recall_by_magnitude(_scored(spark, sf_dir).withColumn("magnitude", (1 + F.col("pos") % 3).cast("double"))))
+
+
+@query()
+def fault_injection(spark, sf_dir):
+    series = load_series(spark)
+    faults = flt.fault_frame(spark, flt.draw_faults(2016, 42, 0, 40))
+    return flt.apply_faults(flt.local_scale(series), faults)
+
+
+@query()
+def calibration_surface(spark, sf_dir):
+    grid_ = flt.calibrate(load_series(spark), windows=(12, 24), sigmas=(2.5, 3.0), repeats=2, n_faults=20)
+    return flt.surface(grid_, "f1", (2.5, 3.0))
+
+
 @query()
 def bspline_clean(spark, sf_dir):
     return clean_series(panel(spark, sf_dir), window=WINDOW, sigma=SIGMA)
