@@ -37,3 +37,13 @@ def text_or_empty(col: str = "text") -> F.Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_held: list = [None, None]
+
+
+def hold(name: str, drop) -> None:
+    """Let `name` keep a large cache in this worker process; the one that another operator kept goes, by its own `drop`."""
+    if _held[0] != name and _held[1] is not None:
+        _held[1]()
+    _held[:] = [name, drop]

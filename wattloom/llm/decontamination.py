@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, text_or_empty
+from wattloom.llm.common import hold, materialize, text_or_empty
 
 WINDOW = 8
 #: Words that a window needs besides its placeholders; shorter items need half of theirs.
@@ -62,7 +62,7 @@ class _Vocabulary(dict):
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """All tokens; of those with letters or digits: places, hashes and kinds. A capitalised word inside a sentence is a name."""
-        if len(self) > 400_000:
+        if len(self) > 300_000:
             self.clear()
         chunks = text.split()
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
@@ -108,6 +108,7 @@ def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | No
         filter_bits[(wanted & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontamination", None)
         vocabulary = _Vocabulary()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, text_or_empty
+from wattloom.llm.common import hold, materialize, text_or_empty
 from wattloom.llm.components import connected_components
 
 #: 40 bands of 5 minima: a pair at the threshold 0.8 shares none with odds of about 1e-7.
@@ -38,7 +38,7 @@ SALT_ROWS = 256
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_CACHE = 400_000
+_CACHE = 300_000
 
 
 class _WordHash(dict):
@@ -95,6 +95,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, digest, sig): the set's size, its 128-bit digest and its minima; null digest if empty."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("word hashes", _WORDS.clear)
         for batch in batches:
             sizes, digests, sigs = [], [], []
             for text in batch.column(1).to_pylist():

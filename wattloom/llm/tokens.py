@@ -15,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
+from wattloom.llm.common import hold
+
 #: Punctuation that both pre-tokenizers separate from a letter or digit before it.
 _TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -23,7 +25,7 @@ _ENDS_WORD = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]$").search
 #: A space between two other white-space characters belongs to neither neighbour.
 _SPACE_RUN = re.compile(r"\s \s").search
 #: Chunks of one cache generation; two are held, about 200 bytes a chunk.
-_GENERATION = 800_000
+_GENERATION = 500_000
 
 
 class _Cache(dict):
@@ -123,7 +125,12 @@ class Encoder:
         return self._whole(chunk)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process and file, as long as no other operator needs the room."""
+    hold(f"tokens {path}", _encoder.cache_clear)
+    return _encoder(path)

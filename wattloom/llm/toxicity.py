@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, text_or_empty
+from wattloom.llm.common import hold, materialize, text_or_empty
 
 #: Most labelled documents of either class that training reads, the first by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2800
@@ -71,7 +71,7 @@ class _Codes(dict):
         self.lexicon = lexicon
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 300_000:
             self.clear()
         known = next((self.lexicon[f] for f in features_of(word_of(chunk)) if f in self.lexicon), 0)
         self[chunk] = code = known * _SHAPES + _shape(chunk)
@@ -306,6 +306,7 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
         return out
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", None)
         codes = _Codes(chain.lexicon)
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
