@@ -33,6 +33,8 @@ LENGTH, GRAM = 200, 32
 SIDE = (LENGTH - GRAM) // 2
 _REACH = LENGTH - GRAM  # anchors start so many bytes after the window at most
 _COLUMNS = _REACH + LENGTH
+#: Runs or spans of texts that may be sent to every task (24 bytes each).
+SMALL_ENTRIES = 1_000_000
 #: Strings sorted at once; groups are not cut, so a larger group makes a larger batch.
 BATCH = 20_000
 
@@ -139,24 +141,65 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """One row for each anchor of each text."""
+def _spans(rows: DataFrame) -> DataFrame:
+    """One row for each anchor of each text. `place` packs first window, anchor and last window."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "mark", "first", "last", "at", "anchor", "span"]
         for batch in batches:
             parts = [spans_of(x.encode()) for x in batch.column(2).to_pylist()]
-            sizes = [len(p[0]) for p in parts]
-            keys = [pa.array(batch.column(k)).take(pa.array(np.repeat(np.arange(len(parts)), sizes))) for k in (0, 1)]
-            columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5)]
-            arrays = [*keys, *(pa.array(c.astype(np.int32)) for c in columns[:3]), *(pa.array(c) for c in columns[3:])]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+            first, last, at, anchor, span = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
+            place = first | (at - first) << _POSITION_BITS | (last - first) << (_POSITION_BITS + 8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(anchor), pa.array(span.astype(np.int32))], ["key", "mark", "place", "anchor", "span"])
 
-    return docs.mapInArrow(find, "doc_id long, mark long, first int, last int, at int, anchor long, span long")
+    return rows.select("key", "mark", "text").mapInArrow(find, "key long, mark int, place long, anchor long, span int")
+
+
+def _unpack(place: int) -> tuple[int, int, int]:
+    """First window, anchor, last window."""
+    first = place & ((1 << _POSITION_BITS) - 1)
+    return first, first + (place >> _POSITION_BITS & 255), first + (place >> (_POSITION_BITS + 8))
+
+
+def _merged(pieces: list[tuple[int, int]]) -> list[dict]:
+    """Maximal runs that the (start, end) pieces cover."""
+    out: list[dict] = []
+    for a, b in sorted(pieces):
+        if out and a <= out[-1]["end"]:
+            out[-1]["end"] = max(b, out[-1]["end"])
+        else:
+            out.append({"start": a, "end": b})
+    return out
+
+
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_SENT = pa.list_(pa.struct([("place", pa.int64()), ("whole", pa.bool_()), ("anchor", pa.int64())]))
+
+
+def _by_text(entries: DataFrame) -> DataFrame:
+    """(key, mark, gone, sent): a text's runs of whole repeated spans, and its spans that others are compared with."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone, sent = [], []
+            for own in batch.column(2).to_pylist():
+                places = [(_unpack(s["place"]), s) for s in own]
+                gone.append(_merged([(f, last + LENGTH) for (f, _, last), s in places if s["whole"]]))
+                sent.append([{k: s[k] for k in ("place", "whole", "anchor")} for _, s in places if s["anchor"] is not None])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, _RUNS), pa.array(sent, _SENT)], ["key", "mark", "gone", "sent"])
+
+    lists = entries.groupBy("key", "mark").agg(F.collect_set(F.struct("place", "whole", "anchor")).alias("spans"))
+    return lists.mapInArrow(merge, "key long, mark int, gone array<struct<start:int,end:int>>, sent array<struct<place:long,whole:boolean,anchor:long>>")
+
+
+def _small(df: DataFrame, size) -> DataFrame:
+    """Marked for broadcast, if its lists hold few entries in all; else joined by a shuffle."""
+    n = df.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
+    return F.broadcast(df) if n[0] + n[1] <= SMALL_ENTRIES else df
 
 
 def _open_windows(strings: DataFrame) -> DataFrame:
-    """(doc_id, mark, runs): repeated window starts of the open strings (key, side, single, doc_id, mark, first, offset, data)."""
+    """(key, mark, runs): repeated runs of the open strings (side, single, key, mark, first, offset, data), sorted by side."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -165,13 +208,12 @@ def _open_windows(strings: DataFrame) -> DataFrame:
             ids = {k: i for i, k in enumerate(dict.fromkeys(r[0] for r in rows))}
             hits = repeated_starts(np.array([ids[r[0]] for r in rows]), [r[6] for r in rows], np.array([r[5] for r in rows]))
             out: tuple[list, list, list] = ([], [], [])
-            for (_, single, doc_id, mark, first, *_), hit in zip(rows, hits, strict=True):
+            for (_, single, key, mark, first, *_), hit in zip(rows, hits, strict=True):
                 if single and hit.any():
-                    a, b = _runs(hit)
-                    for column, value in zip(out, (doc_id, mark, [{"first": int(x), "last": int(y)} for x, y in zip(first + a, first + b, strict=True)]), strict=True):
+                    runs = [{"start": int(first + x), "end": int(first + y + LENGTH)} for x, y in zip(*_runs(hit), strict=True)]
+                    for column, value in zip(out, (key, mark, runs), strict=True):
                         column.append(value)
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], ["doc_id", "mark", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], _RUNS)], ["key", "mark", "runs"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
@@ -182,7 +224,7 @@ def _open_windows(strings: DataFrame) -> DataFrame:
         if held:
             yield judge(held)
 
-    return strings.mapInArrow(sort, "doc_id long, mark long, runs array<struct<first:int,last:int>>")
+    return strings.mapInArrow(sort, "key long, mark int, runs array<struct<start:int,end:int>>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -193,63 +235,59 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A null text counts as empty. Rows that repeat a doc_id are documents of their own, also if
     their texts are the same. Texts go up to 2^28 bytes. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("mark", F.xxhash64("text"))
-    spans = materialize(_spans(rows.select("doc_id", "mark", "text")), "spans")
-    place = F.xxhash64("doc_id", "mark", "at")
-    kinds = spans.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("place"))
-    anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("all"), F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("spans")).where("all > 1")
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text"))
+    # `mark` tells texts with one doc_id apart; a null doc_id joins under a number of its own.
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.hash("text"))
+    spans = materialize(_spans(rows), "spans")
+    repeated = spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    near = materialize(spans.join(repeated, "anchor"), "near-spans")
+    place = F.xxhash64("key", "mark", "place")
+    kinds = near.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("stand_in"))
+    anchors = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("kinds"))
     # Of each kind of span one place stands for it where open ones need partners.
-    known = kinds.join(anchors, "anchor").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.when((F.col("spans") > 1) & (F.col("single") > 0), F.col("place")).alias("place"))
-    met = spans.join(known, ["anchor", "span"])
-    sent = F.coalesce(F.col("place") == place, F.lit(False))
-    entry = F.struct("first", "last", "at", "whole", sent.alias("sent"), "anchor")
-    lists = met.where(F.col("whole") | sent).groupBy("doc_id", "mark").agg(F.collect_set(entry).alias("spans"))
-    found = materialize(rows.join(lists, ["doc_id", "mark"], "left"), "suspects")
+    known = kinds.join(anchors, "anchor").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"))
+    sent = F.coalesce(F.col("stand_in") == place, F.lit(False))
+    entries = near.join(known, ["anchor", "span"]).where(F.col("whole") | sent).select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"))
+    lists = materialize(_by_text(entries), "lists")
+    asked = _small(lists.where("size(sent) > 0").select("key", "mark", "sent"), F.size("sent"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc_id, mark, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for key, mark, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
                 for s in own:
-                    first, at, last = s["first"], s["at"], s["last"]
+                    first, at, last = _unpack(s["place"])
                     # Equal windows agree in so many bytes before the anchor or after it.
-                    for side, near in (("l", data[max(first, at - SIDE) : at]), ("r", data[at + GRAM : min(last + LENGTH, at + GRAM + SIDE)])):
-                        if s["sent"] and len(near) == SIDE:
-                            key = sha256(side.encode() + s["anchor"].to_bytes(8, "little", signed=True) + near).digest()[:16]
-                            for column, value in zip(out, (key, not s["whole"], doc_id, mark, first, at - first, data[first : last + LENGTH]), strict=True):
+                    for side, near_ in (("l", data[max(first, at - SIDE) : at]), ("r", data[at + GRAM : min(last + LENGTH, at + GRAM + SIDE)])):
+                        if len(near_) == SIDE:
+                            group = sha256(side.encode() + s["anchor"].to_bytes(8, "little", signed=True) + near_).digest()[:16]
+                            for column, value in zip(out, (group, not s["whole"], key, mark, first, at - first, data[first : last + LENGTH]), strict=True):
                                 column.append(value)
-            kinds_ = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds_, strict=True)], ["key", "single", "doc_id", "mark", "first", "offset", "data"])
+            types = (pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["side", "single", "key", "mark", "first", "offset", "data"])
 
-    has_sent = F.exists("spans", lambda s: s["sent"])
-    strings = found.where(has_sent).select("doc_id", "mark", "text", F.filter("spans", lambda s: s["sent"]).alias("spans")).mapInArrow(cut, "key binary, single boolean, doc_id long, mark long, first int, offset int, data binary")
+    strings = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent").mapInArrow(cut, "side binary, single boolean, key long, mark int, first int, offset int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    open_ = _open_windows(strings.repartition(parts, "key").sortWithinPartitions("key")).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = _open_windows(strings.repartition(parts, "side").sortWithinPartitions("side"))
+    runs = materialize(runs.groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "open-runs")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for text, own, runs in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, *found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 data = text.encode()
-                pieces = [(s["first"], s["last"] + LENGTH) for s in own or () if s["whole"]] + [(r["first"], r["last"] + LENGTH) for r in runs or ()]
-                merged: list[list[int]] = []
-                for a, b in sorted(pieces):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
+                gone = _merged([(r["start"], r["end"]) for runs_ in found for r in runs_ or ()])
                 kept, at = sha256(), 0
-                for a, b in merged:
-                    kept.update(data[at:a])
-                    at = b
+                for r in gone:
+                    kept.update(data[at : r["start"]])
+                    at = r["end"]
                 kept.update(data[at:])
-                values = (len(data), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), [{"start": a, "end": b} for a, b in merged])
-                for column, value in zip(out, values, strict=True):
+                for column, value in zip(out, (len(data), sum(r["end"] - r["start"] for r in gone), len(gone), kept.hexdigest(), gone), strict=True):
                     column.append(value)
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), kind), strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), _RUNS), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    whole = found.join(materialize(open_, "open-runs"), ["doc_id", "mark"], "left").select("doc_id", "text", "spans", "runs")
-    return whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
+    whole = rows.join(_small(lists.where("size(gone) > 0").select("key", "mark", "gone"), F.size("gone")), ["key", "mark"], "left").join(_small(runs, F.size("runs")), ["key", "mark"], "left")
+    return whole.select("doc_id", "text", "gone", "runs").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
