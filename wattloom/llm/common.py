@@ -47,3 +47,10 @@ def hold(name: str, drop) -> None:
     if _held[0] != name and _held[1] is not None:
         _held[1]()
     _held[:] = [name, drop]
+
+
+def slices(batches, rows: int = 1024):
+    """Arrow batches in parts of `rows`, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import hold, materialize, text_or_empty
+from wattloom.llm.common import hold, materialize, slices, text_or_empty
 
 WINDOW = 8
 #: Words that a window needs besides its placeholders; shorter items need half of theirs.
@@ -110,7 +110,7 @@ def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | No
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("decontamination", None)
         vocabulary = _Vocabulary()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens, places, values, kinds = vocabulary.tokens(text)

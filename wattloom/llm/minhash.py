@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import hold, materialize, text_or_empty
+from wattloom.llm.common import hold, materialize, slices, text_or_empty
 from wattloom.llm.components import connected_components
 
 #: 40 bands of 5 minima: a pair at the threshold 0.8 shares none with odds of about 1e-7.
@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("word hashes", _WORDS.clear)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, size)
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, pivot = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             good = []
             for v, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 if v != last:
@@ -225,7 +225,7 @@ def block_pairs(members: DataFrame, sigs: DataFrame, texts: DataFrame, size: int
     ids = materialize(members.select("doc_id").distinct(), "open")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             low = [np.unique(shingle_set(x, size).astype(np.uint32)).astype("<u4").tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["doc_id", "low"])
 

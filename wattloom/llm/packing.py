@@ -23,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import text_or_empty
+from wattloom.llm.common import slices, text_or_empty
 from wattloom.llm.tokens import encoder
 
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens of one step group, of any tier.
 STEP_TOKENS = 16 * 4096
 #: A partition packs as soon as it holds so many tokens, or so many pieces.
-POOL_TOKENS = 4_000_000
+POOL_TOKENS = 2_000_000
 POOL_PIECES = 20_000
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int64()), ("step", pa.int64()), ("ids", pa.binary())])
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
             step += max(steps, default=-1) + 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(encode.ids(text) + end, dtype="<u4")
                 whole = len(ids) // largest * largest

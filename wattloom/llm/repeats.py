@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, text_or_empty
+from wattloom.llm.common import materialize, slices, text_or_empty
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a shared window that lie on one side of its anchor at least.
@@ -145,7 +145,7 @@ def _spans(rows: DataFrame) -> DataFrame:
     """One row for each anchor of each text. `place` packs first window, anchor and last window."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [spans_of(x.encode()) for x in batch.column(2).to_pylist()]
             owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
             first, last, at, anchor, span = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     asked = _small(lists.where("size(sent) > 0").select("key", "mark", "sent"), F.size("sent"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, mark, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = text.encode()
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = materialize(runs.groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "open-runs")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for text, *found in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 data = text.encode()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import materialize, shared_path, text_or_empty
+from wattloom.llm.common import materialize, shared_path, slices, text_or_empty
 from wattloom.llm.tokens import encoder
 
 MAGIC = b"DAC1"
@@ -113,7 +113,7 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
             row = {"part": part, "seg": seg, "before": before, "n_tokens": count, "doc_ids": [i for i, _ in ids], "doc_tokens": [n for _, n in ids], "payload": payload}
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append(encode.ids(text) + end)
                 n = len(held[-1]) // 4
