@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wattloom.llm import minhash
+from wattloom.llm import minhash, repeats
 from wattloom.llm.components import connected_components
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.repeats import LENGTH, remove_repeats
@@ -100,7 +100,9 @@ def removed(rows):
     return sorted(out)
 
 
-def test_repeats(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_repeats(spark, monkeypatch, small):
+    monkeypatch.setattr(repeats, "SMALL_ENTRIES", small)
     rnd = random.Random(11)
     text = lambda n: "".join(rnd.choice("abcdefgh é\n") for _ in range(n))
     passage, other = text(500), text(260)

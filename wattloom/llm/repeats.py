@@ -34,7 +34,7 @@ SIDE = (LENGTH - GRAM) // 2
 _REACH = LENGTH - GRAM  # anchors start so many bytes after the window at most
 _COLUMNS = _REACH + LENGTH
 #: Runs or spans of texts that may be sent to every task (24 bytes each).
-SMALL_ENTRIES = 1_000_000
+SMALL_ENTRIES = 20_000
 #: Strings sorted at once; groups are not cut, so a larger group makes a larger batch.
 BATCH = 20_000
 
