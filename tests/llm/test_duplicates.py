@@ -116,3 +116,15 @@ def test_repeats(spark, monkeypatch, small):
     got = remove_repeats(docs)
     assert sorted(tuple(r)[:5] for r in got.collect()) == removed(rows)
     assert remove_repeats(docs.where("false")).count() == 0
+
+
+def test_spans_are_told_apart_by_64_bits(spark):
+    rows = []
+    for seed in (34668, 85562):  # around this anchor the two spans' hashes agree in their low 32 bits
+        rnd = random.Random(seed)
+        left, right = ("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=84)) for _ in range(2))
+        rows.append((seed, left + "ouwxddjzlbbgdtubpqoldxqxjyyenden" + right))
+    (a,), (b,) = (repeats.spans_of(t.encode())[4] for _, t in rows)
+    assert a != b and a.astype(np.int32) == b.astype(np.int32)
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r)[:5] for r in got.collect()) == removed(rows)

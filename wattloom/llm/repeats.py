@@ -150,9 +150,9 @@ def _spans(rows: DataFrame) -> DataFrame:
             owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
             first, last, at, anchor, span = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
             place = first | (at - first) << _POSITION_BITS | (last - first) << (_POSITION_BITS + 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(anchor), pa.array(span.astype(np.int32))], ["key", "mark", "place", "anchor", "span"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(anchor), pa.array(span)], ["key", "mark", "place", "anchor", "span"])
 
-    return rows.select("key", "mark", "text").mapInArrow(find, "key long, mark int, place long, anchor long, span int")
+    return rows.select("key", "mark", "text").mapInArrow(find, "key long, mark long, place long, anchor long, span long")
 
 
 def _unpack(place: int) -> tuple[int, int, int]:
@@ -189,7 +189,7 @@ def _by_text(entries: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, _RUNS), pa.array(sent, _SENT)], ["key", "mark", "gone", "sent"])
 
     lists = entries.groupBy("key", "mark").agg(F.collect_set(F.struct("place", "whole", "anchor")).alias("spans"))
-    return lists.mapInArrow(merge, "key long, mark int, gone array<struct<start:int,end:int>>, sent array<struct<place:long,whole:boolean,anchor:long>>")
+    return lists.mapInArrow(merge, "key long, mark long, gone array<struct<start:int,end:int>>, sent array<struct<place:long,whole:boolean,anchor:long>>")
 
 
 def _small(df: DataFrame, size) -> DataFrame:
@@ -213,7 +213,7 @@ def _open_windows(strings: DataFrame) -> DataFrame:
                     runs = [{"start": int(first + x), "end": int(first + y + LENGTH)} for x, y in zip(*_runs(hit), strict=True)]
                     for column, value in zip(out, (key, mark, runs), strict=True):
                         column.append(value)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], _RUNS)], ["key", "mark", "runs"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], _RUNS)], ["key", "mark", "runs"])
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
@@ -224,7 +224,7 @@ def _open_windows(strings: DataFrame) -> DataFrame:
         if held:
             yield judge(held)
 
-    return strings.mapInArrow(sort, "key long, mark int, runs array<struct<start:int,end:int>>")
+    return strings.mapInArrow(sort, "key long, mark long, runs array<struct<start:int,end:int>>")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text"))
     # `mark` tells texts with one doc_id apart; a null doc_id joins under a number of its own.
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.hash("text"))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text"))
     spans = materialize(_spans(rows), "spans")
     repeated = spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     near = materialize(spans.join(repeated, "anchor"), "near-spans")
@@ -265,10 +265,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                             group = sha256(side.encode() + s["anchor"].to_bytes(8, "little", signed=True) + near_).digest()[:16]
                             for column, value in zip(out, (group, not s["whole"], key, mark, first, at - first, data[first : last + LENGTH]), strict=True):
                                 column.append(value)
-            types = (pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            types = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["side", "single", "key", "mark", "first", "offset", "data"])
 
-    strings = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent").mapInArrow(cut, "side binary, single boolean, key long, mark int, first int, offset int, data binary")
+    strings = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent").mapInArrow(cut, "side binary, single boolean, key long, mark long, first int, offset int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = _open_windows(strings.repartition(parts, "side").sortWithinPartitions("side"))
     runs = materialize(runs.groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "open-runs")
