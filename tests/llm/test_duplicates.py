@@ -128,3 +128,22 @@ def test_spans_are_told_apart_by_64_bits(spark):
     assert a != b and a.astype(np.int32) == b.astype(np.int32)
     got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(tuple(r)[:5] for r in got.collect()) == removed(rows)
+
+
+def test_large_groups_are_not_sorted_in_one_task(spark, monkeypatch):
+    whole = repeats.repeated_starts
+
+    def bounded(group, strings, offset):
+        assert len(strings) <= 16
+        return whole(group, strings, offset)
+
+    monkeypatch.setattr(repeats, "BATCH", 8)
+    monkeypatch.setattr(repeats, "repeated_starts", bounded)
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    passage = text(320)
+    rows = [(k, text(150) + passage[rnd.choice((0, 0, 7)) : rnd.choice((320, 320, 305))] + text(150)) for k in range(40)]
+    rows += [(50, text(300)), (51, passage), (51, passage), (51, passage), (None, passage[10:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(-1 if r[0] is None else r[0], *r[1:5]) for r in remove_repeats(docs).collect()]
+    assert sorted(got) == removed([(-1 if d is None else d, t) for d, t in rows])

@@ -13,13 +13,16 @@ an equal anchor. The windows of one anchor in a text form a span of 200 to 368 b
    prefixes from the arrays of the round before. A window is repeated where the suffix
    that starts it has a common prefix of 200 bytes with a neighbour.
 
+Groups of open spans beyond a batch are not sorted in one task: the 200-byte windows in them
+are counted by a 128-bit hash, with partial sums before the shuffle.
+
 The collection lies in Spark's sorted shuffle files and is read through once, in batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ _REACH = LENGTH - GRAM  # anchors start so many bytes after the window at most
 _COLUMNS = _REACH + LENGTH
 #: Runs or spans of texts that may be sent to every task (24 bytes each).
 SMALL_ENTRIES = 20_000
-#: Strings sorted at once; groups are not cut, so a larger group makes a larger batch.
+#: Strings sorted at once, twice so many at most; the windows of a larger group are counted instead.
 BATCH = 20_000
 
 _POSITION_BITS = 28
@@ -173,7 +176,7 @@ def _merged(pieces: list[tuple[int, int]]) -> list[dict]:
 
 
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_SENT = pa.list_(pa.struct([("place", pa.int64()), ("whole", pa.bool_()), ("anchor", pa.int64())]))
+_SENT = pa.list_(pa.struct([("place", pa.int64()), ("whole", pa.bool_()), ("anchor", pa.int64()), ("wide", pa.bool_())]))
 
 
 def _by_text(entries: DataFrame) -> DataFrame:
@@ -185,11 +188,11 @@ def _by_text(entries: DataFrame) -> DataFrame:
             for own in batch.column(2).to_pylist():
                 places = [(_unpack(s["place"]), s) for s in own]
                 gone.append(_merged([(f, last + LENGTH) for (f, _, last), s in places if s["whole"]]))
-                sent.append([{k: s[k] for k in ("place", "whole", "anchor")} for _, s in places if s["anchor"] is not None])
+                sent.append([{k: s[k] for k in ("place", "whole", "anchor", "wide")} for _, s in places if s["anchor"] is not None])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, _RUNS), pa.array(sent, _SENT)], ["key", "mark", "gone", "sent"])
 
-    lists = entries.groupBy("key", "mark").agg(F.collect_set(F.struct("place", "whole", "anchor")).alias("spans"))
-    return lists.mapInArrow(merge, "key long, mark long, gone array<struct<start:int,end:int>>, sent array<struct<place:long,whole:boolean,anchor:long>>")
+    lists = entries.groupBy("key", "mark").agg(F.collect_set(F.struct("place", "whole", "anchor", "wide")).alias("spans"))
+    return lists.mapInArrow(merge, "key long, mark long, gone array<struct<start:int,end:int>>, sent array<struct<place:long,whole:boolean,anchor:long,wide:boolean>>")
 
 
 def _small(df: DataFrame, size) -> DataFrame:
@@ -227,6 +230,68 @@ def _open_windows(strings: DataFrame) -> DataFrame:
     return strings.mapInArrow(sort, "key long, mark long, runs array<struct<start:int,end:int>>")
 
 
+def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(side, single, key, mark, first, offset, data, side's letter) of the spans that (key, mark, text, sent) names, a list for each text."""
+    for batch in slices(batches):
+        for key, mark, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            data, out = text.encode(), []
+            for s in own:
+                first, at, last = _unpack(s["place"])
+                # Equal windows agree in so many bytes before the anchor or after it.
+                for side, near in (("l", data[max(first, at - SIDE) : at]), ("r", data[at + GRAM : min(last + LENGTH, at + GRAM + SIDE)])):
+                    if len(near) == SIDE:
+                        group = sha256(side.encode() + s["anchor"].to_bytes(8, "little", signed=True) + near).digest()[:16]
+                        out.append((group, not s["whole"], key, mark, first, at - first, data[first : last + LENGTH], side))
+            yield out
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in _open_strings(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in own], pa.binary())], ["side"])
+
+
+def _cut(large: frozenset[bytes]):
+    """The open strings of groups that are not in `large`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["side", "single", "key", "mark", "first", "offset", "data"]
+        types = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+
+        held: list[tuple] = []
+        for own in _open_strings(batches):
+            held += [s for s in own if s[0] not in large]
+            if len(held) >= 4096:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return cut
+
+
+def _counted_windows(texts: DataFrame, large: frozenset[bytes]) -> DataFrame:
+    """(key, mark, runs): repeated windows of the groups in `large`, by counts of equal windows."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _open_strings(batches):
+            for _, single, key, mark, first, offset, data, side in (s for s in own if s[0] in large):
+                # Left of the anchor a window has SIDE bytes or more, or else more to its right: one side counts it.
+                last = len(data) - LENGTH
+                starts = range(0, min(last, offset - SIDE) + 1) if side == "l" else range(max(0, offset - SIDE + 1), last + 1)
+                n = len(starts)
+                found = [blake2b(data[x : x + LENGTH], digest_size=16).digest() for x in starts]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([single] * n, pa.bool_()), pa.array([key] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array([first + x for x in starts], pa.int32())], ["window", "single", "key", "mark", "start"])
+
+    found = texts.mapInArrow(windows, "window binary, single boolean, key long, mark long, start int")
+    counts = found.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("asked"))
+    repeated = materialize(counts.where("n > 1 and asked").select("window"), "repeated-windows")
+    hits = found.where("single").join(_small(repeated, F.lit(0)), "window")
+    return hits.select("key", "mark", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("runs"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for every row of `docs` (doc_id, text).
 
@@ -244,33 +309,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     near = materialize(spans.join(repeated, "anchor"), "near-spans")
     place = F.xxhash64("key", "mark", "place")
     kinds = near.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("stand_in"))
-    anchors = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("kinds"))
+    anchors = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("kinds"), (F.sum("n") > BATCH).alias("wide"))
     # Of each kind of span one place stands for it where open ones need partners.
-    known = kinds.join(anchors, "anchor").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"))
+    known = kinds.join(anchors, "anchor").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"), "wide")
     sent = F.coalesce(F.col("stand_in") == place, F.lit(False))
-    entries = near.join(known, ["anchor", "span"]).where(F.col("whole") | sent).select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"))
+    entries = near.join(known, ["anchor", "span"]).where(F.col("whole") | sent).select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"), (sent & F.col("wide")).alias("wide"))
     lists = materialize(_by_text(entries), "lists")
     asked = _small(lists.where("size(sent) > 0").select("key", "mark", "sent"), F.size("sent"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for key, mark, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                data = text.encode()
-                for s in own:
-                    first, at, last = _unpack(s["place"])
-                    # Equal windows agree in so many bytes before the anchor or after it.
-                    for side, near_ in (("l", data[max(first, at - SIDE) : at]), ("r", data[at + GRAM : min(last + LENGTH, at + GRAM + SIDE)])):
-                        if len(near_) == SIDE:
-                            group = sha256(side.encode() + s["anchor"].to_bytes(8, "little", signed=True) + near_).digest()[:16]
-                            for column, value in zip(out, (group, not s["whole"], key, mark, first, at - first, data[first : last + LENGTH]), strict=True):
-                                column.append(value)
-            types = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["side", "single", "key", "mark", "first", "offset", "data"])
-
-    strings = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent").mapInArrow(cut, "side binary, single boolean, key long, mark long, first int, offset int, data binary")
+    texts = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent")
+    # Only around an anchor with places enough can a group be too large.
+    some = lists.where("exists(sent, s -> s.wide)").select("key", "mark", F.filter("sent", lambda s: s["wide"]).alias("sent"))
+    large, wide = frozenset(), None
+    if not some.isEmpty():
+        wide = rows.join(_small(some, F.size("sent")), ["key", "mark"]).select("key", "mark", "text", "sent")
+        sides = wide.mapInArrow(_sides, "side binary").groupBy("side").agg(F.count("*").alias("n")).where(F.col("n") > BATCH)
+        large = frozenset(bytes(r.side) for r in sides.select("side").collect())
+    strings = texts.mapInArrow(_cut(large), "side binary, single boolean, key long, mark long, first int, offset int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = _open_windows(strings.repartition(parts, "side").sortWithinPartitions("side"))
+    if large:
+        runs = runs.unionByName(_counted_windows(wide, large))
     runs = materialize(runs.groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "open-runs")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
