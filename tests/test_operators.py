@@ -5,13 +5,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.operators import chunks, gaps, repair, rolling, scaling, stats
+from wattloom.operators import chunks, faults, gaps, repair, rolling, scaling, stats
 from wattloom.operators.classify import classify_channel, infer_kind, role_from_name
 from wattloom.operators.faults import calibrate
 from wattloom.operators.lowpass import lowpass
 from wattloom.operators.panel import uniform_grid
 from wattloom.operators.screen import clip, replace_sentinels
-from wattloom.queries import load_series
+from wattloom.queries import QUERIES, load_series, load_total
 
 
 def frame(spark, values, channel="a"):
@@ -189,3 +189,16 @@ def test_bimodal():
 def test_windows_do_not_run_in_one_task(spark):
     plan = rolling.rolling_zscore(load_series(spark), 12, 3)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_fault_places_of_a_long_series_are_not_listed():
+    got = faults.draw_faults(10**12, 1, 0, n_faults=50)
+    places = sorted(f[3] for f in got)
+    assert len(got) == 50 and places[-1] > 10**11 and min(b - a for a, b in zip(places, places[1:])) >= 12
+
+
+def test_calibration_queries_judge_the_tables(spark, sf):
+    rows = QUERIES["fault_injection"](spark, sf).collect()
+    truth = {r.pos: r.ts for r in load_total(spark, sf).collect()}
+    assert len(truth) >= 500 and sorted(truth) == list(range(len(truth))) and {r.pos: r.ts for r in rows} == truth
+    assert {(r.window, r.sigma) for r in QUERIES["detector_stability"](spark, sf).collect()} == {(w, s) for w in faults.TUNER_WINDOWS for s in faults.TUNER_SIGMAS}

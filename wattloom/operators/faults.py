@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.operators.chunks import chunk_window, own_rows, with_halo
+from wattloom.operators.chunks import chunk_window, own_rows, with_chunk, with_halo
 from wattloom.operators.rolling import MAD_TO_SIGMA, hampel, max_achievable_zscore, reach, rolling_mad
 
 #: Grids, fault sizes and counts of the two calibrations.
@@ -18,15 +18,29 @@ MAGNITUDES, N_FAULTS, REPEATS, KINDS = (3.0, 5.0, 8.0, 12.0), 120, 5, ("spike",
 TUNER_WINDOWS, TUNER_SIGMAS = (6, 12, 24, 48, 96, 144, 288), (2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0)
 TUNER_KINDS = ("spike", "dropout", "level_shift", "flatline")
 SCALE_WINDOW = 48
+#: Series up to so many rows have their places permuted; on longer ones places are drawn one by one.
+PERMUTED = 1_000_000
 FAULT_SCHEMA = "rep int, fault int, kind string, position long, length long, magnitude double, sign double, factors array<double>"
 
 
+def _places(rng: np.random.Generator, first: int, end: int) -> Iterator[int]:
+    """first .. end - 1 in random order, by memory for those that are asked for only if there are many."""
+    if end - first <= PERMUTED:
+        yield from rng.permutation(np.arange(first, end)).tolist()
+        return
+    seen: set[int] = set()
+    while len(seen) < end - first:
+        at = int(rng.integers(first, end))
+        if at not in seen:
+            seen.add(at)
+            yield at
+
+
 def draw_faults(n: int, seed: int, rep: int, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, kinds: Sequence[str] = KINDS, gap: int = 12, margin: int = 100, longest: int = 3) -> list[tuple]:
     """Positions, kinds and sizes of spikes, dips and dropouts for a series of n rows; the last 40 accepted keep their distance."""
     rng = np.random.default_rng(seed + rep)
-    places = rng.permutation(np.arange(margin, max(margin, n - margin - longest)))
     out: list[tuple] = []
-    for at in places.tolist():
+    for at in _places(rng, margin, max(margin, n - margin - longest)):
         if len(out) == n_faults:
             break
         if any(abs(at - f[3]) < gap for f in out[-40:]):
@@ -126,6 +140,14 @@ def _as_channels(damaged: DataFrame) -> DataFrame:
     return damaged.withColumn("channel", F.concat_ws("#", "channel", "rep"))
 
 
+def renumbered(series: DataFrame) -> DataFrame:
+    """The rows with a value, `pos` counted anew: a rank within chunks plus one sum over chunks."""
+    rows = with_chunk(series.where("value is not null"))
+    before = F.sum("n").over(Window.partitionBy("channel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy("channel", "chunk").agg(F.count("*").alias("n")).select("channel", "chunk", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(sizes), ["channel", "chunk"]).withColumn("pos", F.col("_before") + F.row_number().over(chunk_window()) - 1).drop("chunk", "_before")
+
+
 def calibrate(series: DataFrame, seed: int = 42, windows: Sequence[int] = WINDOWS, sigmas: Sequence[float] = SIGMAS, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES) -> DataFrame:
     """(window, sigma, precision, recall, f1, f1_std, baseline_flags, reachable) of the rolling z-score on one channel.
 
@@ -134,7 +156,7 @@ def calibrate(series: DataFrame, seed: int = 42, windows: Sequence[int] = WINDOW
     driver, a few numbers a fault.
     """
     spark = series.sparkSession
-    rows = series.where("value is not null").withColumn("pos", (F.row_number().over(Window.partitionBy("channel").orderBy("pos")) - 1).cast("long"))
+    rows = renumbered(series)
     n = rows.count()
     if n < 500:
         raise ValueError("a calibration needs 500 readings at least")
@@ -189,9 +211,9 @@ def tune_hampel(series: DataFrame, seed: int = 0, windows: Sequence[int] = TUNER
     cells = None
     for w in windows:
         own = hampel(damaged, w, 1.0).withColumn("_x", F.abs(F.col("value") - F.col("centre")) / F.nullif(sd * F.col("spread"), F.lit(0.0)))
-        for s in sigmas:
-            scored = event_scores(own.withColumn("flagged", F.coalesce(F.col("_x") > s, F.lit(False)))).withColumn("window", F.lit(w)).withColumn("sigma", F.lit(float(s)))
-            cells = scored if cells is None else cells.unionByName(scored)
+        own = own.select("rep", "fault", F.lit(w).alias("window"), F.explode(F.array(*[F.lit(float(s)) for s in sigmas])).alias("sigma"), "_x")
+        cells = own if cells is None else cells.unionByName(own)
+    cells = event_scores(cells.withColumn("flagged", F.coalesce(F.col("_x") > F.col("sigma"), F.lit(False))), ("rep", "window", "sigma"))
     means = [F.avg(c).alias(c) for c in ("tp", "fp", "precision", "recall_event", "f1", "f_half", "n_flagged")]
     return cells.groupBy("window", "sigma").agg(*means, F.stddev_pop("f_half").alias("f_half_sd"))
 

@@ -317,6 +317,12 @@ def load_series(spark: SparkSession, rows: int = 2016) -> DataFrame:
     return spark.range(rows).withColumnRenamed("id", "pos").select(F.lit("load").alias("channel"), "pos", ts.alias("ts"), value.alias("value"))
 
 
+def load_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channels' hourly total as one series without missing rows; gaps of any length are interpolated."""
+    total = stats.strict_total(interpolate(panel(spark, sf_dir), None))
+    return flt.renumbered(total.select(F.lit("total").alias("channel"), "pos", "ts", F.col("total").alias("value")))
+
+
 MOMENTS = "count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis"
 
 
@@ -362,15 +368,14 @@ def recall_by_magnitude(spark, sf_dir):
 
 @query()
 def fault_injection(spark, sf_dir):
-    series = load_series(spark)
-    faults = flt.fault_frame(spark, flt.draw_faults(2016, 42, 0, 40))
+    series = load_total(spark, sf_dir)
+    faults = flt.fault_frame(spark, flt.draw_faults(series.count(), 42, 0))
     return flt.apply_faults(flt.local_scale(series), faults)
 
 
 @query()
 def calibration_surface(spark, sf_dir):
-    grid_ = flt.calibrate(load_series(spark), windows=(12, 24), sigmas=(2.5, 3.0), repeats=2, n_faults=20)
-    return flt.surface(grid_, "f1", (2.5, 3.0))
+    return flt.surface(flt.calibrate(load_total(spark, sf_dir)), "f1", flt.SIGMAS)
 
 
 @query()
@@ -395,17 +400,17 @@ def lowpass_filter(spark, sf_dir):
 
 @query()
 def calibration_grid(spark, sf_dir):
-    return flt.calibrate(load_series(spark), repeats=2, n_faults=40)
+    return flt.calibrate(load_total(spark, sf_dir))
 
 
 @query()
 def hampel_tuning(spark, sf_dir):
-    return flt.tune_hampel(load_series(spark), windows=(12, 24), sigmas=(3.0, 5.0), repeats=2, n_faults=10)
+    return flt.tune_hampel(load_total(spark, sf_dir))
 
 
 @query()
 def detector_stability(spark, sf_dir):
-    return flt.stability(load_series(spark), windows=(12, 48), sigmas=(3.0, 5.0))
+    return flt.stability(load_total(spark, sf_dir))
 
 
 @query()
