@@ -179,3 +179,11 @@ def test_pipeline_by_stage(spark, sf):
     assert {d for d, t in plain.items() if not any(i and i in t for i in items)} == set(kept["decontamination"])
     packed = c.STAGES[-1][1](spark, out, sf).toPandas()
     assert set(packed.doc_id) == set(kept["personal_data"]) and packed.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_decontamination_of_items_with_few_words(spark):
+    names = "Anna Berg met Carl Dorn and Ella Frey near Gera Hof with Ida Jahn then Karl Lenz"
+    bench = [(1, "Compute 12 + 45 * 3 - 7 / 2"), (2, "1 2 3 5 8 13 21 34 55 89 144 233"), (3, names)]
+    rows = [(1, "so compute 12 + 45 * 3 - 7 / 2 now"), (2, "x 1 2 3 5 8 13 21 34 55 89 144 233 y"), (3, names.upper()), (4, "and " + names.lower()), (5, "so compute 12 + 45 * 3 - 8 / 2 now"), (6, "1 2 3 5 8 13 21"), (7, "34 55 89")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(docs, items).collect()} == {(1, 1), (2, 2), (3, 3), (4, 3)}

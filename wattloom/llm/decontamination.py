@@ -3,7 +3,9 @@
 Both sides become templates: numbers, names and units turn into typed placeholders, all
 other tokens into bare lower-case words. Windows of templates are joined by hash. For
 each document, item and alignment, the slots' values must map one to one; then the share
-of the item's windows that were met decides.
+of the item's windows that were met decides. Windows with few words say little once their
+slots are open, so they are joined as they stand only: all windows of lower-case tokens are
+joined as well, in the same pass, and decide in the same way unless slots clash.
 """
 
 from __future__ import annotations
@@ -80,24 +82,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def windows(values: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each template window, and which have words enough."""
-    n = len(values) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    base = np.where(kinds == WORD, values, _SLOT[kinds])
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + base[k : k + n])
-    words = np.concatenate([[0], np.cumsum(kinds == WORD)])
-    return out, words[size:] - words[:-size] >= min(MIN_WORDS, (size + 1) // 2)
+def windows(base: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Hashes of the windows of each size: one round a token, shared by all sizes."""
+    out, found = np.full(len(base), WINDOW, np.uint64), {}
+    for k in range(max(sizes, default=0)):
+        n = len(base) - k
+        if n <= 0:
+            break
+        out = _mix(out[:n] * np.uint64(0x9E3779B97F4A7C15) + base[k:])
+        if k + 1 in sizes:
+            found[k + 1] = out
+    return found
 
 
 def _slots(tokens: list[str], places: np.ndarray, kinds: np.ndarray, at: int, size: int) -> list[str]:
     return [f"{kinds[k]}:{_EDGES.sub('', tokens[places[k]]).lower()}" for k in range(at, at + size) if kinds[k] != WORD]
 
 
-_FOUND = "key long, size int, {id} long, {pos} int, {slots} array<string>"
+_FOUND = "key long, size int, plain boolean, {id} long, {pos} int, {slots} array<string>"
 
 
 def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | None, names: tuple[str, str, str], whole_short: bool) -> DataFrame:
@@ -110,25 +112,39 @@ def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | No
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("decontamination", None)
         vocabulary = _Vocabulary()
-        for batch in slices(batches):
-            out: list[list] = [[], [], [], [], []]
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, places, values, kinds = vocabulary.tokens(text)
-                for size in [min(WINDOW, len(places))] if whole_short else sizes:
-                    if not size:
-                        continue
-                    keys, good = windows(values, kinds, size)
-                    if filter_bits is not None and len(keys):
+        for batch in slices(batches, 256):
+            out: list[list] = [[], [], [], [], [], []]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            parts = [vocabulary.tokens(text)[1:] for text in texts]
+            ends = np.cumsum([len(p[0]) for p in parts])
+            starts = ends - [len(p[0]) for p in parts]
+            values, kinds = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+            words = np.concatenate([[0], np.cumsum(kinds == WORD)])
+            own = np.minimum(ends - starts, WINDOW)
+            asked = sorted(set(own[own > 0].tolist())) if whole_short else sizes
+            split: dict[int, list[str]] = {}
+            for plain, base in ((False, np.where(kinds == WORD, values, _SLOT[kinds])), (True, values)):
+                for size, keys in windows(base, asked).items():
+                    good = np.ones(len(keys), bool) if plain else words[size:] - words[:-size] >= min(MIN_WORDS, (size + 1) // 2)
+                    if filter_bits is not None:
                         good &= filter_bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)]
-                        hits = np.flatnonzero(good)
+                    hits = np.flatnonzero(good)
+                    if filter_bits is not None:
                         hits = hits[wanted[np.searchsorted(wanted, keys[hits]).clip(max=len(wanted) - 1)] == keys[hits]]
-                    else:
-                        hits = np.flatnonzero(good)
-                    for at in hits.tolist():
-                        for column, value in zip(out, (int(keys[at].astype(np.int64)), size, row, at, _slots(tokens, places, kinds, at, size)), strict=True):
+                    texts_of = np.searchsorted(ends, hits, "right")
+                    inside = hits + size <= ends[texts_of]
+                    if whole_short:
+                        inside &= own[texts_of] == size
+                    for at, k in zip(hits[inside].tolist(), texts_of[inside].tolist(), strict=True):
+                        slots = []
+                        if not plain:
+                            if k not in split:
+                                split[k] = texts[k].split()
+                            slots = _slots(split[k], parts[k][0], parts[k][2], at - int(starts[k]), size)
+                        for column, value in zip(out, (int(keys[at].astype(np.int64)), size, plain, ids[k], at - int(starts[k]), slots), strict=True):
                             column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], ["key", "size", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], ["key", "size", "plain", *names])
 
     return rows.mapInArrow(find, _FOUND.format(id=names[0], pos=names[1], slots=names[2]))
 
@@ -136,8 +152,9 @@ def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | No
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, windows): benchmark items found in documents, and how many of their windows.
 
+    Where an item is met by its templates, these are counted, else its windows as they stand.
     Items of fewer than eight tokens are one window of all their tokens. Null and empty
-    texts, and items without any word, match nothing. Rows that repeat a doc_id or an
+    texts, and those without letters or digits, match nothing. Rows that repeat a doc_id or an
     item_id count as one document or item. Other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
@@ -150,11 +167,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not len(wanted):
             sizes = []
     met = _template_windows(source, sizes, wanted if small and len(wanted) else None, ("doc_id", "dpos", "dslots"), whole_short=False)
-    hits = met.join(F.broadcast(known) if small else known, ["key", "size"])
+    hits = met.join(F.broadcast(known) if small else known, ["key", "size", "plain"])
     # One alignment of a document with an item: slots must agree one to one.
     pairs = F.zip_with("islots", "dslots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    lined = hits.groupBy("doc_id", "item_id", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.size(F.collect_set("ipos")).alias("matched"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+    lined = hits.groupBy("doc_id", "item_id", "plain", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.size(F.collect_set("ipos")).alias("matched"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs"))
-    total = known.groupBy("item_id").agg(F.countDistinct("ipos").alias("windows"))
-    sums = lined.where(one_to_one).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
-    return sums.join(F.broadcast(total) if small else total, "item_id").where(f"matched >= {MIN_SHARE} * windows or matched >= {MIN_RUN}").select("doc_id", "item_id", "matched", "windows")
+    total = known.groupBy("item_id", "plain").agg(F.countDistinct("ipos").alias("windows"))
+    sums = lined.groupBy("doc_id", "item_id", "plain").agg(F.max(F.when(one_to_one, F.col("matched"))).alias("matched"), F.max(~one_to_one).alias("clash"))
+    enough = F.expr(f"matched >= {MIN_SHARE} * windows or matched >= {MIN_RUN}")
+    counts = F.struct("matched", "windows")
+    both = sums.join(F.broadcast(total) if small else total, ["item_id", "plain"]).groupBy("doc_id", "item_id").agg(F.max("clash").alias("clash"), F.min(F.when(enough & ~F.col("plain"), counts)).alias("open"), F.min(F.when(enough & F.col("plain"), counts)).alias("plain"))
+    # A part of an item beside slots that clash is no copy; the whole item is.
+    by = F.coalesce("open", F.when(~F.col("clash") | (F.col("plain.matched") == F.col("plain.windows")), F.col("plain")))
+    return both.select("doc_id", "item_id", by.alias("by")).where("by is not null").select("doc_id", "item_id", "by.matched", "by.windows")
