@@ -52,7 +52,7 @@ def test_surrogates(private):
 
 
 def test_clashing_surrogates_are_drawn_again(spark, monkeypatch):
-    monkeypatch.setattr(pii, "_address", lambda value, stream: pii.F.concat(pii.F.lit("9.9.9."), (pii._byte(stream, pii.F.lit(0)) % 40).cast("string")))
+    monkeypatch.setattr(pii, "_address", lambda stream: pii.F.concat(pii.F.lit("9.9.9."), (pii._byte(stream, pii.F.lit(0)) % 40).cast("string")))
     docs = spark.createDataFrame([(k, f"at 1.1.1.{k} and 9.9.9.{k}") for k in range(12)], "doc_id long, text string")
     out = replace_personal_data(docs, "k").collect()
     found = [w for r in out for w in r.text.split() if "." in w]
