@@ -5,12 +5,13 @@ counts its presentations (the rows of child elements) and, at leaves, its conten
 element that always looks or reads the same carries little information: its importance is
 the normalised entropy of those counts, an inner element's also that of its children.
 Branches of low importance, on hosts with pages enough to tell, are cut out of each page.
-Elements that are menus, forms, scripts and the like by their tag, class or role are cut
-everywhere: they vary as much as texts do, so that entropy alone would keep them.
+Pages that share their longest block of text are copies and have one vote together.
 
-A page with an article element gives that alone, and inside it only the second rule cuts:
-on a host full of copies of one article its own paragraphs repeat as well. The tree
-decides on pages without one.
+Two kinds of knowledge come before the tree. Elements that are menus, forms, scripts and
+the like by their tag, class or role are cut everywhere: they vary as much as texts do, so
+that entropy alone would keep them. Headings and paragraphs inside an article have an
+importance of one, and what holds an article is never cut as a whole. Of what is left after the cuts, articles alone are taken if they
+hold half of the text or more.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import materialize
 
-#: An element must occur on so many pages of a host before it is judged, and is cut below this importance.
+#: An element must occur on so many different pages of a host before it is judged, and is cut below this importance.
 MIN_PAGES, LOW = 8, 0.3
 #: How fast the weight of an element's own presentation falls with the number of its children.
 GAMMA = 0.9
-MAX_DEPTH = 24
-#: Low branches that may be sent to every task.
+#: Articles holding such a share of a page's text are taken alone.
+ARTICLE_SHARE = 0.5
+#: Low branches that may be sent to every task (8 bytes each).
 SMALL_LOW = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,37 +42,79 @@ RAW = frozenset("script style textarea title noscript iframe noframes xmp".split
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("script style noscript template head title nav aside form button input select textarea iframe object embed svg canvas dialog menu fieldset audio video map footer".split())
 NOISE = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead comment comments commentlist disqus respond replies share sharing social related recommended widget toolbar pagination pager login signup footer skip".split())
+#: What may stand beside a noise word in one class name; any other word makes it a name of its own, as in related-work.
+LAYOUT = frozenset("area articles bar bg block body bottom bottombar box btn button buttons col column container content dialog fixed flex float footer frame global grid group header hidden holder inline inner item items js layout left link links list main menu message middle mobile module outer page pane panel posts primary right rail row secondary section site slot sticky stories tab tabs text title top topbar unit wrap wrapper zone".split())
 _OUTSIDE_ONLY = frozenset(["header"])  # a page's header, not an article's
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr"}, "tbody": {"tr", "thead"}, "tfoot": {"tr", "tbody"}}
 _SCOPE = frozenset("html body table td th ul ol dl select article section div main button object".split())
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_KEPT_INSIDE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_MARKUP = re.compile(r"<(?=/?[a-zA-Z]|[!?])")
+_NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+_STOP = re.compile(r"[<>\"']")
+_LETTER = re.compile(r"/?[a-zA-Z]|!")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Element:
-    """A node of a page: its tag, its marks from class, id and role, and its children (elements and strings)."""
+    """A node of a page: its tag, its marks (class names, id and role), and its children (elements and strings). `holds`: an article lies in it."""
 
-    __slots__ = ("tag", "marks", "hidden", "children", "parent")
+    __slots__ = ("tag", "marks", "hidden", "children", "parent", "holds")
 
     def __init__(self, tag: str, parent: Element | None = None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.marks: tuple[str, ...] = ()
-        self.hidden = False
-        if attributes and not attributes.isspace():
+        self.hidden = self.holds = False
+        if attributes and _TELLING.search(attributes):
             found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-            self.marks = tuple(_SPLIT.sub(" ", " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()).split())
+            self.marks = tuple(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower().split())
             style = found.get("style", "").replace(" ", "").lower()
             self.hidden = "hidden" in found or "display:none" in style or found.get("aria-hidden") == "true"
 
     def label(self) -> str:
-        return ".".join((self.tag, *(m for m in self.marks if not m.isdigit())))
+        return ".".join((self.tag, *(m for m in self.marks if not any(map(str.isdigit, m)))))
+
+
+def _tag_end(page: str, at: int) -> tuple[int, int]:
+    """Where the attributes that start at `at` end, and where the page goes on.
+
+    A quoted value may hold anything if its end is followed by what follows an attribute. A
+    quote that opens no value or finds no end is a character like others, and a tag that is
+    not closed ends before the next one: so broken markup costs no text, and each step is
+    bounded by the distance to the next mark.
+    """
+    while found := _STOP.search(page, at):
+        mark, at = found[0], found.end()
+        if mark == ">":
+            return found.start(), at
+        if mark == "<":
+            if _LETTER.match(page, at):
+                return found.start(), found.start()
+        elif page[max(0, at - 80) : at - 1].rstrip().endswith("="):
+            close = page.find(mark, at)
+            if close >= 0:
+                value = page[at:close]
+                if page[close + 1 : close + 2] in " \t\n\r\f/>" or not ("<" in value or ">" in value):
+                    at = close + 1
+    return len(page), len(page)
 
 
 def parse(page: str) -> Element:
-    """A tolerant tree: missing end tags are implied, stray ones ignored, broken pages end where they end."""
+    """A tolerant tree: missing end tags are implied, stray ones ignored, broken pages end where they end. Linear in the page's length."""
     root = node = Element("#root")
-    at = 0
+    at, missing = 0, set()  # ends that occur no more on the page
+
+    def end_of(mark: str, start: int) -> int:
+        """Just past the next `mark`; -1 if there is none."""
+        if mark in missing:
+            return -1
+        k = page.find(mark, start)
+        if k < 0:
+            missing.add(mark)
+            return -1
+        return k + len(mark)
+
     while True:
         found = _MARKUP.search(page, at)
         text = page[at : found.start()] if found else page[at:]
@@ -78,26 +123,42 @@ def parse(page: str) -> Element:
         if not found:
             return root
         at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
-            if found[0].startswith("<![CDATA["):
-                node.children.append(found[0][9:-3])
+        if page[at] in "!?":
+            if page.startswith("![CDATA[", at) and (end := end_of("]]>", at)) >= 0:
+                node.children.append(page[at + 8 : end - 3])
+            elif not (page.startswith("!--", at) and (end := end_of("-->", at + 3)) >= 0):
+                end = end_of(">", at)
+            if end < 0:
+                node.children.append("<")
+            at = max(at, end)
             continue
-        if found[1]:
+        closing = page[at] == "/"
+        name = _NAME.match(page, at + closing)
+        tag = name[0].lower()
+        stop, at = _tag_end(page, name.end())
+        if closing:
             node = _close(node, tag)
             continue
         if tag not in INLINE:  # a block ends an open paragraph, whatever inline elements are still open in it
             node = _close(node, "p", _SCOPE)
         for other in _CLOSED_BY.get(tag, ()):
             node = _close(node, other, frozenset(("table", "ul", "ol", "dl", "select")))
-        child = Element(tag, node, found[3])
+        attributes = page[name.end() : stop]
+        child = Element(tag, node, attributes)
         node.children.append(child)
+        if _is_article(child):
+            up: Element | None = child
+            while up is not None and not up.holds:
+                up.holds, up = True, up.parent
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            raw = page[at : end.start()] if end else page[at:]
+            end = None if tag in missing else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end:
+                raw, at = page[at : end.start()], end.end()
+            else:  # nothing can tell code from text, but a title or frame that is never closed holds none
+                missing.add(tag)
+                raw, at = (page[at:], len(page)) if tag in ("script", "style") else ("", at)
             child.children.append(entities.unescape(raw) if tag in ("title", "textarea") else raw)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and not found[0].endswith("/>"):
+        elif tag not in VOID and not attributes.endswith("/"):
             node = child
 
 
@@ -111,91 +172,124 @@ def _close(node: Element, tag: str, stop: frozenset[str] = frozenset()) -> Eleme
     return up.parent if up is not None else node
 
 
+def _noise_mark(mark: str, inside: bool) -> bool:
+    """Whether a class name, id or role says noise: one of its words does, and the others tell only place or shape."""
+    words = [w for w in _SPLIT.split(mark) if w and not w.isdigit()]
+    noise = [w in NOISE or (w in _OUTSIDE_ONLY and not inside) for w in words]
+    return any(noise) and all(n or w in LAYOUT for n, w in zip(noise, words, strict=True))
+
+
 def is_noise(e: Element, inside: bool) -> bool:
     """By its tag or marks alone. `inside`: in an article."""
     if e.tag in DROPPED or e.hidden or (e.tag == "header" and not inside):
         return True
-    return any(m in NOISE or (m in _OUTSIDE_ONLY and not inside) for m in e.marks) and e.tag not in ("html", "body")
+    return e.tag not in ("html", "body") and any(_noise_mark(m, inside) for m in e.marks)
 
 
 def _is_article(e: Element) -> bool:
     return e.tag in ("article", "main") or "main" in e.marks and e.tag in ("div", "section")
 
 
-def _has_article(root: Element) -> bool:
-    stack = [root]
-    while stack:
-        kids = [c for c in stack.pop().children if not isinstance(c, str) and not is_noise(c, False)]
-        if any(map(_is_article, kids)):
-            return True
-        stack += kids
-    return False
+class _Paths(dict):
+    """(path, label) -> path of the child with that label, as 64 bits; emptied when large."""
 
+    def __missing__(self, key: tuple[int, str]) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[key] = out = _hash(f"{key[0]}/{key[1]}")
+        return out
 
-def main_text(root: Element, low: frozenset[str] = frozenset()) -> str:
-    """Blocks of the page joined by line ends. `low`: paths to cut on pages without an article."""
-    blocks: list[str] = []
+
+_PATHS = _Paths()
+
+
+def root_path(host: str) -> int:
+    return _hash(f"host {host}")
+
+
+def main_text(root: Element, path: int = 0, low=frozenset()) -> str:
+    """Blocks of the page joined by line ends, without the branches in `low`. `path`: the root's own."""
+    blocks: list[tuple[str, bool]] = []
     buffer: list[str] = []
-    only = _has_article(root)
 
-    def flush() -> None:
+    def flush(inside: bool) -> None:
         if text := " ".join("".join(buffer).split()):
-            blocks.append(text)
+            blocks.append((text, inside))
         buffer.clear()
 
     # An explicit stack: pages may nest deeper than Python does.
-    stack: list = [(root, "", False, False)]
+    stack: list = [(root, path, "", False)]
     while stack:
-        item = stack.pop()
-        if item is None:
-            flush()
+        e, path, above, inside = stack.pop()
+        if e is None:
+            flush(inside)
             continue
-        e, path, inside, kept = item
         if isinstance(e, str):
-            if kept or not only:
-                buffer.append(e)
+            buffer.append(e)
             continue
         if e.tag != "#root":
+            block = e.tag not in INLINE
             if is_noise(e, inside):
-                if e.tag not in INLINE:
-                    flush()
-                continue
-            path = f"{path}/{e.label()}" if path.count("/") < MAX_DEPTH else path
-            if not only and path in low:
-                flush()
+                if block:
+                    flush(inside)
                 continue
+            if block and (label := e.label()) != above:
+                path, above = _PATHS[path, label], label
+                if path in low and not e.holds and not (inside and e.tag in _KEPT_INSIDE):
+                    flush(inside)
+                    continue
             if e.tag == "br":
                 buffer.append(" ")
                 continue
-        inside = inside or _is_article(e)
         if e.tag not in INLINE:
-            flush()
-            stack.append(None)
-        stack.extend((c, path, inside, kept or inside) for c in reversed(e.children))
-    flush()
-    return "\n".join(blocks)
-
-
-def tree_marks(root: Element) -> list[tuple[str, str, int, int]]:
-    """(path, parent path, hash of the presentation, hash of the content) of a page's elements outside articles and noise.
-
-    The content is hashed at elements whose children are inline only.
+            flush(inside)
+            inside = inside or _is_article(e)
+            stack.append((None, 0, "", inside))
+        stack.extend((c, path, above, inside) for c in reversed(e.children))
+    flush(False)
+    own = [t for t, inside in blocks if inside]
+    if sum(map(len, own)) < ARTICLE_SHARE * sum(len(t) for t, _ in blocks):
+        own = [t for t, _ in blocks]
+    return "\n".join(own)
+
+
+def tree_marks(root: Element, path: int = 0) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """The page's mark, and (path, parent path, level, presentation, content) of its elements but noise.
+
+    The mark is a hash of the longest text without inner blocks. Elements of one path are
+    taken together; an element labelled as its parent is part of it. Content is hashed where
+    children are inline only, else 0. An article's own paragraphs count as different on each
+    page, so that their importance is one.
     """
-    out = []
-    stack: list[tuple[Element, str]] = [(root, "")]
+    seen: dict[int, list] = {}
+    kept: set[int] = set()
+    longest = ""
+    stack: list = [(root, path, "", 0, False)]
     while stack:
-        e, path = stack.pop()
-        kids = [c for c in e.children if not isinstance(c, str)]
-        own = path
+        e, path, above, level, inside = stack.pop()
+        kids = [c for c in e.children if not isinstance(c, str) and c.tag not in INLINE]
+        own, inner = path, inside
         if e.tag != "#root":
-            if is_noise(e, False) or _is_article(e) or path.count("/") >= MAX_DEPTH:
+            if is_noise(e, inside):
                 continue
-            own = f"{path}/{e.label()}"
-            style = _hash(" ".join(c.label() for c in kids))
-            leaf = all(c.tag in INLINE for c in kids)
-            out.append((own, path, style, _hash(_all_text(e)) if leaf else 0))
-        stack.extend((c, own) for c in kids if c.tag not in INLINE)
-    return out
+            text = "" if kids else _all_text(e)
+            longest = max(longest, text, key=lambda t: (len(t), t))
+            label = e.label()
+            if label != above:
+                own, level = _PATHS[path, label], level + 1
+                entry = seen.setdefault(own, [path, level, [], []])
+                entry[2].append(" ".join(c.label() for c in kids))
+                if not kids:
+                    entry[3].append(text)
+                if inside and e.tag in _KEPT_INSIDE:
+                    kept.add(own)
+            above, inner = label, inside or _is_article(e)
+        stack.extend((c, own, above, level, inner) for c in reversed(kids))
+    mark, rows = _hash(longest), []
+    for own, (parent, level, style, content) in seen.items():
+        found = mark if own in kept else _hash("\n".join(content)) if len(content) == len(style) else 0
+        rows.append((own, parent, level, mark if own in kept else _hash("|".join(style)), found))
+    return mark, rows
 
 
 def _all_text(e: Element) -> str:
@@ -204,7 +298,7 @@ def _all_text(e: Element) -> str:
         x = stack.pop()
         if isinstance(x, str):
             out.append(x)
-        else:
+        elif x.tag not in RAW:
             stack.extend(reversed(x.children))
     return " ".join("".join(out).split())
 
@@ -213,74 +307,100 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _importance(host: tuple, table: pa.Table) -> pa.Table:
-    """Composite importance of a host's paths, children first."""
-    rows = {r["path"]: r for r in table.to_pylist()}
-    kids: dict[str, list[str]] = {}
-    for p, r in rows.items():
-        kids.setdefault(r["parent"], []).append(p)
-    score: dict[str, float] = {}
-    for p in sorted(rows, key=lambda x: -x.count("/")):
-        r, own = rows[p], kids.get(p, [])
-        if not own:
-            score[p] = r["content"] if r["content"] is not None else r["style"]
-        else:
-            weight, total = GAMMA ** len(own), sum(rows[k]["pages"] for k in own)
-            score[p] = (1 - weight) * r["style"] + weight * sum(score[k] * rows[k]["pages"] / total for k in own)
-    low = [p for p in rows if score[p] < LOW and rows[p]["pages"] >= MIN_PAGES]
-    return pa.table({"host": pa.array([host[0].as_py()] * len(low), pa.string()), "path": pa.array(low, pa.string())})
+_MARKS = "page long, path long, parent long, level int, style long, content long"
 
 
-def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, path): branches whose importance is low over all pages of the host."""
+def _marks(pages: DataFrame) -> DataFrame:
+    """(page, path, parent, level, style, content) of the elements of `pages` (host, html)."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in {r[0]: r for r in tree_marks(parse(page))}.values():
-                    for column, value in zip(out, (host, *row), strict=True):
+                mark, rows = tree_marks(parse(page), root_path(host))
+                for row in rows:
+                    for column, value in zip(out, (mark, *row), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "parent", "style", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 3 else pa.int64()) for k, c in enumerate(out)], ["page", "path", "parent", "level", "style", "content"])
+
+    return pages.select("host", "html").mapInArrow(marks, _MARKS)
 
-    seen = materialize(pages.select("host", "html").mapInArrow(marks, "host string, path string, parent string, style long, content long").groupBy("host", "path", "parent", "style", "content").agg(F.count("*").alias("n")), "style-tree")
+
+def importance(marks: DataFrame) -> DataFrame:
+    """(path, pages, score): the importance of each path found on MIN_PAGES pages or more, from `marks`.
+
+    Every path has its host in it, so hosts need no column. Levels are worked off from the
+    deepest to the first: a parent needs its children's sums only.
+    """
+    once = marks.groupBy("path", "parent", "level", "page").agg(F.min("style").alias("style"), F.min("content").alias("content"))
+    once = materialize(once, "style-tree")
 
     def entropy(column: str) -> DataFrame:
         """Entropy of a column's values over the pages of each path, divided by its largest possible value."""
-        by = seen.groupBy("host", "path", "parent", column).agg(F.sum("n").alias("n"))
-        sums = by.groupBy("host", "path", "parent").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("w"), F.max(column).alias("most"))
+        by = once.groupBy("path", "parent", "level", column).agg(F.count("*").alias("n"))
+        sums = by.groupBy("path", "parent", "level").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("w"), F.max(column).alias("most"), F.min(column).alias("least"))
         value = F.when(F.col("pages") == 1, 1.0).otherwise((F.log("pages") - F.col("w") / F.col("pages")) / F.log("pages"))
-        return sums.select("host", "path", "parent", "pages", "most", value.alias("entropy"))
-
-    style = entropy("style").withColumnRenamed("entropy", "style").drop("most")
-    content = entropy("content").select("host", "path", "parent", F.when(F.col("most") != 0, F.col("entropy")).alias("content"))
-    judged = style.join(content, ["host", "path", "parent"]).where(f"pages >= {MIN_PAGES}")
-    return judged.groupBy("host").applyInArrow(_importance, "host string, path string")
+        return sums.select("path", "parent", "level", "pages", value.alias(f"{column}_entropy"), ((F.col("most") != 0) | (F.col("least") != 0)).alias(f"has_{column}"))
+
+    nodes = entropy("style").drop("has_style").join(entropy("content").select("path", "content_entropy", "has_content"), "path").where(F.col("pages") >= MIN_PAGES)
+    nodes = materialize(nodes, "style-nodes")
+    own = F.when(F.col("has_content"), F.col("content_entropy")).otherwise(F.col("style_entropy"))
+    done, below = None, None
+    for level in range(nodes.agg(F.max("level")).first()[0] or 0, 0, -1):
+        here = nodes.where(F.col("level") == level)
+        if below is None:
+            scored = here.select("path", "parent", "pages", own.alias("score"))
+        else:
+            sums = below.groupBy("parent").agg(F.count("*").alias("kids"), F.sum("pages").alias("weight"), F.sum(F.col("pages") * F.col("score")).alias("sum")).withColumnRenamed("parent", "path")
+            share = F.pow(F.lit(GAMMA), F.col("kids"))
+            inner = (1 - share) * F.col("style_entropy") + share * F.col("sum") / F.col("weight")
+            scored = here.join(sums, "path", "left").select("path", "parent", "pages", F.when(F.col("kids").isNull(), own).otherwise(inner).alias("score"))
+        below = materialize(scored, "style-level")
+        done = below if done is None else done.unionByName(below)
+    return (nodes.select("path", "parent", "pages", own.alias("score")) if done is None else done).select("path", "pages", "score")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html).
 
     A null html counts as empty and gives an empty text. Pages without a host form one site of
-    their own. Repeated rows count as often as they occur. Other columns are ignored.
+    their own. Repeated rows are extracted each, but have one vote in the tree. Broken markup
+    and very long pages take time in proportion to their length. Other columns are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    low = materialize(low_branches(rows), "low-branches")
+    low = materialize(importance(_marks(rows)).where(F.col("score") < LOW).select("path"), "low-branches")
+    own_type = "array<bigint>"
     if low.count() <= SMALL_LOW:
-        by_host: dict[str, frozenset[str]] = {}
-        for r in low.collect():
-            by_host[r.host] = by_host.get(r.host, frozenset()) | {r.path}
-        rows = rows.withColumn("low", F.array().cast("array<string>"))
-    else:
-        by_host = {}
-        rows = rows.join(low.groupBy("host").agg(F.collect_list("path").alias("low")), "host", "left")
+        shared = pages.sparkSession.sparkContext.broadcast(np.array([r.path for r in low.collect()], np.int64))
+        rows = rows.withColumn("low", F.array().cast(own_type))
+    else:  # each page's own low branches, found by a join on the path
+        shared = None
+        page = F.xxhash64("host", "html")
+        paths = _paths_of(rows.select(page.alias("page"), "host", "html")).join(low, "path")
+        rows = rows.withColumn("page", page).join(paths.groupBy("page").agg(F.collect_set("path").alias("low")), "page", "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = frozenset(shared.value.tolist()) if shared else None
         for batch in batches:
             hosts, htmls, lows = (batch.column(k).to_pylist() for k in (2, 3, 4))
-            texts = [main_text(parse(page), by_host.get(h, frozenset()) | frozenset(own or ())) for h, page, own in zip(hosts, htmls, lows, strict=True)]
+            texts = [main_text(parse(page), root_path(h), frozenset(own or ()) if common is None else common) for h, page, own in zip(hosts, htmls, lows, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     page_id = pages.schema["page_id"].dataType.simpleString()
     return rows.select("page_id", "url", "host", "html", "low").mapInArrow(extract, f"page_id {page_id}, url string, text string, n_chars long")
+
+
+def _paths_of(pages: DataFrame) -> DataFrame:
+    """(page, path): every path on each of `pages` (page, host, html)."""
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list] = ([], [])
+            for page, host, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                found = [r[0] for r in tree_marks(parse(text), root_path(host))[1]]
+                out[0].extend([page] * len(found))
+                out[1].extend(found)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["page", "path"])
+
+    return pages.mapInArrow(paths, "page long, path long").distinct()
