@@ -4,12 +4,13 @@ The pages of a host are merged into one tree of element paths. At each element t
 counts its presentations (the rows of child elements) and, at leaves, its contents. An
 element that always looks or reads the same carries little information: its importance is
 the normalised entropy of those counts, an inner element's also that of its children.
-Branches of low importance, on hosts with pages enough to tell, are cut out of each page.
+Branches that are of low importance throughout, on hosts with pages enough to tell, are cut
+out of each page.
 Pages that share their longest block of text are copies and have one vote together.
 
 Two kinds of knowledge come before the tree. Elements that are menus, forms, scripts and
-the like by their tag, class or role are cut everywhere: they vary as much as texts do, so
-that entropy alone would keep them. Headings and paragraphs inside an article have an
+the like by their tag, class or role are cut everywhere: on small hosts they vary as much as
+texts do, so that entropy alone would keep them. Headings and paragraphs inside an article have an
 importance of one, and what holds an article is never cut as a whole. Of what is left after the cuts, articles alone are taken if they
 hold half of the text or more.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from wattloom.llm.common import materialize
 
 #: An element must occur on so many different pages of a host before it is judged, and is cut below this importance.
-MIN_PAGES, LOW = 8, 0.3
+MIN_PAGES, LOW = 8, 0.6
 #: How fast the weight of an element's own presentation falls with the number of its children.
 GAMMA = 0.9
 #: Articles holding such a share of a page's text are taken alone.
@@ -254,7 +255,7 @@ def main_text(root: Element, path: int = 0, low=frozenset()) -> str:
 
 
 def tree_marks(root: Element, path: int = 0) -> tuple[int, list[tuple[int, int, int, int, int]]]:
-    """The page's mark, and (path, parent path, level, presentation, content) of its elements but noise.
+    """The page's mark, and (path, parent path, level, presentation, content) of its elements.
 
     The mark is a hash of the longest text without inner blocks. Elements of one path are
     taken together; an element labelled as its parent is part of it. Content is hashed where
@@ -270,7 +271,7 @@ def tree_marks(root: Element, path: int = 0) -> tuple[int, list[tuple[int, int,
         kids = [c for c in e.children if not isinstance(c, str) and c.tag not in INLINE]
         own, inner = path, inside
         if e.tag != "#root":
-            if is_noise(e, inside):
+            if e.tag in RAW:
                 continue
             text = "" if kids else _all_text(e)
             longest = max(longest, text, key=lambda t: (len(t), t))
@@ -327,7 +328,7 @@ def _marks(pages: DataFrame) -> DataFrame:
 
 
 def importance(marks: DataFrame) -> DataFrame:
-    """(path, pages, score): the importance of each path found on MIN_PAGES pages or more, from `marks`.
+    """(path, pages, score, top): the importance of each path found on MIN_PAGES pages or more, and the largest in its branch.
 
     Every path has its host in it, so hosts need no column. Levels are worked off from the
     deepest to the first: a parent needs its children's sums only.
@@ -349,15 +350,18 @@ def importance(marks: DataFrame) -> DataFrame:
     for level in range(nodes.agg(F.max("level")).first()[0] or 0, 0, -1):
         here = nodes.where(F.col("level") == level)
         if below is None:
-            scored = here.select("path", "parent", "pages", own.alias("score"))
+            scored = here.select("path", "parent", "pages", own.alias("score"), own.alias("top"))
         else:
-            sums = below.groupBy("parent").agg(F.count("*").alias("kids"), F.sum("pages").alias("weight"), F.sum(F.col("pages") * F.col("score")).alias("sum")).withColumnRenamed("parent", "path")
+            sums = below.groupBy("parent").agg(F.count("*").alias("kids"), F.sum("pages").alias("weight"), F.sum(F.col("pages") * F.col("score")).alias("sum"), F.max("top").alias("top")).withColumnRenamed("parent", "path")
             share = F.pow(F.lit(GAMMA), F.col("kids"))
             inner = (1 - share) * F.col("style_entropy") + share * F.col("sum") / F.col("weight")
-            scored = here.join(sums, "path", "left").select("path", "parent", "pages", F.when(F.col("kids").isNull(), own).otherwise(inner).alias("score"))
+            scored = here.join(sums, "path", "left").withColumn("score", F.when(F.col("kids").isNull(), own).otherwise(inner))
+            scored = scored.select("path", "parent", "pages", "score", F.greatest("score", "top").alias("top"))
         below = materialize(scored, "style-level")
         done = below if done is None else done.unionByName(below)
-    return (nodes.select("path", "parent", "pages", own.alias("score")) if done is None else done).select("path", "pages", "score")
+    if done is None:
+        done = nodes.select("path", "pages", own.alias("score"), own.alias("top"))
+    return done.select("path", "pages", "score", "top")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -369,7 +373,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    low = materialize(importance(_marks(rows)).where(F.col("score") < LOW).select("path"), "low-branches")
+    low = materialize(importance(_marks(rows)).where(F.col("top") < LOW).select("path"), "low-branches")
     own_type = "array<bigint>"
     if low.count() <= SMALL_LOW:
         shared = pages.sparkSession.sparkContext.broadcast(np.array([r.path for r in low.collect()], np.int64))
