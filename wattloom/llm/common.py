@@ -7,13 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only where the session names no folder and runs on one machine, as in tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints/wattloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can see."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED_DIR
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_SHARED_DIR
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,6 +36,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than one in so many rows is hot: there are at most so many of them, whatever the size.
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """`rows` joined (inner) with `unique`, one row a key; its column `weight` says how many of `total` rows the key has.
+
+    Hot keys, at most HOT_SHARE of them, are broadcast, so that their rows stay where they are;
+    all others are joined by a shuffle. Both inputs should be tables, as each is read twice.
+    """
+    is_hot = F.col(weight) * HOT_SHARE > total
+    hot = F.broadcast(unique.where(is_hot).drop(weight))
+    cold = rows.join(F.broadcast(unique.where(is_hot).select(*keys)), keys, "left_anti").join(unique.where(~is_hot).drop(weight), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def text_or_empty(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
 
