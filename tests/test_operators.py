@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.operators import chunks, faults, gaps, repair, rolling, scaling, stats
-from wattloom.operators.classify import classify_channel, infer_kind, role_from_name
+from wattloom.model import Channel
+from wattloom.operators.classify import channel_roles, classify, infer_kind, name_role
 from wattloom.operators.faults import calibrate
 from wattloom.operators.lowpass import lowpass
-from wattloom.operators.panel import uniform_grid
+from wattloom.operators.panel import grid, uniform_grid
 from wattloom.operators.screen import clip, replace_sentinels
 from wattloom.queries import QUERIES, load_series, load_total
 
@@ -173,12 +174,17 @@ def test_calibration_prefers_something_reachable(spark):
         calibrate(load_series(spark, 100))
 
 
-def test_roles():
-    assert role_from_name("GHI") == "irradiance" and role_from_name("t_amb") == "temperature" and role_from_name("Household_01") == "power"
-    print_ = dict(n=1000, lo=-10.0, hi=30.0, has_negative=True, dark_hours=0, lit_hours=0)
-    c = classify_channel("load", print_)
-    assert c.role == "temperature" and c.note
-    assert infer_kind((c,)) == "environmental"
+def test_roles(spark):
+    names = {"GHI": "irradiance", "t_amb": "temperature", "Household_01": "power", "solar_power_kw": "power", "total_w_m2": "irradiance", "insolation load": "power", "xyz": None, "irradiance kw": "irradiance"}
+    rows = spark.createDataFrame([(n,) for n in names], "channel string")
+    assert {r.channel: r.role for r in rows.select("channel", name_role(F.col("channel")).alias("role")).collect()} == names
+    fields = "channel string, n long, lo double, hi double, has_negative boolean, dark_hours long, lit_hours long"
+    prints = spark.createDataFrame([("load", 1000, -10.0, 30.0, True, 0, 0), ("x", 1000, 0.0, 900.0, False, 8, 8), ("y", 100, 0.0, 900.0, False, 8, 8), ("z", None, None, None, None, None, None)], fields)
+    got = {r.channel: (r.role, r.confidence, bool(r.note)) for r in channel_roles(prints, "power").collect()}
+    assert got == {"load": ("temperature", 0.8, True), "x": ("irradiance", 0.8, False), "y": ("power", 0.6, False), "z": ("power", 0.6, False)}
+    assert infer_kind((Channel.of("a", "temperature", 0.8),)) == "environmental"
+    one = classify(frame(spark, [1.0, 2.0], "q"), headerless=False)
+    assert [(c.name, c.role) for c in one] == [("q", "power")]
 
 
 def test_bimodal():
@@ -191,10 +197,38 @@ def test_windows_do_not_run_in_one_task(spark):
     assert "SinglePartition" not in plan
 
 
-def test_fault_places_of_a_long_series_are_not_listed():
-    got = faults.draw_faults(10**12, 1, 0, n_faults=50)
-    places = sorted(f[3] for f in got)
-    assert len(got) == 50 and places[-1] > 10**11 and min(b - a for a, b in zip(places, places[1:])) >= 12
+def test_faults_keep_their_distance(spark):
+    for n, wanted in ((10**12, 50), (2016, 120), (720, 120)):
+        rows = faults.draw_faults(spark, n, 1, repeats=2, n_faults=wanted).orderBy("rep", "position").collect()
+        for rep in (0, 1):
+            places = [r.position for r in rows if r.rep == rep]
+            assert min(b - a for a, b in zip(places, places[1:])) >= 20 and places[0] >= 100 and places[-1] < n - 103
+        assert len(rows) == 2 * min(wanted, (n - 203) // max(20, (n - 203) // wanted)) and {r.kind for r in rows} == set(faults.KINDS)
+    runs = faults.draw_runs(spark, 20_000, 3, repeats=1).orderBy("position").collect()
+    assert len(runs) == 40 and all(b.position - a.position - a.length >= 60 for a, b in zip(runs, runs[1:])) and {r.kind for r in runs} == set(faults.TUNER_KINDS)
+    assert all(3 <= r.length <= 9 or r.kind == "spike" and r.length == 1 for r in runs)
+
+
+def test_precision_is_missing_when_nothing_is_flagged(spark):
+    flags = frame(spark, [1.0, 2.0]).withColumn("flagged", F.lit(False)).withColumn("fault", F.lit(1))
+    r = faults.event_scores(flags, ["channel"]).first()
+    assert r.precision is None and r.f1 == 0 and r.f_half == 0
+
+
+def test_recall_at_the_best_cell(spark):
+    series = load_series(spark)
+    got = faults.recall_at(series, 24, 3.0, repeats=2, n_faults=40).collect()
+    assert {r.magnitude for r in got if r.kind == "size"} == set(faults.MAGNITUDES) and {r.length for r in got if r.kind == "dropout"} <= {1, 2, 3}
+    by = {r.magnitude: r.recall for r in got if r.kind == "size"}
+    assert by[12.0] >= by[3.0]
+
+
+def test_grids_come_from_many_tasks(spark):
+    events = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1.0), ("b", "2025-01-01 00:00:00", 2.0)], "c string, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    out = grid(events, "t", "c", "v", 300)
+    assert out.count() == 2 * (366 * 288 + 1) and out.where("value is not null").count() == 2
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert grid(events.where("false"), "t", "c", "v", 300).count() == 0
 
 
 def test_calibration_queries_judge_the_tables(spark, sf):

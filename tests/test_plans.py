@@ -1,11 +1,16 @@
+from dataclasses import replace
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.plans.gates import State, advance, check_parameters, date_window, legal_actions, shift_window
+from wattloom.__main__ import main
+from wattloom.model import Channel, Dataset
+from wattloom.operators.distributions import channel_statistics, skew_range
+from wattloom.plans.gates import State, advance, check_parameters, date_window, legal_actions, revert, shift_window
 from wattloom.plans.layers import LayerStack, StatsCache
-from wattloom.plans.steps import AggregateStep, InterpolateStep, NormaliseStep, SentinelStep, run_chain
+from wattloom.plans.steps import AggregateStep, CleanStep, FillStep, FilterStep, InterpolateStep, NormaliseStep, SentinelStep, run_chain
+from wattloom.queries import load_series as load_formula
 from wattloom.sources.files import derived_name, load_dataset, load_readings, load_series, wide, write_table
 from wattloom.streaming.maps import prepare, write_stream
 
@@ -87,6 +92,55 @@ def test_gates():
         advance(State(), "clean")
 
 
+def test_going_back():
+    s = State("aggregated", "household_panel", "power", can_revert=True)
+    assert [revert(s, x).stage for x in ("Raw", "Sentinels", "Interpolated", "Aggregated", "Cleaned")] == ["loaded", "loaded", "sentinels_handled", "aggregated", "aggregated"]
+    assert revert(State("aggregated", "aggregate_series", can_revert=True), "Aggregated", first=True) == State("loaded", "aggregate_series")
+    with pytest.raises(ValueError):
+        revert(State("loaded"), "Raw")
+
+
+def test_clean_fill_and_filter_steps(spark):
+    series = load_formula(spark, 1200).withColumn("value", F.when(F.col("pos").isin(300, 700), F.col("value") + 300).when(F.col("pos").between(500, 503), None).otherwise(F.col("value")))
+    ds = Dataset(series, (Channel.of("load", "power", 0.9),), "aggregate_series", "x", "Raw", 300)
+    reasons, reports = [], []
+    for step in (CleanStep(sigma=4.0), FillStep(), FilterStep()):
+        result = step.run(ds)
+        reasons += [r.reason for r in result.ledger.collect()]
+        reports.append(result.report)
+        rows = result.dataset.readings.select(*series.columns).collect()
+        ds = replace(result.dataset, readings=spark.createDataFrame(rows, series.schema))  # what follows starts from here
+    assert sum(r.startswith("zscore") for r in reasons) >= 2 and sum(r.startswith("local fit") for r in reasons) == 4 and sum(r.startswith("low-pass") for r in reasons) > 1000
+    assert max(r.value for r in rows) < 200
+    for title in ("Cleaning", "Gap filling", "Low-pass filter", "Largest corrections", "What was taken away"):
+        assert title in "".join(reports)
+
+
+def test_tune_writes_grid_and_report(spark, tmp_path):
+    rows = load_formula(spark, 700).orderBy("pos").toPandas()
+    path = str(tmp_path / "load.csv")
+    rows.assign(ts=rows["ts"].dt.strftime("%Y-%m-%d %H:%M:%S"))[["ts", "value"]].to_csv(path, index=False)
+    main(["tune", path])
+    out = sorted(x.name for x in tmp_path.iterdir())
+    assert {"load_tuning_report.txt"} <= set(out) and any("stability" in x for x in out)
+    assert "As good as the best" in (tmp_path / "load_tuning_report.txt").read_text()
+
+
+def test_a_bad_time_is_an_error(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("time,a\n2024-01-01 00:00,1\nnot a time,2\n,\n")
+    with pytest.raises(Exception, match="does not parse: not a time"):
+        load_readings(spark, str(path))[0].collect()
+
+
+def test_statistics_in_words(spark):
+    rows = load_formula(spark, 800).withColumn("channel", F.lit("load"))
+    r = channel_statistics(rows, 300).first()
+    assert isinstance(r.two_peaks, bool) and r["shape"] and r["family"] and r.n == 800
+    got = skew_range(rows, rows.select("pos", "ts", F.col("value").alias("total"))).first()
+    assert got.least == got.most == pytest.approx(got.of_total)
+
+
 def test_parameters():
     for bad in (dict(window=12, sigma=4.0), dict(cutoff_min=10, step_min=5), dict(max_gap=0), dict(share_pct=0), dict(low=1, high=1)):
         with pytest.raises(ValueError):
@@ -100,6 +154,8 @@ def test_dates():
     assert date_window("Week", date(2024, 12, 30), first, last)[1] == last
     assert shift_window("Month", date(2024, 3, 31), -1, first, last) == date(2024, 2, 29)
     assert shift_window("Day", first, -1, first, last) == first
+    assert shift_window("Free", date(2024, 3, 1), 1, first, last, date(2024, 3, 10)) == date(2024, 3, 11)
+    assert shift_window("Free", date(2024, 12, 20), 1, first, last, date(2024, 12, 29)) == date(2024, 12, 22)
 
 
 def test_stream_equals_batch(spark, panel, tmp_path):

@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.operators.faults import stability
+from wattloom.operators.chunks import renumbered
+from wattloom.operators.faults import TUNER_REPEATS, near_best, sensitivity, stability, tune_hampel
 from wattloom.operators.rolling import DETECTORS, check_detector, flagged_long
 from wattloom.operators.stats import coverage, moments
 from wattloom.plans.reports import lines_of, report
@@ -27,8 +28,15 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("wattloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "tune":
-        grid = stability(load_series(spark, args.file))
-        write_table(grid, args.file, derived_name(args.file, "tuning"))
+        # On injected faults: the grid, how far each cell lies below the best, and the cells as good as it; on the file: counts of flags.
+        series = renumbered(load_series(spark, args.file))
+        grid = sensitivity(tune_hampel(series)).persist()
+        write_table(grid.orderBy("window", "sigma"), args.file, derived_name(args.file, "tuning"))
+        best = near_best(grid, TUNER_REPEATS, "f_half", "f_half_sd").orderBy(F.desc("f_half"), "window", "sigma")
+        flagged = stability(series).orderBy("window", "sigma")
+        write_table(flagged, args.file, derived_name(args.file, "stability"))
+        text = ["Tuning", "------", f"source: {args.file}", "", "As good as the best", *(f"  {x}" for x in lines_of(best)), "", "Flags on the file", *(f"  {x}" for x in lines_of(flagged, 63))]
+        write_report("\n".join(text), args.file, derived_name(args.file, "tuning_report", ".txt"))
         return
     ds = load_dataset(spark, args.file)
     if args.command == "describe":

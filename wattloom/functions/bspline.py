@@ -1,4 +1,8 @@
-"""Cubic penalised B-splines: design, fit and prediction band. NumPy only."""
+"""Cubic penalised B-splines: design, fit and prediction band. NumPy only.
+
+A row touches four neighbouring coefficients, so all matrices are banded: they are kept as
+four diagonals, factored once, and the band of a prediction needs 4 x 4 values a row.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +18,11 @@ def choose_n_basis(n: int, cap: int = MAX_BASIS) -> int:
     return max(5, min(n - 3, cap))
 
 
-def design(x: np.ndarray, n_basis: int) -> np.ndarray:
-    """Rows of basis values on clamped, equally spaced knots over the range of x."""
+_BAND = 4
+
+
+def basis_rows(x: np.ndarray, n_basis: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each x the first of its four coefficients, and the four basis values, on clamped, equally spaced knots."""
     x = np.asarray(x, float)
     lo, hi = float(x.min()), float(x.max())
     hi = hi if hi > lo else lo + 1
@@ -31,15 +38,78 @@ def design(x: np.ndarray, n_basis: int) -> np.ndarray:
             wider[:, r] += share * (right - x)
             wider[:, r + 1] += share * (x - left)
         near = wider
-    out = np.zeros((len(x), n_basis))
-    np.put_along_axis(out, span[:, None] + np.arange(-3, 1), near, axis=1)
+    return span - 3, near
+
+
+def design(x: np.ndarray, n_basis: int) -> np.ndarray:
+    """The same as a dense matrix, one row for each x."""
+    first, near = basis_rows(x, n_basis)
+    out = np.zeros((len(near), n_basis))
+    np.put_along_axis(out, first[:, None] + np.arange(_BAND), near, axis=1)
     return out
 
 
+def _gram_band(first: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+    """Diagonals of the basis' products: band[d, i] is the entry at (i + d, i)."""
+    band = np.zeros((_BAND, k))
+    for p in range(_BAND):
+        for q in range(p, _BAND):
+            np.add.at(band[q - p], first + p, near[:, p] * near[:, q])
+    return band
+
+
+def _penalty_band(k: int) -> np.ndarray:
+    """Diagonals of the squared second differences of k coefficients."""
+    band, rows, d = np.zeros((_BAND, k)), np.arange(k - 2), (1.0, -2.0, 1.0)
+    for p in range(3):
+        for q in range(p, 3):
+            np.add.at(band[q - p], rows + p, d[p] * d[q])
+    return band
+
+
 def penalty(n_basis: int) -> np.ndarray:
-    """Squared second differences of the coefficients."""
-    d = np.diff(np.eye(n_basis), 2, axis=0)
-    return d.T @ d
+    """The same as a dense matrix."""
+    return _dense(_penalty_band(n_basis))
+
+
+def _dense(band: np.ndarray) -> np.ndarray:
+    k = band.shape[1]
+    out = np.zeros((k, k))
+    for d in range(min(_BAND, k)):
+        i = np.arange(k - d)
+        out[i + d, i] = out[i, i + d] = band[d, : k - d]
+    return out
+
+
+def _factor(band: np.ndarray) -> np.ndarray:
+    """Row j: the lower Cholesky factor's entries at columns j - 3 .. j."""
+    k = band.shape[1]
+    out = np.zeros((k, _BAND))
+    for j in range(k):
+        for c in range(max(0, j - 3), j + 1):
+            value = band[j - c, c]
+            for t in range(max(0, j - 3), c):
+                value -= out[j, t - j + 3] * out[c, t - c + 3]
+            if c < j:
+                out[j, c - j + 3] = value / out[c, 3]
+            elif value > 0:
+                out[j, 3] = value**0.5
+            else:
+                raise ValueError("the smoothing is too small for these coefficients")
+    return out
+
+
+def _solve(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What the factored matrix takes to the columns of `right`: down and up the band once each."""
+    x, k = np.array(right, float), len(factor)
+    for j in range(k):
+        a = max(0, j - 3)
+        x[j] = (x[j] - factor[j, a - j + 3 : 3] @ x[a:j]) / factor[j, 3]
+    for j in range(k - 1, -1, -1):
+        b = min(k, j + 4)
+        below = np.arange(j + 1, b)
+        x[j] = (x[j] - factor[below, j - below + 3] @ x[j + 1 : b]) / factor[j, 3]
+    return x
 
 
 @dataclass
@@ -68,17 +138,20 @@ def fit_curve(x: np.ndarray, y: np.ndarray, smoothing: float = 1e4, n_basis: int
     k = choose_n_basis(n, max_basis) if n_basis is None else n_basis
     if n <= k or n < 7:
         raise ValueError(f"{n} values are too few for {k} coefficients")
-    basis = design(x, k)
-    own = basis[good]
-    gram = own.T @ own
-    solved = np.linalg.solve(gram + smoothing * penalty(k), np.column_stack([own.T @ y[good], gram]))
-    coefficients, hat = solved[:, 0], solved[:, 1:]
-    curve = basis @ coefficients
+    first, near = basis_rows(x, k)
+    own, values = first[good], near[good]
+    gram = _gram_band(own, values, k)
+    factor = _factor(gram + smoothing * _penalty_band(k))
+    right = np.zeros(k)
+    np.add.at(right, own[:, None] + np.arange(_BAND), values * y[good][:, None])
+    place = first[:, None] + np.arange(_BAND)
+    curve = (near * _solve(factor, right)[place]).sum(axis=1)
+    hat = _solve(factor, _dense(gram))
     df = float(np.trace(hat))
     mse = float(((y[good] - curve[good]) ** 2).sum() / max(n - df, 1))
-    # hat @ inverse is the covariance of the coefficients in units of the residual variance.
-    spread = np.linalg.solve(gram + smoothing * penalty(k), hat.T).T
-    leverage = np.einsum("ij,jk,ik->i", basis, (spread + spread.T) / 2, basis)
+    # The covariance of the coefficients in units of the residual variance; a row needs 4 x 4 of it.
+    spread = _solve(factor, hat.T)
+    leverage = np.einsum("ni,nij,nj->n", near, spread[place[:, :, None], place[:, None, :]], near, optimize=True)
     return Fit(curve, n, k, df, mse, leverage, n_basis is None and n - 3 > max_basis)
 
 

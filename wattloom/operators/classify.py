@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.model import AGGREGATE_SERIES, ENVIRONMENTAL, HOUSEHOLD_PANEL, IRRADIANCE, POWER, TEMPERATURE, UNKNOWN, Channel
 
-#: Names that tell a role, tried in this order without regard to case.
-NAME_PATTERNS = {
-    IRRADIANCE: re.compile(r"(ghi|dni|dhi|irradian|insolat|solar[_ ]?rad|w[_ ]?m2|w/m)", re.I),
-    TEMPERATURE: re.compile(r"(temp|t_?amb|ambient|deg[_ ]?c|°c)", re.I),
-    POWER: re.compile(r"(kwh?|k_?w|power|load|demand|active|total|household)", re.I),
-}
+#: Names that tell a role, without regard to case.
+IRRADIANCE_NAMES = r"(?i)(ghi|dni|dhi|irradian|insolat|solar[_ ]?rad|w[_ ]?m2|w/m)"
+TEMPERATURE_NAMES = r"(?i)(temp|t_?amb|ambient|deg[_ ]?c|°c)"
+POWER_NAMES = r"(?i)(kwh?|k_?w|power|load|demand|active|total|household)"
 #: Names that stay irradiance although a word for power is in them.
-STRICT_IRRADIANCE = re.compile(r"(ghi|dni|dhi|irradian)", re.I)
+STRICT_IRRADIANCE = r"(?i)(ghi|dni|dhi|irradian|w[_ ]?m2|w/m)"
 BY_NAME, BY_PHYSICS, BY_STRUCTURE = 0.9, 0.8, 0.6
 #: Fixed values of the fingerprint.
 DARK_FLOOR, DARK_SHARE, NEGATIVE_BELOW, MIN_READINGS = 5.0, 0.02, -5.0, 288
@@ -24,15 +20,6 @@ DARK_HOUR_AT, LIT_HOUR_AT, HOURS_NEEDED = 0.9, 0.1, 6
 PEAK_RANGE, TEMPERATURE_RANGE = (100.0, 1600.0), (-20.0, 60.0)
 
 
-def role_from_name(name: str) -> str | None:
-    for role, pattern in NAME_PATTERNS.items():
-        if pattern.search(name):
-            if role == IRRADIANCE and NAME_PATTERNS[POWER].search(name) and not STRICT_IRRADIANCE.search(name):
-                return POWER
-            return role
-    return None
-
-
 def fingerprint(readings: DataFrame) -> DataFrame:
     """(channel, n, lo, hi, dark_fraction, has_negative, dark_hours, lit_hours).
 
@@ -49,35 +36,39 @@ def fingerprint(readings: DataFrame) -> DataFrame:
     return span.join(hours, "channel").select("channel", "n", "lo", "hi", (F.col("dark") / F.col("n")).alias("dark_fraction"), (F.col("lo") < NEGATIVE_BELOW).alias("has_negative"), F.when(enough, F.col("dark_hours")).otherwise(0).alias("dark_hours"), F.when(enough, F.col("lit_hours")).otherwise(0).alias("lit_hours"))
 
 
-def role_from_physics(n: int, lo: float, hi: float, has_negative: bool, dark_hours: int, lit_hours: int) -> str | None:
-    if n < MIN_READINGS:
-        return None
-    if dark_hours >= HOURS_NEEDED and lit_hours >= HOURS_NEEDED and not has_negative and PEAK_RANGE[0] <= hi <= PEAK_RANGE[1]:
-        return IRRADIANCE
-    if has_negative and TEMPERATURE_RANGE[0] <= lo and hi <= TEMPERATURE_RANGE[1]:
-        return TEMPERATURE
-    return None
+def name_role(name: Column) -> Column:
+    """What a name says: irradiance, unless only its words for power are clear; then temperature; then power."""
+    solar, power = name.rlike(IRRADIANCE_NAMES), name.rlike(POWER_NAMES)
+    return F.when(solar & (~power | name.rlike(STRICT_IRRADIANCE)), IRRADIANCE).when(~solar & name.rlike(TEMPERATURE_NAMES), TEMPERATURE).when(power, POWER)
+
 
+def value_role() -> Column:
+    """What a fingerprint says: light has dark and lit hours and a plausible peak, air temperature goes below zero in a narrow range."""
+    light = (F.least("dark_hours", "lit_hours") >= HOURS_NEEDED) & ~F.col("has_negative") & F.col("hi").between(*PEAK_RANGE)
+    air = F.col("has_negative") & (F.col("lo") >= TEMPERATURE_RANGE[0]) & (F.col("hi") <= TEMPERATURE_RANGE[1])
+    return F.when(F.col("n") >= MIN_READINGS, F.when(light, IRRADIANCE).when(air, TEMPERATURE))
 
-def classify_channel(name: str, print_: dict | None, structural: str | None = None) -> Channel:
-    """Values overrule the name, with a note; else the name, the values, the structure."""
-    by_name = role_from_name(name)
-    by_physics = role_from_physics(**print_) if print_ else None
-    if by_physics and by_name and by_name != by_physics:
-        return Channel.of(name, by_physics, BY_PHYSICS, f"the name suggests {by_name}, the values look like {by_physics}")
-    for role, confidence in ((by_name, BY_NAME), (by_physics, BY_PHYSICS), (structural, BY_STRUCTURE)):
-        if role:
-            return Channel.of(name, role, confidence)
-    return Channel.of(name, UNKNOWN, 0.0)
+
+def channel_roles(prints: DataFrame, structural: str | None = None) -> DataFrame:
+    """(channel, role, confidence, note) from fingerprints: one CASE over what values, names and structure say.
+
+    Values that contradict the name overrule it, with a note.
+    """
+    told = prints.withColumn("_name", name_role(F.col("channel"))).withColumn("_value", value_role()).withColumn("_structure", F.lit(structural).cast("string"))
+    clash = F.coalesce(F.col("_name") != F.col("_value"), F.lit(False))
+    role = F.when(clash, F.col("_value")).otherwise(F.coalesce("_name", "_value", "_structure", F.lit(UNKNOWN)))
+    trust = F.when(clash, BY_PHYSICS).when(F.col("_name").isNotNull(), BY_NAME).when(F.col("_value").isNotNull(), BY_PHYSICS).when(F.col("_structure").isNotNull(), BY_STRUCTURE).otherwise(0.0)
+    note = F.when(clash, F.concat(F.lit("the name suggests "), "_name", F.lit(", the values look like "), "_value")).otherwise("")
+    return told.select("channel", role.alias("role"), trust.alias("confidence"), note.alias("note"))
 
 
 def classify(readings: DataFrame, headerless: bool) -> tuple[Channel, ...]:
-    """Every channel's role; fingerprints are one small row a channel."""
-    fields = ("n", "lo", "hi", "has_negative", "dark_hours", "lit_hours")
-    prints = {r.channel: {k: r[k] for k in fields} for r in fingerprint(readings).collect()}
-    names = [r.channel for r in readings.select("channel").distinct().orderBy("channel").collect()]
-    structural = POWER if (len(names) >= 2 if headerless else len(names) == 1) else None
-    return tuple(classify_channel(n, prints.get(n), structural) for n in names)
+    """Every channel's role, one small row a channel; channels without any value have no fingerprint."""
+    names = readings.groupBy("channel").agg(F.count("value").alias("_present"))
+    n = names.count()
+    structural = POWER if (n >= 2 if headerless else n == 1) else None
+    prints = names.select("channel").join(fingerprint(readings), "channel", "left")
+    return tuple(Channel.of(r.channel, r.role, r.confidence, r.note) for r in channel_roles(prints, structural).orderBy("channel").collect())
 
 
 def infer_kind(channels: tuple[Channel, ...]) -> str:

@@ -2,77 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from wattloom.operators.chunks import chunk_window, own_rows, with_chunk, with_halo
-from wattloom.operators.rolling import MAD_TO_SIGMA, hampel, max_achievable_zscore, reach, rolling_mad
+from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
+from wattloom.operators.rolling import MAD_TO_SIGMA, hampel, max_achievable_zscore, reach, rolling_mad, rolling_zscore
 
 #: Grids, fault sizes and counts of the two calibrations.
 WINDOWS, SIGMAS = (6, 12, 24, 36, 48, 72), (2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)
 MAGNITUDES, N_FAULTS, REPEATS, KINDS = (3.0, 5.0, 8.0, 12.0), 120, 5, ("spike", "dip", "dropout")
 TUNER_WINDOWS, TUNER_SIGMAS = (6, 12, 24, 48, 96, 144, 288), (2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0)
-TUNER_KINDS = ("spike", "dropout", "level_shift", "flatline")
+TUNER_KINDS, TUNER_MAGNITUDES, TUNER_REPEATS, TUNER_FAULTS = ("spike", "dropout", "level_shift", "flatline"), (4.0, 6.0, 10.0), 3, 40
 SCALE_WINDOW = 48
-#: Series up to so many rows have their places permuted; on longer ones places are drawn one by one.
-PERMUTED = 1_000_000
-FAULT_SCHEMA = "rep int, fault int, kind string, position long, length long, magnitude double, sign double, factors array<double>"
-
-
-def _places(rng: np.random.Generator, first: int, end: int) -> Iterator[int]:
-    """first .. end - 1 in random order, by memory for those that are asked for only if there are many."""
-    if end - first <= PERMUTED:
-        yield from rng.permutation(np.arange(first, end)).tolist()
-        return
-    seen: set[int] = set()
-    while len(seen) < end - first:
-        at = int(rng.integers(first, end))
-        if at not in seen:
-            seen.add(at)
-            yield at
-
-
-def draw_faults(n: int, seed: int, rep: int, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, kinds: Sequence[str] = KINDS, gap: int = 12, margin: int = 100, longest: int = 3) -> list[tuple]:
-    """Positions, kinds and sizes of spikes, dips and dropouts for a series of n rows; the last 40 accepted keep their distance."""
-    rng = np.random.default_rng(seed + rep)
-    out: list[tuple] = []
-    for at in _places(rng, margin, max(margin, n - margin - longest)):
-        if len(out) == n_faults:
-            break
-        if any(abs(at - f[3]) < gap for f in out[-40:]):
-            continue
-        kind, size = kinds[rng.integers(len(kinds))], float(magnitudes[rng.integers(len(magnitudes))])
-        if kind == "dropout":
-            length = int(rng.integers(1, longest + 1))
-            out.append((rep, len(out), kind, at, length, None, 0.0, rng.uniform(0.0, 0.05, length).tolist()))
-        else:
-            out.append((rep, len(out), kind, at, 1, size, 1.0 if kind == "spike" else -1.0, []))
-    return out
+#: Least distance of faults, rows left alone at the ends, rows of the longest dropout.
+GAP, MARGIN, LONGEST = 20, 100, 3
+#: The same of the tuner: distance, and least and most rows of a run.
+APART, RUN = 60, (3, 9)
+#: Rows of a dropout keep up to such a share of their value.
+LEFT_OVER = 0.05
 
 
-def draw_runs(n: int, seed: int, rep: int, n_faults: int, magnitudes: Sequence[float], kinds: Sequence[str] = TUNER_KINDS, apart: int = 60) -> list[tuple]:
-    """Faults of the tuner: spikes, and runs of 3 to 9 rows, at least `apart` rows from each other."""
-    rng = np.random.default_rng(seed + rep)
-    out: list[tuple] = []
-    for _ in range(200 * n_faults):
-        if len(out) == n_faults:
-            break
-        kind = kinds[rng.integers(len(kinds))]
-        length = 1 if kind == "spike" else int(rng.integers(3, 10))
-        start = int(rng.integers(apart, n - length - apart))
-        if any(start < f[3] + f[4] + apart and f[3] - apart < start + length for f in out):
-            continue
-        size = float(magnitudes[rng.integers(len(magnitudes))]) if kind in ("spike", "level_shift") else None
-        out.append((rep, len(out), kind, start, length, size, 1.0 if rng.random() < 0.5 else -1.0, []))
-    return out
+def draw(seed: int | Column, what: str, *parts: Column) -> Column:
+    """A number from 0 to 2^32 - 1 by a seeded hash of `parts`, the same wherever and whenever it is made."""
+    text = F.concat_ws("|", *((F.lit(p) if isinstance(p, int) else p).cast("string") for p in (seed, F.lit(what), *parts)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def _pick(values: Sequence, drawn: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (drawn % len(values)).cast("int"))
+
+
+def slots(first: int, end: int, wanted: int, least: int) -> tuple[int, int]:
+    """Width and number of equal slots in the rows first .. end - 1: as many as wanted, but none narrower than `least`."""
+    rows = max(0, end - first)
+    width = max(least, rows // max(1, wanted))
+    return width, min(wanted, rows // width)
+
+
+def _numbered(spark: SparkSession, repeats: int, n_slots: int) -> DataFrame:
+    ids = spark.range(repeats * n_slots)
+    return ids.select(F.expr(f"cast(id div {max(1, n_slots)} as int)").alias("rep"), (F.col("id") % max(1, n_slots)).cast("int").alias("fault"))
+
 
+def draw_faults(spark: SparkSession, n: int, seed: int, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, kinds: Sequence[str] = KINDS, gap: int = GAP, margin: int = MARGIN, longest: int = LONGEST) -> DataFrame:
+    """(rep, fault, kind, position, length, magnitude, sign): spikes, dips and dropouts for a series of n rows.
 
-def fault_frame(spark: SparkSession, faults: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(faults, FAULT_SCHEMA)
+    The series is cut into slots, and each has one fault, so far from the slot's end that
+    faults keep their distance. All is drawn by a seeded hash of repetition and slot.
+    """
+    width, n_slots = slots(margin, n - margin - longest, n_faults, gap)
+    key = (F.col("rep"), F.col("fault"))
+    out = _numbered(spark, repeats, n_slots).withColumn("kind", _pick(kinds, draw(seed, "kind", *key)))
+    dropout = F.col("kind") == "dropout"
+    place = F.lit(margin) + F.col("fault").cast("long") * width + draw(seed, "place", *key) % (width - gap + 1)
+    length = F.when(dropout, 1 + draw(seed, "length", *key) % longest).otherwise(1)
+    size = F.when(~dropout, _pick([float(m) for m in magnitudes], draw(seed, "size", *key)))
+    sign = F.when(dropout, 0.0).when(F.col("kind") == "spike", 1.0).otherwise(-1.0)
+    return out.select(*key, "kind", place.alias("position"), length.cast("long").alias("length"), size.alias("magnitude"), sign.alias("sign"), F.lit(seed).alias("seed"))
+
+
+def draw_runs(spark: SparkSession, n: int, seed: int, repeats: int = TUNER_REPEATS, n_faults: int = TUNER_FAULTS, magnitudes: Sequence[float] = TUNER_MAGNITUDES, kinds: Sequence[str] = TUNER_KINDS, apart: int = APART) -> DataFrame:
+    """The tuner's faults, in the same form: spikes, and runs of 3 to 9 rows, at least `apart` rows from each other and the ends."""
+    width, n_slots = slots(apart, n - apart, n_faults, apart + RUN[1])
+    key = (F.col("rep"), F.col("fault"))
+    out = _numbered(spark, repeats, n_slots).withColumn("kind", _pick(kinds, draw(seed, "kind", *key)))
+    out = out.withColumn("length", F.when(F.col("kind") == "spike", 1).otherwise(RUN[0] + draw(seed, "length", *key) % (RUN[1] - RUN[0] + 1)).cast("long"))
+    place = F.lit(apart) + F.col("fault").cast("long") * width + draw(seed, "place", *key) % (F.lit(width - apart + 1) - F.col("length"))
+    size = F.when(F.col("kind").isin("spike", "level_shift"), _pick([float(m) for m in magnitudes], draw(seed, "size", *key)))
+    sign = F.when(draw(seed, "sign", *key) % 2 == 0, 1.0).otherwise(-1.0)
+    return out.select(*key, "kind", place.alias("position"), "length", size.alias("magnitude"), sign.alias("sign"), F.lit(seed).alias("seed"))
 
 
 def local_scale(readings: DataFrame, window: int = SCALE_WINDOW) -> DataFrame:
@@ -83,22 +83,24 @@ def local_scale(readings: DataFrame, window: int = SCALE_WINDOW) -> DataFrame:
 
 
 def apply_faults(series: DataFrame, faults: DataFrame, tuner: bool = False) -> DataFrame:
-    """(rep, channel, pos, ts, value, fault): the series once for each repetition, damaged. `series` has `unit`.
+    """(rep, channel, pos, ts, value, fault, kind, magnitude): the series once for each repetition, damaged. `series` has `unit`.
 
-    Faults meet rows by an equi-join on (rep, pos).
+    Repetitions are a handful, so each row is copied by an array of them; faults, a few rows
+    for each, meet their rows by an equi-join on (rep, pos).
     """
-    reps = faults.select("rep").distinct()
-    copies = series.withColumn("k", F.lit(1)).join(F.broadcast(reps.withColumn("k", F.lit(1))), "k").drop("k")
-    hit = faults.select("rep", "fault", "kind", "magnitude", "sign", "position", "factors", F.explode(F.sequence("position", F.col("position") + F.col("length") - 1)).alias("pos"))
-    out = copies.join(hit, ["rep", "pos"], "left")
-    v, moved = F.col("value"), F.col("value") + F.col("sign") * F.col("magnitude") * F.col("unit")
+    reps = [r.rep for r in faults.select("rep").distinct().orderBy("rep").collect()]
+    copies = series.withColumn("rep", F.explode(F.array(*map(F.lit, reps)) if reps else F.array().cast("array<int>")))
+    rows = faults.withColumn("pos", F.explode(F.sequence("position", F.col("position") + F.col("length") - 1)))
+    v = F.col("value")
     if tuner:
-        stuck = series.select("channel", F.col("pos").alias("position"), F.col("value").alias("_first"))
-        out = out.join(stuck, ["channel", "position"], "left")
-        value = F.when(F.col("kind").isin("spike", "level_shift"), moved).when(F.col("kind") == "dropout", v * 0.05).when(F.col("kind") == "flatline", F.col("_first")).otherwise(v)
+        first = series.select(F.col("pos").alias("position"), v.alias("first"))
+        rows = rows.join(first, "position", "left").withColumn("left_over", F.lit(LEFT_OVER))
+        damaged = F.when(F.col("kind") == "flatline", F.col("first")).when(F.col("kind") == "dropout", v * F.col("left_over")).otherwise(v + F.col("sign") * F.col("magnitude") * F.col("unit"))
     else:
-        value = F.when(F.col("kind") == "dropout", v * F.get("factors", (F.col("pos") - F.col("position")).cast("int"))).when(F.col("kind").isNotNull(), F.greatest(moved, F.lit(0.0))).otherwise(v)
-    return out.select("rep", "channel", "pos", "ts", value.alias("value"), "fault", "kind", "magnitude")
+        rows = rows.withColumn("left_over", LEFT_OVER * (draw(F.col("seed"), "left", F.col("rep"), F.col("pos")) / F.lit(float(2**32))))
+        damaged = F.when(F.col("kind") == "dropout", v * F.col("left_over")).otherwise(F.greatest(v + F.col("sign") * F.col("magnitude") * F.col("unit"), F.lit(0.0)))
+    out = copies.join(rows.drop("position", "length", "seed"), ["rep", "pos"], "left")
+    return out.select("rep", "channel", "pos", "ts", F.when(F.col("fault").isNull(), v).otherwise(damaged).alias("value"), "fault", "kind", "magnitude")
 
 
 def _ratio(a, b):
@@ -114,11 +116,11 @@ def point_scores(flags: DataFrame, by: Sequence[str] = ("rep",)) -> DataFrame:
 
 
 def event_scores(flags: DataFrame, by: Sequence[str] = ("rep",)) -> DataFrame:
-    """tp, fp, n_flagged, precision of rows, recall of events, f1 and the precision-heavy f_half."""
+    """tp, fp, n_flagged, precision of rows (missing if nothing is flagged), recall of events, f1 and the precision-heavy f_half."""
     truth = F.col("fault").isNotNull()
     rows = flags.groupBy(*by).agg(F.count_if(F.col("flagged") & truth).alias("tp"), F.count_if(F.col("flagged") & ~truth).alias("fp"), F.count_if("flagged").alias("n_flagged"))
     events = flags.where(truth).groupBy(*by, "fault").agg(F.max(F.col("flagged").cast("int")).alias("found")).groupBy(*by).agg(F.avg("found").alias("recall_event"))
-    out = rows.join(events, list(by), "left").withColumn("recall_event", F.coalesce("recall_event", F.lit(0.0))).withColumn("precision", _ratio(F.col("tp"), F.col("n_flagged")))
+    out = rows.join(events, list(by), "left").withColumn("recall_event", F.coalesce("recall_event", F.lit(0.0))).withColumn("precision", F.try_divide(F.col("tp"), F.col("n_flagged")))
     p, r = F.col("precision"), F.col("recall_event")
     return out.withColumn("f1", _ratio(2 * p * r, p + r)).withColumn("f_half", _ratio(1.25 * p * r, 0.25 * p + r))
 
@@ -140,28 +142,18 @@ def _as_channels(damaged: DataFrame) -> DataFrame:
     return damaged.withColumn("channel", F.concat_ws("#", "channel", "rep"))
 
 
-def renumbered(series: DataFrame) -> DataFrame:
-    """The rows with a value, `pos` counted anew: a rank within chunks plus one sum over chunks."""
-    rows = with_chunk(series.where("value is not null"))
-    before = F.sum("n").over(Window.partitionBy("channel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = rows.groupBy("channel", "chunk").agg(F.count("*").alias("n")).select("channel", "chunk", F.coalesce(before, F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(sizes), ["channel", "chunk"]).withColumn("pos", F.col("_before") + F.row_number().over(chunk_window()) - 1).drop("chunk", "_before")
-
-
 def calibrate(series: DataFrame, seed: int = 42, windows: Sequence[int] = WINDOWS, sigmas: Sequence[float] = SIGMAS, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES) -> DataFrame:
     """(window, sigma, precision, recall, f1, f1_std, baseline_flags, reachable) of the rolling z-score on one channel.
 
     Mean and deviation are taken once a window; all sigmas are thresholds on them. Missing rows
-    are dropped first, the rest renumbered. Needs 500 rows. The draws come from NumPy on the
-    driver, a few numbers a fault.
+    are dropped first, the rest renumbered. Needs 500 rows.
     """
-    spark = series.sparkSession
     rows = renumbered(series)
     n = rows.count()
     if n < 500:
         raise ValueError("a calibration needs 500 readings at least")
     scaled = local_scale(rows.select("channel", "pos", "ts", "value"))
-    faults = fault_frame(spark, [f for rep in range(repeats) for f in draw_faults(n, seed, rep, n_faults, magnitudes)])
+    faults = draw_faults(series.sparkSession, n, seed, repeats, n_faults, magnitudes)
     damaged = _as_channels(apply_faults(scaled, faults))
     clean = rows.select(F.lit(-1).alias("rep"), F.concat_ws("#", "channel", F.lit("-1")).alias("channel"), "pos", "ts", "value", F.lit(None).cast("int").alias("fault"))
     both = damaged.select("rep", "channel", "pos", "ts", "value", "fault").unionByName(clean)
@@ -188,6 +180,16 @@ def calibrate(series: DataFrame, seed: int = 42, windows: Sequence[int] = WINDOW
     return long.groupBy("window", "sigma").agg(F.avg(F.when(own, F.col("p"))).alias("precision"), F.avg(F.when(own, F.col("r"))).alias("recall"), F.avg(F.when(own, F.col("f"))).alias("f1"), F.stddev_pop(F.when(own, F.col("f"))).alias("f1_std"), F.max(F.when(~own, F.col("fp"))).alias("baseline_flags"), F.first("reachable").alias("reachable"))
 
 
+def recall_at(series: DataFrame, window: int, sigma: float, seed: int = 42, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES) -> DataFrame:
+    """(kind, magnitude, length, recall, n) of the rolling z-score at one cell: the share of faults whose first row is flagged."""
+    rows = renumbered(series)
+    faults = draw_faults(series.sparkSession, rows.count(), seed, repeats, n_faults, magnitudes)
+    damaged = _as_channels(apply_faults(local_scale(rows.select("channel", "pos", "ts", "value")), faults))
+    flags = rolling_zscore(damaged, window, sigma).select("rep", "pos", "flagged")
+    first = faults.select("rep", F.col("position").alias("pos"), F.when(F.col("kind") == "dropout", "dropout").otherwise("size").alias("kind"), "magnitude", F.when(F.col("kind") == "dropout", F.col("length")).alias("length"))
+    return first.join(flags, ["rep", "pos"]).groupBy("kind", "magnitude", "length").agg(F.avg(F.col("flagged").cast("double")).alias("recall"), F.count("*").alias("n"))
+
+
 def best_cell(grid: DataFrame) -> DataFrame:
     """The reachable cell with the highest f1, the first of equals."""
     return grid.where("reachable").orderBy(F.desc("f1"), "window", "sigma").limit(1)
@@ -199,35 +201,61 @@ def near_best(grid: DataFrame, repeats: int, score: str = "f1", spread: str = "f
     return grid.withColumn("k", F.lit(1)).join(F.broadcast(top.withColumn("k", F.lit(1))), "k").where(F.col(score) >= F.col("bar")).drop("k", "bar")
 
 
-def tune_hampel(series: DataFrame, seed: int = 0, windows: Sequence[int] = TUNER_WINDOWS, sigmas: Sequence[float] = TUNER_SIGMAS, repeats: int = 3, n_faults: int = 40, magnitudes: Sequence[float] = (4.0, 6.0, 10.0)) -> DataFrame:
-    """(window, sigma, tp, fp, precision, recall_event, f1, f_half, n_flagged, f_half_sd) of the two-stage filter."""
-    spark, n = series.sparkSession, series.count()
-    sd = MAD_TO_SIGMA
+def _hampel_excess(series: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Adds `excess`, one entry a window: how many robust deviations each row lies from its rolling median."""
+    out = None
+    for w in windows:
+        own = hampel(series, w, 1.0).withColumn("_x", F.abs(F.col("value") - F.col("centre")) / F.nullif(MAD_TO_SIGMA * F.col("spread"), F.lit(0.0)))
+        own = own.select(*series.columns, F.lit(w).alias("window"), F.col("_x").alias("excess"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _name(what: str, k: int) -> str:
+    return f"{what}_{k}"
+
+
+def _by_sigma(counts: DataFrame, keys: Sequence[str], sigmas: Sequence[float], kinds: Sequence[str]) -> DataFrame:
+    """One row a sigma from one column for each kind of count and sigma."""
+    cells = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), *(F.col(_name(c, k)).alias(c) for c in kinds)) for k, s in enumerate(sigmas)])
+    return counts.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+
+
+def tune_hampel(series: DataFrame, seed: int = 0, windows: Sequence[int] = TUNER_WINDOWS, sigmas: Sequence[float] = TUNER_SIGMAS, repeats: int = TUNER_REPEATS, n_faults: int = TUNER_FAULTS, magnitudes: Sequence[float] = TUNER_MAGNITUDES) -> DataFrame:
+    """(window, sigma, tp, fp, precision, recall_event, f1, f_half, n_flagged, f_half_sd) of the two-stage filter.
+
+    Each window is filtered once: the largest excess of each fault, and counts of rows beyond
+    every sigma, come from one aggregate.
+    """
+    n = series.count()
     centre = series.agg(F.percentile("value", F.lit(0.5))).first()[0]
     spread = series.agg(F.percentile(F.abs(F.col("value") - centre), F.lit(0.5)), F.stddev_pop("value")).first()
-    unit = sd * spread[0] if spread[0] else spread[1]
-    faults = fault_frame(spark, [f for rep in range(repeats) for f in draw_runs(n, seed, rep, n_faults, magnitudes)])
+    unit = MAD_TO_SIGMA * spread[0] if spread[0] else spread[1]
+    faults = draw_runs(series.sparkSession, n, seed, repeats, n_faults, magnitudes)
     damaged = _as_channels(apply_faults(series.select("channel", "pos", "ts", "value").withColumn("unit", F.lit(float(unit))), faults, tuner=True))
-    cells = None
-    for w in windows:
-        own = hampel(damaged, w, 1.0).withColumn("_x", F.abs(F.col("value") - F.col("centre")) / F.nullif(sd * F.col("spread"), F.lit(0.0)))
-        own = own.select("rep", "fault", F.lit(w).alias("window"), F.explode(F.array(*[F.lit(float(s)) for s in sigmas])).alias("sigma"), "_x")
-        cells = own if cells is None else cells.unionByName(own)
-    cells = event_scores(cells.withColumn("flagged", F.coalesce(F.col("_x") > F.col("sigma"), F.lit(False))), ("rep", "window", "sigma"))
+    excess = _hampel_excess(damaged, windows)
+    beyond = lambda s: F.coalesce(F.col("excess") > float(s), F.lit(False))
+    truth = F.col("fault").isNotNull()
+    # Rows of one fault first, then all of a repetition: both count every sigma at once.
+    by_fault = excess.groupBy("rep", "window", "fault").agg(*[F.count_if(beyond(s)).alias(_name("hits", k)) for k, s in enumerate(sigmas)])
+    sums = []
+    for k in range(len(sigmas)):
+        hits = F.col(_name("hits", k))
+        sums += [F.sum(F.when(truth, hits).otherwise(0)).alias(_name("tp", k)), F.sum(F.when(~truth, hits).otherwise(0)).alias(_name("fp", k)), F.avg(F.when(truth, (hits > 0).cast("int"))).alias(_name("recall_event", k))]
+    cells = _by_sigma(by_fault.groupBy("rep", "window").agg(*sums), ("rep", "window"), sigmas, ("tp", "fp", "recall_event"))
+    cells = cells.withColumn("n_flagged", F.col("tp") + F.col("fp")).withColumn("recall_event", F.coalesce("recall_event", F.lit(0.0))).withColumn("precision", F.try_divide(F.col("tp"), F.col("n_flagged")))
+    p, r = F.col("precision"), F.col("recall_event")
+    cells = cells.withColumn("f1", _ratio(2 * p * r, p + r)).withColumn("f_half", _ratio(1.25 * p * r, 0.25 * p + r))
     means = [F.avg(c).alias(c) for c in ("tp", "fp", "precision", "recall_event", "f1", "f_half", "n_flagged")]
     return cells.groupBy("window", "sigma").agg(*means, F.stddev_pop("f_half").alias("f_half_sd"))
 
 
 def stability(series: DataFrame, windows: Sequence[int] = TUNER_WINDOWS, sigmas: Sequence[float] = TUNER_SIGMAS) -> DataFrame:
     """(window, sigma, n_flagged, pct_flagged) on the series as it is."""
-    out = None
-    for w in windows:
-        own = hampel(series, w, 1.0).withColumn("_x", F.abs(F.col("value") - F.col("centre")) / F.nullif(MAD_TO_SIGMA * F.col("spread"), F.lit(0.0)))
-        sums = own.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(F.col("_x") > s, F.lit(False))).alias(f"s{k}") for k, s in enumerate(sigmas)])
-        rows = sums.select(F.lit(w).alias("window"), "n", F.explode(F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.col(f"s{k}").alias("n_flagged")) for k, s in enumerate(sigmas)])).alias("c"))
-        rows = rows.select("window", "c.sigma", "c.n_flagged", (100 * F.col("c.n_flagged") / F.col("n")).alias("pct_flagged"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    beyond = [F.count_if(F.coalesce(F.col("excess") > float(s), F.lit(False))).alias(_name("n_flagged", k)) for k, s in enumerate(sigmas)]
+    counts = _hampel_excess(series, windows).groupBy("window").agg(F.count("*").alias("n"), *beyond)
+    long = _by_sigma(counts, ("window", "n"), sigmas, ("n_flagged",))
+    return long.select("window", "sigma", "n_flagged", (100 * F.col("n_flagged") / F.col("n")).alias("pct_flagged"))
 
 
 def sensitivity(grid: DataFrame, score: str = "f_half") -> DataFrame:

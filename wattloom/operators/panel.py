@@ -17,17 +17,32 @@ def seconds(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def grid(events: DataFrame, ts: str, channel: str, value: str, step_s: int) -> DataFrame:
-    """Mean of `value` by channel and step, on the complete grid of all steps and channels; empty cells are NULL.
+#: Cells of a grid that one row of bounds turns into.
+CELLS = 4096
+
+
+def _cells(spans: DataFrame) -> DataFrame:
+    """Rows (.., slot) for the slots a .. b of each row of `spans` (.., a, b).
 
-    The grid is generated from one row of bounds, so it needs no shuffle of its own.
+    Stretches of CELLS slots are dealt out before they become rows, so a grid is made by many tasks.
     """
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first, last = F.floor(F.col("a") / CELLS), F.floor(F.col("b") / CELLS)
+    parts = spans.where("a <= b").withColumn("_part", F.explode(F.sequence(first, last)))
+    keys = [c for c in spans.columns if c not in ("a", "b")]
+    parts = parts.repartition(n, *keys, "_part")
+    slot = F.explode(F.sequence(F.greatest(F.col("a"), F.col("_part") * CELLS), F.least(F.col("b"), F.col("_part") * CELLS + CELLS - 1)))
+    return parts.withColumn("slot", slot).drop("_part")
+
+
+def grid(events: DataFrame, ts: str, channel: str, value: str, step_s: int) -> DataFrame:
+    """Mean of `value` by channel and step, on the complete grid of all steps and channels; empty cells are NULL."""
     slot = F.floor(seconds(F.col(ts)) / step_s).cast("long")
     value_ = F.nanvl(F.col(value).cast("double"), F.lit(None))
     means = events.select(F.col(channel).alias("channel"), slot.alias("slot"), value_.alias("v")).groupBy("channel", "slot").agg(F.avg("v").alias("value"))
-    bounds = events.agg(F.min(slot).alias("a"), F.max(slot).alias("b"), F.sort_array(F.collect_set(channel)).alias("names"))
-    slots = bounds.select("a", "names", F.explode(F.sequence("a", "b")).alias("slot"))
-    cells = slots.select("a", F.explode("names").alias("channel"), "slot")
+    bounds = events.agg(F.struct(F.min(slot).alias("a"), F.max(slot).alias("b"))).scalar()
+    names = events.groupBy(F.col(channel).alias("channel")).agg(F.count("*").alias("_n"))
+    cells = _cells(names.select("channel", bounds["a"].alias("a"), bounds["b"].alias("b")))
     ts_ = F.timestamp_add("SECOND", F.col("slot") * step_s, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
     return cells.join(means, ["channel", "slot"], "left").select("channel", (F.col("slot") - F.col("a")).alias("pos"), ts_.alias("ts"), "value")
 
@@ -38,10 +53,10 @@ def uniform_grid(readings: DataFrame, step_s: int) -> DataFrame:
     Readings off the grid are dropped. A channel with two readings at one time is an error,
     as it leaves open which one holds.
     """
-    span = readings.groupBy("channel").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    n = F.timestamp_diff("SECOND", F.col("a"), F.col("b")) / step_s
-    cells = span.select("channel", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(n))).alias("pos"))
-    cells = cells.select("channel", "pos", F.timestamp_add("SECOND", F.col("pos") * step_s, F.col("a")).alias("ts"))
+    span = readings.groupBy("channel").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
+    n = F.floor(F.timestamp_diff("SECOND", F.col("start"), F.col("end")) / step_s)
+    cells = _cells(span.select("channel", "start", F.lit(0).cast("long").alias("a"), n.alias("b")))
+    cells = cells.select("channel", F.col("slot").alias("pos"), F.timestamp_add("SECOND", F.col("slot") * step_s, F.col("start")).alias("ts"))
     once = readings.groupBy("channel", "ts").agg(F.max("value").alias("value"), F.count("*").alias("n"))
     once = once.select("channel", "ts", F.when(F.col("n") > 1, F.raise_error(F.lit("duplicate timestamps: remove them before gridding")).cast("double")).otherwise(F.col("value")).alias("value"))
     return cells.join(once, ["channel", "ts"], "left").select("channel", "pos", "ts", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
 from wattloom.operators.gaps import longest_gap
 
 PERCENTILES = (1, 5, 25, 75, 95, 99)
@@ -23,10 +24,11 @@ def naive_total(readings: DataFrame) -> DataFrame:
     return readings.groupBy("pos", "ts").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
 
 
-def worst_timestamps(readings: DataFrame, top: int = 5) -> DataFrame:
-    """(ts, missing, naive, total): the `top` times at which most channels are missing."""
+def worst_timestamps(readings: DataFrame, filled: DataFrame, top: int = 5) -> DataFrame:
+    """(ts, missing, naive, total): the `top` times at which most channels are missing; `total` is that of the `filled` readings."""
     by = readings.groupBy("pos", "ts").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("naive"))
-    return by.where("missing > 0").orderBy(F.desc("missing"), "pos").limit(top).drop("pos")
+    worst = by.where("missing > 0").orderBy(F.desc("missing"), "pos").limit(top)
+    return strict_total(filled.join(F.broadcast(worst.select("pos")), "pos", "left_semi")).join(worst, ["pos", "ts"]).select("ts", "missing", "naive", "total")
 
 
 def missing_by_channel(readings: DataFrame) -> DataFrame:
@@ -176,9 +178,10 @@ def peak_trough_effect(original: DataFrame, filtered: DataFrame, window: int = 6
     Missing rows are left out first and the rest renumbered. Needs over 1000 residuals, and 50 on either side.
     """
     both = original.select("channel", "pos", F.col("value").alias("o")).join(filtered.select("channel", "pos", F.col("value").alias("f")), ["channel", "pos"]).where("o is not null and f is not null")
-    w = Window.partitionBy("channel").orderBy("pos")
-    frame = w.rowsBetween(-(window // 2), window - 1 - window // 2)
-    rows = both.withColumn("centre", F.when(F.count("o").over(frame) >= min_periods, F.percentile("o", F.lit(0.5)).over(frame)))
+    before, after = window // 2, window - 1 - window // 2
+    rows = with_halo(renumbered(both.withColumn("value", F.col("o"))), before, after)
+    frame = chunk_window().rowsBetween(-before, after)
+    rows = own_rows(rows.withColumn("centre", F.when(F.count("o").over(frame) >= min_periods, F.percentile("o", F.lit(0.5)).over(frame))))
     r, high, low = F.col("o") - F.col("f"), F.col("o") > F.col("centre"), F.col("o") < F.col("centre")
     enough = (F.count("*") > 1000) & (F.count_if(high) > 50) & (F.count_if(low) > 50)
     return rows.groupBy("channel").agg(F.when(enough, F.avg(F.when(high, r))).alias("peak"), F.when(enough, F.avg(F.when(low, r))).alias("trough"))

@@ -11,7 +11,7 @@ from wattloom.operators.rolling import check_detector
 
 EMPTY, LOADED, SENTINELS_HANDLED, AGGREGATED = "empty", "loaded", "sentinels_handled", "aggregated"
 #: The stage that a layer's name stands for when one goes back to it.
-STAGE_OF_LAYER = {"Raw": LOADED, "Sentinels": SENTINELS_HANDLED, "Interpolated": SENTINELS_HANDLED, "Aggregated": AGGREGATED}
+STAGE_OF_LAYER = {"Raw": LOADED, "Sentinels": LOADED, "Interpolated": SENTINELS_HANDLED, "Aggregated": AGGREGATED}
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,14 @@ def advance(s: State, action: str) -> State:
     return State(LOADED if action == "import" else s.stage, s.kind, s.role, s.has_holes, s.can_revert or action in ("clean", "fill_gaps", "filter", "normalise"))
 
 
+def revert(s: State, layer: str, first: bool = False) -> State:
+    """The state after going back to `layer`; `first`: it is the bottom one. Other layers keep the stage."""
+    if s.busy or not s.can_revert:
+        raise ValueError("there is nothing to go back to")
+    stage = LOADED if first and s.kind == AGGREGATE_SERIES else STAGE_OF_LAYER.get(layer, s.stage)
+    return State(stage, s.kind, s.role, s.has_holes, not first)
+
+
 def check_parameters(*, window: int | None = None, sigma: float | None = None, cutoff_min: float | None = None, step_min: float | None = None, max_gap: int | None = None, rows: int | None = None, share_pct: float | None = None, low: float | None = None, high: float | None = None, layer: str = "") -> list[str]:
     """Raise on what cannot work; return warnings on what is unusual."""
     warnings = []
@@ -92,9 +100,12 @@ def date_window(mode: str, start: date, first: date, last: date) -> tuple[date,
     return max(start, first), min(end, last)
 
 
-def shift_window(mode: str, start: date, direction: int, first: date, last: date) -> date:
-    """Start of the next (1) or previous (-1) window, inside the data."""
+def shift_window(mode: str, start: date, direction: int, first: date, last: date, end: date | None = None) -> date:
+    """Start of the next (1) or previous (-1) window, inside the data. A free span, start to `end`, moves by its own length."""
     if mode == "Full":
         return first
+    if end is not None:
+        span = end - start + timedelta(days=1)
+        return max(min(start + direction * span, last - span + timedelta(days=1)), first)
     moved = _add_months(start, direction) if mode == "Month" else start + direction * timedelta(days={"Week": 7, "Day": 1}[mode])
     return min(max(moved, first), last)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from wattloom.model import AGGREGATE_SERIES, POWER, Channel, Dataset
 from wattloom.operators.gaps import interpolate
+from wattloom.operators.lowpass import lowpass
+from wattloom.operators.repair import clean_series, corrections, impute_missing, region_table
 from wattloom.operators.scaling import fit, transform
 from wattloom.operators.screen import SENTINELS, candidates, hits_by, ledger, replace_sentinels
-from wattloom.operators.stats import energy_kwh, missing_by_channel, moments, naive_total, strict_total, worst_timestamps
+from wattloom.operators.stats import effect, energy_kwh, increment_moments, missing_by_channel, moments, naive_total, peak_trough_effect, residual_moments, strict_total, worst_timestamps
 from wattloom.plans.reports import lines_of, report
 
 EMPTY_LEDGER = "ts timestamp_ntz, channel string, before double, after double, reason string"
@@ -97,7 +99,7 @@ class AggregateStep:
         out = replace(ds, readings=summed, channels=(channel,), kind=AGGREGATE_SERIES, layer=self.name)
 
         def render() -> str:
-            parts = [("Statistics", lines_of(moments(summed))), ("Energy", lines_of(energy_kwh(summed, ds.interval_s))), ("Sum of what is there, for comparison", lines_of(moments(naive_total(ds.readings).select(F.lit("naive").alias("channel"), F.col("total").alias("value"))))), ("Times with most channels missing", lines_of(worst_timestamps(ds.readings)))]
+            parts = [("Statistics", lines_of(moments(summed))), ("Energy", lines_of(energy_kwh(summed, ds.interval_s))), ("Sum of what is there, for comparison", lines_of(moments(naive_total(ds.readings).select(F.lit("naive").alias("channel"), F.col("total").alias("value"))))), ("Times with most channels missing", lines_of(worst_timestamps(ds.readings, interpolate(ds.readings))))]
             return report("Aggregation", ds, [f"channels: {len(ds.channels)}"], parts)
 
         return StepResult(out, no_ledger(ds), {}, render)
@@ -120,6 +122,75 @@ class NormaliseStep:
         return StepResult(replace(out, channels=channels), no_ledger(ds), {"scaler": scaler}, lambda: report("Normalisation", ds, [f"range: {self.low:g} to {self.high:g}", f"learnt on {self.share:.0%} of the rows"], [("Scaler", lines_of(scaler))]))
 
 
+@dataclass(frozen=True)
+class CleanStep:
+    """Flagged readings are replaced by local fits. The ledger has every flagged reading, replaced or missing now."""
+
+    method: str = "zscore"
+    window: int = 48
+    sigma: float = 3.0
+    max_gap: int = 24
+    key: str = "clean"
+    name: str = "Cleaned"
+
+    def run(self, ds: Dataset) -> StepResult:
+        out = clean_series(ds.readings, self.method, self.window, self.sigma, max_gap=self.max_gap)
+
+        def render() -> str:
+            n = out.agg(F.count_if("flagged").alias("f"), F.count_if("imputed").alias("i")).first()
+            facts = [f"method: {self.method}, window {self.window}, sigma {self.sigma:g}", f"flagged: {n.f:,}", f"replaced: {n.i:,}"]
+            left = region_table(out, "flagged").where("not imputed").orderBy("channel", "start")
+            return report("Cleaning", ds, facts, [("Largest corrections", lines_of(corrections(out, 15))), ("Left missing", lines_of(left)), ("Before and after", lines_of(effect(ds.readings, out).orderBy("channel", F.desc("stage"))))])
+
+        return StepResult(ds.with_readings(out.select(*ds.readings.columns), self.name), ledger(out, F.col("flagged"), f"{self.method} (window {self.window}, sigma {self.sigma:g})"), {}, render)
+
+
+@dataclass(frozen=True)
+class FillStep:
+    """Holes are filled by local fits, or by zero at night. The ledger has the filled readings."""
+
+    max_gap: int = 24
+    context: int = 60
+    dark_threshold: float | None = None
+    key: str = "fill"
+    name: str = "Filled"
+
+    def run(self, ds: Dataset) -> StepResult:
+        limits = {c.valid_range for c in ds.channels}
+        bounds = limits.pop() if len(limits) == 1 else None
+        out = impute_missing(ds.readings, context=self.context, max_gap=self.max_gap, valid_range=bounds, dark_threshold=self.dark_threshold)
+        changed = out.withColumn("before", F.lit(None).cast("double"))
+
+        def render() -> str:
+            n = out.agg(F.count_if("imputed").alias("i"), F.count_if("clamped").alias("c"), F.count_if(F.col("value").isNull()).alias("m")).first()
+            left = region_table(out, "value is null").orderBy("channel", "start")
+            return report("Gap filling", ds, [f"longest gap filled: {self.max_gap} rows", f"filled: {n.i:,}", f"clamped: {n.c:,}", f"still missing: {n.m:,}"], [("Left missing", lines_of(left))])
+
+        return StepResult(ds.with_readings(out.select(*ds.readings.columns), self.name), ledger(changed, F.col("imputed"), f"local fit (gaps up to {self.max_gap})"), {}, render)
+
+
+@dataclass(frozen=True)
+class FilterStep:
+    """Zero-phase low-pass on the channel's own grid. The ledger has readings that changed by more than rounding."""
+
+    cutoff_min: float = 30.0
+    order: int = 3
+    key: str = "filter"
+    name: str = "Filtered"
+
+    def run(self, ds: Dataset) -> StepResult:
+        out = lowpass(ds.readings, ds.interval_s, self.cutoff_min, self.order)
+        old = ds.readings.select("channel", "ts", F.col("value").alias("before"))
+        changed = out.join(old, ["channel", "ts"], "left")
+        moved = F.coalesce(F.abs(F.col("value") - F.col("before")) > 1e-8 + 1e-9 * F.abs("before"), F.col("value").isNull() != F.col("before").isNull())
+
+        def render() -> str:
+            parts = [("What was taken away", lines_of(residual_moments(ds.readings, out))), ("Steps before", lines_of(increment_moments(ds.readings))), ("Steps after", lines_of(increment_moments(out))), ("At peaks and troughs", lines_of(peak_trough_effect(ds.readings, out)))]
+            return report("Low-pass filter", ds, [f"cutoff: {self.cutoff_min:g} min, order {self.order}"], parts)
+
+        return StepResult(ds.with_readings(out, self.name), ledger(changed, moved, f"low-pass ({self.cutoff_min:g} min)"), {}, render)
+
+
 def run_chain(ds: Dataset, steps: Sequence[Step]) -> StepResult:
     """Run steps one after the other; ledgers are joined, stats keyed by step."""
     ledgers, stats, renders = no_ledger(ds), {}, []

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from wattloom.operators import faults as flt
 from wattloom.operators import stats
-from wattloom.operators.classify import fingerprint
-from wattloom.operators.distributions import distribution_fits
+from wattloom.operators.chunks import renumbered
+from wattloom.operators.classify import channel_roles, fingerprint
+from wattloom.operators.distributions import channel_statistics, distribution_fits, skew_range
 from wattloom.operators.gaps import interpolate, longest_complete_run, longest_gap, regions
 from wattloom.operators.lowpass import lowpass
 from wattloom.operators.panel import grid, median_interval, uniform_grid
@@ -52,6 +53,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_all(df: DataFrame, digits: int = 6) -> DataFrame:
+    """The same for columns with dots in their names."""
+    return df.toDF(*[c.replace(".", "\0") for c in df.columns]).transform(rounded, digits).toDF(*df.columns)
+
+
 def with_sql(columns: str, tail: str = "", more: str = "") -> str:
     return f"WITH {PANEL}{', ' + more if more else ''} SELECT {columns} {tail}"
 
@@ -220,14 +226,17 @@ def energy_total(spark, sf_dir):
     return rounded(stats.energy_kwh(panel(spark, sf_dir), HOUR))
 
 
-@query(with_sql("channel, count(value) AS n, count(*) FILTER (value IS NULL) AS n_missing, round(100.0 * count(*) FILTER (value IS NULL) / count(*), 6) AS pct_missing", "FROM p GROUP BY channel"))
+@query(with_sql("channel, count(value) AS n, count(*) FILTER (value IS NULL) AS n_missing, round(100.0 * count(*) FILTER (value IS NULL) / count(*), 6) AS pct_missing, coalesce((SELECT max(length) FROM g WHERE g.gap AND g.channel = p.channel), 0) AS longest_gap", "FROM p GROUP BY channel", RUNS))
 def coverage(spark, sf_dir):
-    return rounded(stats.coverage(panel(spark, sf_dir)).drop("longest_gap"))
+    return rounded(stats.coverage(panel(spark, sf_dir)))
 
 
-@query(with_sql("ts, count(*) FILTER (value IS NULL) AS missing, round(coalesce(sum(value), 0.0), 6) AS naive", "FROM p GROUP BY pos, ts HAVING count(*) FILTER (value IS NULL) > 0 ORDER BY missing DESC, pos LIMIT 5"))
+@query(with_sql("w.ts, missing, naive, round(total, 6) AS total", "FROM w JOIN t USING (pos)", FILLED + """,
+    w AS (SELECT pos, ts, count(*) FILTER (value IS NULL) AS missing, round(coalesce(sum(value), 0.0), 6) AS naive FROM p GROUP BY pos, ts HAVING count(*) FILTER (value IS NULL) > 0 ORDER BY missing DESC, pos LIMIT 5),
+    t AS (SELECT pos, CASE WHEN count(value) = count(*) THEN sum(value) END AS total FROM f GROUP BY pos)"""))
 def worst_timestamps(spark, sf_dir):
-    return rounded(stats.worst_timestamps(panel(spark, sf_dir)))
+    p = panel(spark, sf_dir)
+    return rounded(stats.worst_timestamps(p, interpolate(p, LIMIT)))
 
 
 SCALER = f"""
@@ -269,6 +278,20 @@ def channel_fingerprint(spark, sf_dir):
     return rounded(fingerprint(panel(spark, sf_dir)))
 
 
+NAME_ROLE = "CASE WHEN regexp_matches(channel, 'ghi|dni|dhi|irradian|insolat|solar[_ ]?rad|w[_ ]?m2|w/m', 'i') AND (NOT regexp_matches(channel, 'kwh?|k_?w|power|load|demand|active|total|household', 'i') OR regexp_matches(channel, 'ghi|dni|dhi|irradian|w[_ ]?m2|w/m', 'i')) THEN 'irradiance' WHEN regexp_matches(channel, 'ghi|dni|dhi|irradian|insolat|solar[_ ]?rad|w[_ ]?m2|w/m', 'i') THEN 'power' WHEN regexp_matches(channel, 'temp|t_?amb|ambient|deg[_ ]?c|°c', 'i') THEN 'temperature' WHEN regexp_matches(channel, 'kwh?|k_?w|power|load|demand|active|total|household', 'i') THEN 'power' END"
+#: Names that the roles query gives the channels, by their order.
+ROLE_NAMES = ("GHI", "solar_power_kw", "total_w_m2", "t_amb", "insolation load")
+
+
+@query(with_sql("channel, coalesce(by_name, 'unknown') AS role, CASE WHEN by_name IS NULL THEN 0.0 ELSE CAST(0.9 AS DOUBLE) END AS confidence, '' AS note", f"FROM (SELECT channel, {NAME_ROLE} AS by_name FROM named)", f"named AS (SELECT concat_ws(' ', channel, ['{"', '".join(ROLE_NAMES)}'][row_number() OVER (ORDER BY channel)]) AS channel FROM (SELECT DISTINCT channel FROM p WHERE value IS NOT NULL))"))
+def channel_role(spark, sf_dir):
+    """Roles by name and values; the events' values are neither light nor air, so that names decide."""
+    prints = fingerprint(panel(spark, sf_dir)).orderBy("channel")
+    names = {r.channel: f"{r.channel} {ROLE_NAMES[k]}" if k < len(ROLE_NAMES) else r.channel for k, r in enumerate(prints.select("channel").collect())}
+    pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return channel_roles(prints.withColumn("channel", pairs[F.col("channel")]))
+
+
 @query(with_sql("median(step) AS interval_s, min(step) = max(step) AS regular", "FROM (SELECT epoch(ts) - epoch(lag(ts) OVER (ORDER BY pos)) AS step FROM (SELECT DISTINCT pos, ts FROM p)) WHERE step IS NOT NULL"))
 def sampling_interval(spark, sf_dir):
     return median_interval(panel(spark, sf_dir))
@@ -320,7 +343,7 @@ def load_series(spark: SparkSession, rows: int = 2016) -> DataFrame:
 def load_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channels' hourly total as one series without missing rows; gaps of any length are interpolated."""
     total = stats.strict_total(interpolate(panel(spark, sf_dir), None))
-    return flt.renumbered(total.select(F.lit("total").alias("channel"), "pos", "ts", F.col("total").alias("value")))
+    return renumbered(total.select(F.lit("total").alias("channel"), "pos", "ts", F.col("total").alias("value")))
 
 
 MOMENTS = "count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(skewness(value), 6) AS skew, round(kurtosis(value), 6) AS kurtosis"
@@ -350,15 +373,15 @@ def residual_moments(spark, sf_dir):
     return rounded(stats.residual_moments(p, smooth))
 
 
-@query("SELECT CAST(0.0 AS DOUBLE) AS max_error")
+@query(with_sql("round(max(abs((CASE WHEN constant THEN data_min ELSE data_min + st.value * (data_max - data_min) END) - p.value)), 6) AS max_error", "FROM p JOIN st USING (channel, pos) JOIN sc USING (channel) WHERE p.value IS NOT NULL", SCALER))
 def round_trip(spark, sf_dir):
     p = panel(spark, sf_dir)
     return rounded(round_trip_error(p, fit(p, SHARE)))
 
 
-@query(with_sql("channel, tp, fp, n_flagged, round(coalesce(tp / nullif(n_flagged, 0), 0), 6) AS precision, round(coalesce(found, 0), 6) AS recall_event", "FROM (SELECT channel, count(*) FILTER (flagged AND pos % 37 = 0) AS tp, count(*) FILTER (flagged AND pos % 37 <> 0) AS fp, count(*) FILTER (flagged) AS n_flagged, avg(CASE WHEN pos % 37 = 0 THEN CAST(flagged AS INTEGER) END) AS found FROM zf WHERE value IS NOT NULL GROUP BY channel)", ZSCORE))
+@query(with_sql("channel, tp, fp, n_flagged, round(p_, 6) AS precision, round(r_, 6) AS recall_event, round(coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0), 6) AS f1, round(coalesce(1.25 * p_ * r_ / nullif(0.25 * p_ + r_, 0), 0), 6) AS f_half", "FROM (SELECT *, tp / nullif(n_flagged, 0) AS p_, coalesce(found, 0) AS r_ FROM (SELECT channel, count(*) FILTER (flagged AND pos % 37 = 0) AS tp, count(*) FILTER (flagged AND pos % 37 <> 0) AS fp, count(*) FILTER (flagged) AS n_flagged, avg(CASE WHEN pos % 37 = 0 THEN CAST(flagged AS INTEGER) END) AS found FROM zf WHERE value IS NOT NULL GROUP BY channel))", ZSCORE))
 def event_score(spark, sf_dir):
-    return rounded(flt.event_scores(_scored(spark, sf_dir), ["channel"]).drop("f1", "f_half"))
+    return rounded(flt.event_scores(_scored(spark, sf_dir), ["channel"]))
 
 
 @query(with_sql("CAST(1 + pos % 3 AS DOUBLE) AS magnitude, round(avg(CAST(flagged AS INTEGER)), 6) AS recall, count(*) AS n", "FROM zf WHERE value IS NOT NULL AND pos % 37 = 0 GROUP BY 1", ZSCORE))
@@ -366,16 +389,91 @@ def recall_by_magnitude(spark, sf_dir):
     return rounded(flt.recall_by_magnitude(_scored(spark, sf_dir).withColumn("magnitude", (1 + F.col("pos") % 3).cast("double"))))
 
 
-@query()
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" for v in values) + "]"
+
+
+def _sql_draw(seed: int, what: str, *parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', '{what}', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
+#: The channels' hourly total without missing rows, numbered anew, and its length.
+TOTAL = f"""{PANEL},
+    nb AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS pp,
+        first_value(value IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS np FROM p
+        WINDOW b AS (PARTITION BY channel ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY channel ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    f AS (SELECT channel, pos, ts, coalesce(value, pv + (nv - pv) * (pos - pp) / nullif(np - pp, 0), pv, nv) AS value FROM nb),
+    s0 AS (SELECT pos, ts, CASE WHEN count(value) = count(*) THEN sum(value) END AS value FROM f GROUP BY pos, ts),
+    s AS (SELECT 'total' AS channel, row_number() OVER (ORDER BY pos) - 1 AS pos, ts, value FROM s0 WHERE value IS NOT NULL),
+    size AS (SELECT count(*) AS n FROM s)"""
+
+
+def _sql_faults(repeats: int) -> str:
+    """The series of the first calibration, damaged once for each repetition."""
+    rows = f"greatest(0, n - {2 * flt.MARGIN + flt.LONGEST})"
+    key = ("rep", "fault")
+    return f"""
+    grid AS (SELECT greatest({flt.GAP}, {rows} // {flt.N_FAULTS}) AS width, least({flt.N_FAULTS}, {rows} // greatest({flt.GAP}, {rows} // {flt.N_FAULTS})) AS slots FROM size),
+    d0 AS (SELECT rep, fault, width FROM grid, LATERAL (SELECT unnest(range(slots)) AS fault), (SELECT unnest(range({repeats})) AS rep)),
+    d1 AS (SELECT *, {_sql_list(flt.KINDS)}[1 + {_sql_draw(42, "kind", *key)} % {len(flt.KINDS)}] AS kind, {flt.MARGIN} + fault * width + {_sql_draw(42, "place", *key)} % (width - {flt.GAP} + 1) AS position FROM d0),
+    d AS (SELECT *, CASE WHEN kind = 'dropout' THEN 1 + {_sql_draw(42, "length", *key)} % {flt.LONGEST} ELSE 1 END AS length, CASE WHEN kind <> 'dropout' THEN {_sql_list(flt.MAGNITUDES)}[1 + {_sql_draw(42, "size", *key)} % {len(flt.MAGNITUDES)}] END AS magnitude FROM d1),
+    hit AS (SELECT rep, fault, kind, magnitude, unnest(range(position, position + length)) AS pos FROM d),
+    u0 AS (SELECT *, 1.4826 * mad(value) OVER (ORDER BY pos ROWS BETWEEN {flt.SCALE_WINDOW // 2} PRECEDING AND {flt.SCALE_WINDOW - 1 - flt.SCALE_WINDOW // 2} FOLLOWING) AS scale FROM s),
+    u AS (SELECT channel, pos, ts, value, coalesce(CASE WHEN scale > 0 THEN scale END, (SELECT median(scale) FROM u0 WHERE scale > 0)) AS unit FROM u0),
+    x AS (SELECT r.rep, u.channel, u.pos, u.ts, h.fault, h.kind, h.magnitude, CASE WHEN h.kind = 'dropout' THEN u.value * ({flt.LEFT_OVER} * ({_sql_draw(42, "left", "r.rep", "u.pos")} / 4294967296.0::DOUBLE))
+        WHEN h.kind IS NOT NULL THEN greatest(0.0, u.value + CASE h.kind WHEN 'spike' THEN 1 ELSE -1 END * h.magnitude * u.unit) ELSE u.value END AS value
+        FROM u JOIN (SELECT unnest(range({repeats})) AS rep) r ON TRUE LEFT JOIN hit h ON h.rep = r.rep AND h.pos = u.pos)"""
+
+
+def _sql_frame(w: int, by: str) -> str:
+    return f"(PARTITION BY {by} ORDER BY pos ROWS BETWEEN {w // 2} PRECEDING AND {w - 1 - w // 2} FOLLOWING)"
+
+
+def _sql_calibration() -> str:
+    both = "y AS (SELECT rep, pos, value, fault FROM x UNION ALL SELECT -1, pos, value, NULL FROM s)"
+    windows = " UNION ALL ".join(f"SELECT {w} AS w, rep, fault, CASE WHEN count(value) OVER q >= {max(3, w // 2)} THEN abs(value - avg(value) OVER q) / nullif(stddev_samp(value) OVER q, 0) END AS z FROM y WINDOW q AS {_sql_frame(w, 'rep')}" for w in flt.WINDOWS)
+    return f"""WITH {TOTAL}, {_sql_faults(flt.REPEATS)}, {both}, zs AS ({windows}),
+    counts AS (SELECT w, sigma, rep, count(*) FILTER (fault IS NOT NULL) AS faults, count(*) FILTER (z > sigma AND fault IS NOT NULL) AS tp, count(*) FILTER (z > sigma AND fault IS NULL) AS fp FROM zs, (SELECT unnest({_sql_list(flt.SIGMAS)}) AS sigma) GROUP BY w, sigma, rep),
+    pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p_, coalesce(tp / nullif(faults, 0), 0) AS r_ FROM counts),
+    g AS (SELECT CAST(w AS INTEGER) AS "window", sigma, avg(p_) FILTER (rep >= 0) AS precision, avg(r_) FILTER (rep >= 0) AS recall, avg(coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0)) FILTER (rep >= 0) AS f1,
+        stddev_pop(coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0)) FILTER (rep >= 0) AS f1_std, max(fp) FILTER (rep < 0) AS baseline_flags, sigma < (w - 1) / sqrt(w) AS reachable FROM pr GROUP BY w, sigma)"""
+
+
+def _sql_hampel(source: str, by: str, more: str) -> str:
+    """(w, .., e): how many robust deviations each row lies from its rolling median, for each window of the tuner."""
+    return " UNION ALL ".join(f"SELECT {w} AS w, {more} d / nullif(1.4826 * median(d) OVER {_sql_frame(w, by)}, 0) AS e FROM (SELECT *, abs(value - median(value) OVER {_sql_frame(w, by)}) AS d FROM {source})" for w in flt.TUNER_WINDOWS)
+
+
+def _sql_tuning() -> str:
+    rows, key, least = f"greatest(0, n - {2 * flt.APART})", ("rep", "fault"), flt.APART + flt.RUN[1]
+    return f"""WITH {TOTAL},
+    grid AS (SELECT greatest({least}, {rows} // {flt.TUNER_FAULTS}) AS width, least({flt.TUNER_FAULTS}, {rows} // greatest({least}, {rows} // {flt.TUNER_FAULTS})) AS slots FROM size),
+    d0 AS (SELECT rep, fault, width FROM grid, LATERAL (SELECT unnest(range(slots)) AS fault), (SELECT unnest(range({flt.TUNER_REPEATS})) AS rep)),
+    d1 AS (SELECT *, {_sql_list(flt.TUNER_KINDS)}[1 + {_sql_draw(0, "kind", *key)} % {len(flt.TUNER_KINDS)}] AS kind FROM d0),
+    d2 AS (SELECT *, CASE WHEN kind = 'spike' THEN 1 ELSE {flt.RUN[0]} + {_sql_draw(0, "length", *key)} % {flt.RUN[1] - flt.RUN[0] + 1} END AS length FROM d1),
+    d AS (SELECT *, {flt.APART} + fault * width + {_sql_draw(0, "place", *key)} % (width - {flt.APART} + 1 - length) AS position, {_sql_list(flt.TUNER_MAGNITUDES)}[1 + {_sql_draw(0, "size", *key)} % {len(flt.TUNER_MAGNITUDES)}] AS magnitude, CASE WHEN {_sql_draw(0, "sign", *key)} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM d2),
+    hit AS (SELECT d.*, unnest(range(position, position + length)) AS pos, s.value AS first FROM d JOIN s ON s.pos = d.position),
+    unit AS (SELECT CASE WHEN mad(value) > 0 THEN 1.4826 * mad(value) ELSE stddev_pop(value) END AS unit FROM s),
+    x AS (SELECT r.rep, s.pos, h.fault, CASE h.kind WHEN 'flatline' THEN h.first WHEN 'dropout' THEN s.value * {flt.LEFT_OVER} ELSE s.value + coalesce(h.sign * h.magnitude * unit, 0) END AS value
+        FROM s JOIN (SELECT unnest(range({flt.TUNER_REPEATS})) AS rep) r ON TRUE JOIN unit ON TRUE LEFT JOIN hit h ON h.rep = r.rep AND h.pos = s.pos),
+    es AS ({_sql_hampel("x", "rep", "rep, fault,")}),
+    by_fault AS (SELECT w, sigma, rep, fault, count(*) FILTER (e > sigma) AS hits FROM es, (SELECT unnest({_sql_list(flt.TUNER_SIGMAS)}) AS sigma) GROUP BY w, sigma, rep, fault),
+    c AS (SELECT w, sigma, rep, coalesce(sum(hits) FILTER (fault IS NOT NULL), 0) AS tp, coalesce(sum(hits) FILTER (fault IS NULL), 0) AS fp, coalesce(avg(CAST(hits > 0 AS INTEGER)) FILTER (fault IS NOT NULL), 0) AS r_ FROM by_fault GROUP BY w, sigma, rep),
+    q AS (SELECT *, tp / nullif(tp + fp, 0) AS p_ FROM c),
+    m AS (SELECT *, coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0) AS f1, coalesce(1.25 * p_ * r_ / nullif(0.25 * p_ + r_, 0), 0) AS f_half FROM q)
+    SELECT CAST(w AS INTEGER) AS "window", sigma, round(avg(tp), 6) AS tp, round(avg(fp), 6) AS fp, round(avg(p_), 6) AS precision, round(avg(r_), 6) AS recall_event, round(avg(f1), 6) AS f1, round(avg(f_half), 6) AS f_half, round(avg(tp + fp), 6) AS n_flagged, round(stddev_pop(f_half), 6) AS f_half_sd FROM m GROUP BY w, sigma"""
+
+
+@query(f"WITH {TOTAL}, {_sql_faults(1)} SELECT CAST(rep AS INTEGER) AS rep, channel, pos, ts, round(value, 9) AS value, CAST(coalesce(fault, -1) AS INTEGER) AS fault, kind, magnitude FROM x")
 def fault_injection(spark, sf_dir):
     series = load_total(spark, sf_dir)
-    faults = flt.fault_frame(spark, flt.draw_faults(series.count(), 42, 0))
-    return flt.apply_faults(flt.local_scale(series), faults)
+    damaged = flt.apply_faults(flt.local_scale(series), flt.draw_faults(spark, series.count(), 42, repeats=1))
+    return rounded(damaged.withColumn("fault", F.coalesce("fault", F.lit(-1))), 9)
 
 
-@query()
+@query(f"""{_sql_calibration()} SELECT "window", {", ".join(f'round(max(f1) FILTER (sigma = {s}), 6) AS "{s}"' for s in flt.SIGMAS)} FROM g GROUP BY "window" """)
 def calibration_surface(spark, sf_dir):
-    return flt.surface(flt.calibrate(load_total(spark, sf_dir)), "f1", flt.SIGMAS)
+    return rounded_all(flt.surface(flt.calibrate(load_total(spark, sf_dir)), "f1", flt.SIGMAS))
 
 
 @query()
@@ -390,7 +488,7 @@ def gap_fill(spark, sf_dir):
 
 @query()
 def spline_band_flags(spark, sf_dir):
-    return spline_flags(interpolate(panel(spark, sf_dir), None).select("channel", "pos", "ts", "value"), rows_per_fit=240)
+    return spline_flags(interpolate(panel(spark, sf_dir), None).select("channel", "pos", "ts", "value"))
 
 
 @query()
@@ -398,19 +496,35 @@ def lowpass_filter(spark, sf_dir):
     return lowpass(panel(spark, sf_dir), HOUR, cutoff_min=360)
 
 
-@query()
+@query(f"""{_sql_calibration()} SELECT "window", sigma, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(f1_std, 6) AS f1_std, baseline_flags, reachable FROM g""")
 def calibration_grid(spark, sf_dir):
-    return flt.calibrate(load_total(spark, sf_dir))
+    return rounded(flt.calibrate(load_total(spark, sf_dir)))
 
 
-@query()
+@query(_sql_tuning())
 def hampel_tuning(spark, sf_dir):
-    return flt.tune_hampel(load_total(spark, sf_dir))
+    return rounded(flt.tune_hampel(load_total(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {TOTAL}, es AS ({_sql_hampel("s", "channel", "")}) SELECT CAST(w AS INTEGER) AS "window", sigma, count(*) FILTER (e > sigma) AS n_flagged, round(100.0 * count(*) FILTER (e > sigma) / count(*), 6) AS pct_flagged FROM es, (SELECT unnest({_sql_list(flt.TUNER_SIGMAS)}) AS sigma) GROUP BY w, sigma""")
 def detector_stability(spark, sf_dir):
-    return flt.stability(load_total(spark, sf_dir))
+    return rounded(flt.stability(load_total(spark, sf_dir)))
+
+
+@query()
+def statistics_in_words(spark, sf_dir):
+    return channel_statistics(panel(spark, sf_dir), HOUR)
+
+
+@query(with_sql("round(min(skewness), 6) AS least, round(max(skewness), 6) AS most, round((SELECT skewness(total) FROM (SELECT CASE WHEN count(value) = count(*) THEN sum(value) END AS total FROM f GROUP BY pos)), 6) AS of_total", "FROM (SELECT skewness(value) AS skewness FROM p GROUP BY channel)", FILLED))
+def skew_of_total(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    return rounded(skew_range(p, stats.strict_total(interpolate(p, LIMIT))))
+
+
+@query()
+def recall_by_size(spark, sf_dir):
+    return flt.recall_at(load_total(spark, sf_dir), 24, 3.0)
 
 
 @query()

@@ -56,6 +56,7 @@ def load_readings(spark: SparkSession, path: str, dedupe: str = "keep") -> tuple
 
     Without a header the channels are Household_01 and so on. Times are floored to the minute
     and sorted; rows with equal times all stay with dedupe="keep", the first does with "first".
+    A row whose time does not parse stops the load; empty rows are left out.
     """
     cells = _raw(spark, path)
     if len(cells.columns) < 2:
@@ -66,7 +67,11 @@ def load_readings(spark: SparkSession, path: str, dedupe: str = "keep") -> tuple
     names = list(cells.columns[1:]) if named else [str(x) for x in first[1:]] if header else [f"Household_{k:02d}" for k in range(1, len(cells.columns))]
     # The channels of one file row stay together, so file order is known within it.
     wide = cells.toDF("_t", *[f"_v{k}" for k in range(len(names))]).withColumn("_row", F.monotonically_increasing_id()).withColumn("ts", minute_floor(_timestamp(F.col("_t"))))
-    wide = wide.where("ts is not null")
+    # A time that does not parse is an error that names it, unless the row is empty.
+    empty = F.coalesce(*[F.col(c).cast("string") for c in cells.toDF("_t", *[f"_v{k}" for k in range(len(names))]).columns]).isNull()
+    is_header = F.lit(header) & (F.col("_t").cast("string") == F.lit(None if first is None else str(first[0])))
+    wide = wide.where(~empty & ~F.coalesce(is_header, F.lit(False)))
+    wide = wide.withColumn("ts", F.when(F.col("ts").isNull(), F.raise_error(F.concat(F.lit("a time that does not parse: "), F.coalesce(F.col("_t").cast("string"), F.lit("none")))).cast("timestamp_ntz")).otherwise(F.col("ts")))
     if dedupe == "first":
         wide = wide.withColumn("_k", F.row_number().over(Window.partitionBy("ts").orderBy("_row"))).where("_k = 1").drop("_k")
     elif dedupe != "keep":
