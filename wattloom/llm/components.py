@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize
+from wattloom.llm.common import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     folder. The steps end when a round changes nothing.
     """
     current = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current, seen = materialize(current, "cc"), None
+    current, seen = materialize(current, "cc"), None  # of the rounds, only the last stays on disk
     for _ in range(max_rounds):
         mark = current.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if mark == seen:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         seen = mark
         if mark[0] == 0:
             break
-        current = materialize(_small_star(_large_star(current)), "cc")
+        last, current = current, materialize(_small_star(_large_star(current)), "cc")
+        release(last)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # Every edge now runs from a node to the least node of its component.

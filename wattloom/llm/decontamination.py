@@ -16,18 +16,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import hold, materialize, slices, text_or_empty
 
 WINDOW = 8
-#: Words that a window needs besides its placeholders; shorter items need half of theirs.
-MIN_WORDS = 5
 #: An item counts as met if so much of its windows is, or so many in one alignment.
 MIN_SHARE, MIN_RUN = 0.5, 6
-#: Window hashes of the benchmark that may be sent to every task (8 bytes each).
-SMALL_BENCHMARK = 2_000_000
+#: Window hashes of the benchmark that may be sent to every task (8 bytes each), and windows with their slots.
+SMALL_BENCHMARK, SMALL_WINDOWS = 2_000_000, 50_000
 
 UNITS = frozenset("kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres inch inches ft feet foot yard yards l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents pound pounds percent degree degrees mph kmh hz khz mhz ghz kb mb gb tb watt watts kw kwh volt volts".split())
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -102,15 +101,16 @@ def _slots(tokens: list[str], places: np.ndarray, kinds: np.ndarray, at: int, si
 _FOUND = "key long, size int, plain boolean, {id} long, {pos} int, {slots} array<string>"
 
 
-def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | None, names: tuple[str, str, str], whole_short: bool) -> DataFrame:
-    """Windows of `rows` (id, text); of documents, only those whose hash is in `wanted`, if given."""
-    filter_bits = None
-    if wanted is not None:
-        filter_bits = np.zeros(1 << 22, bool)
-        filter_bits[(wanted & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+def _template_windows(rows: DataFrame, sizes: list[int], shared: Broadcast | None, names: tuple[str, str, str], whole_short: bool) -> DataFrame:
+    """Windows of `rows` (id, text); of documents, only those whose hash is among the `shared` sorted ones, if given."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("decontamination", None)
+        wanted = shared.value if shared else None
+        filter_bits = None
+        if wanted is not None:
+            filter_bits = np.zeros(1 << 22, bool)
+            filter_bits[(wanted & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         vocabulary = _Vocabulary()
         for batch in slices(batches, 256):
             out: list[list] = [[], [], [], [], [], []]
@@ -125,7 +125,7 @@ def _template_windows(rows: DataFrame, sizes: list[int], wanted: np.ndarray | No
             split: dict[int, list[str]] = {}
             for plain, base in ((False, np.where(kinds == WORD, values, _SLOT[kinds])), (True, values)):
                 for size, keys in windows(base, asked).items():
-                    good = np.ones(len(keys), bool) if plain else words[size:] - words[:-size] >= min(MIN_WORDS, (size + 1) // 2)
+                    good = np.ones(len(keys), bool) if plain else words[size:] - words[:-size] >= (size + 1) // 2  # half of a window must be words
                     if filter_bits is not None:
                         good &= filter_bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)]
                     hits = np.flatnonzero(good)
@@ -159,14 +159,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
     known = materialize(_template_windows(items, [], None, ("item_id", "ipos", "islots"), whole_short=True).distinct(), "benchmark-windows")
-    sizes = [r.size for r in known.select("size").distinct().orderBy("size").collect()]
+    sizes = [r.size for r in known.select("size").distinct().orderBy("size").collect()]  # eight at most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    wanted, small = None, known.count() <= SMALL_BENCHMARK
-    if small:
-        wanted = np.sort(np.array([r.key for r in known.select("key").distinct().collect()], np.int64).astype(np.uint64))
-        if not len(wanted):
-            sizes = []
-    met = _template_windows(source, sizes, wanted if small and len(wanted) else None, ("doc_id", "dpos", "dslots"), whole_short=False)
+    wanted, n_known = None, known.count()
+    if 0 < n_known <= SMALL_BENCHMARK:
+        keys = known.select("key").distinct().toArrow()["key"].to_numpy().astype(np.uint64)
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(keys))
+    small = n_known <= SMALL_WINDOWS
+    met = _template_windows(source, sizes, wanted, ("doc_id", "dpos", "dslots"), whole_short=False)
     hits = met.join(F.broadcast(known) if small else known, ["key", "size", "plain"])
     # One alignment of a document with an item: slots must agree one to one.
     pairs = F.zip_with("islots", "dslots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))

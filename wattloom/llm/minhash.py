@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import hold, materialize, slices, text_or_empty
+from wattloom.llm.common import hold, join_hot, materialize, release, slices, text_or_empty
 from wattloom.llm.components import connected_components
 
 #: 40 bands of 5 minima: a pair at the threshold 0.8 shares none with odds of about 1e-7.
@@ -269,11 +269,14 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     sets; component_id is the least doc_id reachable, kept says that it is the document's
     own. Null, empty and blank texts have an empty set and no links. Rows that repeat a
     doc_id are one document with several texts: it has the links of each. A null doc_id
-    stays by itself. Other columns are ignored. Empty in, empty out.
+    stays by itself. Texts of any length are read whole. Other columns are ignored. Empty in, empty out.
     """
     sketch = materialize(sketches(docs, shingle_size), "sketch")
-    classes = sketch.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = sketch.join(classes, "digest", "left")
+    # Documents without shingles or id have no class, so they never meet under a null key.
+    classed = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
+    real, total = sketch.where(classed), sketch.count()
+    classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    members = join_hot(real, classes, ["digest"], "copies", total)
     members = materialize(members.select("doc_id", "n_shingles", "digest", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "classes")
     sigs = members.where("sig is not null").select("doc_id", "n_shingles", "sig")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -283,13 +286,14 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     bands = sigs.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode(keys).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     # Only what shares a bucket goes on, next to the number of classes there.
-    met = materialize(bands.join(shared, "bucket"), "buckets")
+    first = materialize(bands.join(shared, "bucket"), "buckets")
 
     # The pivot of a bucket is its member with most company over all buckets: of edited copies,
     # the one nearest to all others.
-    company = met.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    company = first.groupBy("doc_id").agg(F.sum("size").alias("company"))
     order = F.struct("company", -F.col("doc_id"))
-    met = materialize(met.join(company, "doc_id").select("bucket", "band", "doc_id", "n", "company"), "company")
+    met = materialize(first.join(company, "doc_id").select("bucket", "band", "doc_id", "n", "company"), "company")
+    release(first)
     central = met.groupBy("bucket").agg(F.max_by("doc_id", order).alias("v"))
     stars = met.join(central, "bucket").where("doc_id <> v").groupBy(F.col("doc_id").alias("u"), "v").agg(F.count("*").alias("bands"))
     # One candidate for each class first, the one it shares most bands with.
@@ -313,6 +317,11 @@ def near_duplicates(docs: DataFrame, shingle_size: int = 5, percent: int = 80) -
     repeated = materialize(repeated, "repeated")
     if not repeated.isEmpty():
         parts = connected_components(links.unionByName(repeated))
-    out = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    # A representative with its component; it may stand for a third of all documents.
+    named = classes.groupBy("rep").agg(F.sum("copies").alias("copies")).join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    named = materialize(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    release(met, placed, open_, repeated)
+    single = sketch.where(~classed).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    out = join_hot(members.select("doc_id", "n_shingles", "rep"), named, ["rep"], "copies", total).drop("rep").unionByName(single)
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, slices, text_or_empty
+from wattloom.llm.common import join_hot, materialize, release, slices, text_or_empty
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a shared window that lie on one side of its anchor at least.
@@ -41,7 +41,8 @@ SMALL_ENTRIES = 20_000
 #: Strings sorted at once, twice so many at most; the windows of a larger group are counted instead.
 BATCH = 20_000
 
-_POSITION_BITS = 28
+#: Enough for any place in a string that a table can hold.
+_POSITION_BITS = 31
 _RNG = np.random.default_rng(71)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x5851F42D4C957F2D
@@ -298,23 +299,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a 200-byte string that covers it starts anywhere else in the collection, the
     same text included; copies of a text thus all lose it. `removed` lists the (start, end) bytes.
     A null text counts as empty. Rows that repeat a doc_id are documents of their own, also if
-    their texts are the same. Texts go up to 2^28 bytes. Other columns are ignored.
+    their texts are the same. Texts may be as long as a column holds. Other columns are ignored.
     """
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text"))
     # `mark` tells texts with one doc_id apart; a null doc_id joins under a number of its own.
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text"))
     spans = materialize(_spans(rows), "spans")
-    repeated = spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    near = materialize(spans.join(repeated, "anchor"), "near-spans")
+    # One anchor may hold a third of all places: rows of such are joined where they are.
+    repeated = materialize(spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    near = materialize(join_hot(spans, repeated, ["anchor"], "n", spans.count()), "near-spans")
+    release(spans, repeated)
     place = F.xxhash64("key", "mark", "place")
-    kinds = near.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("stand_in"))
+    kinds = materialize(near.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("stand_in")), "kinds")
     anchors = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("kinds"), (F.sum("n") > BATCH).alias("wide"))
     # Of each kind of span one place stands for it where open ones need partners.
-    known = kinds.join(anchors, "anchor").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"), "wide")
+    anchors = materialize(anchors.withColumn("_w", F.col("kinds")), "anchor-kinds")
+    known = join_hot(kinds, anchors, ["anchor"], "_w", kinds.count()).select("anchor", "span", "n", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"), "wide")
+    known = materialize(known.where("whole or stand_in is not null"), "known")
     sent = F.coalesce(F.col("stand_in") == place, F.lit(False))
-    entries = near.join(known, ["anchor", "span"]).where(F.col("whole") | sent).select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"), (sent & F.col("wide")).alias("wide"))
+    entries = join_hot(near, known, ["anchor", "span"], "n", near.count()).where(F.col("whole") | sent).select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"), (sent & F.col("wide")).alias("wide"))
     lists = materialize(_by_text(entries), "lists")
+    release(near, kinds, anchors, known)
     asked = _small(lists.where("size(sent) > 0").select("key", "mark", "sent"), F.size("sent"))
 
     texts = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent")
