@@ -1,12 +1,15 @@
 """op4, op5, op7, op8, op9, op10 and the pipeline on small cases."""
 
+import itertools
 import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
-from wattloom.llm import pii
+from wattloom.llm import pii, vector_search
+from wattloom.llm import toxicity as tox
 from wattloom.llm.decontamination import contaminated
 from wattloom.llm.html import extract_main_text, main_text, parse
 from wattloom.llm.pii import replace_personal_data
@@ -159,6 +162,77 @@ def test_search_against_sql(spark, sf):
     assert sorted(tuple(r) for r in QUERIES["op10_vector_search"](spark, sf).collect()) == want
 
 
+@pytest.mark.parametrize("block, shard", [(7, 40), (1000, 1000)])
+def test_shards_and_blocks_merge(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vector_search, "SHARD", shard)
+    rng = np.random.default_rng(4)
+    rows = {k: (rng.integers(-3, 4, 12) / 8).tolist() for k in range(300)}  # few values, so many ties
+    got = top_k(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>"), 5, 5).collect()
+    q = np.floor(256 * np.array(list(rows.values()))).astype(int)
+    want = []
+    for own in range(0, 300, 5):
+        best = sorted((-int(q[own] @ q[k]), k) for k in rows if k != own)[:5]
+        want += [(own, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_marginals_and_gradient_by_enumeration():
+    rng = np.random.default_rng(0)
+    chain = tox.Chain({"=a": 1, "=b": 2}, rng.normal(size=3), rng.normal(size=4), -0.7, np.array([[0.0, -1.1], [0.0, 0.4]]))
+    docs = [rng.integers(0, 12, n).astype(np.int32) for n in (1, 2, 5, 7, 7)]
+
+    def weight(codes, tags, words, shapes, start, moves):
+        w = sum((words[c // 4] + shapes[c % 4]) * t for c, t in zip(codes, tags))
+        return w + (start if tags[0] else 0) + sum(moves[a][b] for a, b in zip(tags, tags[1:]))
+
+    args = (chain.words, chain.shapes, chain.start, chain.moves)
+    for codes, p in zip(docs, tox.marginals(docs, chain), strict=True):
+        all_tags = list(itertools.product((0, 1), repeat=len(codes)))
+        w = np.exp([weight(codes, t, *args) for t in all_tags])
+        np.testing.assert_allclose(p, (w[:, None] * np.array(all_tags)).sum(0) / w.sum(), atol=1e-10)
+
+    # At its fit the penalised likelihood, by enumeration, is flat in every direction.
+    tags = [rng.random(len(d)) < 0.4 for d in docs]
+    fitted = tox._fit_chain(docs, tags, {"=a": 1, "=b": 2}, rounds=4000)
+
+    def loss(x):
+        total = -0.5 * (x**2).sum()
+        for codes, truth in zip(docs, tags, strict=True):
+            moves = [[0.0, x[-2]], [0.0, x[-1]]]
+            every = [weight(codes, t, x[:3], x[3:7], x[7], moves) for t in itertools.product((0, 1), repeat=len(codes))]
+            total += weight(codes, [int(t) for t in truth], x[:3], x[3:7], x[7], moves) - np.log(np.exp(every).sum())
+        return total
+
+    at = np.concatenate([fitted.words, fitted.shapes, [fitted.start], fitted.moves[:, 1]])
+    slope = [(loss(at + 1e-4 * e) - loss(at - 1e-4 * e)) / 2e-4 for e in np.eye(len(at))]
+    assert np.abs(slope).max() < 0.05
+
+
+STAGE_ROWS = [(1, "a b c d e f g", "en"), (1, "a b c d e f g", "en"), (2, None, "en"), (3, "", None), (None, "other words that nobody else has written so far", "de"), (None, None, None), (4, "mail to x@y.org or 10.1.2.3 now please", "en")]
+
+
+@pytest.mark.parametrize("rows", [STAGE_ROWS, []])
+def test_pipeline_stages_on_odd_rows(spark, tmp_path, rows):
+    """Nulls, repeated rows, empty tables, and columns named as the operators' own."""
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, n_chars long, score double, kept boolean, kinds string, draw long, part string, rank int"
+    docs = spark.createDataFrame([(d, t, k, len(t or ""), 0.9, False, "x", 1, "p", 1) for d, t, k in rows], schema)
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    out = docs
+    for name, stage in c.STAGES[:-1]:
+        out = c.materialize(stage(spark, out, sf), name)
+        assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {d for d, _, _ in rows}
+    assert not any(r.text and ("x@y.org" in r.text or "10.1.2.3" in r.text) for r in got)
+    packed = c.STAGES[-1][1](spark, out, sf)
+    assert packed.groupBy().sum("length").first()[0] == (None if not rows else sum(r.doc_tokens for r in packed.where("start = 0").collect()))
+
+
 def test_pipeline_by_stage(spark, sf):
     """Each stage's decisions against a plain restatement of them."""
     import corpus_pipeline as c

@@ -9,7 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from wattloom.llm.packing import Piece, pack_documents, pack_pool, split_by_powers, step_groups
-from wattloom.llm.token_store import STORE_SCHEMA, DacReader, dac_encode, token_digests, write_token_store
+from wattloom.llm import token_store
+from wattloom.llm.token_store import STORE_SCHEMA, DacReader, dac_encode, token_digests, tokens_at, write_token_store
 from wattloom.llm.tokens import encoder
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -59,6 +60,30 @@ def test_store_round_trip(spark, docs):
     assert spark.read.schema(STORE_SCHEMA).parquet(path).count() >= 1
 
 
+def test_tokens_of_the_whole_store(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT_TOKENS", 500)  # stretches shorter than segments, and segments of several stretches
+    rows = [(k, f"text number {k} has words " * (1 + k % 40)) for k in range(200)] + [(None, "no id"), (500, "long " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = spark.read.schema(STORE_SCHEMA).parquet(write_token_store(docs, BYTE))
+    plain = Tokenizer.from_file(BYTE)
+    all_ids = [i for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for i in [*plain.encode(t, add_special_tokens=False).ids, 0]]
+    rnd = random.Random(1)
+    asked = [0, len(all_ids) - 1, len(all_ids), -1, None, 7, 7, *(rnd.randrange(len(all_ids)) for _ in range(300))]
+    got = tokens_at(store, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+    assert {r.position: r.id for r in got} == {p: all_ids[p] for p in asked if p is not None and 0 <= p < len(all_ids)} and len(got) == len({r.position for r in got})
+
+
+def test_packing_of_repeated_and_nameless_rows(spark):
+    rows = [(5, "same words"), (5, "same words"), (None, "same words"), (None, None), (6, "")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD).collect()
+    ids = np.array([*Tokenizer.from_file(WORD).encode("same words", add_special_tokens=False).ids, 2], "<u4")
+    whole = [(r.doc_id, bytes(r.ids)) for r in got if r.start == 0 and r.length == r.doc_tokens]
+    assert sum(r.length for r in got) == 3 * len(ids) + 2 and {r.doc_tokens for r in got} == {len(ids), 1}
+    assert all(raw == ids.tobytes() or raw == ids[-1:].tobytes() for _, raw in whole)
+    spots = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(b[1] == a[1] + a[2] if a[0] == b[0] else b[1] == 0 for a, b in zip(spots, spots[1:]))
+
+
 def test_empty_table(docs):
     none = docs.where("false")
     assert token_digests(none, BYTE).count() == 0 and pack_documents(none, WORD).count() == 0

@@ -70,6 +70,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of surrogates, from the session's spark.wattloom.surrogateKey; a fixed one where it is unset, as in tests."""
+    return spark.conf.get("spark.wattloom.surrogateKey", "no secret")
+
+
 _held: list = [None, None]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from wattloom.llm.common import table
+from wattloom.llm.common import surrogate_key, table
 from wattloom.llm.decontamination import contaminated
 from wattloom.llm.html import extract_main_text
 from wattloom.llm.minhash import near_duplicates
@@ -33,7 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(table(spark, sf_dir, "documents"), key="corpus").select("doc_id", "text", "n_entities", "kinds")
+    return replace_personal_data(table(spark, sf_dir, "documents"), surrogate_key(spark)).select("doc_id", "text", "n_entities", "kinds")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

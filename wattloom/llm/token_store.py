@@ -8,7 +8,8 @@ its neighbours.
 
 The store is a Parquet table of segments in the shared folder. A segment holds whole
 documents in ascending `doc_id` and is readable by itself, so a lost task only rewrites
-its own segments.
+its own segments. Segments are stored as they are, without a codec, so that nothing stands
+between a position and its bytes; `tokens_at` reads single tokens of the whole store.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 0, path: st
     # Ranges of doc_id keep the order across partitions; equal ids share a partition.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(segments, STORE_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(segments, STORE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
@@ -164,6 +165,32 @@ def read_documents(store: DataFrame) -> DataFrame:
     return whole.select((F.col("base") + F.col("before")).alias("start"), "doc_ids", "doc_tokens", "payload").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, id) for the `positions` (position long) of the store's one long sequence of ids.
+
+    Segments and positions meet by the stretch of SEGMENT_TOKENS that they lie in, so no range
+    is compared with all others; each id is then read by a few array accesses. Repeated
+    positions give one row, those outside the store and null ones none.
+    """
+    bases = materialize(part_bases(store), "bases")
+    start = F.col("base") + F.col("before")
+    segments = store.select("part", "seg", "before", "n_tokens").join(F.broadcast(bases) if bases.count() <= SMALL_PARTS else bases, "part")
+    segments = segments.select("part", "seg", start.alias("start"), (start + F.col("n_tokens")).alias("end"))
+    stretch = F.explode(F.sequence(F.floor(F.col("start") / SEGMENT_TOKENS), F.floor((F.col("end") - 1) / SEGMENT_TOKENS)))
+    asked = positions.where("position >= 0").select("position").distinct().withColumn("stretch", F.floor(F.col("position") / SEGMENT_TOKENS))
+    found = asked.join(segments.withColumn("stretch", stretch), "stretch").where("position >= start and position < end")
+    # Distinct positions: a segment is asked for as many as it has, at most.
+    lists = found.groupBy("part", "seg", "start").agg(F.collect_list(F.col("position") - F.col("start")).alias("places"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, places, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                segment = DacReader(payload)
+                yield pa.RecordBatch.from_arrays([pa.array([first + p for p in places], pa.int64()), pa.array([segment[p] for p in places], pa.int64())], ["position", "id"])
+
+    return store.select("part", "seg", "payload").join(lists, ["part", "seg"]).select("start", "places", "payload").mapInArrow(read, "position long, id long")
+
+
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write the store, read it back and return (doc_id, start, n_tokens, ids_crc32) per document."""
     store = docs.sparkSession.read.schema(STORE_SCHEMA).parquet(write_token_store(docs, tokenizer, end_id))

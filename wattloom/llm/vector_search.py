@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK, SHARD = 2048, 8192
+#: Queries of a block and vectors of a shard, at most: what one task holds. Each vector is sent once for each
+#: block and each query once for each shard, so larger ones move less; LEAST keeps small tables in several tasks.
+QUERY_BLOCK, SHARD, LEAST = 16_384, 65_536, 4096
 SCALE = 256
 _PROBE = 8
 
@@ -82,7 +84,9 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50) -> DataFrame:
     rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     asks = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"])
     n, n_asks = rows.count(), asks.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_asks // QUERY_BLOCK))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n_asks // QUERY_BLOCK))
+    shards = max(1, -(-n // SHARD), min(-(-tasks // blocks), n // LEAST))
     place = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     left = asks.select(place(blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "v")
     right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), place(shards).alias("shard"), "vec_id", "v")
