@@ -1,6 +1,10 @@
 """A corpus pipeline over `documents`: toxicity, near duplicates, decontamination, personal data, packing.
 
-Each stage works on all that the one before kept, written as Parquet and read again.
+Each stage works on all that the one before kept, written as Parquet and read again. In every
+stage null and empty texts are documents without words: they are neither toxic, nor near
+duplicates, nor contaminated, hold no personal data and are one end id in a sequence. Rows
+without a doc_id are never rejected. Rows that repeat a doc_id are rejected together, and
+otherwise all stay. Empty tables give empty tables, and columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, table
+from wattloom.llm.common import materialize, surrogate_key, table
 from wattloom.llm.decontamination import contaminated
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.packing import pack_documents
@@ -45,7 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data; n_chars follows the new text."""
     columns = docs.columns
-    return replace_personal_data(docs, key="corpus").withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    return replace_personal_data(docs, surrogate_key(spark)).withColumn("n_chars", F.length("text").cast("long")).select(columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
