@@ -12,15 +12,21 @@ from wattloom.operators.chunks import chunk_window, with_chunk
 def regions(readings: DataFrame, mask: Column) -> DataFrame:
     """(channel, start, end, length): maximal runs of rows where `mask` holds, ends included.
 
-    Runs are found within chunks; only the runs themselves are then joined across chunks.
+    Runs are found within chunks; only those that touch a chunk's border are then joined across chunks.
     """
     rows = with_chunk(readings.where(mask).select("channel", "pos"))
     island = F.col("pos") - F.row_number().over(chunk_window())
     runs = rows.withColumn("island", island).groupBy("channel", "chunk", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    # The chunks of the rows just before and after a run tell whether it touches a border.
+    ends = with_chunk(runs.withColumnRenamed("chunk", "own").withColumn("pos", F.col("start") - 1)).withColumnRenamed("chunk", "before")
+    ends = with_chunk(ends.withColumn("pos", F.col("end") + 1)).withColumnRenamed("chunk", "after")
+    touches = (F.col("before") != F.col("own")) | (F.col("after") != F.col("own"))
+    inner = ends.where(~touches).select("channel", "start", "end")
     w = Window.partitionBy("channel").orderBy("start")
     fresh = F.coalesce(F.col("start") != F.lag("end").over(w) + 1, F.lit(True)).cast("long")
-    runs = runs.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    out = runs.groupBy("channel", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    across = ends.where(touches).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
+    across = across.groupBy("channel", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+    out = inner.unionByName(across)
     return out.select("channel", "start", "end", (F.col("end") - F.col("start") + 1).alias("length"))
 
 

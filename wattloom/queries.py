@@ -476,6 +476,40 @@ def calibration_surface(spark, sf_dir):
     return rounded_all(flt.surface(flt.calibrate(load_total(spark, sf_dir)), "f1", flt.SIGMAS))
 
 
+HOUSEHOLDS = PANEL.replace("SELECT event_type AS channel", "SELECT printf('Household_%05d', user_id) AS channel").replace("value AS v FROM events", "value AS v FROM events WHERE user_id IS NOT NULL")
+
+
+def households(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly means of events by user: channels grow with the tables."""
+    found = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+    named = found.select("ts", F.format_string("Household_%05d", "user_id").alias("channel"), "value")
+    return grid(named, "ts", "channel", "value", HOUR)
+
+
+@query(f"WITH {HOUSEHOLDS}, {FILLED} SELECT channel, pos, ts, round(value, 9) AS value, filled FROM f")
+def household_panel_filled(spark, sf_dir):
+    return rounded(interpolate(households(spark, sf_dir), LIMIT).select("channel", "pos", "ts", "value", "filled"), 9)
+
+
+@query(f"WITH {HOUSEHOLDS}, {FILLED} SELECT pos, ts, count(value) AS present, round(coalesce(sum(value), 0.0), 9) AS naive, round(CASE WHEN count(value) = count(*) THEN sum(value) END, 9) AS total FROM f GROUP BY pos, ts")
+def household_totals(spark, sf_dir):
+    filled = interpolate(households(spark, sf_dir), LIMIT)
+    sums = stats.naive_total(filled).withColumnRenamed("total", "naive").join(stats.strict_total(filled), ["pos", "ts"])
+    present = filled.groupBy("pos", "ts").agg(F.count("value").alias("present"))
+    return rounded(sums.join(present, ["pos", "ts"]).select("pos", "ts", "present", "naive", "total"), 9)
+
+
+@query(f"WITH {HOUSEHOLDS}, {RUNS} SELECT channel, start, \"end\", length FROM g WHERE gap")
+def household_gaps(spark, sf_dir):
+    return regions(households(spark, sf_dir), F.col("value").isNull())
+
+
+@query(f"WITH {HOUSEHOLDS}, {ZSCORE} SELECT channel, count(*) FILTER (flagged) AS flagged, count(centre) AS judged FROM zf GROUP BY channel")
+def household_flags(spark, sf_dir):
+    flags = rolling_zscore(households(spark, sf_dir), WINDOW, SIGMA)
+    return flags.groupBy("channel").agg(F.count_if("flagged").alias("flagged"), F.count("centre").alias("judged"))
+
+
 @query()
 def bspline_clean(spark, sf_dir):
     return clean_series(panel(spark, sf_dir), window=WINDOW, sigma=SIGMA)
