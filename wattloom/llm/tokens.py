@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from wattloom.llm.common import hold
@@ -20,8 +20,8 @@ from wattloom.llm.common import hold
 #: Punctuation that both pre-tokenizers separate from a letter or digit before it.
 _TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-#: No mark can join what follows such a character.
-_ENDS_WORD = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ]$").search
+#: No mark can join what follows such a character: ASCII letters and digits, and the Latin-1 letters.
+_ENDS_WORD = frozenset(c for c in map(chr, range(256)) if c.isascii() and c.isalnum() or c >= "À" and c not in "×÷")
 #: A space between two other white-space characters belongs to neither neighbour.
 _SPACE_RUN = re.compile(r"\s \s").search
 #: Chunks of one cache generation; two are held, about 200 bytes a chunk.
@@ -47,11 +47,11 @@ class _Cache(dict):
 
 
 def _u32(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_symbols() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level BPE, from its rule."""
+    """The printable stand-in of each byte (as Latin-1) in byte-level BPE, from its rule."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
@@ -97,10 +97,10 @@ class Encoder:
                 newline = self._newline
                 return cache[lines[0]] + b"".join(newline + self._bare[x] for x in lines[1:])
         core = chunk.rstrip(_TAIL)
-        if core and core != chunk and _ENDS_WORD(core):
+        if core and core != chunk and core[-1] in _ENDS_WORD:
             return cache[core] + self._bare[chunk[len(core):]]
         if _LATIN(chunk):
-            word = "".join(map(self._symbols.__getitem__, (lead + chunk).encode()))
+            word = (lead + chunk).encode().decode("latin-1").translate(self._symbols)
             return _u32([t.id for t in self._model.tokenize(word)])
         return self._whole(lead + chunk)
 
@@ -114,7 +114,7 @@ class Encoder:
         if not chunk:
             return b""
         core = chunk.rstrip(_TAIL)
-        if core and core != chunk and _ENDS_WORD(core):
+        if core and core != chunk and core[-1] in _ENDS_WORD:
             return self._words[core] + self._words[chunk[len(core):]]
         if _LATIN(chunk):
             low = chunk.lower()
