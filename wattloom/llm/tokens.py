@@ -46,8 +46,13 @@ class _Cache(dict):
         return found
 
 
+#: Formats of short lists, made once.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def _u32(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    n = len(ids)
+    return _PACK[n](*ids) if n < 64 else struct.pack(f"<{n}I", *ids)
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -64,13 +69,13 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
+        self._tokenize, self._symbols = self._tokenizer.model.tokenize, _byte_symbols()
         pre, norm = config.get("pre_tokenizer") or {}, config.get("normalizer")
         added = [t["content"] for t in config.get("added_tokens", [])]
         self._special = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.ids = self._by_byte_chunks
-            self._symbols, self._newline = _byte_symbols(), self._whole("\n")
+            self._newline = self._whole("\n")
             self._spaced, self._bare = _Cache(lambda c: self._byte_chunk(c, " ")), _Cache(lambda c: self._byte_chunk(c, ""))
         elif [n.get("type") for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and config["model"].get("end_of_word_suffix"):
             self.ids = self._by_words
@@ -81,6 +86,9 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return _u32(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _as_bytes(self, word: str) -> str:
+        return word.encode().decode("latin-1").translate(self._symbols)
+
     # Byte level: a pre-token takes at most one space, the one before it. So a cut before a
     # space is safe unless white space lies on both sides of that space.
     def _by_byte_chunks(self, text: str) -> bytes:
@@ -90,6 +98,12 @@ class Encoder:
         return (self._bare[first] if first else b"") + b"".join(map(self._spaced.__getitem__, rest))
 
     def _byte_chunk(self, chunk: str, lead: str) -> bytes:
+        if chunk.isalpha():  # the usual case, judged first
+            if chunk.isascii():
+                return _u32([t.id for t in self._tokenize("Ġ" + chunk if lead else chunk)])
+            if _LATIN(chunk):
+                return _u32([t.id for t in self._tokenize(self._as_bytes(lead + chunk))])
+            return self._whole(lead + chunk)
         cache = self._spaced if lead else self._bare
         if "\n" in chunk:
             lines = chunk.split("\n")
@@ -99,9 +113,6 @@ class Encoder:
         core = chunk.rstrip(_TAIL)
         if core and core != chunk and core[-1] in _ENDS_WORD:
             return cache[core] + self._bare[chunk[len(core):]]
-        if _LATIN(chunk):
-            word = (lead + chunk).encode().decode("latin-1").translate(self._symbols)
-            return _u32([t.id for t in self._model.tokenize(word)])
         return self._whole(lead + chunk)
 
     # Lower-cased words: white space only separates and gives no id.
@@ -111,17 +122,18 @@ class Encoder:
         return b"".join(map(self._words.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _word_chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():  # the usual case, judged first
+            low = chunk.lower()
+            if not _LATIN(chunk):
+                return self._whole(chunk)
+            if low != chunk:
+                return self._words[low]
+            return _u32([t.id for t in self._tokenize(low if low.isascii() else self._as_bytes(low))])
         if not chunk:
             return b""
         core = chunk.rstrip(_TAIL)
         if core and core != chunk and core[-1] in _ENDS_WORD:
             return self._words[core] + self._words[chunk[len(core):]]
-        if _LATIN(chunk):
-            low = chunk.lower()
-            if low != chunk:
-                return self._words[low]
-            if low.isascii():
-                return _u32([t.id for t in self._model.tokenize(low)])
         return self._whole(chunk)
 
 
