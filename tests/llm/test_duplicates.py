@@ -68,6 +68,20 @@ def test_large_pair_sets_are_shuffled(spark, corpus, monkeypatch):
     assert sorted(tuple(r) for r in near_duplicates(docs, 2).collect()) == brute(corpus, 2)
 
 
+def test_blocks_of_unlike_lengths(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 150)
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(420)]
+    lengths = (50, 62, 63, 64, 100, 101, 126, 127, 158, 159, 250, 312, 313, 314, 400)
+    rows = [(10 * k + n, " ".join(base[:n])) for k, n in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_duplicates(docs, 2).collect()) == brute(rows, 2)
+    for percent in (50, 80, 95, 100):  # the largest set that a link allows is one level up at most
+        small = spark.range(1, 50_000).select("id", F.col("id").alias("n")).withColumn("a", minhash._level(percent))
+        large = small.withColumn("n", F.expr(f"id * 100 div {percent}")).withColumn("b", minhash._level(percent))
+        assert large.where("abs(b - a) > 1").isEmpty()
+
+
 def test_repeated_ids_nulls_and_no_rows(spark):
     long = " ".join(map(str, range(50)))
     docs = spark.createDataFrame([(1, long), (2, "a b c"), (2, long), (3, "a b c"), (None, long), (3, "a b c")], "doc_id long, text string")

@@ -6,12 +6,13 @@ central member only: first on signatures, then on whole sets. A linked class nee
 comparison inside its component, so a group of n copies costs n comparisons.
 
 Buckets that then still hold several components are searched whole, in blocks of bounded
-size: signatures and sets of two blocks are compared as arrays in one task, and only
+size whose members are alike in length: signatures and sets of two blocks are compared as arrays in one task, and only
 likely links leave it, to be verified. So no link between members of a bucket is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -216,11 +217,36 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], left: np.ndarray, r
     return total[np.searchsorted(rows, left), np.searchsorted(columns, right)].astype(np.int64)
 
 
+def _level(percent: int) -> F.Column:
+    """The class of a set by its size: linked sets have equal or neighbouring levels.
+
+    Linked sizes differ by a factor of 100 / percent at most; a level is a little wider, so
+    that rounding moves no set across two.
+    """
+    return F.floor(F.log("n") / (math.log(100 / percent) + 0.001)).cast("int")
+
+
+def _block_name(level: F.Column, block: F.Column) -> F.Column:
+    return F.shiftleft(level.cast("long"), 32) + block
+
+
+def _blocks_of(members: DataFrame, percent: int) -> DataFrame:
+    """(bucket, size, whole, blocks): its rows, whether one block holds all of it, and else how many blocks each level has.
+
+    Levels grow with the logarithm of the longest text, so the map is small.
+    """
+    levels = members.groupBy("bucket", _level(percent).alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("size"))
+    share = F.struct("level", F.ceil(F.col("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    out = levels.groupBy("bucket").agg(F.sum("size").alias("size"), (F.sum("n") <= BLOCK_SHINGLES).alias("whole"), F.map_from_entries(F.collect_list(share)).alias("blocks"))
+    return out.withColumn("blocks", F.when(F.col("whole"), F.create_map(F.lit(0), F.lit(1))).otherwise(F.col("blocks")))
+
+
 def block_pairs(members: DataFrame, sigs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): likely links between components, from `members` (bucket, band, doc_id, n, part) of mixed buckets.
 
-    A bucket is dealt into blocks of bounded size, and each two blocks of it are compared
-    as a whole in one place, by arrays. Only what looks linked leaves the task.
+    A bucket is dealt into blocks of bounded size, by level and hash. Two blocks of one level or
+    of neighbouring ones are compared as a whole in one place, by arrays; members further apart
+    in size cannot be linked and never meet. Only what looks linked leaves the task.
     """
     ids = materialize(members.select("doc_id").distinct(), "open")
 
@@ -231,9 +257,13 @@ def block_pairs(members: DataFrame, sigs: DataFrame, texts: DataFrame, size: int
 
     low = _selected(ids, texts).select("doc_id", "text").mapInArrow(cut, "doc_id long, low binary")
     sets = materialize(_selected(ids, sigs).select("doc_id", "sig").join(low, "doc_id"), "open-sets")
-    blocks = members.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = materialize(_blocks_of(members, percent), "blocks")
+    dealt = join_hot(members, blocks, ["bucket"], "size", members.count())
+    level = F.when(F.col("whole"), 0).otherwise(_level(percent))
+    dealt = dealt.withColumn("level", level).withColumn("block", _block_name(F.col("level"), F.pmod(F.xxhash64("doc_id"), F.try_element_at("blocks", "level"))))
+    near = F.filter(F.array(*(F.col("level") + k for k in (-1, 0, 1))), lambda x: F.try_element_at("blocks", x).isNotNull())
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", x) - 1), lambda b: _block_name(x, b))))
+    dealt = dealt.withColumn("other", F.explode(others))
     dealt = dealt.select("bucket", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "n", "part")
     dealt = dealt.join(sets, "doc_id").select("bucket", "band", "i", "j", "block", "doc_id", "n", "part", "sig", "low")
 
