@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +81,10 @@ _held: list = [None, None]
 
 def hold(name: str, drop) -> None:
     """Let `name` keep a large cache in this worker process; the one that another operator kept goes, by its own `drop`."""
-    if _held[0] != name and _held[1] is not None:
-        _held[1]()
+    if _held[0] not in (None, name):
+        if _held[1] is not None:
+            _held[1]()
+        pa.default_memory_pool().release_unused()  # what the other operator's batches left goes back to the system
     _held[:] = [name, drop]
 
 

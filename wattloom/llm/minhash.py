@@ -113,7 +113,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose signatures agree enough."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 4096):
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
                 good = (a == b).mean(axis=1) >= SIGNATURE_FLOOR
@@ -274,7 +274,7 @@ def block_pairs(members: DataFrame, sigs: DataFrame, texts: DataFrame, size: int
             for out, found in zip((u, v), _block_links(rows, percent), strict=True):
                 out.extend(found)
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(k).to_pylist() for k in range(10)]
             for bucket, *row in zip(*columns, strict=True):
                 if (bucket, *row[:3]) != key:
