@@ -17,6 +17,7 @@ from wattloom.llm.repeats import remove_repeats
 from wattloom.llm.token_store import token_digests
 from wattloom.llm.toxicity import toxicity
 from wattloom.llm.url_templates import Rule, url_verdicts
+from wattloom.llm.vector_codes import vector_codes
 from wattloom.llm.vector_search import top_k
 
 
@@ -64,6 +65,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_minhash": op2_minhash,
@@ -75,8 +80,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_templates": op8_url_templates,
     "op9_decontamination": op9_decontamination,
     "op10_vector_search": op10_vector_search,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """The rounds of op13 as a chain of joins with all entries."""
+    near = lambda k: f"""near{k} AS MATERIALIZED (
+            SELECT s.vec_id, s.p, any_value(s.x) AS x, min((s.sq - 2 * list_inner_product(s.x, b.x) + b.sq, b.e)) AS best
+            FROM parts s JOIN book{k} b USING (p) GROUP BY s.vec_id, s.p)"""
+    book = lambda k: f"""mean{k} AS (
+            SELECT p, e, list(m ORDER BY i) AS x FROM (
+                SELECT p, best[2] AS e, i, floor(sum(x[i]) / count(*)) AS m FROM near{k - 1}, (SELECT unnest(range(1, (SELECT any_value(w) + 1 FROM good))) AS i) GROUP BY p, best[2], i) GROUP BY p, e
+        ), book{k} AS MATERIALIZED (
+            SELECT b.p, b.e, coalesce(m.x, b.x) AS x, list_inner_product(coalesce(m.x, b.x), coalesce(m.x, b.x)) AS sq FROM book{k - 1} b LEFT JOIN mean{k} m USING (p, e))"""
+    steps = ",\n        ".join(f"{near(k)},\n        {book(k + 1)}" for k in range(rounds))
+    return f"""
+        WITH good AS (
+            SELECT vec_id, label, len(embedding) // {parts} AS w, [floor({scale} * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT vec_id, p, v[p * w + 1 : p * w + w] AS x, list_inner_product(v[p * w + 1 : p * w + w], v[p * w + 1 : p * w + w]) AS sq FROM good, (SELECT unnest(range({parts})) AS p)
+        ), book0 AS MATERIALIZED (
+            SELECT p, e, x, sq FROM (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x, sq FROM parts) WHERE e < {entries}
+        ), {steps},
+        {near(rounds)},
+        coded AS MATERIALIZED (
+            SELECT vec_id, string_agg(lower(printf('%02x', CAST(best[2] AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id
+        ), digest AS (
+            SELECT sha256(string_agg(array_to_string([CAST(c AS BIGINT) FOR c IN x], ','), ',' ORDER BY p, e)) AS d FROM book{rounds}
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256
+        FROM coded JOIN good USING (vec_id), digest"""
+
+
 #: DuckDB SQL for those that it can express.
 ORACLES: dict[str, str] = {
     "op10_vector_search": """
@@ -90,4 +126,5 @@ ORACLES: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_vector_codes": _codes_sql(),
 }
