@@ -14,6 +14,7 @@ from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.packing import pack_documents
 from wattloom.llm.pii import replace_personal_data
 from wattloom.llm.repeats import remove_repeats
+from wattloom.llm.substrings import remove_held_earlier
 from wattloom.llm.token_store import token_digests
 from wattloom.llm.toxicity import toxicity
 from wattloom.llm.url_templates import Rule, url_verdicts
@@ -65,6 +66,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_held_earlier(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_templates": op8_url_templates,
     "op9_decontamination": op9_decontamination,
     "op10_vector_search": op10_vector_search,
+    "op11_substrings": op11_substrings,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -126,5 +132,21 @@ ORACLES: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_substrings": r"""
+        WITH texts AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS MATERIALIZED (
+            SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM texts)
+        ), held AS (
+            SELECT w, min(doc_id) AS first FROM windows GROUP BY w
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + k AS i FROM windows JOIN held USING (w), (SELECT unnest(range(13)) AS k) WHERE first < doc_id
+        ), spread AS (
+            SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM spread ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)""",
     "op13_vector_codes": _codes_sql(),
 }
