@@ -8,6 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from wattloom.llm.common import surrogate_key, table
+from wattloom.llm.conversations import prefix_trie
 from wattloom.llm.decontamination import contaminated
 from wattloom.llm.html import extract_main_text
 from wattloom.llm.minhash import near_duplicates
@@ -70,6 +71,10 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_held_earlier(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_vector_search": op10_vector_search,
     "op11_substrings": op11_substrings,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -148,5 +154,33 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
         FROM texts LEFT JOIN kept USING (doc_id)""",
+    "op12_prefix_trie": """
+        WITH turns AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), ids AS (
+            SELECT conv_id, conv_id - (conv_id % 5 + 5) % 5 AS first, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns)
+        ), rebuilt AS (
+            SELECT i.conv_id, 0 AS part, rn, role, text FROM ids i JOIN turns t ON t.conv_id = i.first AND rn <= h
+            UNION ALL SELECT conv_id, 1, rn, role, text FROM ids JOIN turns USING (conv_id) WHERE rn > h
+        ), whole AS MATERIALIZED (
+            SELECT conv_id, coalesce(s, []) AS s FROM ids LEFT JOIN (SELECT conv_id, list(sha256(concat(length(role), ' ', role, text)) ORDER BY part, rn) AS s FROM rebuilt GROUP BY conv_id) USING (conv_id)
+        ), bytes AS MATERIALIZED (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, rn) AS d, octet_length(encode(text)) AS n FROM rebuilt
+        ), prefixes AS MATERIALIZED (
+            SELECT conv_id, d, sha256(array_to_string(s[1 : d], ',')) AS k, CASE WHEN d > 0 THEN sha256(array_to_string(s[1 : d - 1], ',')) END AS up, len(s) = d AS ends FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM whole)
+        ), nodes AS MATERIALIZED (
+            SELECT k, any_value(d) AS d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY k
+        ), children AS (
+            SELECT up AS k, count(*) AS n_children FROM nodes GROUP BY up
+        ), weighed AS (
+            SELECT m.k, m.conv_id, m.d, coalesce((m.n - 1) * b.n, 0) AS saved, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM nodes m LEFT JOIN bytes b USING (conv_id, d) LEFT JOIN children USING (k)
+        ), below AS (
+            SELECT p.k, sum(saved) AS saved_tokens, sum(leaf) AS n_leaves FROM weighed w JOIN prefixes p ON p.conv_id = w.conv_id AND p.d <= w.d GROUP BY p.k
+        )
+        SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+        FROM nodes m JOIN below USING (k) LEFT JOIN children USING (k) LEFT JOIN nodes u ON u.k = m.up""",
     "op13_vector_codes": _codes_sql(),
 }
