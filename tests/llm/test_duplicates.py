@@ -133,16 +133,23 @@ def test_repeats(spark, monkeypatch, small):
     assert remove_repeats(docs.where("false")).count() == 0
 
 
-def test_spans_are_told_apart_by_64_bits(spark):
-    rows = []
-    for seed in (34668, 85562):  # around this anchor the two spans' hashes agree in their low 32 bits
-        rnd = random.Random(seed)
-        left, right = ("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=84)) for _ in range(2))
-        rows.append((seed, left + "ouwxddjzlbbgdtubpqoldxqxjyyenden" + right))
-    (a,), (b,) = (repeats.spans_of(t.encode())[4] for _, t in rows)
-    assert a != b and a.astype(np.int32) == b.astype(np.int32)
-    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(tuple(r)[:5] for r in got.collect()) == removed(rows)
+def test_spans_are_told_apart_by_their_bytes(spark):
+    """Swapped blocks in the order of Thue and Morse: a polynomial modulo a power of two can't tell such texts apart."""
+    order = [0]
+    while len(order) < 32:
+        order += [1 - x for x in order]
+    tail = "".join(random.Random(11).choices("abcdefghijklmnopqrstuvwxyz", k=240))
+    rows = [(k, "".join(("jcfg", "kopc")[x ^ k] for x in order) + tail) for k in (0, 1)]
+    got = sorted(tuple(r)[:5] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == removed(rows) and [r[2] for r in got] == [240, 240]
+    # Around one anchor, wherever it lies: the least gram of both texts is made the same.
+    data = [t.encode() for _, t in rows]
+    for x in data:
+        first, last, at, _ = repeats.spans_of(x)
+        digests = repeats.span_digests(x, first, last, at)
+        assert len(set(digests)) == len(digests)
+    one, other = (repeats.span_digests(x, np.array([0]), np.array([168]), np.array([168]))[0] for x in data)
+    assert one != other
 
 
 def test_large_groups_are_not_sorted_in_one_task(spark, monkeypatch):
@@ -162,3 +169,15 @@ def test_large_groups_are_not_sorted_in_one_task(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(-1 if r[0] is None else r[0], *r[1:5]) for r in remove_repeats(docs).collect()]
     assert sorted(got) == removed([(-1 if d is None else d, t) for d, t in rows])
+
+
+def test_no_link_is_lost_by_cutting_sets_to_32_bits():
+    """At the threshold, with many shingles that meet when cut: the pair has to leave the block."""
+    rng = np.random.default_rng(8)
+    both = rng.integers(0, 1 << 63, 800, dtype=np.uint64)
+    both[400:] = both[:400] ^ np.uint64(1 << 50)  # the low halves meet
+    sets = [np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 100, dtype=np.uint64)])) for _ in range(2)]
+    assert 100 * 800 == 80 * len(np.union1d(*sets))
+    sig = np.zeros(minhash.BANDS * minhash.ROWS, "<u2").tobytes()
+    rows = [(0, 0, 0, 0, k, len(x), k, sig, np.unique(x.astype(np.uint32)).astype("<u4").tobytes()) for k, x in enumerate(sets)]
+    assert minhash._block_links(rows, 80) == ([0], [1])

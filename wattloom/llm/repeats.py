@@ -4,8 +4,8 @@ Every 200-byte window has an anchor: the 32 bytes in it with the least hash. Equ
 have equal anchors at equal places, so windows need to be compared only with those around
 an equal anchor. The windows of one anchor in a text form a span of 200 to 368 bytes.
 
-1. Spans are counted by anchor and hash. Where a whole span occurs again, all its windows
-   do. Inside a long repeated passage that settles all spans but those at its ends.
+1. Spans are counted by anchor and a 128-bit digest of their bytes. Where a whole span occurs
+   again, all its windows do. Inside a long repeated passage that settles all spans but those at its ends.
 2. The open spans around one anchor, with one copy of each span that meets them, are short
    documents of a collection. They are sorted column-wise: one symbol of every document is
    inserted each round, from the right end to the left, and each round updates the order
@@ -67,10 +67,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def spans_of(data: bytes) -> tuple[np.ndarray, ...]:
-    """first and last window start, anchor position, anchor hash, span hash: one entry for each anchor of `data`."""
+    """first and last window start, anchor position, anchor hash: one entry for each anchor of `data`.
+
+    The hash is a polynomial, of which unlike texts may have the same: it only says which spans may meet.
+    """
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     ahead, back = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * ahead[:n], out=sums[1:])
@@ -88,8 +91,12 @@ def spans_of(data: bytes) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
     last = np.concatenate([first[1:] - 1, [windows - 1]])
     at = anchor[first]
-    span = _mix((sums[last + LENGTH] - sums[first]) * back[first] + _mix((last - first + 1024 * (at - first)).astype(np.uint64)))
-    return first, last, at, grams[at].astype(np.int64), span.astype(np.int64)
+    return first, last, at, grams[at].astype(np.int64)
+
+
+def span_digests(data: bytes, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A digest of each span's bytes and of its anchor's place in it."""
+    return [blake2b(data[f : t + LENGTH], digest_size=16, salt=b"%d" % (a - f)).digest() for f, t, a in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)]
 
 
 def _min_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,13 +157,15 @@ def _spans(rows: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            parts = [spans_of(x.encode()) for x in batch.column(2).to_pylist()]
+            texts = [x.encode() for x in batch.column(2).to_pylist()]
+            parts = [spans_of(x) for x in texts]
+            span = [d for x, p in zip(texts, parts, strict=True) for d in span_digests(x, *p[:3])]
             owner = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
-            first, last, at, anchor, span = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
+            first, last, at, anchor = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(4))
             place = first | (at - first) << _POSITION_BITS | (last - first) << (_POSITION_BITS + 8)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(anchor), pa.array(span)], ["key", "mark", "place", "anchor", "span"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(place), pa.array(anchor), pa.array(span, pa.binary())], ["key", "mark", "place", "anchor", "span"])
 
-    return rows.select("key", "mark", "text").mapInArrow(find, "key long, mark long, place long, anchor long, span long")
+    return rows.select("key", "mark", "text").mapInArrow(find, "key long, mark long, place long, anchor long, span binary")
 
 
 def _unpack(place: int) -> tuple[int, int, int]:
