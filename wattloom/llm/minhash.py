@@ -170,6 +170,7 @@ def _block_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]
     sets = [[np.frombuffer(r[8], "<u4") for r in x] for x in sides]
     if not len(sides[0]) or not len(sides[1]):
         return [], []
+    lost = [size - np.array([len(x) for x in own]) for size, own in zip(n, sets, strict=True)]
     found: tuple[list[int], list[int]] = ([], [])
     step = max(1, 4_000_000 // (len(sides[1]) * BANDS * ROWS))
     for k in range(0, len(sides[0]), step):
@@ -188,8 +189,9 @@ def _block_links(rows: list[tuple], percent: int) -> tuple[list[int], list[int]]
         if not len(left):
             continue
         both = _intersections(sets[0][own], sets[1], left, right)
-        # Two more for hashes that met by chance when they were cut to 32 bits.
-        good = 100 * (both + 2) >= percent * (n[0][own][left] + n[1][right] - both - 2)
+        # No more common shingles can have met by the cut to 32 bits than either set lost by it.
+        both = both + np.minimum(lost[0][own][left], lost[1][right])
+        good = 100 * both >= percent * (n[0][own][left] + n[1][right] - both)
         found[0].extend(doc[0][own][left[good]].tolist())
         found[1].extend(doc[1][right[good]].tolist())
     return found
