@@ -1,6 +1,7 @@
 """op4: coreference, check digits, distinctness against a plain search, edge cases."""
 
 import re
+import time
 
 import pytest
 
@@ -68,3 +69,35 @@ def test_defined_cases(spark):
     assert out.count() == 6 and len(got) == 4 and (1, None, 0, ()) in got and (2, "", 0, ()) in got
     far = next(r for r in got if r[0] is None)
     assert far[1][:1_000_000] == long[:1_000_000] and "a@b.org" not in far[1] and far[3] == ("email",)
+
+
+def test_long_runs_take_linear_time(spark):
+    """Runs without spaces, of letters, base64, labels, at signs, keys and digits: a megabyte costs what a word does."""
+    n = 1_000_000
+    rows = ["1 " + "z" * n, "x@" + "Qm9+/" * (n // 5) + " a@b.org", "1 " + "a." * (n // 2) + "c@d.org", "k@" + "b." * (n // 2), "@".join(["ab"] * (n // 3)), "1 " + "sk-" * (n // 3), "1 " + "é" * n, "0f" * (n // 2)]
+    began = time.perf_counter()
+    out = texts(spark, rows)
+    took = time.perf_counter() - began
+    assert all(out[k] == rows[k] for k in range(len(rows)) if k not in (1, 5)) and len(out[5]) == len(rows[5])  # a chain of keys
+    assert out[1].startswith(rows[1][: n // 2]) and not out[1].endswith("a@b.org")
+    assert took < 100
+
+
+def test_an_address_right_after_a_name(spark):
+    out = texts(spark, ["Mr. John.doe@mail.org"])
+    assert "doe@mail.org" not in out[0]
+
+
+def test_all_one_letter_domains(spark):
+    rows = [f"me@{c}.org and {c}@x.net" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = texts(spark, rows)
+    found = [a for t in out.values() for a in t.split(" and ")]
+    assert len(set(found)) == 52 and not set(found) & {a for t in rows for a in t.split(" and ")}
+    assert all(a.endswith((".org", ".net")) for a in found)
+
+
+def test_more_parts_than_their_format_holds(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_DRAWS", 3)
+    rows = [f"me@{c}.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = texts(spark, rows)
+    assert len(set(out.values())) == 26 and not set(out.values()) & set(rows)

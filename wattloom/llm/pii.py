@@ -30,12 +30,15 @@ _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra"
 _STARTS, _ENDS = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _TITLE = rf"{_STARTS}(?:{_MALE}|{_FEMALE}|Dr|Prof)\.? "
 
-#: kind -> Java pattern; the first that fits a place wins.
+#: A run that may be a local part is entered at its start only, or where the last mention ended, and never given back.
+#: Longer runs are no address, and longer ones of a key's characters no key: data, say, or a script without spaces.
+_LOCAL = r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]{1,254}+"
+#: kind -> Java pattern; the first that fits a place wins. Time grows with the length of a text, whatever it holds.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": _LOCAL + r"@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,30}\.\p{L}{2,}+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "iban": rf"{_STARTS}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_ENDS}",
-    "secret": rf"{_STARTS}(?:(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,}}|AKIA[0-9A-Z]{{16}}|[0-9a-f]{{32,}}|[0-9A-F]{{32,}}){_ENDS}",
+    "secret": rf"{_STARTS}(?:(?:sk|pk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{{16,256}}|AKIA[0-9A-Z]{{16}}|[0-9a-f]{{32,256}}|[0-9A-F]{{32,256}}){_ENDS}",
     "ssn": rf"{_STARTS}\d{{3}}-\d{{2}}-\d{{4}}{_ENDS}",
     "phone": rf"\+\d{{1,3}}[ .-]?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}{_ENDS}|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,5}}{_ENDS}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}{_ENDS}|{_STARTS}\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}{_ENDS}",
     "card": rf"{_STARTS}(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}){_ENDS}",
@@ -58,6 +61,7 @@ _ENDINGS = {"latin": {"m": "n", "f": "a", "x": "l"}, "cyrillic": {"m": "н", "f"
 
 #: Redrawn parts, and texts that hold them, that may be sent to every task.
 SMALL_REDRAWN = 100_000
+#: After so many drawings a part gets a surrogate out of its format: there are too many of its kind for all to keep it.
 MAX_DRAWS = 30
 #: Syllables of a name; every four drawings it gets one more, so that names do not run out.
 SYLLABLES = 4
@@ -213,12 +217,13 @@ def surrogate(key: str, kind: Column, canonical: Column, draw: Column) -> Column
             .when(kind.isin("surname", "first_m", "first_f", "first_x"), _name(kind, canonical, draw, stream))
             .when(kind == "card", _let(F.substring(b, F.lit(1), F.length(b) - 1), lambda x: F.concat(x, _check_digit(x))))
             .when(kind == "iban", F.concat(F.substring(b, 1, 2), F.lpad((98 - _mod97(F.concat(F.substring(b, F.lit(5), F.length(b)), F.substring(b, 1, 2), F.lit("00")))).cast("string"), 2, "0"), F.substring(b, F.lit(5), F.length(b))))
-            .when(kind == "domain", F.concat(b, F.lit("."), F.element_at(F.split(canonical, r"\."), -1)))
-            .when((kind == "email") & (draw > 2), F.concat(b, spare))  # short local parts run out
+            .when(kind == "domain", F.concat(b, F.when(draw > 2, spare).otherwise(F.lit("")), F.lit("."), F.element_at(F.split(canonical, r"\."), -1)))
+            .when((kind == "email") & (draw > 2), F.concat(b, spare))  # short local parts and domains run out
             .otherwise(b)
         ))
 
-    return _let(_stream(key, kind, canonical, draw), made)
+    opaque = F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, canonical).cast("binary"), 256), 1, 24)
+    return F.when(draw >= MAX_DRAWS, opaque).otherwise(_let(_stream(key, kind, canonical, draw), made))
 
 
 def _laid(value: Column, fresh: Column, first: Column | int = 0) -> Column:
@@ -243,7 +248,9 @@ def _rendered(m: Column, fresh: Column) -> Column:
     part = lambda k: F.get(fresh, F.lit(k))
     shown = lambda w, i: _let(F.get(fresh, i), lambda f: F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(f)).otherwise(F.initcap(f)))
     names = F.concat(F.regexp_extract(value, f"^{_TITLE}", 0), F.array_join(F.transform(_name_words(value), shown), " "))
-    email = F.concat(_laid(F.split_part(value, F.lit("@"), F.lit(1)), part(0)), F.lit("@"), _laid(F.split_part(value, F.lit("@"), F.lit(2)), part(1)))
+    # A domain that had to grow is shown as it is, as its dots have moved.
+    domain = _let(F.split_part(value, F.lit("@"), F.lit(2)), lambda d: F.when(F.length(d) == F.length(part(1)), _laid(d, part(1))).otherwise(part(1)))
+    email = F.concat(_laid(F.split_part(value, F.lit("@"), F.lit(1)), part(0)), F.lit("@"), domain)
     missing = F.when(kind == "phone", F.length(part(0)) - F.length(_digits(value))).otherwise(0)  # a national number lacks the code
     return F.when(F.size(fresh) == 0, value).when(kind == "email", email).when(kind.isin("person", "name"), names).when(kind == "ip", part(0)).otherwise(_laid(value, part(0), missing))
 
@@ -270,7 +277,7 @@ def _redrawn(parts: DataFrame, key: str) -> DataFrame:
             break
         drawn = bad.select("kind", "canonical", (F.col("draw") + F.col("bad").cast("int")).alias("draw")).repartition(n, "kind", "canonical")
     else:
-        raise RuntimeError(f"personal data without a free surrogate after {MAX_DRAWS} drawings")
+        drawn = bad.select("kind", "canonical", F.when(F.col("bad"), MAX_DRAWS).otherwise(F.col("draw")).alias("draw"))
     return drawn.where("draw > 0").select("kind", "canonical", "draw")
 
 
