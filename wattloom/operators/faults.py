@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
-from wattloom.operators.rolling import MAD_TO_SIGMA, hampel, max_achievable_zscore, reach, rolling_mad, rolling_zscore
+from wattloom.operators.rolling import MAD_TO_SIGMA, hampel_excess, max_achievable_zscore, reach, rolling_mad, rolling_zscore
 
 #: Grids, fault sizes and counts of the two calibrations.
 WINDOWS, SIGMAS = (6, 12, 24, 36, 48, 72), (2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)
@@ -201,16 +201,6 @@ def near_best(grid: DataFrame, repeats: int, score: str = "f1", spread: str = "f
     return grid.withColumn("k", F.lit(1)).join(F.broadcast(top.withColumn("k", F.lit(1))), "k").where(F.col(score) >= F.col("bar")).drop("k", "bar")
 
 
-def _hampel_excess(series: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Adds `excess`, one entry a window: how many robust deviations each row lies from its rolling median."""
-    out = None
-    for w in windows:
-        own = hampel(series, w, 1.0).withColumn("_x", F.abs(F.col("value") - F.col("centre")) / F.nullif(MAD_TO_SIGMA * F.col("spread"), F.lit(0.0)))
-        own = own.select(*series.columns, F.lit(w).alias("window"), F.col("_x").alias("excess"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def _name(what: str, k: int) -> str:
     return f"{what}_{k}"
 
@@ -233,7 +223,7 @@ def tune_hampel(series: DataFrame, seed: int = 0, windows: Sequence[int] = TUNER
     unit = MAD_TO_SIGMA * spread[0] if spread[0] else spread[1]
     faults = draw_runs(series.sparkSession, n, seed, repeats, n_faults, magnitudes)
     damaged = _as_channels(apply_faults(series.select("channel", "pos", "ts", "value").withColumn("unit", F.lit(float(unit))), faults, tuner=True))
-    excess = _hampel_excess(damaged, windows)
+    excess = hampel_excess(damaged, windows)
     beyond = lambda s: F.coalesce(F.col("excess") > float(s), F.lit(False))
     truth = F.col("fault").isNotNull()
     # Rows of one fault first, then all of a repetition: both count every sigma at once.
@@ -253,7 +243,7 @@ def tune_hampel(series: DataFrame, seed: int = 0, windows: Sequence[int] = TUNER
 def stability(series: DataFrame, windows: Sequence[int] = TUNER_WINDOWS, sigmas: Sequence[float] = TUNER_SIGMAS) -> DataFrame:
     """(window, sigma, n_flagged, pct_flagged) on the series as it is."""
     beyond = [F.count_if(F.coalesce(F.col("excess") > float(s), F.lit(False))).alias(_name("n_flagged", k)) for k, s in enumerate(sigmas)]
-    counts = _hampel_excess(series, windows).groupBy("window").agg(F.count("*").alias("n"), *beyond)
+    counts = hampel_excess(series, windows).groupBy("window").agg(F.count("*").alias("n"), *beyond)
     long = _by_sigma(counts, ("window", "n"), sigmas, ("n_flagged",))
     return long.select("window", "sigma", "n_flagged", (100 * F.col("n_flagged") / F.col("n")).alias("pct_flagged"))
 

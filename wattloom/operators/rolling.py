@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.operators.chunks import chunk_window, own_rows, with_halo
+from wattloom.functions.sliding import hampel_distance, sliding_median
+from wattloom.operators.chunks import CHUNK, chunk_window, own_rows, with_halo
 from wattloom.operators.stats import mad
 
 MAD_TO_SIGMA = 1.4826
@@ -51,39 +55,76 @@ def rolling_zscore(readings: DataFrame, window: int = 12, sigma: float = 3.0, mi
     return out.withColumn("flagged", F.coalesce(F.abs(F.col("value") - F.col("centre")) > F.col("threshold"), F.lit(False)))
 
 
-def _median(values: Column) -> Column:
-    s = F.sort_array(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+def by_chunk(readings: DataFrame, before: int, after: int, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], added: dict[str, str], size: int = CHUNK) -> DataFrame:
+    """`readings` with the columns `added` (name -> SQL type) that `kernel` makes of the values of a chunk and its halo, in the order of pos.
+
+    Missing values come as NaN, and NaN of the kernel is missing again.
+    """
+    rows = with_halo(readings, before, after, size)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("pos")
+        made = kernel(part["value"].to_numpy())
+        for name in added:
+            part = part.append_column(name, pa.array(made[name].tolist() if made[name].ndim > 1 else made[name], from_pandas=True))
+        own = np.floor_divide(part["pos"].to_numpy(), size) == part["chunk"].to_numpy()
+        return part.filter(pa.array(own)).drop_columns(["chunk"])
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "chunk"]
+    return rows.groupBy("channel", "chunk").applyInArrow(run, ", ".join([*kept, *(f"`{name}` {kind}" for name, kind in added.items())]))
+
+
+def rolling_median(readings: DataFrame, window: int, min_periods: int = 1) -> DataFrame:
+    """Adds centre: the median of the values in reach, missing with fewer than `min_periods`."""
+    before, after = reach(window)
+    return by_chunk(readings, before, after, lambda v: {"centre": sliding_median(v, before, after, min_periods)[0]}, {"centre": "double"})
 
 
 def rolling_mad(readings: DataFrame, window: int = 12, min_periods: int = 1) -> DataFrame:
     """Adds centre (median) and scale: 1.4826 times the median deviation from the window's own median."""
     before, after = reach(window)
-    rows = with_halo(readings, before, after)
-    own = F.collect_list("value").over(chunk_window().rowsBetween(-before, after))
-    out = own_rows(rows.withColumn("_v", own))
-    enough = F.size("_v") >= min_periods
-    out = out.withColumn("centre", F.when(enough, _median(F.col("_v"))))
-    spread = _median(F.transform("_v", lambda x: F.abs(x - F.col("centre"))))
-    return out.withColumn("scale", F.when(enough, MAD_TO_SIGMA * spread)).drop("_v")
+
+    def kernel(values: np.ndarray) -> dict[str, np.ndarray]:
+        centre, spread = sliding_median(values, before, after, min_periods, deviation=True)
+        return {"centre": centre, "scale": MAD_TO_SIGMA * spread}
+
+    return by_chunk(readings, before, after, kernel, {"centre": "double", "scale": "double"})
 
 
 def hampel(readings: DataFrame, window: int, sigma: float) -> DataFrame:
     """Adds centre, spread, flagged. Two stages: each row's deviation is from its own rolling median, and the spread is their rolling median."""
     before, after = reach(window)
-    rows = with_halo(readings, 2 * before, 2 * after)
-    frame = chunk_window().rowsBetween(-before, after)
-    rows = rows.withColumn("centre", F.percentile("value", F.lit(0.5)).over(frame)).withColumn("_d", F.abs(F.col("value") - F.col("centre")))
-    rows = rows.withColumn("spread", F.percentile("_d", F.lit(0.5)).over(frame))
-    out = own_rows(rows)
-    return out.withColumn("flagged", F.coalesce(F.col("_d") > sigma * MAD_TO_SIGMA * F.col("spread"), F.lit(False))).drop("_d")
+
+    def kernel(values: np.ndarray) -> dict[str, np.ndarray]:
+        centre, away, spread = hampel_distance(values, before, after)
+        with np.errstate(invalid="ignore"):
+            return {"centre": centre, "spread": spread, "flagged": away > sigma * MAD_TO_SIGMA * spread}
+
+    return by_chunk(readings, 2 * before, 2 * after, kernel, {"centre": "double", "spread": "double", "flagged": "boolean"})
+
+
+def hampel_excess(readings: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """A row for each row and window, with `window` and `excess`: its distance from the rolling median in robust deviations, missing where the spread is 0.
+
+    All windows share one pass and the halo of the widest.
+    """
+    before, after = (2 * max(r[k] for r in map(reach, windows)) for k in (0, 1))
+
+    def kernel(values: np.ndarray) -> dict[str, np.ndarray]:
+        out = np.full((len(values), len(windows)), np.nan)
+        for k, w in enumerate(windows):
+            _, away, spread = hampel_distance(values, *reach(w))
+            np.divide(away, MAD_TO_SIGMA * spread, out=out[:, k], where=spread > 0)
+        return {"_x": out}
+
+    rows = by_chunk(readings, before, after, kernel, {"_x": "array<double>"})
+    cells = F.posexplode(F.transform("_x", lambda x: F.nanvl(x, F.lit(None))))
+    sizes = F.array(*map(F.lit, windows))
+    return rows.select(*readings.columns, cells.alias("_k", "excess")).select(*readings.columns, F.get(sizes, F.col("_k")).alias("window"), "excess")
 
 
 def robust_sd(readings: DataFrame) -> DataFrame:
     """(channel, robust_sd): 1.4826 times the MAD, or the population standard deviation where that is 0."""
-    from wattloom.operators.stats import mad
-
     return mad(readings).join(readings.groupBy("channel").agg(F.stddev_pop("value").alias("sd")), "channel").select("channel", F.when(F.col("mad") > 0, MAD_TO_SIGMA * F.col("mad")).otherwise(F.col("sd")).alias("robust_sd"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
+from wattloom.operators.chunks import renumbered
 from wattloom.operators.gaps import longest_gap
 
 PERCENTILES = (1, 5, 25, 75, 95, 99)
@@ -178,10 +178,9 @@ def peak_trough_effect(original: DataFrame, filtered: DataFrame, window: int = 6
     Missing rows are left out first and the rest renumbered. Needs over 1000 residuals, and 50 on either side.
     """
     both = original.select("channel", "pos", F.col("value").alias("o")).join(filtered.select("channel", "pos", F.col("value").alias("f")), ["channel", "pos"]).where("o is not null and f is not null")
-    before, after = window // 2, window - 1 - window // 2
-    rows = with_halo(renumbered(both.withColumn("value", F.col("o"))), before, after)
-    frame = chunk_window().rowsBetween(-before, after)
-    rows = own_rows(rows.withColumn("centre", F.when(F.count("o").over(frame) >= min_periods, F.percentile("o", F.lit(0.5)).over(frame))))
+    from wattloom.operators.rolling import rolling_median
+
+    rows = rolling_median(renumbered(both.withColumn("value", F.col("o"))), window, min_periods)
     r, high, low = F.col("o") - F.col("f"), F.col("o") > F.col("centre"), F.col("o") < F.col("centre")
     enough = (F.count("*") > 1000) & (F.count_if(high) > 50) & (F.count_if(low) > 50)
     return rows.groupBy("channel").agg(F.when(enough, F.avg(F.when(high, r))).alias("peak"), F.when(enough, F.avg(F.when(low, r))).alias("trough"))
