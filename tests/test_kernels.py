@@ -89,3 +89,80 @@ def test_the_longest_fit_is_quick():
     flags, *_, fit = bspline.band_flags(x, y, smoothing=10.0)
     assert flags[4000] and fit.n_basis == bspline.MAX_BASIS and fit.basis_capped
     assert time.perf_counter() - began < 10
+
+
+def _row_by_row(b, a, x, z):
+    """The transposed direct form, a row at a time."""
+    z, out = [*z, 0.0], []
+    for v in x:
+        y = b[0] * v + z[0]
+        for k in range(len(a) - 1):
+            z[k] = b[k + 1] * v + z[k + 1] - a[k + 1] * y
+        out.append(y)
+    return np.array(out), np.array(z[:-1])
+
+
+@pytest.mark.parametrize("order, cutoff", [(1, 0.3), (3, 0.05), (3, 0.9), (5, 0.2)])
+def test_recurrence_equals_row_by_row(order, cutoff):
+    b, a = butter.butterworth(order, cutoff)
+    rng = np.random.default_rng(order)
+    for n in (0, 1, 127, 128, 129, 5000):
+        x, z = 100 * rng.normal(size=n), rng.normal(size=order)
+        for block in (1, 16, 128):
+            y, end = butter.Recurrence(b, a, block).run(x, z)
+            want, last = _row_by_row(b, a, x, z)
+            scale = max(1.0, np.abs(want).max(initial=0))
+            # Small blocks take more squarings of the step, each with its rounding.
+            near = 1e-12 if block == butter.BLOCK else 1e-11
+            assert np.abs(y - want).max(initial=0) < near * scale and np.abs(end - last).max() < near * scale
+
+
+def test_parts_join_by_their_states():
+    b, a = butter.butterworth(3, 0.2)
+    x = np.random.default_rng(9).normal(size=3000).cumsum()
+    own, (first, second) = butter.Recurrence(b, a), (x[:1100], x[1100:])
+    zero = np.zeros(3)
+    whole, end = own.run(x, zero)
+    _, s1 = own.run(first, zero)
+    y2, _ = own.run(second, s1)
+    assert np.abs(y2 - whole[1100:]).max() < 1e-9
+    # From a zero state, the carried state is added afterwards.
+    _, s2 = own.run(second, zero)
+    assert np.abs(own.power(len(second)) @ s1 + s2 - end).max() < 1e-9
+
+
+def test_a_million_rows_are_filtered_at_once():
+    x = np.random.default_rng(10).normal(size=1_000_000)
+    began = time.process_time()
+    butter.smooth(x, 1.0, 30.0)
+    assert time.process_time() - began < 5
+
+
+def test_regions_in_a_stack_equal_single_fits():
+    rng = np.random.default_rng(12)
+    n, context = 600, 12
+    x = np.sort(rng.random(n)) + np.arange(n) / 20
+    y = np.sin(x) + rng.normal(0, 0.1, n)
+    starts, ends = np.array([0, 30, 60, 90, 140, 200, 300, 420, 500, 596]), np.array([2, 30, 63, 92, 149, 200, 323, 421, 500, 599])
+    blocked = np.zeros(n, bool)
+    for a, b in zip(starts, ends, strict=True):
+        blocked[a : b + 1] = True
+    blocked[205:330] = blocked[470:560] = True  # too thin around 500
+    y[rng.random(n) < 0.1] = np.nan
+    got = bspline.impute_regions(x, np.where(blocked, np.nan, y), np.arange(n), starts, ends, context, 0.3)
+    for a, b, own in zip(starts, ends, got, strict=True):
+        want = bspline.impute_region(x, y, blocked, a, b, context, 0.3)
+        assert (want is None) == (own is None)
+        if want is not None:
+            np.testing.assert_allclose(own, want, atol=1e-9)
+    assert any(g is None for g in got) and any(g is not None for g in got)
+
+
+def test_ten_thousand_regions_in_one_stack():
+    n = 300_000
+    x, y = np.arange(n) / 288, np.sin(np.arange(n) / 40)
+    starts = np.arange(100, n - 100, 29)
+    began = time.process_time()
+    got = bspline.impute_regions(x, y, np.arange(n), starts, starts + 2, 12, 0.1)
+    assert time.process_time() - began < 20 and len(got) == len(starts)
+    assert max(np.abs(g - y[a : a + 3]).max() for g, a in zip(got, starts, strict=True)) < 0.05

@@ -170,6 +170,80 @@ def band_flags(x: np.ndarray, y: np.ndarray, smoothing: float = 1e4, z: float =
     return flags, curve, low, high, fit
 
 
+def _stack_coefficients(first: np.ndarray, near: np.ndarray, y: np.ndarray, k: int, smoothing: float) -> np.ndarray:
+    """Coefficients (fits x k) of as many fits of equal shape: `first` (fits x rows), `near` (fits x rows x 4), `y` with NaN for rows that are left out.
+
+    One banded factorisation for all: each step of it is an operation over the fits. NaN where the matrix is not positive.
+    """
+    fits = len(y)
+    good = np.isfinite(y)
+    at = (np.arange(fits)[:, None] * k + first)[good]
+    w, v = near[good], y[good]
+    place = lambda p: at + p
+    band = np.zeros((_BAND, fits, k))
+    for p in range(_BAND):
+        for q in range(p, _BAND):
+            band[q - p] += np.bincount(place(p), w[:, p] * w[:, q], fits * k).reshape(fits, k)
+    band += smoothing * _penalty_band(k)[:, None, :]
+    x = sum(np.bincount(place(p), w[:, p] * v, fits * k) for p in range(_BAND)).reshape(fits, k).T.copy()
+    low = np.zeros((k, _BAND, fits))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for j in range(k):
+            for c in range(max(0, j - 3), j + 1):
+                value = band[j - c, :, c].copy()
+                for t in range(max(0, j - 3), c):
+                    value -= low[j, t - j + 3] * low[c, t - c + 3]
+                low[j, c - j + 3] = value / low[c, 3] if c < j else np.sqrt(value)
+            for c in range(max(0, j - 3), j):
+                x[j] -= low[j, c - j + 3] * x[c]
+            x[j] /= low[j, 3]
+        for j in range(k - 1, -1, -1):
+            for c in range(j + 1, min(k, j + 4)):
+                x[j] -= low[c, j - c + 3] * x[c]
+            x[j] /= low[j, 3]
+    return x.T
+
+
+#: Rows of all fits in one stack.
+STACK_ROWS = 500_000
+
+
+def impute_regions(x: np.ndarray, y: np.ndarray, pos: np.ndarray, starts: np.ndarray, ends: np.ndarray, context: int, smoothing: float) -> list[np.ndarray | None]:
+    """What `impute_region` gives for each of many regions, those of one shape fitted together.
+
+    Regions are given by positions; rows are in the order of `pos`, and in y all rows that no fit
+    may see are NaN. A region's own rows are hidden from its fit.
+    """
+    a, b = np.searchsorted(pos, starts), np.searchsorted(pos, ends)
+    width = np.maximum(context, 4 * (ends - starts + 1))
+    lo, hi = np.searchsorted(pos, starts - width), np.searchsorted(pos, ends + width, side="right")
+    seen = np.concatenate([[0], np.cumsum(np.isfinite(y))])
+    n = seen[hi] - seen[lo] - (seen[b + 1] - seen[a])
+    k = np.maximum(5, np.minimum(n - 4, np.rint(0.5 * (hi - lo)).astype(np.int64)))
+    shape = np.stack([hi - lo, a - lo, b - a + 1, k], axis=1)
+    out: list[np.ndarray | None] = [None] * len(starts)
+    fit = np.flatnonzero((n >= k + 2) & (n >= 12))
+    shapes, which = np.unique(shape[fit], axis=0, return_inverse=True)
+    for s, (m, before, gap, basis) in enumerate(shapes.tolist()):
+        own = fit[which.ravel() == s]
+        for part in np.array_split(own, max(1, -(-len(own) * m // STACK_ROWS))):
+            rows = lo[part][:, None] + np.arange(m)
+            t = x[rows] - x[lo[part]][:, None]
+            t = t / np.maximum(t.max(axis=1, keepdims=True), 1e-300) * (basis - 3)
+            # All fits share the knots 0 .. basis - 3; the two ends make sure that they span the range.
+            first, near = basis_rows(np.concatenate([t.ravel(), [0.0, basis - 3.0]]), basis)
+            first, near = first[:-2].reshape(t.shape), near[:-2].reshape(*t.shape, _BAND)
+            values = y[rows]
+            values[:, before : before + gap] = np.nan
+            found = _stack_coefficients(first, near, values, basis, smoothing * gap)
+            inside = slice(before, before + gap)
+            at = first[:, inside, None] + np.arange(_BAND)
+            curve = (near[:, inside] * found[np.arange(len(part))[:, None, None], at]).sum(axis=2)
+            for i, own_curve in zip(part.tolist(), curve, strict=True):
+                out[i] = own_curve if np.isfinite(own_curve).all() else None
+    return out
+
+
 def impute_region(x: np.ndarray, y: np.ndarray, blocked: np.ndarray, start: int, end: int, context: int, smoothing: float) -> np.ndarray | None:
     """Values for rows start..end from a local fit; None with too little around them.
 

@@ -25,16 +25,57 @@ def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
 
 
-def _once(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """One pass of the transposed direct form II."""
-    b_, a_, z = b.tolist(), a.tolist(), [*state.tolist(), 0.0]
-    out, n = [0.0] * len(x), len(a) - 1
-    for i, v in enumerate(x.tolist()):
-        y = b_[0] * v + z[0]
-        for k in range(n):
-            z[k] = b_[k + 1] * v + z[k + 1] - a_[k + 1] * y
-        out[i] = y
-    return np.array(out)
+#: Rows whose response is one matrix product.
+BLOCK = 128
+
+
+class Recurrence:
+    """y[t] = C z[t] + D x[t], z[t+1] = A z[t] + B x[t]: the filter as a linear recurrence over its state z.
+
+    Blocks of rows are answered from a zero state at once, by matrix products. The state that each
+    block leaves is then carried to the next by a scan that doubles its reach each step, and what a
+    state adds to its block is one more product. So no step is taken for a row, and parts of a
+    series can be joined by their last states alone.
+    """
+
+    def __init__(self, b: np.ndarray, a: np.ndarray, block: int = BLOCK):
+        n = len(a) - 1
+        self.order, self.block = n, block
+        step = np.zeros((n, n))
+        step[:, 0] = -a[1:]
+        step[np.arange(n - 1), np.arange(1, n)] = 1
+        self._step, enter = step, b[1:] - a[1:] * b[0]
+        seen = np.zeros((block, n))  # what a state adds to each row: C A^k
+        left = np.zeros((block, n))  # what a row leaves in the state at the block's end: A^(block-1-k) B
+        state, own = np.eye(n)[0], enter
+        for k in range(block):
+            seen[k] = state
+            left[block - 1 - k] = own
+            state, own = state @ step, step @ own
+        answer = np.concatenate([[b[0]], seen[:-1] @ enter])
+        places = np.subtract.outer(np.arange(block), np.arange(block))
+        self._answers = np.where(places >= 0, answer[np.maximum(places, 0)], 0.0)
+        self._seen, self._left = seen, left
+
+    def power(self, rows: int) -> np.ndarray:
+        """What so many rows make of a state."""
+        return np.linalg.matrix_power(self._step, rows)
+
+    def run(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The answers to x, and the state after it, from `state` on."""
+        m = -(-len(x) // self.block)
+        rows = np.zeros((m, self.block))
+        rows.ravel()[: len(x)] = x
+        states = np.concatenate([state[None], (rows @ self._left)[:-1]]) if m else state[None]
+        jump, reach = self.power(self.block), 1
+        while reach < m:
+            ahead = states.copy()
+            ahead[reach:] += states[:-reach] @ jump.T
+            states, jump, reach = ahead, jump @ jump, 2 * reach
+        out = (rows @ self._answers.T + states @ self._seen.T).ravel()[: len(x)] if m else np.zeros(0)
+        rest = len(x) - (m - 1) * self.block if m else 0
+        last = rows[m - 1, :rest] @ self._left[self.block - rest :] if m else 0.0
+        return out, (self.power(rest) @ states[-1] + last if m else state)
 
 
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -43,9 +84,9 @@ def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     if len(x) <= pad:
         raise ValueError(f"the filter needs more than {pad} rows")
     wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    zi = _steady(b, a)
-    ahead = _once(b, a, wide, zi * wide[0])[::-1]
-    return _once(b, a, ahead, zi * ahead[0])[::-1][pad:-pad]
+    zi, filter_ = _steady(b, a), Recurrence(b, a)
+    ahead = filter_.run(wide, zi * wide[0])[0][::-1]
+    return filter_.run(ahead, zi * ahead[0])[0][::-1][pad:-pad]
 
 
 def smooth(values: np.ndarray, step_min: float, cutoff_min: float, order: int = 3) -> np.ndarray:

@@ -7,15 +7,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.functions.bspline import band_flags, impute_region
+from wattloom.functions.bspline import band_flags, impute_regions
+from wattloom.operators.chunks import with_halo
 from wattloom.operators.gaps import interpolate, regions
 from wattloom.operators.rolling import DETECTORS, check_detector
 from wattloom.operators.screen import clip
 
+#: Fixed value: a channel needs so many rows with a value to be repaired.
 MIN_ROWS = 50
+#: Rows of a channel whose gaps are fitted together.
+STRETCH = 8192
 TOO_LONG, TOO_THIN, NIGHT = "run longer than max gap ({})", "not enough clean context for a local fit", "night — set to zero"
 
 
+def _check_rows(readings: DataFrame) -> None:
+    """Refuse channels with too few values for a repair to mean anything."""
+    few = readings.groupBy("channel").agg(F.count("value").alias("n")).where(F.col("n") < MIN_ROWS).orderBy("channel").limit(5).collect()
+    if few:
+        raise ValueError(f"fewer than {MIN_ROWS} values in " + ", ".join(f"{r.channel} ({r.n})" for r in few))
+
+
 def _context(rows: DataFrame, gaps: DataFrame, context: int) -> DataFrame:
     """Rows around each gap: (channel, gap, start, end, pos, ts, value, blocked), by an equi-join on pos.
 
@@ -26,32 +37,42 @@ def _context(rows: DataFrame, gaps: DataFrame, context: int) -> DataFrame:
     return wanted.join(rows.select("channel", "pos", "ts", "value", "blocked"), ["channel", "pos"])
 
 
-def _fills(around: DataFrame, context: int, smoothing: float, dark: float | None = None) -> DataFrame:
-    """(channel, start, pos, fill, reason) for the rows of each gap; a null fill where no local fit is possible."""
+def _fills(rows: DataFrame, gaps: DataFrame, context: int, smoothing: float, longest: int, dark: float | None = None) -> DataFrame:
+    """(channel, start, pos, fill, reason) for the rows of each of the `gaps`, none longer than `longest`; a null fill where no local fit is possible.
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        start, end = int(rows["start"].iloc[0]), int(rows["end"].iloc[0])
+    Rows are dealt into stretches with as much on either side as the longest gap's fit sees; all
+    gaps that start in a stretch are fitted there in stacks.
+    """
+    side = max(context, 4 * longest) + longest
+    near = with_halo(rows.select("channel", "pos", "ts", "value", "blocked"), side, side, STRETCH)
+    own = gaps.select(F.col("channel").alias("owner"), F.col("start"), F.col("end"), F.floor(F.col("start") / STRETCH).alias("part"))
+
+    def fill(rows: pd.DataFrame, gaps: pd.DataFrame) -> pd.DataFrame:
+        rows, gaps = rows.sort_values("pos"), gaps.sort_values("start")
         pos, values = rows["pos"].to_numpy(), rows["value"].to_numpy(float)
-        blocked, x = rows["blocked"].to_numpy(bool), rows["ts"].to_numpy("datetime64[s]").astype(np.int64) / 86_400.0
-        a, b = int(np.searchsorted(pos, start)), int(np.searchsorted(pos, end))
-        near = np.concatenate([values[max(0, a - context) : a], values[b + 1 : b + 1 + context]])
-        near = near[np.isfinite(near)]
-        reason = ""
-        if dark is not None and len(near) >= 4 and near.max() <= dark:
-            found, reason = np.zeros(b - a + 1), NIGHT
-        else:
-            found = impute_region(x - x[0], values, blocked, a, b, context, smoothing)
-        if found is None:
-            found, reason = np.full(b - a + 1, np.nan), TOO_THIN
-        return pd.DataFrame({"channel": key[0], "start": start, "pos": np.arange(start, end + 1), "fill": found, "reason": reason})
-
-    return around.groupBy("channel", "start").applyInPandas(fill, "channel string, start long, pos long, fill double, reason string").withColumn("fill", F.nanvl("fill", F.lit(None)))
+        x = rows["ts"].to_numpy("datetime64[s]").astype(np.int64) / 86_400.0
+        starts, ends = gaps["start"].to_numpy(), gaps["end"].to_numpy()
+        found = impute_regions(x, np.where(rows["blocked"].to_numpy(bool), np.nan, values), pos, starts, ends, context, smoothing) if len(gaps) else []
+        reasons = [TOO_THIN if f is None else "" for f in found]
+        if dark is not None:
+            for k, (a, b) in enumerate(zip(np.searchsorted(pos, starts), np.searchsorted(pos, ends), strict=True)):
+                around = np.concatenate([values[max(0, a - context) : a], values[b + 1 : b + 1 + context]])
+                around = around[np.isfinite(around)]
+                if len(around) >= 4 and around.max() <= dark:
+                    found[k], reasons[k] = np.zeros(b - a + 1), NIGHT
+        sizes = ends - starts + 1
+        fills = [np.full(n, np.nan) if f is None else f for f, n in zip(found, sizes, strict=True)]
+        flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        names = gaps["owner"].to_numpy()
+        return pd.DataFrame({"channel": np.repeat(names, sizes), "start": np.repeat(starts, sizes), "pos": flat([np.arange(a, b + 1) for a, b in zip(starts, ends, strict=True)], np.int64), "fill": flat(fills, float), "reason": np.repeat(np.array(reasons, object), sizes)})
+
+    both = near.groupBy("channel", "chunk").cogroup(own.groupBy("owner", "part"))
+    return both.applyInPandas(fill, "channel string, start long, pos long, fill double, reason string").withColumn("fill", F.nanvl("fill", F.lit(None)))
 
 
 def _repair(rows: DataFrame, gaps: DataFrame, max_gap: int, context: int, smoothing: float, dark: float | None, bounds: tuple[float, float] | None) -> DataFrame:
     short = gaps.where(f"length <= {max_gap}")
-    fills = _fills(_context(rows, short, context), context, smoothing, dark)
+    fills = _fills(rows, short, context, smoothing, max_gap, dark)
     if bounds:
         fills = fills.withColumn("clamped", F.col("fill") != clip(F.col("fill"), *bounds)).withColumn("fill", clip(F.col("fill"), *bounds))
     long = gaps.where(f"length > {max_gap}").select("channel", "start", F.explode(F.sequence("start", "end")).alias("pos"), F.lit(None).cast("double").alias("fill"), F.lit(TOO_LONG.format(max_gap)).alias("reason"))
@@ -62,9 +83,10 @@ def clean_series(readings: DataFrame, method: str = "zscore", window: int = 48,
     """Readings with outliers replaced by a local fit; adds before, flagged, imputed, reason.
 
     Flagged runs longer than `max_gap`, and such without clean rows enough around them, stay
-    missing, with the reason. Holes that were there before are never flagged, so never filled.
+    missing, with the reason. A channel with fewer than MIN_ROWS values is an error. Holes that were there before are never flagged, so never filled.
     """
     check_detector(window, sigma)
+    _check_rows(readings)
     flags = DETECTORS[method](readings, window, sigma).select(*readings.columns, "flagged")
     rows = flags.withColumn("before", F.col("value")).withColumn("value", F.when(~F.col("flagged"), F.col("value"))).withColumn("blocked", F.col("flagged"))
     out = _repair(rows, regions(flags, F.col("flagged")), max_gap, context, smoothing, None, None)
@@ -75,8 +97,9 @@ def impute_missing(readings: DataFrame, smoothing: float = 0.1, context: int = 6
     """Readings with holes filled by a local fit; adds imputed, clamped, reason.
 
     In this order: too long a hole stays; between dark neighbours it becomes zero; else the
-    spline, clamped to the valid range.
+    spline, clamped to the valid range. A channel with fewer than MIN_ROWS values is an error.
     """
+    _check_rows(readings)
     rows = readings.withColumn("blocked", F.col("value").isNull())
     out = _repair(rows, regions(readings, F.col("value").isNull()), max_gap, context, smoothing, dark_threshold, valid_range)
     clamped = F.coalesce(F.col("clamped"), F.lit(False)) if valid_range else F.lit(False)
@@ -109,8 +132,8 @@ def holdout_validation(readings: DataFrame, channel: str, n: int = 200, smoothin
     if picks.count() < 20:
         raise ValueError("too few clean readings to validate on")
     around = _context(rows, picks, context)
-    around = around.withColumn("value", F.when(F.col("pos") != F.col("start"), F.col("value"))).withColumn("blocked", F.col("blocked") | (F.col("pos") == F.col("start")))
-    fits = _fills(around, context, smoothing).select("channel", "pos", "fill")
+    around = around.withColumn("value", F.when(F.col("pos") != F.col("start"), F.col("value")))
+    fits = _fills(rows, picks, context, smoothing, 1).select("channel", "pos", "fill")
     linear = _neighbour_line(around)
     both = picks.withColumnRenamed("start", "pos").join(fits, ["channel", "pos"]).join(linear, ["channel", "pos"]).where("fill is not null and line is not null")
     e, l = F.col("fill") - F.col("true"), F.col("line") - F.col("true")
