@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import pyarrow as pa
@@ -79,12 +82,20 @@ def surrogate_key(spark: SparkSession) -> str:
 _held: list = [None, None]
 
 
+def give_back() -> None:
+    """Return what is free in this process to the system: Arrow's pool, and the C library's heap where it can be trimmed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hold(name: str, drop) -> None:
     """Let `name` keep a large cache in this worker process; the one that another operator kept goes, by its own `drop`."""
     if _held[0] not in (None, name):
         if _held[1] is not None:
             _held[1]()
-        pa.default_memory_pool().release_unused()  # what the other operator's batches left goes back to the system
+        give_back()
     _held[:] = [name, drop]
 
 

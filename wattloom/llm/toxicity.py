@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import hold, materialize, text_or_empty
+from wattloom.llm.common import hold, materialize, slices, text_or_empty
 
 #: Most labelled documents of either class that training reads, the first by a hash of doc_id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2800
@@ -308,14 +308,14 @@ def score_documents(docs: DataFrame, chain: Chain) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity", None)
         codes = _Codes(chain.lexicon)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                texts = part.column(1).to_pylist()
-                p = marginals([codes.of(x) for x in texts], chain)
-                total, most = np.array([x.sum() for x in p]), np.array([x.max(initial=0) for x in p])
-                found = [spans(x, q) if m >= SPAN_AT else [] for x, q, m in zip(texts, p, most, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chain.score(p), pa.float64()), pa.array(total, pa.float64()), pa.array(found, spans_type)], ["doc_id", "score", "expected", "spans"])
+        for part in slices(batches):
+            if not part.num_rows:
+                continue
+            texts = part.column(1).to_pylist()
+            p = marginals([codes.of(x) for x in texts], chain)
+            total, most = np.array([x.sum() for x in p]), np.array([x.max(initial=0) for x in p])
+            found = [spans(x, q) if m >= SPAN_AT else [] for x, q, m in zip(texts, p, most, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chain.score(p), pa.float64()), pa.array(total, pa.float64()), pa.array(found, spans_type)], ["doc_id", "score", "expected", "spans"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInArrow(score, "doc_id long, score double, expected double, spans array<struct<start:int,end:int>>")
