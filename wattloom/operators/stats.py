@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wattloom.operators.chunks import renumbered
 from wattloom.operators.gaps import longest_gap
+from wattloom.operators.order import SMALL, exact_median, exact_quantiles, points_of
 
 PERCENTILES = (1, 5, 25, 75, 95, 99)
 #: Share of a channel's range that counts as its floor, and from which share of readings it is inflated.
@@ -56,16 +57,16 @@ def moments(readings: DataFrame, by: str = "channel") -> DataFrame:
     return readings.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), skew.alias("skew"), kurt.alias("kurtosis"))
 
 
-def percentiles(readings: DataFrame, points: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """(channel, p1, p5, ..., iqr), linear between order statistics."""
-    found = readings.groupBy("channel").agg(F.percentile("value", F.array(*[F.lit(p / 100) for p in points])).alias("p"))
-    return found.select("channel", *[F.get("p", F.lit(k)).alias(f"p{q}") for k, q in enumerate(points)]).withColumn("iqr", F.col("p75") - F.col("p25"))
+def percentiles(readings: DataFrame, points: tuple[int, ...] = PERCENTILES, small: int = SMALL) -> DataFrame:
+    """(channel, p1, p5, ..., iqr), linear between order statistics; channels beyond `small` values are narrowed down by counts."""
+    found = exact_quantiles(readings, [p / 100 for p in points], small)
+    return found.select("channel", *points_of(F.col("q"), [f"p{q}" for q in points])).withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
-def mad(readings: DataFrame) -> DataFrame:
+def mad(readings: DataFrame, small: int = SMALL) -> DataFrame:
     """(channel, mad): median distance from the median. Medians are one row a channel."""
-    centre = readings.groupBy("channel").agg(F.percentile("value", F.lit(0.5)).alias("centre"))
-    return readings.join(centre, "channel").groupBy("channel").agg(F.percentile(F.abs(F.col("value") - F.col("centre")), F.lit(0.5)).alias("mad"))
+    away = readings.join(exact_median(readings, "centre", small), "channel").select("channel", F.abs(F.col("value") - F.col("centre")).alias("value"))
+    return exact_median(away, "mad", small)
 
 
 def coverage(readings: DataFrame) -> DataFrame:
