@@ -28,11 +28,11 @@ def frame(spark):
     return spark.createDataFrame(rows, "channel string, value double").repartition(6)
 
 
-@pytest.mark.parametrize("few, bins", [(20_000, 1024), (40, 64)])
-def test_quantiles_equal_numpy(spark, monkeypatch, few, bins):
+@pytest.mark.parametrize("few, bins, small", [(20_000, 1024, 0), (40, 64, 0), (40, 64, 1200)])
+def test_quantiles_equal_numpy(spark, monkeypatch, few, bins, small):
     monkeypatch.setattr(order, "FEW", few)
     monkeypatch.setattr(order, "BINS", bins)
-    got = {r.channel: r.q for r in exact_quantiles(frame(spark), POINTS, small=0).collect()}
+    got = {r.channel: r.q for r in exact_quantiles(frame(spark), POINTS, small).collect()}
     assert got.pop("none") is None
     for c, x in channels().items():
         x = np.sort(x)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from wattloom.__main__ import main
 from wattloom.model import Channel, Dataset
 from wattloom.operators.distributions import channel_statistics, skew_range
+from wattloom.operators.faults import tunable
+from wattloom.operators.repair import clean_series, impute_missing
 from wattloom.plans.gates import State, advance, check_parameters, date_window, legal_actions, revert, shift_window
 from wattloom.plans.layers import LayerStack, StatsCache
 from wattloom.plans.steps import AggregateStep, CleanStep, FillStep, FilterStep, InterpolateStep, NormaliseStep, SentinelStep, run_chain
@@ -116,14 +118,36 @@ def test_clean_fill_and_filter_steps(spark):
         assert title in "".join(reports)
 
 
-def test_tune_writes_grid_and_report(spark, tmp_path):
-    rows = load_formula(spark, 700).orderBy("pos").toPandas()
+def _load_file(spark, tmp_path, n, gaps):
+    rows = load_formula(spark, n).orderBy("pos").toPandas()
+    rows.loc[rows["pos"].isin(gaps), "value"] = None
     path = str(tmp_path / "load.csv")
     rows.assign(ts=rows["ts"].dt.strftime("%Y-%m-%d %H:%M:%S"))[["ts", "value"]].to_csv(path, index=False)
+    return path
+
+
+def test_tune_writes_grid_and_report(spark, tmp_path):
+    """On the longest run without a gap: what lies beyond a gap is no neighbour."""
+    path = _load_file(spark, tmp_path, 2700, [300, 301, 2500])
     main(["tune", path])
     out = sorted(x.name for x in tmp_path.iterdir())
     assert {"load_tuning_report.txt"} <= set(out) and any("stability" in x for x in out)
     assert "As good as the best" in (tmp_path / "load_tuning_report.txt").read_text()
+    run = tunable(load_series(spark, path))
+    assert (run.count(), run.agg(F.min("pos")).first()[0], run.agg(F.max("pos")).first()[0]) == (2198, 0, 2197)
+
+
+def test_tune_refuses_short_runs(spark, tmp_path):
+    with pytest.raises(ValueError, match="1299 rows; tuning needs 2000"):
+        main(["tune", _load_file(spark, tmp_path, 2600, [1300])])
+
+
+def test_repairs_refuse_few_values(spark):
+    rows = load_formula(spark, 49)
+    with pytest.raises(ValueError, match="fewer than 50 values"):
+        clean_series(rows)
+    with pytest.raises(ValueError, match="fewer than 50 values"):
+        impute_missing(rows)
 
 
 def test_a_bad_time_is_an_error(spark, tmp_path):

@@ -7,8 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.operators.chunks import renumbered
-from wattloom.operators.faults import TUNER_REPEATS, near_best, sensitivity, stability, tune_hampel
+from wattloom.operators.faults import TUNER_REPEATS, near_best, sensitivity, stability, tunable, tune_hampel
 from wattloom.operators.rolling import DETECTORS, check_detector, flagged_long
 from wattloom.operators.stats import coverage, moments
 from wattloom.plans.reports import lines_of, report
@@ -28,8 +27,8 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("wattloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "tune":
-        # On injected faults: the grid, how far each cell lies below the best, and the cells as good as it; on the file: counts of flags.
-        series = renumbered(load_series(spark, args.file))
+        # On the longest run without a gap. With injected faults: the grid, how far each cell lies below the best, and the cells as good as it; as it is: counts of flags.
+        series = tunable(load_series(spark, args.file)).persist()
         grid = sensitivity(tune_hampel(series)).persist()
         write_table(grid.orderBy("window", "sigma"), args.file, derived_name(args.file, "tuning"))
         best = near_best(grid, TUNER_REPEATS, "f_half", "f_half_sd").orderBy(F.desc("f_half"), "window", "sigma")

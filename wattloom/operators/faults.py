@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
+from wattloom.operators.gaps import longest_complete_run
 from wattloom.operators.rolling import MAD_TO_SIGMA, hampel_excess, max_achievable_zscore, reach, rolling_mad, rolling_zscore
 
 #: Grids, fault sizes and counts of the two calibrations.
@@ -240,6 +241,19 @@ def tune_hampel(series: DataFrame, seed: int = 0, windows: Sequence[int] = TUNER
     return cells.groupBy("window", "sigma").agg(*means, F.stddev_pop("f_half").alias("f_half_sd"))
 
 
+#: Fixed value: rows that the tuner needs.
+TUNER_ROWS = 2000
+
+
+def tunable(series: DataFrame) -> DataFrame:
+    """The first of the longest runs without a gap, numbered from 0; an error below TUNER_ROWS rows."""
+    best = longest_complete_run(series).orderBy(F.desc("length"), "channel").head()
+    if best is None or best.length < TUNER_ROWS:
+        raise ValueError(f"the longest run without a gap has {best.length if best else 0} rows; tuning needs {TUNER_ROWS}")
+    own = series.where((F.col("channel") == best.channel) & F.col("pos").between(best.start, best.end))
+    return own.withColumn("pos", F.col("pos") - F.lit(best.start))
+
+
 def stability(series: DataFrame, windows: Sequence[int] = TUNER_WINDOWS, sigmas: Sequence[float] = TUNER_SIGMAS) -> DataFrame:
     """(window, sigma, n_flagged, pct_flagged) on the series as it is."""
     beyond = [F.count_if(F.coalesce(F.col("excess") > float(s), F.lit(False))).alias(_name("n_flagged", k)) for k, s in enumerate(sigmas)]

@@ -34,7 +34,7 @@ def _at_ranks(values: DataFrame, ranks: DataFrame) -> DataFrame:
     spark = values.sparkSession
     open_, done = ranks.withColumn("skipped", F.lit(0).cast("long")), []
     while True:
-        # A handful of rows for each channel; as a list they cut the plan, which would grow with each pass.
+        # Two rows a point for each long channel; as a list they cut the plan, which would grow with each pass.
         held = open_.collect()
         schema = open_.schema
         closed = [r for r in held if r.lo == r.hi]
@@ -70,17 +70,20 @@ def exact_quantiles(values: DataFrame, points: list[float], small: int = SMALL)
     known = values.select("channel", F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
     counts = known.groupBy("channel").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     names = values.groupBy("channel").agg(F.count("*").alias("_n")).select("channel")
+    few = lambda rows: rows.groupBy("channel").agg(F.percentile("value", F.array(*map(F.lit, points))).alias("q"))
     most = counts.agg(F.max("n")).first()[0] or 0
     if most <= small:
-        found = known.groupBy("channel").agg(F.percentile("value", F.array(*map(F.lit, points))).alias("q"))
-        return names.join(found, "channel", "left")
-    wanted = _wanted(counts, points)
+        return names.join(few(known), "channel", "left")
+    # Of the channels longer than `small` there are at most the share of all values that this number says.
+    long = counts.where(F.col("n") > small)
+    wanted = _wanted(long, points)
     at = _at_ranks(known, wanted.select("channel", "rank", "lo", "hi", "n").distinct())
     side = lambda lower: F.max(F.when(F.col("lower") == lower, F.col("value")))
     two = wanted.join(at, ["channel", "rank"]).groupBy("channel", "point").agg(F.max("share").alias("share"), side(True).alias("a"), side(False).alias("b"))
     value = F.when(F.col("b").isNull() | (F.col("share") == 0), F.col("a")).otherwise((1 - F.col("share")) * F.col("a") + F.col("share") * F.col("b"))
     found = two.groupBy("channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("point", value.alias("v")))), lambda x: x["v"]).alias("q"))
-    return names.join(found, "channel", "left")
+    short = few(known.join(counts.where(F.col("n") <= small).select("channel"), "channel", "left_semi"))
+    return names.join(found.unionByName(short), "channel", "left")
 
 
 def exact_median(values: DataFrame, name: str, small: int = SMALL) -> DataFrame:

@@ -63,11 +63,22 @@ def excursions(scaled: DataFrame, scaler: DataFrame, low: float = 0.0, high: flo
     return by.where("n_outside > 0")
 
 
-def round_trip_error(readings: DataFrame, scaler: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """One row: the largest relative error of scaling and back; zeros are left out."""
-    back = inverse(transform(readings, scaler, low, high), scaler, low, high).select("channel", "pos", F.col("value").alias("back"))
-    both = readings.join(back, ["channel", "pos"])
-    return both.agg(F.max(F.try_divide(F.abs(F.col("value") - F.col("back")), F.abs(F.nullif("value", F.lit(0.0))))).alias("max_error"))
+#: Relative error up to which a value counts as recovered.
+CLOSE = 1e-12
+
+
+def round_trip_error(readings: DataFrame, scaler: DataFrame, low: float = 0.0, high: float = 1.0, digits: int | None = None) -> DataFrame:
+    """One row, (n, n_close, max_error): values compared, those recovered, and the largest relative error of scaling and back; zeros are left out.
+
+    With `digits` the scaled values are rounded in between, as in a file that keeps so many.
+    """
+    scaled = transform(readings, scaler, low, high)
+    if digits is not None:
+        scaled = scaled.withColumn("value", F.round("value", digits))
+    back = inverse(scaled, scaler, low, high).select("channel", "pos", F.col("value").alias("back"))
+    error = F.try_divide(F.abs(F.col("value") - F.col("back")), F.abs(F.nullif("value", F.lit(0.0))))
+    both = readings.join(back, ["channel", "pos"]).select(error.alias("e"))
+    return both.agg(F.count("e").alias("n"), F.count_if(F.col("e") < CLOSE).alias("n_close"), F.max("e").alias("max_error"))
 
 
 @dataclass

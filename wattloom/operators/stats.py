@@ -25,6 +25,12 @@ def naive_total(readings: DataFrame) -> DataFrame:
     return readings.groupBy("pos", "ts").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
 
 
+def totals(readings: DataFrame) -> DataFrame:
+    """(pos, ts, present, naive, total): values there, their sum, and the sum where all are there, in one aggregate."""
+    both = F.sum("value")
+    return readings.groupBy("pos", "ts").agg(F.count("value").alias("present"), F.coalesce(both, F.lit(0.0)).alias("naive"), F.when(F.count("value") == F.count("*"), both).alias("total"))
+
+
 def worst_timestamps(readings: DataFrame, filled: DataFrame, top: int = 5) -> DataFrame:
     """(ts, missing, naive, total): the `top` times at which most channels are missing; `total` is that of the `filled` readings."""
     by = readings.groupBy("pos", "ts").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("naive"))

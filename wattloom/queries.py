@@ -373,10 +373,17 @@ def residual_moments(spark, sf_dir):
     return rounded(stats.residual_moments(p, smooth))
 
 
-@query(with_sql("round(max(abs((CASE WHEN constant THEN data_min ELSE data_min + st.value * (data_max - data_min) END) - p.value)), 6) AS max_error", "FROM p JOIN st USING (channel, pos) JOIN sc USING (channel) WHERE p.value IS NOT NULL", SCALER))
+BACK = "abs(p.value - CASE WHEN constant THEN data_min ELSE data_min + {} * (data_max - data_min) END) / abs(nullif(p.value, 0))"
+TRIP = "FROM p JOIN st USING (channel, pos) JOIN sc USING (channel)"
+
+
+@query(with_sql("digits, count(e) AS n, count(*) FILTER (e < 1e-12) AS n_close, round(max(e), 9) AS max_error", f"FROM (SELECT -1 AS digits, {BACK.format('st.value')} AS e {TRIP} UNION ALL SELECT 4, {BACK.format('round(st.value, 4)')} {TRIP}) GROUP BY digits", SCALER))
 def round_trip(spark, sf_dir):
+    """Whole (-1) and with scaled values kept to 4 digits, of which the trip recovers few."""
     p = panel(spark, sf_dir)
-    return rounded(round_trip_error(p, fit(p, SHARE)))
+    scaler = fit(p, SHARE)
+    trip = lambda digits: round_trip_error(p, scaler, digits=None if digits < 0 else digits).withColumn("digits", F.lit(digits))
+    return rounded(trip(-1).unionByName(trip(4)), 9)
 
 
 @query(with_sql("channel, tp, fp, n_flagged, round(p_, 6) AS precision, round(r_, 6) AS recall_event, round(coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0), 6) AS f1, round(coalesce(1.25 * p_ * r_ / nullif(0.25 * p_ + r_, 0), 0), 6) AS f_half", "FROM (SELECT *, tp / nullif(n_flagged, 0) AS p_, coalesce(found, 0) AS r_ FROM (SELECT channel, count(*) FILTER (flagged AND pos % 37 = 0) AS tp, count(*) FILTER (flagged AND pos % 37 <> 0) AS fp, count(*) FILTER (flagged) AS n_flagged, avg(CASE WHEN pos % 37 = 0 THEN CAST(flagged AS INTEGER) END) AS found FROM zf WHERE value IS NOT NULL GROUP BY channel))", ZSCORE))
@@ -494,9 +501,7 @@ def household_panel_filled(spark, sf_dir):
 @query(f"WITH {HOUSEHOLDS}, {FILLED} SELECT pos, ts, count(value) AS present, round(coalesce(sum(value), 0.0), 9) AS naive, round(CASE WHEN count(value) = count(*) THEN sum(value) END, 9) AS total FROM f GROUP BY pos, ts")
 def household_totals(spark, sf_dir):
     filled = interpolate(households(spark, sf_dir), LIMIT)
-    sums = stats.naive_total(filled).withColumnRenamed("total", "naive").join(stats.strict_total(filled), ["pos", "ts"])
-    present = filled.groupBy("pos", "ts").agg(F.count("value").alias("present"))
-    return rounded(sums.join(present, ["pos", "ts"]).select("pos", "ts", "present", "naive", "total"), 9)
+    return rounded(stats.totals(filled).select("pos", "ts", "present", "naive", "total"), 9)
 
 
 @query(f"WITH {HOUSEHOLDS}, {RUNS} SELECT channel, start, \"end\", length FROM g WHERE gap")
@@ -556,9 +561,22 @@ def skew_of_total(spark, sf_dir):
     return rounded(skew_range(p, stats.strict_total(interpolate(p, LIMIT))))
 
 
-@query()
+@query(f"""WITH {TOTAL}, {_sql_faults(flt.REPEATS)}, z AS (SELECT rep, pos, CASE WHEN count(value) OVER q >= 12 THEN abs(value - avg(value) OVER q) > 3.0 * stddev_samp(value) OVER q END AS flagged FROM x WINDOW q AS {_sql_frame(24, "rep")})
+    SELECT CASE WHEN kind = 'dropout' THEN kind ELSE 'size' END AS kind, magnitude, CASE WHEN kind = 'dropout' THEN CAST(length AS BIGINT) END AS length, round(avg(CAST(coalesce(flagged, FALSE) AS INTEGER)), 6) AS recall, count(*) AS n
+    FROM d JOIN z ON z.rep = d.rep AND z.pos = d.position GROUP BY 1, 2, 3""")
 def recall_by_size(spark, sf_dir):
-    return flt.recall_at(load_total(spark, sf_dir), 24, 3.0)
+    return rounded(flt.recall_at(load_total(spark, sf_dir), 24, 3.0))
+
+
+@query(f"WITH {HOUSEHOLDS} SELECT " + ", ".join(["channel", *(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in stats.PERCENTILES), "round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"]) + " FROM p GROUP BY channel")
+def household_percentiles(spark, sf_dir):
+    return rounded(stats.percentiles(households(spark, sf_dir)))
+
+
+@query(f"WITH {HOUSEHOLDS}, m AS (SELECT channel, pos, value, median(value) OVER {_sql_frame(WINDOW, 'channel')} AS centre FROM p), h AS (SELECT *, abs(value - centre) AS away, median(abs(value - centre)) OVER {_sql_frame(WINDOW, 'channel')} AS spread FROM m) SELECT channel, count(*) FILTER (away > {SIGMA} * 1.4826 * spread) AS flagged, round(sum(spread), 6) AS spreads FROM h GROUP BY channel")
+def household_hampel(spark, sf_dir):
+    flags = hampel(households(spark, sf_dir), WINDOW, SIGMA)
+    return rounded(flags.groupBy("channel").agg(F.count_if("flagged").alias("flagged"), F.sum("spread").alias("spreads")))
 
 
 @query()
