@@ -166,3 +166,24 @@ def test_ten_thousand_regions_in_one_stack():
     got = bspline.impute_regions(x, y, np.arange(n), starts, starts + 2, 12, 0.1)
     assert time.process_time() - began < 20 and len(got) == len(starts)
     assert max(np.abs(g - y[a : a + 3]).max() for g, a in zip(got, starts, strict=True)) < 0.05
+
+
+@pytest.mark.parametrize("k", [4, 5, 30, 200])
+def test_inverse_inside_the_band(k):
+    rng = np.random.default_rng(k)
+    x = np.sort(rng.random(4 * k))
+    gram = bspline._gram_band(*bspline.basis_rows(x, k), k)
+    band = gram + 0.3 * bspline._penalty_band(k)
+    whole = np.linalg.inv(bspline._dense(band))
+    spread = whole @ bspline._dense(gram) @ whole
+    for got, want in zip(bspline._inverse_band(band, gram), (whole, spread), strict=True):
+        for d in range(min(4, k)):
+            np.testing.assert_allclose(got[d, : k - d], np.diagonal(want, -d), rtol=1e-7, atol=1e-10 * np.abs(want).max())
+
+
+def test_a_month_is_fitted_in_a_second():
+    x = np.arange(8064) / 288
+    y = np.sin(x) + np.random.default_rng(1).normal(0, 0.1, 8064)
+    began = time.process_time()
+    fit = bspline.fit_curve(x, y, 1e4)
+    assert time.process_time() - began < 2 and 3 < fit.df < 2200

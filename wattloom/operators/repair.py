@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -151,27 +153,28 @@ def _neighbour_line(around: DataFrame) -> DataFrame:
     return by.select("channel", F.col("start").alias("pos"), line.alias("line"))
 
 
-def spline_flags(readings: DataFrame, smoothing: float = 1e4, z: float = 1.96, log_scale: bool = False, rows_per_fit: int = 8064) -> DataFrame:
+def spline_flags(readings: DataFrame, smoothing: float = 1e4, z: float = 1.96, log_scale: bool = False, rows_per_fit: int = 8064, overlap: int = 576) -> DataFrame:
     """Adds curve, low, high, flagged: outside the prediction band of a spline through each stretch of `rows_per_fit` rows.
 
-    Also of the stretch's fit: n_fitted, df, df_per_day and basis_capped. A stretch with too few
-    values for a fit is left unflagged, with nulls there.
+    A fit also sees `overlap` rows on either side of its stretch, so that the curve has no loose
+    ends where stretches meet. Also of the stretch's fit: n_fitted, df, df_per_day and
+    basis_capped. A stretch with too few values for a fit is left unflagged, with nulls there.
     """
 
     def flag(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
+        own = (rows["pos"] // rows_per_fit == rows["chunk"]).to_numpy()
         x = rows["ts"].to_numpy("datetime64[s]").astype(np.int64) / 86_400.0
-        try:
-            flags, curve, low, high, fit = band_flags(x - x[0], rows["value"].to_numpy(float), smoothing, z, log_scale)
-            told = {"n_fitted": fit.n_fitted, "df": fit.df, "df_per_day": fit.df_per_day(float(x[-1] - x[0])), "basis_capped": fit.basis_capped}
-        except ValueError:
-            flags, curve = np.zeros(len(rows), bool), np.full(len(rows), np.nan)
-            low = high = curve
-            told = {"n_fitted": None, "df": np.nan, "df_per_day": np.nan, "basis_capped": None}
-        return pd.DataFrame({"channel": rows["channel"], "pos": rows["pos"], "ts": rows["ts"], "value": rows["value"], "curve": curve, "low": low, "high": high, "flagged": flags, **told})
-
-    stretch = readings.select("channel", "pos", "ts", "value").withColumn("stretch", F.floor(F.col("pos") / rows_per_fit))
-    out = stretch.groupBy("channel", "stretch").applyInPandas(lambda rows: flag(rows), "channel string, pos long, ts timestamp_ntz, value double, curve double, low double, high double, flagged boolean, n_fitted long, df double, df_per_day double, basis_capped boolean")
+        curve = low = high = np.full(len(rows), np.nan)
+        flags, told = np.zeros(len(rows), bool), {"n_fitted": None, "df": np.nan, "df_per_day": np.nan, "basis_capped": None}
+        if own.any():
+            with contextlib.suppress(ValueError):
+                flags, curve, low, high, fit = band_flags(x - x[0], rows["value"].to_numpy(float), smoothing, z, log_scale)
+                told = {"n_fitted": fit.n_fitted, "df": fit.df, "df_per_day": fit.df_per_day(float(x[-1] - x[0])), "basis_capped": fit.basis_capped}
+        return pd.DataFrame({"channel": rows["channel"], "pos": rows["pos"], "ts": rows["ts"], "value": rows["value"], "curve": curve, "low": low, "high": high, "flagged": flags, **told})[own]
+
+    stretch = with_halo(readings.select("channel", "pos", "ts", "value"), overlap, overlap, rows_per_fit)
+    out = stretch.groupBy("channel", "chunk").applyInPandas(lambda rows: flag(rows), "channel string, pos long, ts timestamp_ntz, value double, curve double, low double, high double, flagged boolean, n_fitted long, df double, df_per_day double, basis_capped boolean")
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("value", "curve", "low", "high", "df", "df_per_day")})
 
 
