@@ -138,7 +138,7 @@ def test_tune_writes_grid_and_report(spark, tmp_path):
 
 
 def test_tune_refuses_short_runs(spark, tmp_path):
-    with pytest.raises(ValueError, match="1299 rows; tuning needs 2000"):
+    with pytest.raises(ValueError, match="1300 rows; tuning needs 2000"):
         main(["tune", _load_file(spark, tmp_path, 2600, [1300])])
 
 

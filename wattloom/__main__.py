@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.operators.distributions import channel_statistics
 from wattloom.operators.faults import TUNER_REPEATS, near_best, sensitivity, stability, tunable, tune_hampel
 from wattloom.operators.rolling import DETECTORS, check_detector, flagged_long
 from wattloom.operators.stats import coverage, moments
@@ -24,11 +25,13 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--method", choices=sorted(DETECTORS), default="zscore")
     parser.add_argument("--window", type=int, default=12)
     parser.add_argument("--sigma", type=float, default=3.0)
+    parser.add_argument("--day-first", choices=("yes", "no"), help="which of 1/2/2024 is the day, where the file leaves it open")
     args = parser.parse_args(argv)
+    day_first = None if args.day_first is None else args.day_first == "yes"
     spark = SparkSession.builder.appName("wattloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "tune":
         # On the longest run without a gap. With injected faults: the grid, how far each cell lies below the best, and the cells as good as it; as it is: counts of flags.
-        series = tunable(load_series(spark, args.file)).persist()
+        series = tunable(load_series(spark, args.file, day_first)).persist()
         grid = sensitivity(tune_hampel(series)).persist()
         write_table(grid.orderBy("window", "sigma"), args.file, derived_name(args.file, "tuning"))
         best = near_best(grid, TUNER_REPEATS, "f_half", "f_half_sd").orderBy(F.desc("f_half"), "window", "sigma")
@@ -37,9 +40,9 @@ def main(argv: list[str] | None = None) -> None:
         text = ["Tuning", "------", f"source: {args.file}", "", "As good as the best", *(f"  {x}" for x in lines_of(best)), "", "Flags on the file", *(f"  {x}" for x in lines_of(flagged, 63))]
         write_report("\n".join(text), args.file, derived_name(args.file, "tuning_report", ".txt"))
         return
-    ds = load_dataset(spark, args.file)
+    ds = load_dataset(spark, args.file, day_first=day_first)
     if args.command == "describe":
-        print(report("Dataset", ds, ds.notes, [("Coverage", lines_of(coverage(ds.readings))), ("Moments", lines_of(moments(ds.readings)))]))
+        print(report("Dataset", ds, ds.notes, [("Coverage", lines_of(coverage(ds.readings))), ("Moments", lines_of(moments(ds.readings))), ("Statistics", lines_of(channel_statistics(ds.readings, ds.interval_s)))]))
     elif args.command == "outliers":
         check_detector(args.window, args.sigma)
         flags = flagged_long(DETECTORS[args.method](ds.readings, args.window, args.sigma))
