@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattloom.__main__ import main
 from wattloom.model import Channel, Dataset
 from wattloom.operators.distributions import channel_statistics, skew_range
-from wattloom.operators.faults import tunable
+from wattloom.operators.faults import calibrate_channels, run_note, tunable
 from wattloom.operators.repair import clean_series, impute_missing
 from wattloom.plans.gates import State, advance, check_parameters, date_window, legal_actions, revert, shift_window
 from wattloom.plans.layers import LayerStack, StatsCache
@@ -137,6 +137,20 @@ def test_tune_writes_grid_and_report(spark, tmp_path):
     assert (run.count(), run.agg(F.min("pos")).first()[0], run.agg(F.max("pos")).first()[0]) == (2198, 0, 2197)
 
 
+def test_calibrate_writes_grid_and_report(spark, tmp_path):
+    main(["calibrate", _load_file(spark, tmp_path, 900, [40])])
+    text = (tmp_path / "load_calibration_report.txt").read_text()
+    assert all(x in text for x in ("Best cell", "As good as the best", "Recall at the best cell", "kind: dropout", "cells lie beyond"))
+    assert spark.read.csv(str(tmp_path / "load_calibration.csv"), header=True).count() == 42
+
+
+def test_run_note(spark):
+    rows = lambda *x: spark.createDataFrame([("dropout", None, k + 1, v, 9) for k, v in enumerate(x)] + [("size", 3.0, None, 0.1, 9)], "kind string, magnitude double, length long, recall double, n long")
+    assert "90% at 1 row, 40% at 2 rows" in run_note(rows(0.9, 0.4)) and run_note(rows(0.9, 0.88)) == run_note(rows(0.9)) == ""
+    with pytest.raises(ValueError, match="zscore or hampel"):
+        calibrate_channels(rows(0.1), "other")
+
+
 def test_tune_refuses_short_runs(spark, tmp_path):
     with pytest.raises(ValueError, match="1300 rows; tuning needs 2000"):
         main(["tune", _load_file(spark, tmp_path, 2600, [1300])])

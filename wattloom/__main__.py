@@ -1,4 +1,4 @@
-"""Command line: python -m wattloom sentinels|interpolate|outliers|tune|describe FILE [options]."""
+"""Command line: python -m wattloom sentinels|interpolate|outliers|tune|calibrate|describe FILE [options]."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.operators.distributions import channel_statistics
-from wattloom.operators.faults import TUNER_REPEATS, near_best, sensitivity, stability, tunable, tune_hampel
+from wattloom.operators.faults import CALIBRATION_ROWS, REPEATS, TUNER_REPEATS, best_cell, calibrate_channels, near_best, recall_at, run_note, sensitivity, stability, tunable, tune_hampel
 from wattloom.operators.rolling import DETECTORS, check_detector, flagged_long
 from wattloom.operators.stats import coverage, moments
 from wattloom.plans.reports import lines_of, report
@@ -18,7 +18,7 @@ from wattloom.sources.files import derived_name, load_dataset, load_series, wide
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="wattloom", description=__doc__)
-    parser.add_argument("command", choices=("sentinels", "interpolate", "outliers", "tune", "describe"))
+    parser.add_argument("command", choices=("sentinels", "interpolate", "outliers", "tune", "calibrate", "describe"))
     parser.add_argument("file")
     parser.add_argument("--codes", type=float, nargs="+", default=[-999.0])
     parser.add_argument("--max-gap", type=int, default=24)
@@ -40,6 +40,22 @@ def main(argv: list[str] | None = None) -> None:
         text = ["Tuning", "------", f"source: {args.file}", "", "As good as the best", *(f"  {x}" for x in lines_of(best)), "", "Flags on the file", *(f"  {x}" for x in lines_of(flagged, 63))]
         write_report("\n".join(text), args.file, derived_name(args.file, "tuning_report", ".txt"))
         return
+    if args.command == "calibrate":
+        # The grid on injected faults of the first series; at its best cell, recall by size and by the length of dropouts.
+        series = load_series(spark, args.file, day_first).persist()
+        grid = calibrate_channels(series, args.method).drop("channel").persist()
+        best = best_cell(grid).first()
+        if best is None:
+            raise ValueError(f"a calibration needs {CALIBRATION_ROWS} readings at least")
+        recall = recall_at(series, best.window, best.sigma, detector=args.method).persist()
+        closed = grid.where("not reachable").count()
+        notes = [f"{closed} of {grid.count()} cells lie beyond what the window can reach and were left out"] if closed else []
+        notes += [x for x in (run_note(recall),) if x]
+        write_table(grid.orderBy("window", "sigma"), args.file, derived_name(args.file, "calibration"))
+        parts = [("Best cell", lines_of(best_cell(grid))), ("As good as the best", lines_of(near_best(grid.where("reachable"), REPEATS).orderBy(F.desc("f1"), "window", "sigma"))), ("Recall at the best cell", lines_of(recall.orderBy(F.desc("kind"), "magnitude", "length"))), ("Remarks", notes)]
+        text = ["Calibration", "-----------", f"source: {args.file}", f"method: {args.method}", *(line for title, lines in parts if lines for line in ("", title, *(f"  {x}" for x in lines)))]
+        write_report("\n".join(text), args.file, derived_name(args.file, "calibration_report", ".txt"))
+        return
     ds = load_dataset(spark, args.file, day_first=day_first)
     if args.command == "describe":
         print(report("Dataset", ds, ds.notes, [("Coverage", lines_of(coverage(ds.readings))), ("Moments", lines_of(moments(ds.readings))), ("Statistics", lines_of(channel_statistics(ds.readings, ds.interval_s)))]))

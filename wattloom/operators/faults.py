@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
 from wattloom.operators.gaps import longest_complete_run
-from wattloom.operators.rolling import MAD_TO_SIGMA, hampel_excess, max_achievable_zscore, reach, rolling_mad, rolling_zscore
+from wattloom.operators.rolling import DETECTORS, MAD_TO_SIGMA, hampel_excess, hampel_excesses, max_achievable_zscore, reach, rolling_mad
 
 #: Grids, fault sizes and counts of the two calibrations.
 WINDOWS, SIGMAS = (6, 12, 24, 36, 48, 72), (2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0)
@@ -17,6 +17,8 @@ MAGNITUDES, N_FAULTS, REPEATS, KINDS = (3.0, 5.0, 8.0, 12.0), 120, 5, ("spike",
 TUNER_WINDOWS, TUNER_SIGMAS = (6, 12, 24, 48, 96, 144, 288), (2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0)
 TUNER_KINDS, TUNER_MAGNITUDES, TUNER_REPEATS, TUNER_FAULTS = ("spike", "dropout", "level_shift", "flatline"), (4.0, 6.0, 10.0), 3, 40
 SCALE_WINDOW = 48
+#: Fixed value: rows that a calibration needs.
+CALIBRATION_ROWS = 500
 #: Least distance of faults, rows left alone at the ends, rows of the longest dropout.
 GAP, MARGIN, LONGEST = 20, 100, 3
 #: The same of the tuner: distance, and least and most rows of a run.
@@ -151,46 +153,111 @@ def calibrate(series: DataFrame, seed: int = 42, windows: Sequence[int] = WINDOW
     """
     rows = renumbered(series)
     n = rows.count()
-    if n < 500:
-        raise ValueError("a calibration needs 500 readings at least")
+    if n < CALIBRATION_ROWS:
+        raise ValueError(f"a calibration needs {CALIBRATION_ROWS} readings at least")
     scaled = local_scale(rows.select("channel", "pos", "ts", "value"))
     faults = draw_faults(series.sparkSession, n, seed, repeats, n_faults, magnitudes)
     damaged = _as_channels(apply_faults(scaled, faults))
     clean = rows.select(F.lit(-1).alias("rep"), F.concat_ws("#", "channel", F.lit("-1")).alias("channel"), "pos", "ts", "value", F.lit(None).cast("int").alias("fault"))
     both = damaged.select("rep", "channel", "pos", "ts", "value", "fault").unionByName(clean)
+    return _grid(_zscores(both, windows), [], windows, sigmas, True)
+
+
+def _zscores(readings: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Adds z<window> for each window: how many of its standard deviations a row lies from its mean."""
     before, after = max(reach(w)[0] for w in windows), max(reach(w)[1] for w in windows)
-    haloed = with_halo(both, before, after)
+    haloed = with_halo(readings, before, after)
     for w in windows:
         b, a = reach(w)
         frame = chunk_window().rowsBetween(-b, a)
         z = F.abs(F.col("value") - F.avg("value").over(frame)) / F.nullif(F.stddev_samp("value").over(frame), F.lit(0.0))
         haloed = haloed.withColumn(f"z{w}", F.when(F.count("value").over(frame) >= max(3, w // 2), z))
-    deviations = own_rows(haloed)
+    return own_rows(haloed)
+
+
+def _grid(deviations: DataFrame, by: list[str], windows: Sequence[int], sigmas: Sequence[float], bounded: bool) -> DataFrame:
+    """The calibration's grid for each of `by`, from rows with rep (-1: as it is), fault and z<window>; all cells are counted in one aggregate.
+
+    `bounded` detectors can't reach every sigma in every window.
+    """
     truth = F.col("fault").isNotNull()
     cells = [(w, s) for w in windows for s in sigmas]
     sums = []
     for w, s in cells:
         flagged = F.coalesce(F.col(f"z{w}") > s, F.lit(False))
         sums += [F.count_if(flagged & truth).alias(f"tp_{w}_{s:g}".replace(".", "_")), F.count_if(flagged & ~truth).alias(f"fp_{w}_{s:g}".replace(".", "_"))]
-    counts = deviations.groupBy("rep").agg(F.count_if(truth).alias("faults"), *sums)
-    grid = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(float(s)).alias("sigma"), F.lit(bool(s < max_achievable_zscore(w))).alias("reachable"), F.col(f"tp_{w}_{s:g}".replace(".", "_")).alias("tp"), F.col(f"fp_{w}_{s:g}".replace(".", "_")).alias("fp")) for w, s in cells])
-    long = counts.select("rep", "faults", F.explode(grid).alias("g")).select("rep", "faults", "g.*")
+    counts = deviations.groupBy(*by, "rep").agg(F.count_if(truth).alias("faults"), *sums)
+    grid = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(float(s)).alias("sigma"), F.lit(bool(not bounded or s < max_achievable_zscore(w))).alias("reachable"), F.col(f"tp_{w}_{s:g}".replace(".", "_")).alias("tp"), F.col(f"fp_{w}_{s:g}".replace(".", "_")).alias("fp")) for w, s in cells])
+    long = counts.select(*by, "rep", "faults", F.explode(grid).alias("g")).select(*by, "rep", "faults", "g.*")
     p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("faults"))
     long = long.withColumn("p", p).withColumn("r", r).withColumn("f", _ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
     own = F.col("rep") >= 0
-    return long.groupBy("window", "sigma").agg(F.avg(F.when(own, F.col("p"))).alias("precision"), F.avg(F.when(own, F.col("r"))).alias("recall"), F.avg(F.when(own, F.col("f"))).alias("f1"), F.stddev_pop(F.when(own, F.col("f"))).alias("f1_std"), F.max(F.when(~own, F.col("fp"))).alias("baseline_flags"), F.first("reachable").alias("reachable"))
+    return long.groupBy(*by, "window", "sigma").agg(F.avg(F.when(own, F.col("p"))).alias("precision"), F.avg(F.when(own, F.col("r"))).alias("recall"), F.avg(F.when(own, F.col("f"))).alias("f1"), F.stddev_pop(F.when(own, F.col("f"))).alias("f1_std"), F.max(F.when(~own, F.col("fp"))).alias("baseline_flags"), F.first("reachable").alias("reachable"))
+
+
+def draw_faults_by_channel(sizes: DataFrame, seed: int, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, kinds: Sequence[str] = KINDS, gap: int = GAP, margin: int = MARGIN, longest: int = LONGEST) -> DataFrame:
+    """`draw_faults` for every (channel, n) of `sizes`, each with slots of its own; the channel's name takes part in the draws."""
+    rows = F.greatest(F.lit(0), F.col("n") - 2 * margin - longest)
+    slotted = sizes.withColumn("_w", F.greatest(F.lit(gap), F.floor(rows / n_faults))).withColumn("_s", F.least(F.lit(n_faults), F.floor(rows / F.col("_w"))))
+    some = slotted.where("_s > 0").withColumn("rep", F.explode(F.array(*map(F.lit, range(repeats))))).withColumn("fault", F.explode(F.sequence(F.lit(0), F.col("_s").cast("int") - 1)))
+    key = (F.col("channel"), F.col("rep"), F.col("fault"))
+    out = some.withColumn("kind", _pick(kinds, draw(seed, "kind", *key)))
+    dropout = F.col("kind") == "dropout"
+    place = F.lit(margin) + F.col("fault").cast("long") * F.col("_w") + draw(seed, "place", *key) % (F.col("_w") - gap + 1)
+    length = F.when(dropout, 1 + draw(seed, "length", *key) % longest).otherwise(1)
+    size = F.when(~dropout, _pick([float(m) for m in magnitudes], draw(seed, "size", *key)))
+    sign = F.when(dropout, 0.0).when(F.col("kind") == "spike", 1.0).otherwise(-1.0)
+    return out.select(*key, "kind", place.alias("position"), length.cast("long").alias("length"), size.alias("magnitude"), sign.alias("sign"))
+
+
+def calibrate_channels(readings: DataFrame, detector: str = "zscore", seed: int = 42, windows: Sequence[int] = WINDOWS, sigmas: Sequence[float] = SIGMAS, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES) -> DataFrame:
+    """(channel, window, sigma, precision, recall, f1, f1_std, baseline_flags, reachable): the grid of every channel, in one job.
 
+    `detector` is zscore or hampel. Missing rows are dropped first and the rest renumbered; channels
+    that then have fewer than 500 rows are left out.
+    """
+    if detector not in ("zscore", "hampel"):
+        raise ValueError("the detector is zscore or hampel")
+    rows = renumbered(readings).select("channel", "pos", "ts", "value")
+    sizes = rows.groupBy("channel").agg(F.count("*").alias("n")).where(F.col("n") >= CALIBRATION_ROWS)
+    scaled = local_scale(rows.join(sizes.select("channel"), "channel", "left_semi"))
+    faults = draw_faults_by_channel(sizes, seed, repeats, n_faults, magnitudes)
+    hit = faults.withColumn("pos", F.explode(F.sequence("position", F.col("position") + F.col("length") - 1))).drop("position", "length")
+    copies = scaled.withColumn("rep", F.explode(F.array(*map(F.lit, (-1, *range(repeats)))))).join(hit, ["channel", "rep", "pos"], "left")
+    v = F.col("value")
+    left = LEFT_OVER * (draw(seed, "left", F.col("channel"), F.col("rep"), F.col("pos")) / F.lit(float(2**32)))
+    damaged = F.when(F.col("kind") == "dropout", v * left).otherwise(F.greatest(v + F.col("sign") * F.col("magnitude") * F.col("unit"), F.lit(0.0)))
+    series = copies.select(F.col("channel").alias("of"), F.concat_ws("#", "channel", "rep").alias("channel"), "rep", "pos", F.when(F.col("kind").isNull(), v).otherwise(damaged).alias("value"), "fault")
+    if detector == "zscore":
+        deviations = _zscores(series, windows)
+    else:
+        deviations = hampel_excesses(series, windows).select("of", "rep", "fault", *[F.get("_x", F.lit(k)).alias(f"z{w}") for k, w in enumerate(windows)])
+    return _grid(deviations, ["of"], windows, sigmas, detector == "zscore").withColumnRenamed("of", "channel")
 
-def recall_at(series: DataFrame, window: int, sigma: float, seed: int = 42, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES) -> DataFrame:
-    """(kind, magnitude, length, recall, n) of the rolling z-score at one cell: the share of faults whose first row is flagged."""
+
+def recall_at(series: DataFrame, window: int, sigma: float, seed: int = 42, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, detector: str = "zscore") -> DataFrame:
+    """(kind, magnitude, length, recall, n) of a detector at one cell: the share of faults whose first row is flagged."""
     rows = renumbered(series)
     faults = draw_faults(series.sparkSession, rows.count(), seed, repeats, n_faults, magnitudes)
     damaged = _as_channels(apply_faults(local_scale(rows.select("channel", "pos", "ts", "value")), faults))
-    flags = rolling_zscore(damaged, window, sigma).select("rep", "pos", "flagged")
+    flags = DETECTORS[detector](damaged, window, sigma).select("rep", "pos", "flagged")
     first = faults.select("rep", F.col("position").alias("pos"), F.when(F.col("kind") == "dropout", "dropout").otherwise("size").alias("kind"), "magnitude", F.when(F.col("kind") == "dropout", F.col("length")).alias("length"))
     return first.join(flags, ["rep", "pos"]).groupBy("kind", "magnitude", "length").agg(F.avg(F.col("flagged").cast("double")).alias("recall"), F.count("*").alias("n"))
 
 
+#: Fixed value: how far recall may fall from the shortest to the longest dropout before it is remarked on.
+FALL = 0.05
+
+
+def run_note(recall: DataFrame) -> str:
+    """What `recall_at` says of dropouts of several rows; empty where length makes no difference."""
+    runs = [(r.length, r.recall) for r in recall.where("kind = 'dropout'").orderBy("length").collect()]
+    if len(runs) < 2 or runs[0][1] - runs[-1][1] <= FALL:
+        return ""
+    shares = ", ".join(f"{100 * share:.0f}% at {n} row{'s' * (n > 1)}" for n, share in runs)
+    return f"first rows of dropouts found: {shares}; bad rows in a row lie in each other's windows and widen the spread"
+
+
 def best_cell(grid: DataFrame) -> DataFrame:
     """The reachable cell with the highest f1, the first of equals."""
     return grid.where("reachable").orderBy(F.desc("f1"), "window", "sigma").limit(1)

@@ -103,8 +103,8 @@ def hampel(readings: DataFrame, window: int, sigma: float) -> DataFrame:
     return by_chunk(readings, 2 * before, 2 * after, kernel, {"centre": "double", "spread": "double", "flagged": "boolean"})
 
 
-def hampel_excess(readings: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """A row for each row and window, with `window` and `excess`: its distance from the rolling median in robust deviations, missing where the spread is 0.
+def hampel_excesses(readings: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """Adds `_x`: for each window the row's distance from the rolling median in robust deviations, missing where the spread is 0.
 
     All windows share one pass and the halo of the widest.
     """
@@ -117,10 +117,13 @@ def hampel_excess(readings: DataFrame, windows: Sequence[int]) -> DataFrame:
             np.divide(away, MAD_TO_SIGMA * spread, out=out[:, k], where=spread > 0)
         return {"_x": out}
 
-    rows = by_chunk(readings, before, after, kernel, {"_x": "array<double>"})
-    cells = F.posexplode(F.transform("_x", lambda x: F.nanvl(x, F.lit(None))))
-    sizes = F.array(*map(F.lit, windows))
-    return rows.select(*readings.columns, cells.alias("_k", "excess")).select(*readings.columns, F.get(sizes, F.col("_k")).alias("window"), "excess")
+    return by_chunk(readings, before, after, kernel, {"_x": "array<double>"}).withColumn("_x", F.transform("_x", lambda x: F.nanvl(x, F.lit(None))))
+
+
+def hampel_excess(readings: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """A row for each row and window, with `window` and `excess`."""
+    rows = hampel_excesses(readings, windows).select(*readings.columns, F.posexplode("_x").alias("_k", "excess"))
+    return rows.select(*readings.columns, F.get(F.array(*map(F.lit, windows)), F.col("_k")).alias("window"), "excess")
 
 
 def robust_sd(readings: DataFrame) -> DataFrame:

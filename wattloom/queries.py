@@ -504,6 +504,55 @@ def household_totals(spark, sf_dir):
     return rounded(stats.totals(filled).select("pos", "ts", "present", "naive", "total"), 9)
 
 
+#: Filled without a limit, so that channels have rows enough to calibrate on.
+FILLED_WHOLE = FILLED.split("f AS (")[0] + "f AS (SELECT channel, pos, ts, coalesce(value, pv + (nv - pv) * (pos - pp) / nullif(np - pp, 0), pv, nv) AS value FROM nb)"
+CHANNEL_WINDOWS, CHANNEL_SIGMAS, CHANNEL_REPEATS, CHANNEL_FAULTS = (12, 48), (2.0, 3.0, 4.0), 2, 20
+
+
+def _sql_by_channel(detector: str) -> str:
+    rows, key, draw = f"greatest(0, n - {2 * flt.MARGIN + flt.LONGEST})", ("channel", "rep", "fault"), lambda what, *parts: _sql_draw(42, what, *parts)
+    z = "abs(value - avg(value) OVER q) / nullif(stddev_samp(value) OVER q, 0)"
+    if detector == "zscore":
+        zs = " UNION ALL ".join(f"SELECT {w} AS w, channel, rep, fault, CASE WHEN count(value) OVER q >= {max(3, w // 2)} THEN {z} END AS z FROM x WINDOW q AS {_sql_frame(w, 'channel, rep')}" for w in CHANNEL_WINDOWS)
+    else:
+        zs = " UNION ALL ".join(f"SELECT {w} AS w, channel, rep, fault, d / nullif(1.4826 * median(d) OVER {_sql_frame(w, 'channel, rep')}, 0) AS z FROM (SELECT *, abs(value - median(value) OVER {_sql_frame(w, 'channel, rep')}) AS d FROM x)" for w in CHANNEL_WINDOWS)
+    return f"""WITH {HOUSEHOLDS}, {FILLED_WHOLE},
+    s0 AS (SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY pos) - 1 AS pos, value FROM f WHERE value IS NOT NULL),
+    size AS (SELECT channel, count(*) AS n FROM s0 GROUP BY channel HAVING count(*) >= {flt.CALIBRATION_ROWS}),
+    s AS (SELECT s0.* FROM s0 JOIN size USING (channel)),
+    d0 AS (SELECT channel, rep, fault, width FROM (SELECT channel, greatest({flt.GAP}, {rows} // {CHANNEL_FAULTS}) AS width, least({CHANNEL_FAULTS}, {rows} // greatest({flt.GAP}, {rows} // {CHANNEL_FAULTS})) AS slots FROM size), LATERAL (SELECT unnest(range(slots)) AS fault), (SELECT unnest(range({CHANNEL_REPEATS})) AS rep)),
+    d1 AS (SELECT *, {_sql_list(flt.KINDS)}[1 + {draw("kind", *key)} % {len(flt.KINDS)}] AS kind, {flt.MARGIN} + fault * width + {draw("place", *key)} % (width - {flt.GAP} + 1) AS position FROM d0),
+    d AS (SELECT *, CASE WHEN kind = 'dropout' THEN 1 + {draw("length", *key)} % {flt.LONGEST} ELSE 1 END AS length, CASE WHEN kind <> 'dropout' THEN {_sql_list(flt.MAGNITUDES)}[1 + {draw("size", *key)} % {len(flt.MAGNITUDES)}] END AS magnitude FROM d1),
+    hit AS (SELECT channel, rep, fault, kind, magnitude, unnest(range(position, position + length)) AS pos FROM d),
+    u0 AS (SELECT *, 1.4826 * mad(value) OVER (PARTITION BY channel ORDER BY pos ROWS BETWEEN {flt.SCALE_WINDOW // 2} PRECEDING AND {flt.SCALE_WINDOW - 1 - flt.SCALE_WINDOW // 2} FOLLOWING) AS scale FROM s),
+    middle AS (SELECT channel, median(scale) AS m FROM u0 WHERE scale > 0 GROUP BY channel),
+    u AS (SELECT u0.channel, pos, value, coalesce(CASE WHEN scale > 0 THEN scale END, m) AS unit FROM u0 LEFT JOIN middle USING (channel)),
+    x AS (SELECT r.rep, u.channel, u.pos, h.fault, CASE WHEN h.kind = 'dropout' THEN u.value * ({flt.LEFT_OVER} * ({draw("left", "u.channel", "r.rep", "u.pos")} / 4294967296.0::DOUBLE))
+        WHEN h.kind IS NOT NULL THEN greatest(0.0, u.value + CASE h.kind WHEN 'spike' THEN 1 ELSE -1 END * h.magnitude * u.unit) ELSE u.value END AS value
+        FROM u JOIN (SELECT unnest(range(-1, {CHANNEL_REPEATS})) AS rep) r ON TRUE LEFT JOIN hit h ON h.channel = u.channel AND h.rep = r.rep AND h.pos = u.pos),
+    zs AS ({zs}),
+    counts AS (SELECT channel, w, sigma, rep, count(*) FILTER (fault IS NOT NULL) AS faults, count(*) FILTER (z > sigma AND fault IS NOT NULL) AS tp, count(*) FILTER (z > sigma AND fault IS NULL) AS fp FROM zs, (SELECT unnest({_sql_list(CHANNEL_SIGMAS)}) AS sigma) GROUP BY channel, w, sigma, rep),
+    pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p_, coalesce(tp / nullif(faults, 0), 0) AS r_ FROM counts)
+    SELECT channel, CAST(w AS INTEGER) AS "window", sigma, round(avg(p_) FILTER (rep >= 0), 6) AS precision, round(avg(r_) FILTER (rep >= 0), 6) AS recall, round(avg(coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0)) FILTER (rep >= 0), 6) AS f1,
+        round(stddev_pop(coalesce(2 * p_ * r_ / nullif(p_ + r_, 0), 0)) FILTER (rep >= 0), 6) AS f1_std, max(fp) FILTER (rep < 0) AS baseline_flags, {"sigma < (w - 1) / sqrt(w)" if detector == "zscore" else "TRUE"} AS reachable FROM pr GROUP BY channel, w, sigma"""
+
+
+def _by_channel(spark, sf_dir, detector):
+    filled = interpolate(households(spark, sf_dir), None).select("channel", "pos", "ts", "value")
+    return rounded(flt.calibrate_channels(filled, detector, 42, CHANNEL_WINDOWS, CHANNEL_SIGMAS, CHANNEL_REPEATS, CHANNEL_FAULTS))
+
+
+@query(_sql_by_channel("zscore"))
+def household_calibration(spark, sf_dir):
+    """Every household's grid in one job."""
+    return _by_channel(spark, sf_dir, "zscore")
+
+
+@query(_sql_by_channel("hampel"))
+def household_hampel_calibration(spark, sf_dir):
+    return _by_channel(spark, sf_dir, "hampel")
+
+
 @query(f"WITH {HOUSEHOLDS}, {RUNS} SELECT channel, start, \"end\", length FROM g WHERE gap")
 def household_gaps(spark, sf_dir):
     return regions(households(spark, sf_dir), F.col("value").isNull())
