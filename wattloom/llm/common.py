@@ -66,6 +66,16 @@ def join_hot(rows: DataFrame, unique: DataFrame, keys: list[str], weight: str, t
     return rows.join(hot, keys).unionByName(cold)
 
 
+#: Rows of a batch between Spark and Python where documents are long; Spark's own default is ten times as many.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let batches hold fewer documents, unless the session asks for fewer still: both sides hold a batch whole."""
+    if not 0 < int(spark.conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def text_or_empty(col: str = "text") -> F.Column:
     return F.coalesce(F.col(col), F.lit(""))
 
