@@ -13,7 +13,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import materialize, surrogate_key, table
+from wattloom.llm.common import materialize, small_batches, surrogate_key, table
 from wattloom.llm.decontamination import contaminated
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.packing import pack_documents
@@ -32,17 +32,20 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that score 0.7 or more."""
+    small_batches(spark)
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
     return _without(docs, scored.where("score >= 0.7"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least doc_id of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     return _without(docs, near_duplicates(docs, shingle_size=5, percent=80).where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that hold a benchmark item."""
+    small_batches(spark)
     return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -54,6 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack into sequences of at most 4096 tokens."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
 
 
