@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wattloom.operators.chunks import chunk_window, with_chunk
+from wattloom.operators.panel import cells_of, knots
 
 
 def regions(readings: DataFrame, mask: Column) -> DataFrame:
@@ -44,6 +45,37 @@ def longest_complete_run(readings: DataFrame) -> DataFrame:
     return runs.groupBy("channel").agg(best).select("channel", "r.start", "r.end", "r.length")
 
 
+def _neighbours(rows: DataFrame, part: str, at: str) -> DataFrame:
+    """Adds _pp, _pv, _np, _nv: place and value of the last known value up to a row, and of the first one after it.
+
+    They are found within (channel, `part`); what lies beyond comes from one summary row for each part.
+    """
+    # lag and lead pass over a partition once; a frame to its end would be read anew for every row.
+    over = f"OVER (PARTITION BY channel, {part} ORDER BY {at})"
+    known = f"CASE WHEN value IS NOT NULL THEN named_struct('pos', {at}, 'value', value) END"
+    near = rows.withColumn("_p", F.expr(f"last({known}) IGNORE NULLS {over[:-1]} ROWS UNBOUNDED PRECEDING)")).withColumn("_n", F.expr(f"lead({known}) IGNORE NULLS {over}"))
+    # Numbers, unlike structs, are summed up without sorting the rows.
+    there = rows.where("value is not null").groupBy("channel", part)
+    ends = there.agg(F.min(at).alias("_a"), F.min_by("value", at).alias("_av"), F.max(at).alias("_b"), F.max_by("value", at).alias("_bv"))
+    parts = rows.groupBy("channel", part).agg(F.count("*").alias("_rows")).drop("_rows").join(ends.hint("merge"), ["channel", part], "left")
+    beyond = f"OVER (PARTITION BY channel ORDER BY {part})"
+    side = lambda f, a: F.expr(f"{f}(CASE WHEN {a} IS NOT NULL THEN named_struct('pos', {a}, 'value', {a}v) END) IGNORE NULLS {beyond}")
+    parts = parts.select("channel", part, side("lag", "_b").alias("_before"), side("lead", "_a").alias("_behind"))
+    out = near.join(parts.hint("merge"), ["channel", part])
+    out = out.withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_behind"))
+    return out.withColumns({"_pp": F.col("_p.pos"), "_pv": F.col("_p.value"), "_np": F.col("_n.pos"), "_nv": F.col("_n.value")}).drop("_p", "_n", "_before", "_behind")
+
+
+def _line(at: str, limit: int | None) -> Column:
+    """The value of a missing row at `at` by its neighbours, missing where none is near enough."""
+    if limit is not None and limit <= 0:
+        raise ValueError("the limit must be positive")
+    since, until = F.col(at) - F.col("_pp"), F.col("_np") - F.col(at)
+    line = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * F.try_divide(since, since + until)
+    near = F.lit(True) if limit is None else F.coalesce(since <= limit, F.lit(False)) | F.coalesce(until <= limit, F.lit(False))
+    return F.when(near, F.coalesce(line, "_pv", "_nv"))
+
+
 def interpolate(readings: DataFrame, limit: int | None = 24) -> DataFrame:
     """Fill missing values on a straight line between neighbours by row position; adds `filled`.
 
@@ -51,21 +83,19 @@ def interpolate(readings: DataFrame, limit: int | None = 24) -> DataFrame:
     one keeps its middle. Before the first and after the last value the nearest one is used, as
     far as `limit` reaches. Without a limit all is filled but a channel without values.
     """
-    if limit is not None and limit <= 0:
-        raise ValueError("the limit must be positive")
-    rows = with_chunk(readings)
-    w = chunk_window()
-    known = F.when(F.col("value").isNotNull(), F.struct(F.col("pos").alias("pos"), F.col("value").alias("value")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    rows = rows.withColumn("_p", F.last(known, ignorenulls=True).over(back)).withColumn("_n", F.first(known, ignorenulls=True).over(ahead))
-    # What lies beyond the chunk comes from one summary row for each chunk.
-    ends = with_chunk(readings).groupBy("channel", "chunk").agg(F.max(known).alias("last"), F.min(known).alias("first"))
-    c = Window.partitionBy("channel").orderBy("chunk")
-    ends = ends.select("channel", "chunk", F.last("last", ignorenulls=True).over(c.rowsBetween(Window.unboundedPreceding, -1)).alias("_pp"), F.first("first", ignorenulls=True).over(c.rowsBetween(1, Window.unboundedFollowing)).alias("_nn"))
-    rows = rows.join(ends, ["channel", "chunk"]).withColumn("_p", F.coalesce("_p", "_pp")).withColumn("_n", F.coalesce("_n", "_nn"))
-    since, until = F.col("pos") - F.col("_p.pos"), F.col("_n.pos") - F.col("pos")
-    line = F.col("_p.value") + (F.col("_n.value") - F.col("_p.value")) * F.try_divide(since, since + until)
-    near = F.lit(True) if limit is None else F.coalesce(since <= limit, F.lit(False)) | F.coalesce(until <= limit, F.lit(False))
-    value = F.when(F.col("value").isNull() & near, F.coalesce(line, "_p.value", "_n.value")).otherwise(F.col("value"))
-    out = rows.withColumn("_v", value).withColumn("filled", F.col("value").isNull() & F.col("_v").isNotNull())
-    return out.withColumn("value", F.col("_v")).drop("_v", "_p", "_n", "_pp", "_nn", "chunk")
+    line = _line("pos", limit)
+    rows = _neighbours(with_chunk(readings), "chunk", "pos")
+    out = rows.withColumn("_v", F.coalesce("value", line)).withColumn("filled", F.col("value").isNull() & F.col("_v").isNotNull())
+    return out.select(*[F.col("_v").alias(c) if c == "value" else F.col(c) for c in readings.columns], "filled")
+
+
+def filled_grid(events: DataFrame, ts: str, channel: str, value: str, step_s: int, limit: int | None = 24) -> DataFrame:
+    """(channel, pos, ts, value, filled): the same as `interpolate` of the `grid` of `events`.
+
+    Only what was measured is dealt out and sorted; each row then makes the empty cells up to the next.
+    """
+    line = _line("cell", limit)
+    cells = cells_of(_neighbours(knots(events, ts, channel, value, step_s), "part", "slot"), step_s)
+    own = F.when(F.col("cell") == F.col("slot"), F.col("value"))
+    out = cells.withColumn("_own", own).withColumn("_v", F.coalesce("_own", line))
+    return out.select("channel", "pos", "ts", F.col("_v").alias("value"), (F.col("_own").isNull() & F.col("_v").isNotNull()).alias("filled"))

@@ -35,16 +35,40 @@ def _cells(spans: DataFrame) -> DataFrame:
     return parts.withColumn("slot", slot).drop("_part")
 
 
-def grid(events: DataFrame, ts: str, channel: str, value: str, step_s: int) -> DataFrame:
-    """Mean of `value` by channel and step, on the complete grid of all steps and channels; empty cells are NULL."""
+def knots(events: DataFrame, ts: str, channel: str, value: str, step_s: int) -> DataFrame:
+    """(channel, part, slot, value, first, end): the means by channel and step, dealt out by stretches (`part`) of CELLS slots.
+
+    Each channel also has a row for the first slot of every stretch, with NULL if nothing was
+    measured there. Cells lie from a row's slot to the one before the next row's of its stretch,
+    or before `end`; `first` is the grid's first slot. So empty cells need no row before they are made.
+    """
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.floor(seconds(F.col(ts)) / step_s).cast("long")
-    value_ = F.nanvl(F.col(value).cast("double"), F.lit(None))
-    means = events.select(F.col(channel).alias("channel"), slot.alias("slot"), value_.alias("v")).groupBy("channel", "slot").agg(F.avg("v").alias("value"))
+    # As an equi-join has it, a channel without a name meets no value.
+    value_ = F.when(F.col(channel).isNotNull(), F.nanvl(F.col(value).cast("double"), F.lit(None)))
+    rows = events.select(F.col(channel).alias("channel"), slot.alias("slot"), value_.alias("v"))
     bounds = events.agg(F.struct(F.min(slot).alias("a"), F.max(slot).alias("b"))).scalar()
-    names = events.groupBy(F.col(channel).alias("channel")).agg(F.count("*").alias("_n"))
-    cells = _cells(names.select("channel", bounds["a"].alias("a"), bounds["b"].alias("b")))
-    ts_ = F.timestamp_add("SECOND", F.col("slot") * step_s, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return cells.join(means, ["channel", "slot"], "left").select("channel", (F.col("slot") - F.col("a")).alias("pos"), ts_.alias("ts"), "value")
+    names = rows.groupBy("channel").agg(F.count("*").alias("_n")).select("channel", bounds["a"].alias("a"), bounds["b"].alias("b"))
+    starts = names.where("a <= b").withColumn("_part", F.explode(F.sequence(F.floor(F.col("a") / CELLS), F.floor(F.col("b") / CELLS))))
+    starts = starts.select("channel", F.greatest(F.col("a"), F.col("_part") * CELLS).alias("slot"), F.lit(None).cast("double").alias("v"))
+    means = rows.where("slot is not null").unionByName(starts).groupBy("channel", "slot").agg(F.avg("v").alias("value"))
+    # A fixed number of partitions, as cells are many more than these rows.
+    out = means.withColumn("part", F.floor(F.col("slot") / CELLS)).repartition(n, "channel", "part")
+    return out.select("channel", "part", "slot", "value", bounds["a"].alias("first"), F.least(bounds["b"] + 1, (F.col("part") + 1) * CELLS).alias("end"))
+
+
+def cells_of(rows: DataFrame, step_s: int) -> DataFrame:
+    """`rows` of knots() with a row for each cell, and its slot (`cell`), `pos` and `ts`."""
+    after = F.coalesce(F.lead("slot").over(Window.partitionBy("channel", "part").orderBy("slot")), F.col("end"))
+    cells = rows.withColumn("_after", after).withColumn("cell", F.explode(F.sequence("slot", F.col("_after") - 1)))
+    ts_ = F.timestamp_add("SECOND", F.col("cell") * step_s, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return cells.withColumn("pos", F.col("cell") - F.col("first")).withColumn("ts", ts_)
+
+
+def grid(events: DataFrame, ts: str, channel: str, value: str, step_s: int) -> DataFrame:
+    """Mean of `value` by channel and step, on the complete grid of all steps and channels; empty cells are NULL."""
+    cells = cells_of(knots(events, ts, channel, value, step_s), step_s)
+    return cells.select("channel", "pos", "ts", F.when(F.col("cell") == F.col("slot"), F.col("value")).alias("value"))
 
 
 def uniform_grid(readings: DataFrame, step_s: int) -> DataFrame:

@@ -12,7 +12,7 @@ from wattloom.operators import stats
 from wattloom.operators.chunks import renumbered
 from wattloom.operators.classify import channel_roles, fingerprint
 from wattloom.operators.distributions import channel_statistics, distribution_fits, skew_range
-from wattloom.operators.gaps import interpolate, longest_complete_run, longest_gap, regions
+from wattloom.operators.gaps import filled_grid, interpolate, longest_complete_run, longest_gap, regions
 from wattloom.operators.lowpass import lowpass
 from wattloom.operators.panel import grid, median_interval, uniform_grid
 from wattloom.operators.repair import clean_series, impute_missing, spline_flags
@@ -486,16 +486,23 @@ def calibration_surface(spark, sf_dir):
 HOUSEHOLDS = PANEL.replace("SELECT event_type AS channel", "SELECT printf('Household_%05d', user_id) AS channel").replace("value AS v FROM events", "value AS v FROM events WHERE user_id IS NOT NULL")
 
 
+def household_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+    return found.select("ts", F.format_string("Household_%05d", "user_id").alias("channel"), "value")
+
+
 def households(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly means of events by user: channels grow with the tables."""
-    found = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
-    named = found.select("ts", F.format_string("Household_%05d", "user_id").alias("channel"), "value")
-    return grid(named, "ts", "channel", "value", HOUR)
+    return grid(household_events(spark, sf_dir), "ts", "channel", "value", HOUR)
+
+
+def households_filled(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
+    return filled_grid(household_events(spark, sf_dir), "ts", "channel", "value", HOUR, limit)
 
 
 @query(f"WITH {HOUSEHOLDS}, {FILLED} SELECT channel, pos, ts, round(value, 9) AS value, filled FROM f")
 def household_panel_filled(spark, sf_dir):
-    return rounded(interpolate(households(spark, sf_dir), LIMIT).select("channel", "pos", "ts", "value", "filled"), 9)
+    return rounded(households_filled(spark, sf_dir, LIMIT), 9)
 
 
 @query(f"WITH {HOUSEHOLDS}, {FILLED} SELECT pos, ts, count(value) AS present, round(coalesce(sum(value), 0.0), 9) AS naive, round(CASE WHEN count(value) = count(*) THEN sum(value) END, 9) AS total FROM f GROUP BY pos, ts")
