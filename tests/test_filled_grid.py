@@ -63,3 +63,11 @@ def test_cells_are_neither_joined_nor_dealt_out(events):
         made = plan(df).split("sequence(slot")[0]
         assert "Exchange" not in made and "Join" not in made and "Sort" not in made
     assert "unboundedfollowing" not in plan(interpolate(grid(events, "ts", "channel", "value", 3600), 4)).lower()
+
+
+def test_household_totals_from_measured_rows(spark, sf):
+    """Household cells are made for the sums alone: they meet no join and no frame to the end."""
+    from wattloom.queries import QUERIES
+
+    made = plan(QUERIES["household_totals"](spark, sf)).lower()
+    assert "unboundedfollowing" not in made and "join" not in made.split("sequence(slot")[0]

@@ -69,11 +69,11 @@ def exact_quantiles(values: DataFrame, points: list[float], small: int = SMALL)
     """
     known = values.select("channel", F.col("value").cast("double").alias("value")).where("value is not null and not isnan(value)")
     counts = known.groupBy("channel").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    names = values.groupBy("channel").agg(F.count("*").alias("_n")).select("channel")
     few = lambda rows: rows.groupBy("channel").agg(F.percentile("value", F.array(*map(F.lit, points))).alias("q"))
     most = counts.agg(F.max("n")).first()[0] or 0
     if most <= small:
-        return names.join(few(known), "channel", "left")
+        return few(values.select("channel", F.nanvl(F.col("value").cast("double"), F.lit(None)).alias("value")))
+    names = values.groupBy("channel").agg(F.count("*").alias("_n")).select("channel")
     # Of the channels longer than `small` there are at most the share of all values that this number says.
     long = counts.where(F.col("n") > small)
     wanted = _wanted(long, points)

@@ -507,7 +507,7 @@ def household_panel_filled(spark, sf_dir):
 
 @query(f"WITH {HOUSEHOLDS}, {FILLED} SELECT pos, ts, count(value) AS present, round(coalesce(sum(value), 0.0), 9) AS naive, round(CASE WHEN count(value) = count(*) THEN sum(value) END, 9) AS total FROM f GROUP BY pos, ts")
 def household_totals(spark, sf_dir):
-    filled = interpolate(households(spark, sf_dir), LIMIT)
+    filled = households_filled(spark, sf_dir, LIMIT)
     return rounded(stats.totals(filled).select("pos", "ts", "present", "naive", "total"), 9)
 
 
