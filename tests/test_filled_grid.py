@@ -7,6 +7,7 @@ import pytest
 
 from wattloom.operators import panel
 from wattloom.operators.gaps import filled_grid, interpolate
+from wattloom.operators.order import exact_quantiles
 from wattloom.operators.panel import grid
 
 HOURS = 60
@@ -71,3 +72,10 @@ def test_household_totals_from_measured_rows(spark, sf):
 
     made = plan(QUERIES["household_totals"](spark, sf)).lower()
     assert "unboundedfollowing" not in made and "join" not in made.split("sequence(slot")[0]
+
+
+def test_short_channels_are_ranked_without_a_join(events):
+    """A join with the grid's cells was planned as their broadcast through the driver."""
+    found = exact_quantiles(grid(events, "ts", "channel", "value", 3600), [0.5])
+    assert "Join" not in plan(found)
+    assert {r.channel: r.q for r in found.collect()}["b"] == [3.0]
