@@ -7,9 +7,13 @@ window takes hardly longer than a narrow one.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 
+#: Rows of all series whose windows are held at once.
+BLOCK = 8192
+
 
 def _middle(window: list[float]) -> float:
     n = len(window)
@@ -68,3 +72,31 @@ def hampel_distance(values: np.ndarray, before: int, after: int) -> tuple[np.nda
     centre, _ = sliding_median(values, before, after)
     away = np.abs(np.asarray(values, float) - centre)
     return centre, away, sliding_median(away, before, after)[0]
+
+
+def _windows(x: np.ndarray, before: int, after: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Windows of the rows of each series in `x` (series, rows), a block of rows at a time; NaN beyond the ends."""
+    held = np.pad(x, ((0, 0), (before, after)), constant_values=np.nan)
+    windows, step = np.lib.stride_tricks.sliding_window_view(held, before + 1 + after, axis=1), max(1, BLOCK // len(x))
+    for k in range(0, x.shape[1], step):
+        yield slice(k, k + step), windows[:, k : k + step]
+
+
+def short_zscores(x: np.ndarray, before: int, after: int, least: int) -> np.ndarray:
+    """Each row's distance from its window's mean in sample standard deviations, for several series (series, rows) without missing values.
+
+    NaN with fewer than `least` rows in reach, or where all are equal.
+    """
+    out = np.empty(x.shape)
+    for at, window in _windows(x, before, after):
+        there = window[0] == window[0]
+        n, held = there.sum(axis=1), np.where(there, window, 0.0)
+        mean = held.sum(axis=2) / n
+        away = np.where(there, held - mean[..., None], 0.0)
+        own = x[:, at]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z = np.abs(own - mean) / np.sqrt(np.einsum("mnw,mnw->mn", away, away) / (n - 1))
+        # Of equal values the computed mean may miss them by a bit.
+        flat = np.where(there, held == own[..., None], True).all(axis=2)
+        out[:, at] = np.where(flat | (n < least), np.nan, z)
+    return out

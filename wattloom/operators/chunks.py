@@ -36,4 +36,4 @@ def renumbered(series: DataFrame) -> DataFrame:
     rows = with_chunk(series.where("value is not null"))
     before = F.sum("n").over(Window.partitionBy("channel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     sizes = rows.groupBy("channel", "chunk").agg(F.count("*").alias("n")).select("channel", "chunk", F.coalesce(before, F.lit(0)).alias("_before"))
-    return rows.join(sizes, ["channel", "chunk"]).withColumn("pos", F.col("_before") + F.row_number().over(chunk_window()) - 1).drop("chunk", "_before")
+    return rows.join(sizes.hint("merge"), ["channel", "chunk"]).withColumn("pos", F.col("_before") + F.row_number().over(chunk_window()) - 1).drop("chunk", "_before")

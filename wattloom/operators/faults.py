@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.operators.chunks import chunk_window, own_rows, renumbered, with_halo
+from wattloom.functions.sliding import short_zscores, sliding_median
+from wattloom.operators.chunks import CHUNK, chunk_window, own_rows, renumbered, with_halo
 from wattloom.operators.gaps import longest_complete_run
+from wattloom.operators.order import exact_median
 from wattloom.operators.rolling import DETECTORS, MAD_TO_SIGMA, hampel_excess, hampel_excesses, max_achievable_zscore, reach, rolling_mad
 
 #: Grids, fault sizes and counts of the two calibrations.
@@ -180,14 +185,25 @@ def _grid(deviations: DataFrame, by: list[str], windows: Sequence[int], sigmas:
 
     `bounded` detectors can't reach every sigma in every window.
     """
-    truth = F.col("fault").isNotNull()
-    cells = [(w, s) for w in windows for s in sigmas]
-    sums = []
-    for w, s in cells:
+    truth, sums = F.col("fault").isNotNull(), []
+    for w, s in _cells(windows, sigmas):
         flagged = F.coalesce(F.col(f"z{w}") > s, F.lit(False))
-        sums += [F.count_if(flagged & truth).alias(f"tp_{w}_{s:g}".replace(".", "_")), F.count_if(flagged & ~truth).alias(f"fp_{w}_{s:g}".replace(".", "_"))]
-    counts = deviations.groupBy(*by, "rep").agg(F.count_if(truth).alias("faults"), *sums)
-    grid = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(float(s)).alias("sigma"), F.lit(bool(not bounded or s < max_achievable_zscore(w))).alias("reachable"), F.col(f"tp_{w}_{s:g}".replace(".", "_")).alias("tp"), F.col(f"fp_{w}_{s:g}".replace(".", "_")).alias("fp")) for w, s in cells])
+        sums += [F.count_if(flagged & truth).alias(_named("tp", w, s)), F.count_if(flagged & ~truth).alias(_named("fp", w, s))]
+    return _scores(deviations.groupBy(*by, "rep").agg(F.count_if(truth).alias("faults"), *sums), by, windows, sigmas, bounded)
+
+
+def _cells(windows: Sequence[int], sigmas: Sequence[float]) -> list[tuple[int, float]]:
+    return [(w, s) for w in windows for s in sigmas]
+
+
+def _named(what: str, window: int, sigma: float) -> str:
+    return f"{what}_{window}_{sigma:g}".replace(".", "_")
+
+
+def _scores(counts: DataFrame, by: list[str], windows: Sequence[int], sigmas: Sequence[float], bounded: bool) -> DataFrame:
+    """The grid from rows with rep, faults, and tp and fp of every cell."""
+    cells = _cells(windows, sigmas)
+    grid = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(float(s)).alias("sigma"), F.lit(bool(not bounded or s < max_achievable_zscore(w))).alias("reachable"), F.col(_named("tp", w, s)).alias("tp"), F.col(_named("fp", w, s)).alias("fp")) for w, s in cells])
     long = counts.select(*by, "rep", "faults", F.explode(grid).alias("g")).select(*by, "rep", "faults", "g.*")
     p, r = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("faults"))
     long = long.withColumn("p", p).withColumn("r", r).withColumn("f", _ratio(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))
@@ -218,21 +234,94 @@ def calibrate_channels(readings: DataFrame, detector: str = "zscore", seed: int
     """
     if detector not in ("zscore", "hampel"):
         raise ValueError("the detector is zscore or hampel")
-    rows = renumbered(readings).select("channel", "pos", "ts", "value")
-    sizes = rows.groupBy("channel").agg(F.count("*").alias("n")).where(F.col("n") >= CALIBRATION_ROWS)
-    scaled = local_scale(rows.join(sizes.select("channel"), "channel", "left_semi"))
+    # Read by the counts, the draws and the detectors, so that what is upstream runs once.
+    readings = readings.where("value is not null").select("channel", "pos", "value").persist(StorageLevel.DISK_ONLY)
+    rows = renumbered(readings)
+    sizes = readings.groupBy("channel").agg(F.count("*").alias("n")).where(F.col("n") >= CALIBRATION_ROWS)
     faults = draw_faults_by_channel(sizes, seed, repeats, n_faults, magnitudes)
-    hit = faults.withColumn("pos", F.explode(F.sequence("position", F.col("position") + F.col("length") - 1))).drop("position", "length")
-    copies = scaled.withColumn("rep", F.explode(F.array(*map(F.lit, (-1, *range(repeats)))))).join(hit, ["channel", "rep", "pos"], "left")
-    v = F.col("value")
+    hit = faults.withColumn("pos", F.explode(F.sequence("position", F.col("position") + F.col("length") - 1)))
     left = LEFT_OVER * (draw(seed, "left", F.col("channel"), F.col("rep"), F.col("pos")) / F.lit(float(2**32)))
-    damaged = F.when(F.col("kind") == "dropout", v * left).otherwise(F.greatest(v + F.col("sign") * F.col("magnitude") * F.col("unit"), F.lit(0.0)))
-    series = copies.select(F.col("channel").alias("of"), F.concat_ws("#", "channel", "rep").alias("channel"), "rep", "pos", F.when(F.col("kind").isNull(), v).otherwise(damaged).alias("value"), "fault")
-    if detector == "zscore":
-        deviations = _zscores(series, windows)
+    hit = hit.select("channel", "rep", "pos", F.when(F.col("kind") == "dropout", left).alias("left"), (F.col("sign") * F.col("magnitude")).alias("change"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > CHUNK:
+        # Channels of several chunks know the median of their scales beforehand; others find it where they are judged.
+        long = rows.join(sizes.where(F.col("n") > CHUNK).select("channel").hint("merge"), "channel", "left_semi")
+        scales = rolling_mad(long, SCALE_WINDOW).select("channel", F.when(F.col("scale") > 0, F.col("scale")).alias("value"))
+        sizes = sizes.join(exact_median(scales, "middle").hint("merge"), "channel", "left")
     else:
-        deviations = hampel_excesses(series, windows).select("of", "rep", "fault", *[F.get("_x", F.lit(k)).alias(f"z{w}") for k, w in enumerate(windows)])
-    return _grid(deviations, ["of"], windows, sigmas, detector == "zscore").withColumnRenamed("of", "channel")
+        sizes = sizes.withColumn("middle", F.lit(None).cast("double"))
+    wide = 1 if detector == "zscore" else 2
+    before, after = (wide * max(reach(w)[k] for w in windows) for k in (0, 1))
+    around = reach(SCALE_WINDOW)
+    heads = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
+    known = heads.withColumn("rep", F.lit(-1)).unionByName(with_halo(hit, before, after), allowMissingColumns=True).select(F.col("channel").alias("of"), "chunk", "rep", "pos", "left", "change", "n", "middle")
+    judge = _judge(detector, windows, sigmas, repeats)
+    schema = ", ".join(["channel string", "rep int", "faults long", *(f"{_named(what, *cell)} long" for cell in _cells(windows, sigmas) for what in ("tp", "fp"))])
+    chunks = with_halo(rows, before + around[0], after + around[1]).groupBy("channel", "chunk").cogroup(known.groupBy("of", "chunk"))
+    counts = chunks.applyInArrow(judge, schema)
+    sums = counts.groupBy("channel", "rep").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("channel", "rep")])
+    return _scores(sums, ["channel"], windows, sigmas, detector == "zscore")
+
+
+def _units(values: np.ndarray, at: np.ndarray, middle: float | None) -> np.ndarray:
+    """The local scale of the rows `at`, or the median of all scales where it is 0; that of `values` unless it is known."""
+    before, after = reach(SCALE_WINDOW)
+    rows = values[at[:, None] + np.arange(-before, after + 1)]
+    half = SCALE_WINDOW >> 1
+    mid = lambda x: 0.5 * (x[:, (SCALE_WINDOW - 1) >> 1] + x[:, half])
+    scale = MAD_TO_SIGMA * mid(np.sort(np.abs(rows - mid(np.sort(rows, axis=1))[:, None]), axis=1))
+    if (scale > 0).all():
+        return scale
+    if middle is None:
+        all_ = MAD_TO_SIGMA * sliding_median(values, before, after, deviation=True)[1]
+        middle = np.median(all_[all_ > 0]) if (all_ > 0).any() else np.nan
+    return np.where(scale > 0, scale, middle)
+
+
+def _judge(detector: str, windows: Sequence[int], sigmas: Sequence[float], repeats: int):
+    """Counts a chunk's found and false rows in every cell: (rows, its head and faults) -> a row for the series as it is and each repetition.
+
+    A head has rep -1 and no pos; channels too short to be judged have none. Repetitions are rows of one array.
+    """
+    cells = _cells(windows, sigmas)
+
+    def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
+        is_head = known["rep"].to_numpy() < 0
+        names = ["channel", "rep", "faults", *(_named(what, *cell) for cell in cells for what in ("tp", "fp"))]
+        if not is_head.any() or not rows.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), *[pa.array([], pa.int64())] * (len(names) - 2)], names)
+        head = known.filter(pa.array(is_head)).slice(0, 1).to_pylist()[0]
+        rows, known = rows.sort_by("pos"), known.filter(pa.array(~is_head))
+        pos, values = rows["pos"].to_numpy(), rows["value"].to_numpy()
+        at, rep = known["pos"].to_numpy() - pos[0], known["rep"].to_numpy() + 1
+        copies, truth = np.tile(values, (repeats + 1, 1)), np.zeros((repeats + 1, len(values)), bool)
+        if len(at):
+            left, change = known["left"].to_numpy(), known["change"].to_numpy()
+            drop, unit = left == left, np.full(len(at), np.nan)
+            if not drop.all():
+                unit[~drop] = _units(values, at[~drop], head["middle"])
+            # Without any scale a fault is 0.
+            copies[rep, at] = np.where(drop, values[at] * left, np.fmax(values[at] + change * unit, 0.0))
+            truth[rep, at] = True
+        own = pos // CHUNK == head["chunk"]
+        truth, out = truth[:, own], []
+        for w in windows:
+            before, after = reach(w)
+            if detector == "zscore":
+                x = short_zscores(copies, before, after, max(3, w // 2))
+            else:
+                away = np.abs(copies - _medians(copies, before, after))
+                spread = MAD_TO_SIGMA * _medians(away, before, after)
+                x = np.divide(away, spread, out=np.full(away.shape, np.nan), where=spread > 0)
+            for s in sigmas:
+                flagged = x[:, own] > s
+                out += [(flagged & truth).sum(axis=1), (flagged & ~truth).sum(axis=1)]
+        return pa.Table.from_arrays([pa.array([head["of"]] * (repeats + 1), pa.string()), pa.array(range(-1, repeats), pa.int32()), pa.array(truth.sum(axis=1), pa.int64()), *(pa.array(c, pa.int64()) for c in out)], names)
+
+    return judge
+
+
+def _medians(x: np.ndarray, before: int, after: int) -> np.ndarray:
+    return np.stack([sliding_median(v, before, after)[0] for v in x])
 
 
 def recall_at(series: DataFrame, window: int, sigma: float, seed: int = 42, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, detector: str = "zscore") -> DataFrame:
