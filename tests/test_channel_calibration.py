@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from wattloom.functions import sliding
-from wattloom.functions.sliding import short_zscores
+from wattloom.functions.sliding import short_medians, short_zscores, sliding_median
 from wattloom.operators import faults
 from wattloom.operators.chunks import with_halo
 
@@ -18,6 +18,7 @@ def test_kernels_equal_plain_ones(monkeypatch, before, after):
     monkeypatch.setattr(sliding, "BLOCK", 64)
     x = np.round(np.random.default_rng(3).normal(size=(3, 100)), 1)
     x[1, 20:75] = 0.1
+    assert (short_medians(x, before, after) == np.stack([sliding_median(v, before, after)[0] for v in x])).all()
     got, least = short_zscores(x, before, after, 3), 3
     for (k, i), z in np.ndenumerate(got):
         w = x[k, max(0, i - before) : i + after + 1]
@@ -32,7 +33,7 @@ def readings(spark):
     return spark.createDataFrame(rows, "channel string, pos long, value double")
 
 
-@pytest.mark.parametrize("detector", ["zscore"])
+@pytest.mark.parametrize("detector", ["zscore", "hampel"])
 def test_chunks_change_nothing(spark, monkeypatch, detector):
     df = readings(spark)
     whole = sorted(faults.calibrate_channels(df, detector, **CELLS).collect())

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattloom.functions.sliding import short_zscores, sliding_median
+from wattloom.functions.sliding import short_medians, short_zscores, sliding_median
 from wattloom.operators.chunks import CHUNK, chunk_window, own_rows, renumbered, with_halo
 from wattloom.operators.gaps import longest_complete_run
 from wattloom.operators.order import exact_median
@@ -320,8 +320,12 @@ def _judge(detector: str, windows: Sequence[int], sigmas: Sequence[float], repea
     return judge
 
 
+#: Windows of more rows are cheaper as sorted lists.
+SORTED_AT = 64
+
+
 def _medians(x: np.ndarray, before: int, after: int) -> np.ndarray:
-    return np.stack([sliding_median(v, before, after)[0] for v in x])
+    return short_medians(x, before, after) if before + after < SORTED_AT else np.stack([sliding_median(v, before, after)[0] for v in x])
 
 
 def recall_at(series: DataFrame, window: int, sigma: float, seed: int = 42, repeats: int = REPEATS, n_faults: int = N_FAULTS, magnitudes: Sequence[float] = MAGNITUDES, detector: str = "zscore") -> DataFrame:
