@@ -79,3 +79,13 @@ def test_short_channels_are_ranked_without_a_join(events):
     found = exact_quantiles(grid(events, "ts", "channel", "value", 3600), [0.5])
     assert "Join" not in plan(found)
     assert {r.channel: r.q for r in found.collect()}["b"] == [3.0]
+
+
+def test_percentiles_of_households_make_no_empty_cells(spark, sf, tmp_path):
+    from wattloom.queries import QUERIES
+
+    rows = [(START + dt.timedelta(hours=h), u, v) for u, h, v in ((1, 0, 1.0), (1, 5000, 4.0), (2, 9000, None), (3, 9000, 7.0))]
+    spark.createDataFrame(rows, "ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["household_percentiles"](spark, str(tmp_path))
+    assert {r.channel: r.p25 for r in found.collect()} == {f"Household_{k:05d}": v for k, v in ((1, 1.75), (2, None), (3, 7.0))}
+    assert "sequence(slot" not in plan(QUERIES["household_percentiles"](spark, sf))

@@ -14,7 +14,7 @@ from wattloom.operators.classify import channel_roles, fingerprint
 from wattloom.operators.distributions import channel_statistics, distribution_fits, skew_range
 from wattloom.operators.gaps import filled_grid, interpolate, longest_complete_run, longest_gap, regions
 from wattloom.operators.lowpass import lowpass
-from wattloom.operators.panel import grid, median_interval, uniform_grid
+from wattloom.operators.panel import grid, knots, median_interval, uniform_grid
 from wattloom.operators.repair import clean_series, impute_missing, spline_flags
 from wattloom.operators.rolling import flagged_long, hampel, robust_sd, rolling_mad, rolling_zscore
 from wattloom.operators.scaling import excursions, fit, inverse, round_trip_error, transform
@@ -496,6 +496,11 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(household_events(spark, sf_dir), "ts", "channel", "value", HOUR)
 
 
+def households_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(channel, value): the cells of households() without most of the empty ones; every channel has a row."""
+    return knots(household_events(spark, sf_dir), "ts", "channel", "value", HOUR).select("channel", "value")
+
+
 def households_filled(spark: SparkSession, sf_dir: str, limit: int | None) -> DataFrame:
     return filled_grid(household_events(spark, sf_dir), "ts", "channel", "value", HOUR, limit)
 
@@ -626,7 +631,7 @@ def recall_by_size(spark, sf_dir):
 
 @query(f"WITH {HOUSEHOLDS} SELECT " + ", ".join(["channel", *(f"round(quantile_cont(value, {q / 100}), 6) AS p{q}" for q in stats.PERCENTILES), "round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"]) + " FROM p GROUP BY channel")
 def household_percentiles(spark, sf_dir):
-    return rounded(stats.percentiles(households(spark, sf_dir)))
+    return rounded(stats.percentiles(households_measured(spark, sf_dir)))
 
 
 @query(f"WITH {HOUSEHOLDS}, m AS (SELECT channel, pos, value, median(value) OVER {_sql_frame(WINDOW, 'channel')} AS centre FROM p), h AS (SELECT *, abs(value - centre) AS away, median(abs(value - centre)) OVER {_sql_frame(WINDOW, 'channel')} AS spread FROM m) SELECT channel, count(*) FILTER (away > {SIGMA} * 1.4826 * spread) AS flagged, round(sum(spread), 6) AS spreads FROM h GROUP BY channel")
