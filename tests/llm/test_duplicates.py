@@ -171,6 +171,49 @@ def test_large_groups_are_not_sorted_in_one_task(spark, monkeypatch):
     assert sorted(got) == removed([(-1 if d is None else d, t) for d, t in rows])
 
 
+def passages():
+    """Copies of few kinds of a passage, edited ones, equal rows, and texts of their own."""
+    rnd = random.Random(23)
+    text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    passage, other = text(420), text(300)
+    rows = [(k, passage) for k in range(14)] + [(20, text(60) + passage + text(40)), (21, passage[90:350]), (22, passage[:250] + "Z" + passage[251:])]
+    rows += [(30 + k, text(150) + other[: rnd.choice((300, 260))] + text(30)) for k in range(12)]
+    return rows + [(50, other), (50, other), (-1, None), (51, text(700)), (52, "x" * 350)]
+
+
+@pytest.mark.parametrize("share, batch", [(0, 20_000), (0, 4), (1, 4), (10**9, 4)])
+def test_rare_and_frequent_anchors_are_judged_alike(spark, monkeypatch, share, batch):
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    docs = spark.createDataFrame(passages(), "doc_id long, text string")
+    rows = docs.select("text", F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark")).where("text is not null")
+    spans = repeats._spans(rows)
+    often = repeats._frequent_anchors(spans).count()
+    # One text repeats a letter, so that one anchor has most of all spans.
+    assert often == (share if share < 2 else spans.select("anchor").distinct().count())
+    assert sorted(tuple(r)[:5] for r in remove_repeats(docs).collect()) == removed(passages())
+
+
+def test_spans_of_rare_anchors_are_dealt_out_once(spark):
+    spans = spark.createDataFrame([], "key long, mark long, place long, anchor long, span binary")
+    plan = repeats._judged(spans)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_copies_of_few_kinds_make_no_large_group(spark, monkeypatch):
+    """14 places but few kinds: the texts aren't read once more to count the strings of groups."""
+
+    def sides(batches):
+        raise AssertionError("texts are read for nothing")
+        yield
+
+    monkeypatch.setattr(repeats, "BATCH", 8)
+    monkeypatch.setattr(repeats, "_sides", sides)
+    rows = [r for r in passages() if not 30 <= r[0] <= 50]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:5] for r in got) == removed(rows)
+
+
 def test_no_link_is_lost_by_cutting_sets_to_32_bits():
     """At the threshold, with many shingles that meet when cut: the pair has to leave the block."""
     rng = np.random.default_rng(8)

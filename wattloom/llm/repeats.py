@@ -26,10 +26,11 @@ from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wattloom.llm.common import join_hot, materialize, release, slices, text_or_empty
+from wattloom.llm.common import HOT_SHARE, join_hot, materialize, release, slices, text_or_empty
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a shared window that lie on one side of its anchor at least.
@@ -185,6 +186,58 @@ def _merged(pieces: list[tuple[int, int]]) -> list[dict]:
     return out
 
 
+def _frequent_anchors(spans: DataFrame) -> DataFrame:
+    """(anchor): all anchors with more than one in HOT_SHARE rows, 2 * HOT_SHARE of them at most.
+
+    A task names those that are half as frequent in its own rows; what it leaves out adds up to less than half of the share.
+    """
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [batch.column(0).to_numpy() for batch in batches]
+        anchor, n = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
+        often = n * 2 * HOT_SHARE >= n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(anchor[often]), pa.array(n[often])], ["anchor", "n"])
+
+    counts = spans.select("anchor").mapInArrow(frequent, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") * 2 * HOT_SHARE > spans.count()).select("anchor")
+
+
+def _place_hash() -> Column:
+    return F.xxhash64("key", "mark", "place")
+
+
+def _judged(spans: DataFrame) -> DataFrame:
+    """(key, mark, place, whole, anchor, wide): places of spans that occur again, and one place of each kind of span around an anchor with open ones.
+
+    All spans of an anchor meet in one task. `anchor` is null where the place stands for no kind;
+    `wide` says that the anchor has more strings than a batch.
+    """
+    kind, around = Window.partitionBy("anchor", "span"), Window.partitionBy("anchor")
+    # One shuffle and one sort serve all frames; an anchor that occurs once meets nothing.
+    near = spans.repartition("anchor").sortWithinPartitions("anchor", "span").withColumn("_rows", F.count("*").over(around)).where("_rows > 1")
+    near = near.withColumn("n", F.count("*").over(kind)).withColumn("_sent", F.min(_place_hash()).over(kind) == _place_hash())
+    near = near.withColumn("_open", F.count_if(F.col("n") == 1).over(around) > 0).withColumn("_strings", F.count_if("_sent").over(around))
+    sent = F.col("_sent") & F.col("_open")
+    found = near.withColumn("whole", F.col("n") > 1).withColumn("wide", sent & (F.col("_strings") > BATCH)).where(F.col("whole") | sent)
+    return found.select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"), "wide")
+
+
+def _judged_frequent(spans: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """As _judged, where an anchor or a kind may have more rows than a task should: counts and joins. The tables that it reads come along."""
+    # One anchor may hold a third of all places: rows of such are joined where they are.
+    near = materialize(spans, "near-spans")
+    kinds = materialize(near.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(_place_hash()).alias("stand_in")), "kinds")
+    # A kind sends one string, so it is kinds and not places that make a group large.
+    anchors = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("kinds"), (F.count("*") > BATCH).alias("wide"))
+    anchors = materialize(anchors.withColumn("_w", F.col("kinds")), "anchor-kinds")
+    # Of each kind of span one place stands for it where open ones need partners.
+    known = join_hot(kinds, anchors, ["anchor"], "_w", kinds.count()).select("anchor", "span", "n", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"), "wide")
+    known = materialize(known.where("whole or stand_in is not null"), "known")
+    sent = F.coalesce(F.col("stand_in") == _place_hash(), F.lit(False))
+    found = join_hot(near, known, ["anchor", "span"], "n", near.count()).where(F.col("whole") | sent)
+    return found.select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"), (sent & F.col("wide")).alias("wide")), [near, kinds, anchors, known]
+
+
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _SENT = pa.list_(pa.struct([("place", pa.int64()), ("whole", pa.bool_()), ("anchor", pa.int64()), ("wide", pa.bool_())]))
 
@@ -212,7 +265,7 @@ def _small(df: DataFrame, size) -> DataFrame:
 
 
 def _open_windows(strings: DataFrame) -> DataFrame:
-    """(key, mark, runs): repeated runs of the open strings (side, single, key, mark, first, offset, data), sorted by side."""
+    """(key, mark, runs): repeated runs of the open strings (side, single, key, mark, first, offset, data), sorted by side and place."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -230,6 +283,9 @@ def _open_windows(strings: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                # Equal rows of the table send one string; it is a whole span, so no window of it is asked for.
+                if held and (row[0], *row[2:5]) == (held[-1][0], *held[-1][2:5]):
+                    continue
                 if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield judge(held)
                     held = []
@@ -315,21 +371,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # `mark` tells texts with one doc_id apart; a null doc_id joins under a number of its own.
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text"))
     spans = materialize(_spans(rows), "spans")
-    # One anchor may hold a third of all places: rows of such are joined where they are.
-    repeated = materialize(spans.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    near = materialize(join_hot(spans, repeated, ["anchor"], "n", spans.count()), "near-spans")
-    release(spans, repeated)
-    place = F.xxhash64("key", "mark", "place")
-    kinds = materialize(near.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(place).alias("stand_in")), "kinds")
-    anchors = kinds.groupBy("anchor").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("kinds"), (F.sum("n") > BATCH).alias("wide"))
-    # Of each kind of span one place stands for it where open ones need partners.
-    anchors = materialize(anchors.withColumn("_w", F.col("kinds")), "anchor-kinds")
-    known = join_hot(kinds, anchors, ["anchor"], "_w", kinds.count()).select("anchor", "span", "n", (F.col("n") > 1).alias("whole"), F.when((F.col("kinds") > 1) & (F.col("single") > 0), F.col("stand_in")).alias("stand_in"), "wide")
-    known = materialize(known.where("whole or stand_in is not null"), "known")
-    sent = F.coalesce(F.col("stand_in") == place, F.lit(False))
-    entries = join_hot(near, known, ["anchor", "span"], "n", near.count()).where(F.col("whole") | sent).select("key", "mark", "place", "whole", F.when(sent, F.col("anchor")).alias("anchor"), (sent & F.col("wide")).alias("wide"))
+    often = materialize(_frequent_anchors(spans), "frequent-anchors")
+    entries, used = _judged(spans.join(F.broadcast(often), "anchor", "left_anti")), [spans, often]
+    if not often.isEmpty():
+        found, tables = _judged_frequent(spans.join(F.broadcast(often), "anchor"))
+        entries, used = entries.unionByName(found), used + tables
     lists = materialize(_by_text(entries), "lists")
-    release(near, kinds, anchors, known)
+    release(*used)
     asked = _small(lists.where("size(sent) > 0").select("key", "mark", "sent"), F.size("sent"))
 
     texts = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent")
@@ -342,7 +390,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         large = frozenset(bytes(r.side) for r in sides.select("side").collect())
     strings = texts.mapInArrow(_cut(large), "side binary, single boolean, key long, mark long, first int, offset int, data binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = _open_windows(strings.repartition(parts, "side").sortWithinPartitions("side"))
+    runs = _open_windows(strings.repartition(parts, "side").sortWithinPartitions("side", "key", "mark", "first"))
     if large:
         runs = runs.unionByName(_counted_windows(wide, large))
     runs = materialize(runs.groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "open-runs")
