@@ -1,7 +1,9 @@
 """op2 and op6 against brute force."""
 
+import glob
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.llm import minhash, repeats
+from wattloom.llm.common import CLEANUP_KEY
 from wattloom.llm.components import connected_components
 from wattloom.llm.minhash import near_duplicates
 from wattloom.llm.repeats import LENGTH, remove_repeats
@@ -214,6 +217,43 @@ def test_copies_of_few_kinds_make_no_large_group(spark, monkeypatch):
     assert sorted(tuple(r)[:5] for r in got) == removed(rows)
 
 
+@pytest.mark.parametrize("batch", [4, 20_000])
+def test_texts_are_read_once_for_open_spans(spark, monkeypatch, batch):
+    """Once for spans, once for the open ones and once for what is left, also where groups are too large to be sorted."""
+    monkeypatch.setattr(repeats, "SMALL_ENTRIES", 0)
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    rnd = random.Random(31)
+    text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    passage = text(230)
+    rows = [(k, text(120) + passage + text(120)) for k in range(24)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    assert sorted(tuple(r)[:5] for r in remove_repeats(docs).collect()) == removed(rows)
+    assert read.value == 3 * len(rows)
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SMALL_ENTRIES", 0)
+    monkeypatch.setattr(repeats, "BATCH", 4)
+    folders = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*")}
+    docs = spark.createDataFrame(passages(), "doc_id long, text string")
+    before, setting = files(), spark.conf.get(CLEANUP_KEY)
+    got = remove_repeats(docs)
+    left = [files() - before]
+    while left[-1] and len(left) < 50:  # they are deleted in the background
+        time.sleep(0.2)
+        left.append(files() - before)
+    assert not left[-1] and spark.conf.get(CLEANUP_KEY) == setting
+    assert sorted(tuple(r)[:5] for r in got.collect()) == removed(passages())
+
+
 def test_no_link_is_lost_by_cutting_sets_to_32_bits():
     """At the threshold, with many shingles that meet when cut: the pair has to leave the block."""
     rng = np.random.default_rng(8)

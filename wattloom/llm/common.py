@@ -50,6 +50,24 @@ def release(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Whether Spark deletes an execution's shuffle files at its end; else they lie on disk until the driver happens to collect its garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_end_with_their_job(spark: SparkSession):
+    """Executions inside leave no shuffle files behind. One DataFrame should be executed once there; a second time would shuffle again."""
+    before = spark.conf.get(CLEANUP_KEY, None)
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_KEY)
+        else:
+            spark.conf.set(CLEANUP_KEY, before)
+
+
 #: A key with more than one in so many rows is hot: there are at most so many of them, whatever the size.
 HOT_SHARE = 10_000
 

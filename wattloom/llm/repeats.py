@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wattloom.llm.common import HOT_SHARE, join_hot, materialize, release, slices, text_or_empty
+from wattloom.llm.common import HOT_SHARE, join_hot, materialize, release, shuffles_end_with_their_job, slices, text_or_empty
 
 LENGTH, GRAM = 200, 32
 #: Bytes of a shared window that lie on one side of its anchor at least.
@@ -296,19 +296,40 @@ def _open_windows(strings: DataFrame) -> DataFrame:
     return strings.mapInArrow(sort, "key long, mark long, runs array<struct<start:int,end:int>>")
 
 
-def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(side, single, key, mark, first, offset, data, side's letter) of the spans that (key, mark, text, sent) names, a list for each text."""
+_OPENED = {"key": pa.int64(), "mark": pa.int64(), "first": pa.int32(), "offset": pa.int32(), "anchor": pa.int64(), "single": pa.bool_(), "wide": pa.bool_(), "data": pa.binary()}
+
+
+def _packed(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], list(types))
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with its bytes for each span that (key, mark, text, sent) names; `offset` is the anchor's place in it."""
+    held: list[tuple] = []
     for batch in slices(batches):
         for key, mark, text, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            data, out = text.encode(), []
+            data = text.encode()
             for s in own:
                 first, at, last = _unpack(s["place"])
-                # Equal windows agree in so many bytes before the anchor or after it.
-                for side, near in (("l", data[max(first, at - SIDE) : at]), ("r", data[at + GRAM : min(last + LENGTH, at + GRAM + SIDE)])):
-                    if len(near) == SIDE:
-                        group = sha256(side.encode() + s["anchor"].to_bytes(8, "little", signed=True) + near).digest()[:16]
-                        out.append((group, not s["whole"], key, mark, first, at - first, data[first : last + LENGTH], side))
-            yield out
+                held.append((key, mark, first, at - first, s["anchor"], not s["whole"], s["wide"], data[first : last + LENGTH]))
+                if len(held) >= 4096:
+                    yield _packed(held, _OPENED)
+                    held = []
+    if held:
+        yield _packed(held, _OPENED)
+
+
+def _open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(side, single, key, mark, first, offset, data, side's letter) of open spans, a list for each slice of them."""
+    for batch in slices(batches):
+        out = []
+        for key, mark, first, offset, anchor, single, _, data in zip(*(batch.column(k).to_pylist() for k in range(len(_OPENED))), strict=True):
+            # Equal windows agree in so many bytes before the anchor or after it.
+            for side, near in (("l", data[max(0, offset - SIDE) : offset]), ("r", data[offset + GRAM : offset + GRAM + SIDE])):
+                if len(near) == SIDE:
+                    group = sha256(side.encode() + anchor.to_bytes(8, "little", signed=True) + near).digest()[:16]
+                    out.append((group, single, key, mark, first, offset, data, side))
+        yield out
 
 
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,28 +339,17 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(large: frozenset[bytes]):
     """The open strings of groups that are not in `large`."""
+    types = {"side": pa.binary(), "single": pa.bool_(), "key": pa.int64(), "mark": pa.int64(), "first": pa.int32(), "offset": pa.int32(), "data": pa.binary()}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["side", "single", "key", "mark", "first", "offset", "data"]
-        types = (pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-
-        def packed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
-
-        held: list[tuple] = []
         for own in _open_strings(batches):
-            held += [s for s in own if s[0] not in large]
-            if len(held) >= 4096:
-                yield packed(held)
-                held = []
-        if held:
-            yield packed(held)
+            yield _packed([s for s in own if s[0] not in large], types)
 
     return cut
 
 
-def _counted_windows(texts: DataFrame, large: frozenset[bytes]) -> DataFrame:
-    """(key, mark, runs): repeated windows of the groups in `large`, by counts of equal windows."""
+def _counted_windows(opened: DataFrame, large: frozenset[bytes]) -> tuple[DataFrame, DataFrame]:
+    """(key, mark, runs): repeated windows of the groups in `large`, by counts of equal windows. The table that it reads comes along."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _open_strings(batches):
@@ -351,25 +361,15 @@ def _counted_windows(texts: DataFrame, large: frozenset[bytes]) -> DataFrame:
                 found = [blake2b(data[x : x + LENGTH], digest_size=16).digest() for x in starts]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([single] * n, pa.bool_()), pa.array([key] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array([first + x for x in starts], pa.int32())], ["window", "single", "key", "mark", "start"])
 
-    found = texts.mapInArrow(windows, "window binary, single boolean, key long, mark long, start int")
+    found = opened.mapInArrow(windows, "window binary, single boolean, key long, mark long, start int")
     counts = found.groupBy("window").agg(F.count("*").alias("n"), F.max("single").alias("asked"))
     repeated = materialize(counts.where("n > 1 and asked").select("window"), "repeated-windows")
     hits = found.where("single").join(_small(repeated, F.lit(0)), "window")
-    return hits.select("key", "mark", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("runs"))
+    return hits.select("key", "mark", F.array(F.struct("start", (F.col("start") + LENGTH).cast("int").alias("end"))).alias("runs")), repeated
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for every row of `docs` (doc_id, text).
-
-    A byte goes if a 200-byte string that covers it starts anywhere else in the collection, the
-    same text included; copies of a text thus all lose it. `removed` lists the (start, end) bytes.
-    A null text counts as empty. Rows that repeat a doc_id are documents of their own, also if
-    their texts are the same. Texts may be as long as a column holds. Other columns are ignored.
-    """
-    doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text"))
-    # `mark` tells texts with one doc_id apart; a null doc_id joins under a number of its own.
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text"))
+def _repeated(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (key, mark, gone) and (key, mark, runs): what goes of the texts in `rows` (key, mark, text), by whole spans and by windows of open ones."""
     spans = materialize(_spans(rows), "spans")
     often = materialize(_frequent_anchors(spans), "frequent-anchors")
     entries, used = _judged(spans.join(F.broadcast(often), "anchor", "left_anti")), [spans, often]
@@ -380,20 +380,40 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     release(*used)
     asked = _small(lists.where("size(sent) > 0").select("key", "mark", "sent"), F.size("sent"))
 
+    # Texts are dealt out for their open spans once; all that follows reads the spans.
     texts = rows.join(asked, ["key", "mark"]).select("key", "mark", "text", "sent")
+    opened = materialize(texts.mapInArrow(_opened, "key long, mark long, first int, offset int, anchor long, single boolean, wide boolean, data binary"), "open-spans")
     # Only around an anchor with places enough can a group be too large.
-    some = lists.where("exists(sent, s -> s.wide)").select("key", "mark", F.filter("sent", lambda s: s["wide"]).alias("sent"))
-    large, wide = frozenset(), None
-    if not some.isEmpty():
-        wide = rows.join(_small(some, F.size("sent")), ["key", "mark"]).select("key", "mark", "text", "sent")
+    wide, large, used = opened.where("wide"), frozenset(), [opened]
+    if not wide.isEmpty():
         sides = wide.mapInArrow(_sides, "side binary").groupBy("side").agg(F.count("*").alias("n")).where(F.col("n") > BATCH)
         large = frozenset(bytes(r.side) for r in sides.select("side").collect())
-    strings = texts.mapInArrow(_cut(large), "side binary, single boolean, key long, mark long, first int, offset int, data binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings = opened.mapInArrow(_cut(large), "side binary, single boolean, key long, mark long, first int, offset int, data binary")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = _open_windows(strings.repartition(parts, "side").sortWithinPartitions("side", "key", "mark", "first"))
     if large:
-        runs = runs.unionByName(_counted_windows(wide, large))
+        counted, windows = _counted_windows(wide, large)
+        runs, used = runs.unionByName(counted), [*used, windows]
     runs = materialize(runs.groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs")), "open-runs")
+    release(*used)
+    return lists.where("size(gone) > 0").select("key", "mark", "gone"), runs
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for every row of `docs` (doc_id, text).
+
+    A byte goes if a 200-byte string that covers it starts anywhere else in the collection, the
+    same text included; copies of a text thus all lose it. `removed` lists the (start, end) bytes.
+    A null text counts as empty. Rows that repeat a doc_id are documents of their own, also if
+    their texts are the same. Texts may be as long as a column holds. Other columns are ignored.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), text_or_empty().alias("text"))
+    # `mark` tells texts with one doc_id apart; a null doc_id joins under a number of its own.
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("mark", F.xxhash64("text"))
+    with shuffles_end_with_their_job(docs.sparkSession):
+        gone, runs = _repeated(rows)
+        gone, runs = _small(gone, F.size("gone")), _small(runs, F.size("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -411,5 +431,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), _RUNS), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    whole = rows.join(_small(lists.where("size(gone) > 0").select("key", "mark", "gone"), F.size("gone")), ["key", "mark"], "left").join(_small(runs, F.size("runs")), ["key", "mark"], "left")
+    whole = rows.join(gone, ["key", "mark"], "left").join(runs, ["key", "mark"], "left")
     return whole.select("doc_id", "text", "gone", "runs").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:int,end:int>>")
