@@ -22,6 +22,8 @@ from wattloom.llm.toxicity import score_documents, train
 
 #: Keys of documents that may be sent to every task (8 bytes each).
 SMALL_KEYS = 1_000_000
+#: Chunks that a worker's encoder keeps: by the time of packing the executor's JVM has grown by all stages before.
+SMALL_CACHE = 100_000
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack into sequences of at most 4096 tokens."""
     small_batches(spark)
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2).drop("ids")
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, with_ids=False, cached=SMALL_CACHE)
 
 
 STAGES = [

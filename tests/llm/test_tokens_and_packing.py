@@ -6,8 +6,10 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from wattloom.llm.packing import Piece, pack_documents, pack_pool, split_by_powers, step_groups
 from wattloom.llm import token_store
 from wattloom.llm.token_store import STORE_SCHEMA, DacReader, dac_encode, token_digests, tokens_at, write_token_store
@@ -117,3 +119,24 @@ def test_pool_fills_windows():
     assert sorted(steps[:33].count(s) for s in set(steps[:33])) == [11, 11, 11]
     with pytest.raises(ValueError):
         pack_documents(None, WORD, tiers=(100,))
+
+
+def test_small_caches_hold_what_they_are_told_to_and_give_the_same_ids():
+    plain = Tokenizer.from_file(WORD)
+    own = encoder(WORD, 50)
+    for k in range(0, 2000, 5):
+        text = f"Word{k} word{k + 1}, and again; {'x' * (k % 40)}y re-done{k}."
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(own._words) <= 50 and len(own._words._old) <= 50
+
+
+def test_pipeline_packs_without_moving_ids(spark, docs):
+    """Ids that no one reads stay in the worker; all other columns are those of the whole operator."""
+    got = corpus_pipeline.packing(spark, docs, "unused")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ids_crc32#" in plan and " ids#" not in plan
+    want = pack_documents(docs, WORD, end_id=2)
+    assert got.columns == [c for c in want.columns if c != "ids"]
+    want = want.withColumn("own", F.crc32("ids"))
+    assert want.where("own <> ids_crc32").count() == 0
+    assert sorted(got.collect()) == sorted(want.drop("ids", "own").collect())

@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattloom.llm.common import hold, materialize, slices, text_or_empty
+from wattloom.llm.common import give_back, hold, materialize, slices, text_or_empty
 
 WINDOW = 8
 #: An item counts as met if so much of its windows is, or so many in one alignment.
@@ -63,7 +63,7 @@ class _Vocabulary(dict):
 
     def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """All tokens; of those with letters or digits: places, hashes and kinds. A capitalised word inside a sentence is a name."""
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         chunks = text.split()
         at = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
@@ -145,6 +145,8 @@ def _template_windows(rows: DataFrame, sizes: list[int], shared: Broadcast | Non
                             column.append(value)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.string())), strict=True)], ["key", "size", "plain", *names])
+        vocabulary.clear()
+        give_back()  # the worker stays beside what needs the room next
 
     return rows.mapInArrow(find, _FOUND.format(id=names[0], pos=names[1], slots=names[2]))
 

@@ -39,7 +39,8 @@ SALT_ROWS = 256
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-_CACHE = 300_000
+#: Words of the cache of hashes, about 150 bytes each.
+_CACHE = 100_000
 
 
 class _WordHash(dict):

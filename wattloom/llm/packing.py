@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.llm.common import slices, text_or_empty
-from wattloom.llm.tokens import encoder
+from wattloom.llm.tokens import GENERATION, encoder
 
 TIERS = (256, 512, 1024, 2048, 4096)
 #: Tokens of one step group, of any tier.
@@ -113,21 +113,22 @@ def step_groups(lengths: list[int], step_tokens: int) -> list[int]:
     return groups
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = True, cached: int = GENERATION) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step, ids.
 
     `tier` is the length of the sequence, `ids` holds the piece as little-endian uint32.
     `tiers` are ascending powers of two. A null text counts as empty and is one end id; an
     empty table gives no rows. Rows that repeat a doc_id are packed one by one. Other columns
     are ignored. `sequence_id` and `step` have the partition in their upper bits, so they
-    need no count of what other tasks made.
+    need no count of what other tasks made. Without `with_ids` the column `ids` never leaves
+    the worker; `cached` bounds the encoder's cache. Neither changes any other column.
     """
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
         raise ValueError("tiers must be ascending powers of two")
-    largest = tiers[-1]
+    largest, schema = tiers[-1], _SCHEMA if with_ids else _SCHEMA.remove(_SCHEMA.get_field_index("ids"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, base = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        encode, base = encoder(tokenizer, cached), TaskContext.get().partitionId() << 33
         end = np.array([end_id], dtype="<u4").tobytes()
         sequence = step = 0
         full: list[list[Piece]] = []
@@ -142,11 +143,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
                 offset = 0
                 for p in window:
                     raw = p.ids.tobytes()
-                    rows.append((p.doc, p.start, len(p), zlib.crc32(raw), p.total, base | sequence, offset, n, base | (step + group), raw))
+                    rows.append((p.doc, p.start, len(p), zlib.crc32(raw), p.total, base | sequence, offset, n, base | (step + group), *[raw] * with_ids))
                     offset += len(p)
                 sequence += 1
             step += max(steps, default=-1) + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -166,4 +167,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, tiers: tupl
             yield emit(windows)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step long, ids binary")
+    return source.mapInArrow(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step long" + ", ids binary" * with_ids)

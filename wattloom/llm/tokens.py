@@ -24,22 +24,22 @@ _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ENDS_WORD = frozenset(c for c in map(chr, range(256)) if c.isascii() and c.isalnum() or c >= "À" and c not in "×÷")
 #: A space between two other white-space characters belongs to neither neighbour.
 _SPACE_RUN = re.compile(r"\s \s").search
-#: Chunks of one cache generation; two are held, about 200 bytes a chunk.
-_GENERATION = 500_000
+#: Chunks of one cache generation, unless the caller asks for fewer; two are held, about 200 bytes a chunk.
+GENERATION = 500_000
 
 
 class _Cache(dict):
     """chunk -> ids as little-endian uint32 bytes; holds two generations at most."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, generation: int):
         super().__init__()
-        self._encode, self._old = encode, {}
+        self._encode, self._old, self._generation = encode, {}, generation
 
     def __missing__(self, chunk: str) -> bytes:
         found = self._old.get(chunk)
         if found is None:
             found = self._encode(chunk)
-        if len(self) >= _GENERATION:
+        if len(self) >= self._generation:
             self._old = dict(self)
             self.clear()
         self[chunk] = found
@@ -65,7 +65,7 @@ def _byte_symbols() -> dict[int, str]:
 class Encoder:
     """ids(text) -> bytes of little-endian uint32 ids, equal to the library's own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION):
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self._tokenizer = Tokenizer.from_file(path)
@@ -76,10 +76,10 @@ class Encoder:
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.ids = self._by_byte_chunks
             self._newline = self._whole("\n")
-            self._spaced, self._bare = _Cache(lambda c: self._byte_chunk(c, " ")), _Cache(lambda c: self._byte_chunk(c, ""))
+            self._spaced, self._bare = _Cache(lambda c: self._byte_chunk(c, " "), generation), _Cache(lambda c: self._byte_chunk(c, ""), generation)
         elif [n.get("type") for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and config["model"].get("end_of_word_suffix"):
             self.ids = self._by_words
-            self._words = _Cache(self._word_chunk)
+            self._words = _Cache(self._word_chunk, generation)
         else:
             self.ids = self._whole
 
@@ -138,11 +138,11 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, generation: int) -> Encoder:
+    return Encoder(path, generation)
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file, as long as no other operator needs the room."""
-    hold(f"tokens {path}", _encoder.cache_clear)
-    return _encoder(path)
+def encoder(path: str, generation: int = GENERATION) -> Encoder:
+    """One encoder per worker process, file and size of cache, as long as no other operator needs the room."""
+    hold(f"tokens {path} {generation}", _encoder.cache_clear)
+    return _encoder(path, generation)
