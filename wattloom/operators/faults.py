@@ -307,7 +307,7 @@ def _judge(detector: str, windows: Sequence[int], sigmas: Sequence[float], repea
         for w in windows:
             before, after = reach(w)
             if detector == "zscore":
-                x = short_zscores(copies, before, after, max(3, w // 2))
+                x = short_zscores(copies, before, after, max(3, w // 2), int(pos[0]))
             else:
                 away = np.abs(copies - _medians(copies, before, after))
                 spread = MAD_TO_SIGMA * _medians(away, before, after)

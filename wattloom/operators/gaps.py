@@ -71,7 +71,7 @@ def _line(at: str, limit: int | None) -> Column:
     if limit is not None and limit <= 0:
         raise ValueError("the limit must be positive")
     since, until = F.col(at) - F.col("_pp"), F.col("_np") - F.col(at)
-    line = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * F.try_divide(since, since + until)
+    line = F.col("_pv") + F.try_divide((F.col("_nv") - F.col("_pv")) * since, since + until)
     near = F.lit(True) if limit is None else F.coalesce(since <= limit, F.lit(False)) | F.coalesce(until <= limit, F.lit(False))
     return F.when(near, F.coalesce(line, "_pv", "_nv"))
 
