@@ -1,4 +1,4 @@
-"""Windows whose values differ by rounding only: means and deviations there are what the order of their sums makes of them."""
+"""Windows whose values differ by rounding only: means and deviations there are what the order of their sums makes of them. Ties of rounding."""
 
 import datetime
 
@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from wattloom.functions.sliding import short_zscores
 from wattloom.operators.gaps import interpolate
+from wattloom.queries import rounded
 
 
 def nearly_level(rng, channels, rows):
@@ -56,3 +57,15 @@ def test_calibration_of_nearly_level_households(spark, tmp_path):
     for name in ("household_calibration", "household_hampel_calibration"):
         got, want = entry.queries()[name](spark, str(tmp_path)), con.sql(entry.oracle_sql()[name])
         assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("digits", [6, 9])
+def test_ties_are_rounded_as_in_sql(spark, digits):
+    """0.2570725 is 0.257072 in SQL, as its product with 1e6 is below a half."""
+    rng = np.random.default_rng(6)
+    values = [(10 * k + 5) / 10.0 ** (digits + 1) for k in rng.integers(0, 10**digits, 500).tolist()]
+    values += [-v for v in values] + [0.2570725, 0.0, 12.0, 1e300, float("inf"), None]
+    rows = pd.DataFrame({"i": range(len(values)), "x": pd.Series(values, dtype=object)})  # noqa: F841
+    sql = duckdb.sql(f"SELECT round(CAST(x AS DOUBLE), {digits}) FROM rows ORDER BY i").fetchall()
+    got = rounded(spark.createDataFrame(list(enumerate(values)), "i long, x double"), digits).orderBy("i")
+    assert [r.x for r in got.collect()] == [v for (v,) in sql]

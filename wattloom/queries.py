@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.operators import faults as flt
@@ -49,8 +49,14 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(events(spark, sf_dir), "ts", "event_type", "value", HOUR)
 
 
+def _rounded(name: str, digits: int) -> Column:
+    """As SQL has it: the product as computed is rounded. F.round goes by the shortest decimal, so ties may part."""
+    near = F.round(F.col(name) * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(near) < float("inf"), near).otherwise(F.col(name))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[_rounded(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def rounded_all(df: DataFrame, digits: int = 6) -> DataFrame:
